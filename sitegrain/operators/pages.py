@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.functions import html as H
@@ -65,18 +65,22 @@ def scrape_fields(pages: DataFrame) -> DataFrame:
     )
 
 
-def technical_seo(pages: DataFrame) -> DataFrame:
+def technical_columns() -> dict[str, Column]:
+    """Technical fields of a page's ``html`` column, by name."""
     page = F.col("html")
+    return {
+        "technical_title": H.first_title(page),
+        "technical_meta_description": H.meta_description_or_og(page),
+        "canonical": H.canonical_link(page),
+        "robots": H.robots_meta(page),
+        "missing_alt_images": H.missing_alt_images(page),
+        "multiple_h1": H.h1_count(page) > 1,
+    }
+
+
+def technical_seo(pages: DataFrame) -> DataFrame:
     return pages.select(
-        "site",
-        "idx",
-        "url",
-        H.first_title(page).alias("technical_title"),
-        H.meta_description_or_og(page).alias("technical_meta_description"),
-        H.canonical_link(page).alias("canonical"),
-        H.robots_meta(page).alias("robots"),
-        H.missing_alt_images(page).alias("missing_alt_images"),
-        (H.h1_count(page) > 1).alias("multiple_h1"),
+        "site", "idx", "url", *[c.alias(name) for name, c in technical_columns().items()]
     )
 
 

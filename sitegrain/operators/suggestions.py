@@ -89,20 +89,23 @@ def suggest_links(
 ) -> DataFrame:
     """Suggestions for ``pages(site, idx, url, page_type, product_entity, content)``.
 
-    ``site_pages`` has ``(site, idx, url)``. ``list_size`` trades list length
+    A ``page_tokens`` array (distinct tokens of the content) may stand in for
+    ``content``. ``site_pages`` has ``(site, idx, url)``. ``list_size`` trades list length
     against the number of combined token sets; it must exceed ``picks``.
     Result: ``site, source_idx, source_page, rank, anchor, target_page``.
     """
     if list_size <= picks:
         raise ValueError("list_size must exceed picks")
     targets = _targets(site_pages, vocab)
+    ready = "page_tokens" in pages.columns
+    content = F.col("page_tokens") if ready else hyphen_tokens(F.col("content"))
     sources = pages.select(
         "site",
         "idx",
         "url",
         F.coalesce(F.col("page_type") == "pdp", F.lit(False)).alias("for_pdp"),
         F.array_distinct(
-            F.concat(hyphen_tokens(F.col("content")), hyphen_tokens(F.col("product_entity")))
+            F.concat(content, hyphen_tokens(F.col("product_entity")))
         ).alias("page_tokens"),
     )
 
