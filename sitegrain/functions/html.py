@@ -28,43 +28,61 @@ from sitegrain.functions.text import (
 HIDDEN_TAGS = ("script", "style", "noscript", "iframe")
 BATCH_HIDDEN_TAGS = HIDDEN_TAGS + ("svg",)
 
-# fixed values: character references decoded in text, '&amp;' last
-CHARACTER_REFERENCES = (
-    ("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"),
-    ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"),
-    ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&middot;", "·"),
-    ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"),
-    ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&bull;", "•"),
-    ("&euro;", "€"), ("&pound;", "£"), ("&times;", "×"), ("&laquo;", "«"),
-    ("&raquo;", "»"), ("&eacute;", "é"), ("&egrave;", "è"), ("&uuml;", "ü"),
-    ("&ouml;", "ö"), ("&auml;", "ä"), ("&szlig;", "ß"), ("&ntilde;", "ñ"),
-    ("&amp;", "&"),
-)
+# fixed values: named character references decoded in text
+CHARACTER_REFERENCES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ",
+    "copy": "©", "reg": "®", "trade": "™", "middot": "·", "hellip": "…", "bull": "•",
+    "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
+    "laquo": "«", "raquo": "»", "euro": "€", "pound": "£", "yen": "¥", "cent": "¢",
+    "times": "×", "deg": "°", "sect": "§", "para": "¶", "iexcl": "¡", "iquest": "¿",
+    "agrave": "à", "aacute": "á", "acirc": "â", "atilde": "ã", "auml": "ä", "aring": "å",
+    "aelig": "æ", "ccedil": "ç", "egrave": "è", "eacute": "é", "ecirc": "ê", "euml": "ë",
+    "igrave": "ì", "iacute": "í", "icirc": "î", "iuml": "ï", "ntilde": "ñ", "ograve": "ò",
+    "oacute": "ó", "ocirc": "ô", "otilde": "õ", "ouml": "ö", "ugrave": "ù", "uacute": "ú",
+    "ucirc": "û", "uuml": "ü", "szlig": "ß",
+}
+
+
+def strip_hidden(
+    html: Column, tags: tuple[str, ...] = HIDDEN_TAGS, keep_json_ld: bool = False
+) -> Column:
+    """Visible markup: comments and elements that carry no text removed.
+
+    One pass over the page. The helpers below read this markup, so a projection
+    should compute it once and hand it on as a column.
+    """
+    names = "|".join(tags)
+    kept = r"(?!script\b[^>]*application/ld\+json)" if keep_json_ld else ""
+    pattern = rf"(?is)<!--.*?-->|<{kept}({names})\b[^>]*>.*?</\1[^>]*>"
+    return F.regexp_replace(text_or_empty(html), pattern, "")
 
 
-def drop_comments(html: Column) -> Column:
-    return F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+def decode_references(c: Column) -> Column:
+    """Decode named and numeric character references in one pass."""
+    table = F.create_map(*[F.lit(x) for pair in CHARACTER_REFERENCES.items() for x in pair])
 
+    def character(name: Column) -> Column:
+        digits = (
+            F.when(name.rlike(r"^#[0-9]{1,7}$"), F.conv(name.substr(2, 7), 10, 16))
+            .when(name.rlike(r"^#[xX][0-9a-fA-F]{1,6}$"), name.substr(3, 6))
+        )
+        numeric = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+        return F.coalesce(F.element_at(table, name), numeric)
 
-def strip_hidden(html: Column, tags: tuple[str, ...] = HIDDEN_TAGS, keep_json_ld: bool = False) -> Column:
-    """Remove comments and elements that carry no text."""
-    out = drop_comments(text_or_empty(html))
-    for tag in tags:
-        if tag == "script" and keep_json_ld:
-            pattern = (
-                r"(?is)<script\b(?![^>]*type\s*=\s*[\"']?application/ld\+json)[^>]*>.*?</script\s*>"
-            )
-        else:
-            pattern = rf"(?is)<{tag}[^>]*>.*?</{tag}[^>]*>"
-        out = F.regexp_replace(out, pattern, "")
-    return out
+    def segment(part: Column, i: Column) -> Column:
+        name = F.regexp_extract(part, r"^([#a-zA-Z0-9]{2,9});", 1)
+        decoded = F.concat(character(name), part.substr(F.length(name) + 2, F.length(part)))
+        return (
+            F.when(i == 0, part)
+            .when(name == "", F.concat(F.lit("&"), part))
+            .otherwise(F.coalesce(decoded, F.concat(F.lit("&"), part)))
+        )
 
+    def decoded(v: Column) -> Column:
+        joined = F.array_join(F.transform(F.split(v, "&", -1), segment), "")
+        return F.when(v.contains("&"), joined).otherwise(v)
 
-def decode_references(c: Column) -> Column:
-    out = c
-    for raw, char in CHARACTER_REFERENCES:
-        out = F.replace(out, F.lit(raw), F.lit(char))
-    return F.when(c.contains("&"), out).otherwise(c)
+    return bind(c, decoded)
 
 
 def inner_text(markup: Column) -> Column:
@@ -72,113 +90,107 @@ def inner_text(markup: Column) -> Column:
     return squash(decode_references(F.regexp_replace(markup, r"<[^>]*>", "")))
 
 
-def title(html: Column) -> Column:
+def title(visible: Column) -> Column:
     """Text of every ``<title>``, joined, blanks collapsed."""
-    found = F.regexp_extract_all(strip_hidden(html), F.lit(r"(?is)<title[^>]*>(.*?)</title>"), 1)
+    found = F.regexp_extract_all(visible, F.lit(r"(?is)<title[^>]*>(.*?)</title>"), 1)
     return squash(decode_references(F.array_join(found, "")))
 
 
-def first_title(html: Column) -> Column:
+def first_title(visible: Column) -> Column:
     """Text of the first ``<title>`` only, trimmed, inner blanks kept."""
-    raw = F.regexp_extract(text_or_empty(html), r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return strip(decode_references(raw))
+    return strip(decode_references(F.regexp_extract(visible, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+
+
+def void_tags(visible: Column) -> Column:
+    """All ``<meta>``, ``<link>`` and ``<img>`` tags of a page, in order."""
+    return F.regexp_extract_all(visible, F.lit(r"(?is)(<(?:meta|link|img)\b[^>]*>)"), 1)
 
 
 def _attribute(tag: Column, name: str) -> Column:
     """Value of an attribute of one tag, any quoting, references decoded."""
-    raw = F.regexp_extract(
-        tag, rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1
-    )
+    raw = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1)
     return decode_references(F.regexp_replace(raw, r"^[\"']|[\"']$", ""))
 
 
-def _tag_with(html: Column, tag: str, attribute: str, value: str) -> Column:
-    """First ``<tag>`` whose attribute has exactly this value, whatever the order."""
-    pattern = rf"(?is)(<{tag}\s(?:[^>]*?\s)?{attribute}\s*=\s*(?:\"{value}\"|'{value}'|{value}(?=[\s/>]))[^>]*>)"
-    return F.regexp_extract(drop_comments(text_or_empty(html)), pattern, 1)
+def _value_of(tags: Column, tag: str, attribute: str, value: str, wanted: str) -> Column:
+    """``wanted`` attribute of the first tag whose ``attribute`` is ``value``."""
+    pattern = rf"(?is)^<{tag}\s(?:[^>]*?\s)?{attribute}\s*=\s*(?:\"{value}\"|'{value}'|{value}[\s/>])"
+    first = F.try_element_at(F.filter(tags, lambda t: t.rlike(pattern)), F.lit(1))
+    return F.coalesce(_attribute(first, wanted), F.lit(""))
 
 
-def meta_description(html: Column) -> Column:
-    return squash(_attribute(_tag_with(html, "meta", "name", "description"), "content"))
+def meta_description(tags: Column) -> Column:
+    return squash(_value_of(tags, "meta", "name", "description", "content"))
 
 
-def meta_description_or_og(html: Column) -> Column:
-    named = _attribute(_tag_with(html, "meta", "name", "description"), "content")
-    og = _attribute(_tag_with(html, "meta", "property", "og:description"), "content")
-    return strip(F.when(named != "", named).otherwise(og))
+def meta_description_or_og(tags: Column) -> Column:
+    named = _value_of(tags, "meta", "name", "description", "content")
+    og = _value_of(tags, "meta", "property", "og:description", "content")
+    return strip(F.coalesce(F.nullif(named, F.lit("")), og))
 
 
-def canonical_link(html: Column) -> Column:
-    return strip(_attribute(_tag_with(html, "link", "rel", "canonical"), "href"))
+def canonical_link(tags: Column) -> Column:
+    return strip(_value_of(tags, "link", "rel", "canonical", "href"))
 
 
-def robots_meta(html: Column) -> Column:
-    return strip(_attribute(_tag_with(html, "meta", "name", "robots"), "content"))
+def robots_meta(tags: Column) -> Column:
+    return strip(_value_of(tags, "meta", "name", "robots", "content"))
 
 
-def missing_alt_images(html: Column) -> Column:
-    images = F.regexp_extract_all(
-        drop_comments(text_or_empty(html)), F.lit(r"(?is)(<img\b[^>]*>)"), 1
-    )
+def missing_alt_images(tags: Column) -> Column:
+    images = F.filter(tags, lambda t: t.rlike(r"(?i)^<img"))
     return F.size(F.filter(images, lambda t: strip(_attribute(t, "alt")) == "")).cast("long")
 
 
-def h1_count(html: Column) -> Column:
-    return F.regexp_count(drop_comments(text_or_empty(html)), F.lit(r"(?i)<h1[\s>]")).cast("long")
+def h1_count(visible: Column) -> Column:
+    return F.regexp_count(visible, F.lit(r"(?i)<h1[\s>]")).cast("long")
 
 
-def paragraph_count(html: Column) -> Column:
-    visible = strip_hidden(html, ("script", "style"))
+def paragraph_count(visible: Column) -> Column:
     return F.regexp_count(visible, F.lit(r"(?i)<p[\s>]")).cast("long")
 
 
-def headings(html: Column, levels: str = "1-4", drop_empty: bool = False) -> Column:
+def headings(visible: Column, levels: str = "1-4", drop_empty: bool = False) -> Column:
     """Ordered ``array<struct<tag,text>>`` of the headings of these levels."""
-    visible = strip_hidden(html)
-    pattern = rf"(?is)<h([{levels}])(?:\s[^>]*)?>(.*?)</h[{levels}]\s*>"
-    tags = F.regexp_extract_all(visible, F.lit(pattern), 1)
-    texts = F.regexp_extract_all(visible, F.lit(pattern), 2)
-    rows = F.zip_with(
-        tags,
-        texts,
-        lambda level, text: F.struct(
-            F.concat(F.lit("h"), level).alias("tag"), inner_text(text).alias("text")
+    found = F.regexp_extract_all(
+        visible, F.lit(rf"(?is)(<h[{levels}](?:\s[^>]*)?>.*?)</h[{levels}]\s*>"), 1
+    )
+    rows = F.transform(
+        found,
+        lambda h: F.struct(
+            F.lower(F.substring(h, 2, 2)).alias("tag"), inner_text(h).alias("text")
         ),
     )
     return F.filter(rows, lambda h: h["text"] != "") if drop_empty else rows
 
 
-def body(html: Column) -> Column:
+def body(visible: Column) -> Column:
     """Markup of the body; without a body tag, everything outside the head."""
-    page = text_or_empty(html)
-    after = F.regexp_replace(page, r"(?is)^.*?<body(?:\s[^>]*)?>", "")
-    no_head = F.regexp_replace(page, r"(?is)<head(?:\s[^>]*)?>.*?</head\s*>", "")
-    no_title = F.regexp_replace(no_head, r"(?is)<title[^>]*>.*?</title\s*>", "")
-    return F.when(page.rlike(r"(?i)<body[\s>]"), after).otherwise(no_title)
+    found = F.regexp_extract(visible, r"(?is)<body(?:\s[^>]*)?>(.*)", 1)
+    no_head = F.regexp_replace(visible, r"(?is)<(head|title)(?:\s[^>]*)?>.*?</\1\s*>", "")
+    return F.coalesce(F.nullif(found, F.lit("")), no_head)
 
 
-def body_text(html: Column, tags: tuple[str, ...] = HIDDEN_TAGS) -> Column:
-    return inner_text(body(strip_hidden(html, tags)))
+def body_text(visible: Column) -> Column:
+    return inner_text(body(visible))
 
 
-def main_content(html: Column, tags: tuple[str, ...] = ("main",)) -> Column:
+def main_content(visible: Column, tags: tuple[str, ...] = ("main",)) -> Column:
     """Markup of the main region: a listed tag, else role=main, else the body."""
-    visible = strip_hidden(html, BATCH_HIDDEN_TAGS)
     role = F.regexp_extract(
         visible,
-        r"(?is)<[a-z]+\s(?:[^>]*?\s)?role\s*=\s*[\"']?main[\"']?[^>]*>(.*?)</(?:div|section|main)\s*>",
-        1,
+        r"(?is)<([a-z]+)\s(?:[^>]*?\s)?role\s*=\s*[\"']?main[\"']?[^>]*>(.*?)</\1\s*>",
+        2,
     )
-    choice = F.lit(None).cast("string")
-    for tag in tags:
-        found = F.regexp_extract(visible, rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>", 1)
-        choice = F.coalesce(choice, F.nullif(found, F.lit("")))
-    return F.coalesce(choice, F.nullif(role, F.lit("")), body(visible))
+    choices = [
+        F.nullif(F.regexp_extract(visible, rf"(?is)<{t}(?:\s[^>]*)?>(.*?)</{t}\s*>", 1), F.lit(""))
+        for t in tags
+    ]
+    return F.coalesce(*choices, F.nullif(role, F.lit("")), body(visible))
 
 
-def hrefs(html: Column) -> Column:
+def hrefs(visible: Column) -> Column:
     """Trimmed, non-empty ``href`` values of anchors that lead to pages."""
-    visible = strip_hidden(html)
     pattern = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
     raw = F.regexp_extract_all(visible, F.lit(pattern), 1)
     cleaned = F.transform(
@@ -189,11 +201,13 @@ def hrefs(html: Column) -> Column:
 
 def internal_links(page_url: Column, href_list: Column) -> Column:
     """Distinct same-host links in page order, resolved, fragment dropped."""
-    host = urls.hostname(page_url)
-    resolved = F.transform(href_list, lambda h: urls.resolve(page_url, h))
-    return F.array_distinct(
-        F.filter(resolved, lambda u: u.isNotNull() & (urls.hostname(u) == host))
-    )
+    def same_host(links: Column) -> Column:
+        return bind(
+            urls.hostname(page_url),
+            lambda host: F.filter(links, lambda u: u.isNotNull() & (urls.hostname(u) == host)),
+        )
+
+    return F.array_distinct(bind(urls.resolve_all(page_url, href_list), same_host))
 
 
 def relative_link_count(href_list: Column) -> Column:
@@ -219,10 +233,13 @@ def first_h1(heading_list: Column) -> Column:
     return F.coalesce(F.try_element_at(h1, F.lit(1))["text"], F.lit(""))
 
 
-def json_ld_types(html: Column) -> Column:
-    """Distinct ``@type`` values of JSON-LD blocks; graphs are not walked."""
+def json_ld_types(visible: Column) -> Column:
+    """Distinct ``@type`` values of JSON-LD blocks; graphs are not walked.
+
+    Takes markup that kept its JSON-LD scripts.
+    """
     blocks = F.regexp_extract_all(
-        drop_comments(text_or_empty(html)),
+        visible,
         F.lit(r"(?is)<script\s(?:[^>]*?\s)?type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"),
         1,
     )
@@ -248,9 +265,8 @@ def json_ld_types(html: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda t: t.isNotNull() & (t != "")))
 
 
-def faq_questions(html: Column, limit: int = 20) -> Column:
+def faq_questions(visible: Column, limit: int = 20) -> Column:
     """Question texts of headings, paragraphs and list items, first ``limit``."""
-    visible = strip_hidden(html)
     # A paragraph or item ends at its end tag or where the next block starts.
     pattern = r"(?is)<(?:h[2-4]|p|li)(?:\s[^>]*)?>(.*?)(?=</(?:h[2-4]|p|li)\s*>|<(?:p|li|h[1-6]|ul|ol|div|section|table)[\s>]|\z)"
     texts = F.transform(

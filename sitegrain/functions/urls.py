@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitegrain.functions.text import any_of, escape_html, strip, text_or_empty
+from sitegrain.functions.text import any_of, bind, escape_html, strip, text_or_empty
 from sitegrain.vocab import (
     LOCAL_HOSTNAMES,
     NON_HTML_EXTENSIONS,
@@ -58,45 +58,57 @@ def segments(url: Column) -> Column:
     return F.filter(F.split(path(url), "/"), lambda s: s != "")
 
 
+_UNSAFE = r"[^!#-;=?-_a-z|~]"
+
+
 def _percent_encode(c: Column) -> Column:
     """Percent-encode blanks, quotes, angle brackets and non-ASCII characters."""
-    unsafe = r"[^!#-;=?-_a-z|~]"
-    encoded = F.array_join(
-        F.transform(
-            F.split(c, ""),
+
+    def encoded(v: Column) -> Column:
+        per_character = F.transform(
+            F.split(v, ""),
             lambda ch: F.when(ch == " ", F.lit("%20"))
-            .when(ch.rlike(unsafe), F.url_encode(ch))
+            .when(ch.rlike(_UNSAFE), F.url_encode(ch))
             .otherwise(ch),
-        ),
-        "",
-    )
-    return F.when(c.rlike(unsafe), encoded).otherwise(c)
+        )
+        return F.when(v.rlike(_UNSAFE), F.array_join(per_character, "")).otherwise(v)
+
+    return bind(c, encoded)
 
 
 def _resolve_dots(p: Column) -> Column:
     """Remove ``.`` and ``..`` segments from a path that starts with ``/``."""
-    parts = F.split(p, "/")
-    empty = F.array().cast("array<string>")
-    body = F.aggregate(
-        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))),
-        empty,
-        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    joined = F.concat(F.lit("/"), F.array_join(body, "/"))
-    ends_in_dots = p.rlike(r"/\.{1,2}$") & ~joined.endswith("/")
-    fixed = F.when(ends_in_dots, F.concat(joined, F.lit("/"))).otherwise(joined)
-    return F.when(p.rlike(r"/\.{1,2}(?:/|$)"), fixed).otherwise(p)
+
+    def folded(parts: Column) -> Column:
+        body = F.aggregate(
+            F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))),
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+            .when(s == ".", acc)
+            .otherwise(F.concat(acc, F.array(s))),
+        )
+        # A final dot segment names a folder: the path keeps its closing slash.
+        closing = F.when(
+            F.element_at(parts, -1).isin(".", "..") & (F.size(body) > 0), F.lit("/")
+        ).otherwise(F.lit(""))
+        return F.concat(F.lit("/"), F.array_join(body, "/"), closing)
+
+    def fixed(v: Column) -> Column:
+        return F.when(v.rlike(r"/\.{1,2}(?:/|$)"), bind(F.split(v, "/"), folded)).otherwise(v)
+
+    return bind(p, fixed)
 
 
 def canonical(url: Column) -> Column:
     """Absolute URL in normal form, fragment dropped; null when not absolute."""
-    u = strip(url)
-    normal = F.concat(
-        origin(u), _percent_encode(_resolve_dots(path(u))), _percent_encode(search(u))
-    )
-    return F.when(is_absolute(u), normal)
+
+    def normal(u: Column) -> Column:
+        return F.when(
+            is_absolute(u),
+            F.concat(origin(u), _percent_encode(F.concat(_resolve_dots(path(u)), search(u)))),
+        )
+
+    return bind(strip(url), normal)
 
 
 def url_key(url: Column) -> Column:
@@ -110,19 +122,36 @@ def base_url(value: Column) -> Column:
     return F.when(is_absolute(full), origin(full))
 
 
-def resolve(base: Column, href: Column) -> Column:
-    """Resolve a link against an absolute page URL; null when it has no host."""
+def resolve_all(base: Column, hrefs: Column) -> Column:
+    """Resolve an array of links against an absolute page URL.
+
+    A link without a host becomes null. The parts of the page URL are computed
+    once per page, not once per link.
+    """
     base_path = path(base)
-    folder = F.regexp_extract(base_path, r"^(.*/)", 1)
-    full = (
-        F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin(base), href))
-        .when(href.startswith("?"), F.concat(origin(base), base_path, href))
-        .when(href.startswith("#"), base)
-        .otherwise(F.concat(origin(base), folder, href))
+    parts = F.struct(
+        F.concat(scheme(base), F.lit(":")).alias("scheme"),
+        origin(base).alias("origin"),
+        F.concat(origin(base), base_path).alias("page"),
+        F.concat(origin(base), F.regexp_extract(base_path, r"^(.*/)", 1)).alias("folder"),
+        base.alias("full"),
     )
-    return canonical(full)
+
+    def absolute(b: Column, href: Column) -> Column:
+        return (
+            F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
+            .when(href.startswith("//"), F.concat(b["scheme"], href))
+            .when(href.startswith("/"), F.concat(b["origin"], href))
+            .when(href.startswith("?"), F.concat(b["page"], href))
+            .when(href.startswith("#"), b["full"])
+            .otherwise(F.concat(b["folder"], href))
+        )
+
+    return bind(parts, lambda b: F.transform(hrefs, lambda h: canonical(absolute(b, h))))
+
+
+def resolve(base: Column, href: Column) -> Column:
+    return F.element_at(resolve_all(base, F.array(href)), 1)
 
 
 # --- anchors, sections, slugs ------------------------------------------------

@@ -30,17 +30,22 @@ def scrape_fields(pages: DataFrame) -> DataFrame:
     Steps are separate projections so that each shared value (visible markup,
     headings, text, links) is computed once.
     """
-    page = F.col("html")
-    step1 = pages.select(
+    seen = F.col("visible")
+    stripped = pages.withColumn("visible", H.strip_hidden(F.col("html"))).withColumn(
+        "void_tags", H.void_tags(seen)
+    )
+    step1 = stripped.select(
         "site",
         "idx",
         "url",
         "html",
-        H.title(page).alias("title"),
-        H.meta_description(page).alias("meta_description"),
-        H.headings(page).alias("headings"),
-        H.body_text(page).alias("body_text"),
-        H.hrefs(page).alias("hrefs"),
+        "visible",
+        "void_tags",
+        H.title(seen).alias("title"),
+        H.meta_description(F.col("void_tags")).alias("meta_description"),
+        H.headings(seen).alias("headings"),
+        H.body_text(seen).alias("body_text"),
+        H.hrefs(seen).alias("hrefs"),
     )
     words = F.when(F.col("body_text") == "", F.array().cast("array<string>")).otherwise(
         F.split(F.col("body_text"), " ")
@@ -62,24 +67,29 @@ def scrape_fields(pages: DataFrame) -> DataFrame:
         H.relative_link_count(F.col("hrefs")).alias("relative_link_count"),
         H.absolute_link_count(F.col("hrefs")).alias("absolute_link_count"),
         "html",
+        "visible",
+        "void_tags",
     )
 
 
 def technical_columns() -> dict[str, Column]:
-    """Technical fields of a page's ``html`` column, by name."""
-    page = F.col("html")
+    """Technical fields by name, from the ``visible`` and ``void_tags`` columns."""
+    seen, tags = F.col("visible"), F.col("void_tags")
     return {
-        "technical_title": H.first_title(page),
-        "technical_meta_description": H.meta_description_or_og(page),
-        "canonical": H.canonical_link(page),
-        "robots": H.robots_meta(page),
-        "missing_alt_images": H.missing_alt_images(page),
-        "multiple_h1": H.h1_count(page) > 1,
+        "technical_title": H.first_title(seen),
+        "technical_meta_description": H.meta_description_or_og(tags),
+        "canonical": H.canonical_link(tags),
+        "robots": H.robots_meta(tags),
+        "missing_alt_images": H.missing_alt_images(tags),
+        "multiple_h1": H.h1_count(seen) > 1,
     }
 
 
 def technical_seo(pages: DataFrame) -> DataFrame:
-    return pages.select(
+    stripped = pages.withColumn("visible", H.strip_hidden(F.col("html"))).withColumn(
+        "void_tags", H.void_tags(F.col("visible"))
+    )
+    return stripped.select(
         "site", "idx", "url", *[c.alias(name) for name, c in technical_columns().items()]
     )
 
@@ -90,13 +100,13 @@ def content_quality(features: DataFrame) -> DataFrame:
     ``quality_word_count`` counts the stored prefix, ``paragraph_count`` the
     full HTML.
     """
-    count = word_count(F.col("first_1500_words"))
-    fallback = H.headings(F.col("html"), "1-6")
+    count = F.least(F.col("word_count"), F.lit(PREFIX_WORDS))
+    fallback = H.headings(F.col("visible"), "1-6")
     return features.withColumns(
         {
             "quality_word_count": count,
             "thin_content": count < THIN_WORDS,
-            "paragraph_count": H.paragraph_count(F.col("html")),
+            "paragraph_count": H.paragraph_count(F.col("visible")),
             "heading_structure": F.when(F.size("headings") > 0, F.col("headings")).otherwise(fallback),
         }
     )
@@ -104,15 +114,18 @@ def content_quality(features: DataFrame) -> DataFrame:
 
 def serp_page(pages: DataFrame) -> DataFrame:
     """Competitor page row: headings, capped text, word count, types, questions."""
-    page = F.col("html")
-    text = pages.withColumn("serp_text", H.body_text(page))
+    seen = F.col("visible")
+    stripped = pages.withColumn("with_data", H.strip_hidden(F.col("html"), keep_json_ld=True))
+    text = stripped.withColumn("visible", H.strip_hidden(F.col("with_data"))).withColumn(
+        "serp_text", H.body_text(seen)
+    )
     return text.select(
         "site",
         "idx",
         "url",
-        H.headings(page, "1-3", drop_empty=True).alias("headings"),
+        H.headings(seen, "1-3", drop_empty=True).alias("headings"),
         F.substring("serp_text", 1, SERP_TEXT_CHARS).alias("paragraph_text"),
         word_count(F.col("serp_text")).alias("word_count"),
-        H.json_ld_types(page).alias("schema_types"),
-        H.faq_questions(page).alias("faq_questions"),
+        H.json_ld_types(F.col("with_data")).alias("schema_types"),
+        H.faq_questions(seen).alias("faq_questions"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.functions import html as H
 from sitegrain.functions import urls
-from sitegrain.functions.text import any_of, contains_any, text_or_empty
+from sitegrain.functions.text import any_of, bind, contains_any, holds_any, text_or_empty
 from sitegrain.vocab import Vocabulary
 
 
@@ -36,19 +36,22 @@ def page_type(
         p.rlike(f"/{any_of(vocab.product_segments)}/")
         | p.rlike(f"/{any_of(vocab.product_terms)}(?:/|$)")
         | p.rlike(f"/{any_of(vocab.product_prefixes)}")
-        | contains_any(combined, vocab.commerce_phrases)
     )
-    blog = p.rlike(f"/{any_of(vocab.blog_segments)}/") | contains_any(combined, vocab.blog_words)
+    blog = p.rlike(f"/{any_of(vocab.blog_segments)}/")
     category = p.rlike(f"/{any_of(vocab.category_segments)}/") | p.rlike(
         f"/{any_of(vocab.category_words)}(?:/|$)"
     )
-    return (
-        F.when(p.isin("", "/"), "homepage")
-        .when(product, "pdp")
-        .when(blog, "blog")
-        .when(category, "category")
-        .otherwise("generic")
-    )
+
+    def by_rule(words: Column) -> Column:
+        return (
+            F.when(p.isin("", "/"), "homepage")
+            .when(product | holds_any(words, vocab.commerce_phrases), "pdp")
+            .when(blog | holds_any(words, vocab.blog_words), "blog")
+            .when(category, "category")
+            .otherwise("generic")
+        )
+
+    return bind(combined, by_rule)
 
 
 def route_pages(features: DataFrame, vocab: Vocabulary = Vocabulary()) -> DataFrame:
@@ -80,7 +83,7 @@ def product_signals(pages: DataFrame, vocab: Vocabulary = Vocabulary()) -> DataF
     )
     schema = page.rlike(r'(?i)(?:schema\.org/Product|"@type"\s*:\s*(?:\[\s*)?"Product")')
     h1 = F.lower(
-        H.inner_text(F.regexp_extract(H.strip_hidden(page), r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1\s*>", 1))
+        H.inner_text(F.regexp_extract(page, r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1\s*>", 1))
     )
     out = pages.withColumns(
         {

@@ -61,7 +61,7 @@ def page_features(
     columns = technical_columns()
     if keep_tokens:
         columns["page_tokens"] = F.array_distinct(hyphen_tokens(F.col("html")))
-    return routed.withColumns(columns).drop("html")
+    return routed.withColumns(columns).drop("html", "visible", "void_tags")
 
 
 def audit_sites(

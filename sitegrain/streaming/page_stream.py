@@ -26,7 +26,8 @@ def stream_folder(spark: SparkSession, path: str, schema: StructType, files_per_
 
 def audited_pages(pages: DataFrame, vocab: Vocabulary = Vocabulary()) -> DataFrame:
     """Page features and route; the same projection for batch and stream."""
-    return route_pages(content_quality(scrape_fields(read_pages(pages))), vocab).drop("html")
+    features = content_quality(scrape_fields(read_pages(pages)))
+    return route_pages(features, vocab).drop("html", "visible", "void_tags")
 
 
 def run_page_stream(
