@@ -172,7 +172,8 @@ def safe_hrefs(spark: SparkSession, sf: str) -> DataFrame:
     rows = site_pages(spark, sf).select(
         "idx", F.posexplode(H.hrefs(H.strip_hidden(F.col("html")))).alias("pos", "href")
     )
-    odd = F.when(F.col("pos") % 3 == 1, F.concat(F.lit("java&'"), "href")).otherwise(
+    # Short links become a bad scheme, the others get characters to escape.
+    odd = F.when(F.length("href") < 5, F.concat(F.lit("java&'"), "href")).otherwise(
         F.concat("href", F.lit('?a="1"&b=<2>'))
     )
     return rows.select(
@@ -197,8 +198,8 @@ def robots_allowed(spark: SparkSession, sf: str) -> DataFrame:
 
 def sources_by_precedence(spark: SparkSession, sf: str) -> DataFrame:
     pages = site_pages(spark, sf).select("idx", urls.url_key(F.col("url")).alias("key"))
-    cached = pages.filter("idx % 3 = 0").withColumn("payload", F.concat(F.lit("cache "), "key"))
-    stored = pages.filter("idx % 2 = 0").withColumn("payload", F.concat(F.lit("stored "), "key"))
+    cached = pages.filter("key LIKE '%.com/%'").withColumn("payload", F.concat(F.lit("cache "), "key"))
+    stored = pages.filter("key LIKE '%/en/%'").withColumn("payload", F.concat(F.lit("stored "), "key"))
     fresh = pages.withColumn("payload", F.concat(F.lit("fresh "), "key"))
     return url_lists.by_precedence(
         [("memory-cache", cached), ("pre-scraped", stored), ("scraper", fresh)], "key", ["payload"]
@@ -207,9 +208,8 @@ def sources_by_precedence(spark: SparkSession, sf: str) -> DataFrame:
 
 def discovered_pages(spark: SparkSession, sf: str) -> DataFrame:
     pages = site_pages(spark, sf).select("site", F.col("idx").alias("pos"), "url")
-    by_method = F.pmod(F.length("site"), F.lit(3))
-    explicit = pages.filter(by_method == 0)
-    sitemap = pages.filter(by_method <= 1)
+    explicit = pages.filter(F.col("site").endswith(".org"))
+    sitemap = pages.filter(F.col("site").rlike(r"\.(?:org|com)$"))
     found = url_lists.discover(explicit, sitemap, pages, max_pages=4)
     return found.select("site", "idx", "url", "method")
 
@@ -353,7 +353,7 @@ ORACLES = {
       FROM pages GROUP BY ALL""",
     "safe_hrefs": f"""
       WITH {sql.PAGES}, {sql.LINKS},
-      o AS (SELECT idx, pos, CASE WHEN pos % 3 = 1 THEN 'java&''' || {sql.decode('href')}
+      o AS (SELECT idx, pos, CASE WHEN length({sql.decode('href')}) < 5 THEN 'java&''' || {sql.decode('href')}
                              ELSE {sql.decode('href')} || '?a="1"&b=<2>' END AS x FROM href_rows)
       SELECT idx, pos, CASE WHEN regexp_matches(x, '^(#|/|\\./|\\.\\./)') THEN {_ESCAPE} ELSE '#' END AS safe_href
       FROM o""",
@@ -365,7 +365,7 @@ ORACLES = {
       FROM p JOIN closed USING (origin)""",
     "sources_by_precedence": f"""
       WITH k AS (SELECT page_id AS idx, lower({sql.no_fragment('url')}) AS key FROM pages),
-      w AS (SELECT key, min(CASE WHEN idx % 3 = 0 THEN 0 WHEN idx % 2 = 0 THEN 1 ELSE 2 END) AS p FROM k GROUP BY key)
+      w AS (SELECT key, min(CASE WHEN key LIKE '%.com/%' THEN 0 WHEN key LIKE '%/en/%' THEN 1 ELSE 2 END) AS p FROM k GROUP BY key)
       SELECT key, ['cache ', 'stored ', 'fresh '][p + 1] || key AS payload,
              ['memory-cache', 'pre-scraped', 'scraper'][p + 1] AS source FROM w""",
     "discovered_pages": f"""
@@ -373,6 +373,6 @@ ORACLES = {
       kept AS (SELECT site, min(idx) AS idx, url FROM p
                WHERE NOT (path <> '/' AND regexp_matches(lower(path), '{_SKIP}')) GROUP BY site, url),
       n AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY idx) AS rn FROM kept)
-      SELECT site, idx, url, ['url-list', 'sitemap', 'crawl'][length(site) % 3 + 1] AS method
+      SELECT site, idx, url, CASE WHEN site LIKE '%.org' THEN 'url-list' WHEN site LIKE '%.com' THEN 'sitemap' ELSE 'crawl' END AS method
       FROM n WHERE rn <= 4""",
 }
