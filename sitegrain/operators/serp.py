@@ -241,7 +241,7 @@ def fresh_cache_entries(cache: DataFrame, as_of: Column, ttl_hours: int = 24) ->
     ``cache``: ``cache_key, fetched_at, …``. An entry exactly at the limit is
     still fresh.
     """
-    age = F.unix_micros(as_of) - F.unix_micros(F.col("fetched_at"))
+    age = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("fetched_at").cast("timestamp"))
     fresh = cache.filter(age <= ttl_hours * 3600 * 1_000_000)
     return first_occurrence(fresh, ["cache_key"], [F.desc("fetched_at")])
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +40,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         configured = spark.conf.get(CHECKPOINT_CONF, None)
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="sitegrain-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """New folder in the shared checkpoint folder (a temporary one in tests)."""
+    configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    root = configured or tempfile.mkdtemp(prefix="sitegrain-work-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
