@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pages_checks", "links_checks", "text_checks", "scoring_checks", "runs_checks", "planning_checks")
+MODULES = ("pages_checks", "links_checks", "text_checks", "scoring_checks", "runs_checks", "planning_checks",
+           "audit_checks")
 
 
 def _collect(attribute: str) -> dict:

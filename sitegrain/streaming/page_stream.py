@@ -20,8 +20,12 @@ from sitegrain.operators.runs import DONE, FAILED, SKIPPED, latest_by
 from sitegrain.vocab import Vocabulary
 
 
-def stream_folder(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def stream_folder(
+    spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1000, names: str = "*"
+) -> DataFrame:
+    """Parquet files arriving in a folder; ``names`` is a glob on file names."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return reader.option("pathGlobFilter", names).parquet(path)
 
 
 def audited_pages(pages: DataFrame, vocab: Vocabulary = Vocabulary()) -> DataFrame:
