@@ -138,12 +138,10 @@ def _gap_input(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         F.col("text").alias("visible_text"), F.lit("").alias("title"),
     )
     words = docs.select("doc_id", F.array_distinct(hyphen_tokens(F.col("text"))).alias("w"))
-    themes = words.select(
-        F.lit("site").alias("site"), F.col("doc_id").alias("idx"),
-        F.posexplode(
-            F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-        ).alias("pos", "keyword"),
+    pairs = F.zip_with(
+        "w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b)
     )
+    themes = words.select(F.lit("site").alias("site"), F.col("doc_id").alias("idx"), pairs.alias("keywords"))
     return themes, gaps.site_vocabulary(site)
 
 
@@ -463,7 +461,7 @@ ORACLES = {
       WITH {_GAPS},
       a AS (SELECT idx, string_agg(keyword, '|' ORDER BY pos) FILTER (pos < 20) AS keyword_themes FROM themes GROUP BY idx),
       m AS (SELECT idx, string_agg(keyword, '|' ORDER BY m) FILTER (m <= 15) AS mk FROM miss GROUP BY idx)
-      SELECT idx, coalesce(mk, '') AS missing_keywords, keyword_themes FROM a LEFT JOIN m USING (idx)""",
+      SELECT doc_id AS idx, coalesce(mk, '') AS missing_keywords, coalesce(keyword_themes, '') AS keyword_themes FROM documents LEFT JOIN a ON a.idx = doc_id LEFT JOIN m ON m.idx = doc_id""",
     "gap_opportunities": f"WITH {_GAPS}, {_OPPS} SELECT * EXCLUDE (pos) FROM opp",
     "recommended_pages": f"""
       WITH f AS (SELECT doc_id, string_split(text, chr(10))[1] AS l FROM documents),

@@ -25,42 +25,45 @@ def site_vocabulary(pages: DataFrame, group: tuple[str, ...] = ("site",)) -> Dat
 
 
 def missing_keywords(
-    themes: DataFrame, vocabulary: DataFrame, group: tuple[str, ...] = ("site",)
+    pages: DataFrame, vocabulary: DataFrame, group: tuple[str, ...] = ("site",)
 ) -> DataFrame:
-    """Keyword rows with ``is_missing``: some token is not in the vocabulary.
+    """Add ``missing``: keywords with a token outside the vocabulary, in order.
 
-    ``themes``: group columns, ``idx, pos, keyword``. Tokens are made distinct
-    before the anti-join, so both of its sides hold a token once however often
-    it is used; the missing ones go back to the keywords over split keys.
+    ``pages``: group columns, ``idx`` and the ordered ``keywords`` array. Only
+    tokens and keyword places travel: asked tokens are made distinct before the
+    anti-join, so both of its sides hold a token once however often it is used,
+    and the unknown ones meet the places that use them over split keys.
     """
-    named = themes.withColumn("tokens", F.array_distinct(hyphen_tokens(F.col("keyword"))))
-    asked = named.select(*group, F.explode("tokens").alias("token")).distinct()
-    unknown = asked.join(vocabulary, [*group, "token"], "left_anti").withColumn(
-        "unknown", F.lit(True)
+    placed = pages.select(*group, "idx", F.posexplode("keywords").alias("place", "keyword"))
+    used = placed.select(
+        *group, "idx", "place", F.explode(F.array_distinct(hyphen_tokens(F.col("keyword")))).alias("token")
     )
-    exploded = named.select(
-        *group, "idx", "pos", "keyword", F.explode_outer("tokens").alias("token")
+    unknown = (
+        used.select(*group, "token")
+        .distinct()
+        .join(vocabulary, [*group, "token"], "left_anti")
+        .withColumn("unknown", F.lit(True))
     )
-    flagged = lookup(exploded, unknown, [*group, "token"], "idx")
-    return flagged.groupBy(*group, "idx", "pos", "keyword").agg(
-        (F.count("unknown") > 0).alias("is_missing")
+    hits = (
+        lookup(used, unknown, [*group, "token"], "idx", "inner")
+        .groupBy(*group, "idx")
+        .agg(F.array_sort(F.collect_set("place")).alias("places"))
     )
+    joined = pages.join(hits, [*group, "idx"], "left")
+    missing = F.transform("places", lambda p: F.get("keywords", p))
+    return joined.withColumn(
+        "missing", F.coalesce(missing, F.array().cast("array<string>"))
+    ).drop("places")
 
 
 def page_gaps(flagged: DataFrame, group: tuple[str, ...] = ("site",)) -> DataFrame:
     """Per page: first missing keywords and first themes, in theme order."""
-    entry = F.struct("pos", "keyword")
-    lists = flagged.groupBy(*group, "idx").agg(
-        F.array_sort(F.collect_list(F.when(F.col("is_missing"), entry))).alias("missing"),
-        F.array_sort(F.collect_list(entry)).alias("themes"),
-    )
-    words = lambda c, n: F.transform(first_n(F.col(c), n), lambda r: r["keyword"])
-    return lists.select(
+    return flagged.select(
         *group,
         "idx",
-        words("missing", MISSING_PER_PAGE).alias("missing_keywords"),
-        F.transform("missing", lambda r: r["keyword"]).alias("all_missing"),
-        words("themes", THEMES_PER_PAGE).alias("keyword_themes"),
+        first_n(F.col("missing"), MISSING_PER_PAGE).alias("missing_keywords"),
+        F.col("missing").alias("all_missing"),
+        first_n(F.col("keywords"), THEMES_PER_PAGE).alias("keyword_themes"),
     )
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.functions import urls
-from sitegrain.functions.text import first_n
-from sitegrain.operators.ordered import distinct_by_field, lookup, top_k
+from sitegrain.functions.text import bind
+from sitegrain.operators.ordered import first_distinct, lookup, top_k
 
 PICKS = 5
 
@@ -38,14 +38,17 @@ def plan_links(pages: DataFrame, picks: int = PICKS) -> DataFrame:
     order = [F.col("idx")]
 
     # Two rows per anchor: the first may be the source, which is no target.
-    per_anchor = top_k(nodes, ["site", "section", "page_type", "anchor"], order, 2, "copy")
-    leaders = top_k(
-        per_anchor.filter("copy = 1"), ["site", "section", "page_type"], order, depth + 1, "place"
-    ).select("site", "section", "page_type", "anchor")
-    kept = per_anchor.join(leaders, ["site", "section", "page_type", "anchor"], "left_semi")
     target = F.struct("idx", "url", "anchor", "page_type", "section")
+    by_anchor = ["site", "section", "page_type", "anchor"]
+    holders = (
+        top_k(nodes, by_anchor, order, 2)
+        .groupBy(*by_anchor)
+        .agg(F.array_sort(F.collect_list(target)).alias("holders"))
+        .withColumn("first_idx", F.col("holders")[0]["idx"])
+    )
+    kept = top_k(holders, ["site", "section", "page_type"], [F.col("first_idx")], depth + 1)
     section_lists = kept.groupBy("site", "section").agg(
-        F.collect_list(target).alias("section_targets")
+        F.flatten(F.collect_list("holders")).alias("section_targets")
     )
 
     # Cross-section targets are categories (for pdp sources) and pdps (for
@@ -107,4 +110,4 @@ def _ranked_targets(picks: int) -> Column:
         ),
     )
     positive = F.array_sort(F.filter(scored, lambda t: t["negative_score"] < 0))
-    return first_n(distinct_by_field(positive, "anchor"), picks)
+    return bind(positive, lambda rows: first_distinct(rows, "anchor", picks))

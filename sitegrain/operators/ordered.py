@@ -85,16 +85,16 @@ def lookup(
     return salted.join(copies, [*on, _SALT], how).drop(_SALT)
 
 
-def distinct_by_field(items: Column, field: str) -> Column:
-    """Array of structs without later elements whose ``field`` was seen before."""
-    from sitegrain.functions.text import bind
-
-    def unique(rows: Column) -> Column:
-        return bind(
-            F.transform(rows, lambda r: r[field]),
-            lambda keys: F.filter(
-                rows, lambda r, i: F.array_position(keys, r[field]) == (i + 1)
-            ),
-        )
-
-    return bind(items, unique)
+def first_distinct(items: Column, field: str, k: int) -> Column:
+    """First ``k`` elements of an array of structs with distinct ``field`` values.
+
+    One linear fold: the kept part never holds more than ``k`` elements.
+    """
+    none = F.filter(items, lambda r: F.lit(False))
+    return F.aggregate(
+        items,
+        none,
+        lambda kept, r: F.when(
+            (F.size(kept) >= k) | F.exists(kept, lambda seen: seen[field] == r[field]), kept
+        ).otherwise(F.concat(kept, F.array(r))),
+    )

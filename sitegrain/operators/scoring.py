@@ -9,8 +9,10 @@ from sitegrain.functions.text import (
     WORD_END,
     WORD_START,
     any_of,
+    bind,
     contains_any,
     first_n,
+    holds_any,
     list_or_empty,
     listed_in,
     literal_array,
@@ -53,7 +55,12 @@ def sections_ok(text: Column, rules: ScoringRules = ScoringRules()) -> Column:
 
 
 def has_generic_headings(text: Column, rules: ScoringRules = ScoringRules()) -> Column:
-    return text.rlike(f"(?i){WORD_START}{any_of(rules.generic_headings)}{WORD_END}")
+    # Most texts hold none of the words; the word-edge test runs on the others.
+    words = [w.lower() for w in rules.generic_headings]
+    likely = bind(F.lower(text), lambda low: holds_any(low, words))
+    return likely & text.rlike(f"(?i){any_of(rules.generic_headings)}{WORD_END}") & text.rlike(
+        f"(?i){WORD_START}{any_of(rules.generic_headings)}{WORD_END}"
+    )
 
 
 def _window_after(text: Column, marker: Column, size: int) -> Column:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from sitegrain.functions.text import (
     bind,
-    contains_any,
     first_n,
+    holds_any,
     list_or_empty,
     literal_array,
     normalize_keyword,
@@ -295,17 +295,17 @@ def keyword_clusters(
     normal = F.filter(
         F.transform(list_or_empty(F.col(themes)), normalize_keyword), lambda t: t != ""
     )
-    sourced = cored.withColumn(
-        "__source", F.array_distinct(F.concat(normal, base_variants(F.col("core_keyword"))))
-    )
+    short = F.coalesce(F.nullif(F.col("core_keyword"), F.lit("")), F.lit("custom product"))
+    variants = F.array(*[F.concat_ws(" ", short, F.lit(x)) for x in CLUSTER_SUFFIXES])
+    sourced = cored.withColumn("__source", F.array_distinct(F.concat(normal, variants)))
 
     def cluster(topic: str, terms: Sequence[str]) -> Column:
-        found = F.filter("__source", lambda p: contains_any(p, terms))
-        spare = first_n(base_variants(F.concat_ws(" ", "core_keyword", F.lit(topic))), 3)
-        return F.struct(
-            F.lit(topic).alias("topic"),
-            first_n(F.when(F.size(found) == 0, spare).otherwise(found), per_group).alias("keywords"),
-        )
+        found = F.filter("__source", lambda p: holds_any(p, terms))
+        # The core keyword is normal already, so its variants need no cleaning.
+        base = F.concat_ws(" ", F.nullif(F.col("core_keyword"), F.lit("")), F.lit(topic))
+        spare = F.array(*[F.concat_ws(" ", base, F.lit(x)) for x in CLUSTER_SUFFIXES[:3]])
+        chosen = bind(found, lambda f: F.when(F.size(f) == 0, spare).otherwise(first_n(f, per_group)))
+        return F.struct(F.lit(topic).alias("topic"), chosen.alias("keywords"))
 
     return sourced.withColumn("clusters", F.array(*[cluster(t, w) for t, w in groups])).drop(
         "__source"

@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.functions import urls
-from sitegrain.functions.text import any_of, bind, first_n, hyphen_tokens
-from sitegrain.operators.ordered import distinct_by_field, lookup, top_k
+from sitegrain.functions.text import any_of, bind, hyphen_tokens
+from sitegrain.operators.ordered import first_distinct, lookup, top_k
 from sitegrain.session import cut_lineage
 from sitegrain.vocab import Vocabulary
 
@@ -66,15 +66,19 @@ def _posting_lists(members: DataFrame, size: int) -> DataFrame:
     rows = members.withColumn(
         "for_pdp", F.explode(F.array(F.lit(False), F.lit(True)))
     ).withColumn("value", value)
-    order = [F.desc("value"), F.col("idx")]
-    pairs = top_k(rows, ["site", "for_pdp", "key", "anchor"], order, 2, "copy")
-    leaders = top_k(
-        pairs.filter("copy = 1"), ["site", "for_pdp", "key"], order, size + 1, "place"
-    ).select("site", "for_pdp", "key", "anchor", "place")
-    kept = pairs.join(leaders, ["site", "for_pdp", "key", "anchor"])
+    posting = ["site", "for_pdp", "key"]
     entry = F.struct("idx", "url", "anchor", "tokens", "terms", "category")
-    return kept.groupBy("site", "for_pdp", "key").agg(
-        F.collect_list(F.when(F.col("place") <= size, entry)).alias("entries"),
+    holder = F.struct((-F.col("value")).alias("negative"), F.col("idx"), entry.alias("entry"))
+    anchors = (
+        top_k(rows, [*posting, "anchor"], [F.desc("value"), F.col("idx")], 2)
+        .groupBy(*posting, "anchor")
+        .agg(F.array_sort(F.collect_list(holder)).alias("holders"))
+        .withColumn("best", F.struct(F.col("holders")[0]["negative"], F.col("holders")[0]["idx"]))
+    )
+    leaders = top_k(anchors, posting, [F.col("best")], size + 1, "place")
+    listed = F.transform("holders", lambda h: h["entry"])
+    return leaders.groupBy(*posting).agg(
+        F.flatten(F.collect_list(F.when(F.col("place") <= size, listed))).alias("entries"),
         (F.max("place") > size).alias("heavy"),
     )
 
@@ -96,7 +100,7 @@ def suggest_links(
     """
     if list_size <= picks:
         raise ValueError("list_size must exceed picks")
-    targets = _targets(site_pages, vocab)
+    targets = cut_lineage(_targets(site_pages, vocab))
     ready = "page_tokens" in pages.columns
     content = F.col("page_tokens") if ready else hyphen_tokens(F.col("content"))
     sources = pages.select(
@@ -194,6 +198,7 @@ def _combined_reads(
         members = members.withColumn("extra", grow).withColumn(
             "key", F.concat_ws(" ", "key", "extra")
         ).drop("extra")
+        members = cut_lineage(members)
         postings = cut_lineage(_posting_lists(members.drop("pool"), list_size))
         asked = frontier.withColumn("extra", grow).withColumn(
             "key", F.concat_ws(" ", "key", "extra")
@@ -210,12 +215,15 @@ def _combined_reads(
 
 def _backfill_lists(targets: DataFrame, anchors: int) -> DataFrame:
     """First distinct anchors of each site in site order, two rows each."""
-    order = [F.col("idx")]
-    pairs = top_k(targets, ["site", "anchor"], order, 2, "copy")
-    leaders = top_k(pairs.filter("copy = 1"), ["site"], order, anchors).select("site", "anchor")
-    kept = pairs.join(leaders, ["site", "anchor"], "left_semi")
-    return kept.groupBy("site").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "anchor", "url"))).alias("fill")
+    holders = (
+        top_k(targets, ["site", "anchor"], [F.col("idx")], 2)
+        .groupBy("site", "anchor")
+        .agg(F.array_sort(F.collect_list(F.struct("idx", "anchor", "url"))).alias("holders"))
+        .withColumn("first_idx", F.col("holders")[0]["idx"])
+    )
+    first = top_k(holders, ["site"], [F.col("first_idx")], anchors)
+    return first.groupBy("site").agg(
+        F.array_sort(F.flatten(F.collect_list("holders"))).alias("fill")
     )
 
 
@@ -235,14 +243,15 @@ def _choose(picks: int, minimum: int) -> Column:
             entry["url"].alias("url"),
         )
 
-    entries = F.array_distinct(F.coalesce(F.col("entries"), F.array().cast(_ENTRY)))
+    # A target may be on several lists; equal anchors fall away below.
+    entries = F.coalesce(F.col("entries"), F.array().cast(_ENTRY))
     positive = F.array_sort(
         F.filter(
             F.transform(F.filter(entries, lambda e: e["idx"] != source_idx), scored),
             lambda e: e["negative_score"] < 0,
         )
     )
-    best = first_n(distinct_by_field(positive, "anchor"), picks)
+    best = bind(positive, lambda rows: first_distinct(rows, "anchor", picks))
 
     def named(rows: Column) -> Column:
         return F.transform(
@@ -251,7 +260,7 @@ def _choose(picks: int, minimum: int) -> Column:
 
     def filled(top: Column) -> Column:
         fill = F.filter(F.col("fill"), lambda r: r["idx"] != source_idx)
-        both = distinct_by_field(F.concat(named(top), named(fill)), "anchor")
-        return F.when(F.size(top) >= minimum, named(top)).otherwise(first_n(both, minimum))
+        both = first_distinct(F.concat(named(top), named(fill)), "anchor", minimum)
+        return F.when(F.size(top) >= minimum, named(top)).otherwise(both)
 
     return bind(best, filled)
