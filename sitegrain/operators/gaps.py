@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.functions.text import contains_any, first_n, hyphen_tokens, text_or_empty, title_case
-from sitegrain.operators.ordered import first_occurrence, lookup
+from sitegrain.operators.ordered import first_occurrence, lookup, unnest
 
 MISSING_PER_PAGE = 15
 THEMES_PER_PAGE = 20
@@ -20,8 +20,8 @@ def site_vocabulary(pages: DataFrame, group: tuple[str, ...] = ("site",)) -> Dat
     text = F.coalesce(
         *[F.nullif(text_or_empty(F.col(c)), F.lit("")) for c in ("first_1500_words", "visible_text", "title")]
     )
-    tokens = pages.select(*group, F.explode(F.array_distinct(hyphen_tokens(text))).alias("token"))
-    return tokens.distinct()
+    tokens = F.array_distinct(hyphen_tokens(text))
+    return unnest(pages, list(group), tokens, "token").distinct()
 
 
 def missing_keywords(
@@ -34,10 +34,9 @@ def missing_keywords(
     anti-join, so both of its sides hold a token once however often it is used,
     and the unknown ones meet the places that use them over split keys.
     """
-    placed = pages.select(*group, "idx", F.posexplode("keywords").alias("place", "keyword"))
-    used = placed.select(
-        *group, "idx", "place", F.explode(F.array_distinct(hyphen_tokens(F.col("keyword")))).alias("token")
-    )
+    placed = unnest(pages, [*group, "idx"], F.col("keywords"), "keyword", "place")
+    tokens = F.array_distinct(hyphen_tokens(F.col("keyword")))
+    used = unnest(placed, [*group, "idx", "place"], tokens, "token")
     unknown = (
         used.select(*group, "token")
         .distinct()
@@ -50,7 +49,7 @@ def missing_keywords(
         .agg(F.array_sort(F.collect_set("place")).alias("places"))
     )
     joined = pages.join(hits, [*group, "idx"], "left")
-    missing = F.transform("places", lambda p: F.get("keywords", p))
+    missing = F.transform("places", lambda p: F.get("keywords", p.cast("int")))
     return joined.withColumn(
         "missing", F.coalesce(missing, F.array().cast("array<string>"))
     ).drop("places")
@@ -114,10 +113,9 @@ def gap_opportunities(gaps: DataFrame, limit: int = OPPORTUNITIES) -> DataFrame:
     ``gaps`` is the output of ``page_gaps``. The final list is at most ``limit``
     rows, so its ordering is a top-k and never a global sort.
     """
-    topics = gaps.select(
-        "idx",
-        F.col("all_missing").alias("keywords"),
-        F.posexplode(first_n(F.col("all_missing"), TOPICS_PER_PAGE)).alias("pos", "topic"),
+    first = first_n(F.col("all_missing"), TOPICS_PER_PAGE)
+    topics = unnest(
+        gaps, ["idx", F.col("all_missing").alias("keywords")], first, "topic", "pos"
     ).withColumn("topic_rank", F.col("pos") + 1)
     rows = recommend_pages(topics)
     order = [F.col("idx"), F.col("pos")]

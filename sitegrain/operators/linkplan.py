@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.functions import urls
 from sitegrain.functions.text import bind
-from sitegrain.operators.ordered import first_distinct, lookup, top_k
+from sitegrain.operators.ordered import first_distinct, lookup, top_k, unnest
 
 PICKS = 5
 
@@ -63,16 +63,12 @@ def plan_links(pages: DataFrame, picks: int = PICKS) -> DataFrame:
     with_section = lookup(nodes, section_lists, ["site", "section"], "idx")
     with_both = lookup(with_section, site_lists, ["site"], "idx")
     ranked = with_both.withColumn("targets", _ranked_targets(picks))
-    return ranked.select(
-        "site",
-        F.col("idx").alias("source_idx"),
-        F.col("url").alias("source_page"),
-        F.posexplode("targets").alias("rank", "target"),
-    ).select(
+    keep = ["site", F.col("idx").alias("source_idx"), F.col("url").alias("source_page")]
+    return unnest(ranked, keep, F.col("targets"), "target", "rank").select(
         "site",
         "source_idx",
         "source_page",
-        (F.col("rank") + 1).cast("long").alias("rank"),
+        (F.col("rank") + 1).alias("rank"),
         F.col("target.anchor").alias("anchor"),
         F.col("target.url").alias("target_page"),
         (-F.col("target.negative_score")).cast("long").alias("score"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.functions import urls
 from sitegrain.functions.text import bind, first_n, strip, text_or_empty
-from sitegrain.operators.ordered import first_occurrence, greedy_top_k, lookup, top_k
+from sitegrain.operators.ordered import first_occurrence, greedy_top_k, lookup, top_k, unnest
 from sitegrain.session import cut_lineage
 from sitegrain.vocab import RELATED_DEFAULT, RELATED_TYPES
 
@@ -66,16 +66,12 @@ def broken_links(
 
     ``url_status`` has ``(url, status)``, one row per URL.
     """
-    links = features.select(
-        "site",
-        "idx",
-        "url",
-        F.posexplode(first_n(F.col("internal_links"), checked)).alias("pos", "link"),
-    )
+    first = first_n(F.col("internal_links"), checked)
+    links = unnest(features, ["site", "idx", "url"], first, "link", "pos")
     status = url_status.select(F.col("url").alias("link"), "status")
     joined = lookup(links, status, ["link"], "idx")
     bad = joined.filter(F.col("status").isNull() | (F.col("status") >= 400))
-    return bad.select("site", "idx", "url", F.col("pos").cast("long").alias("pos"), "link", "status")
+    return bad.select("site", "idx", "url", "pos", "link", "status")
 
 
 def related_pages(pages: DataFrame, limit: int = 4) -> DataFrame:
@@ -106,14 +102,11 @@ def related_pages(pages: DataFrame, limit: int = 4) -> DataFrame:
     mine = F.filter(
         "offers", lambda o: (o["kind"] != F.col("page_type")) | (o["topic"] != F.col("topic"))
     )
-    return joined.select(
-        "site",
-        F.col("idx").alias("source_idx"),
-        F.posexplode(first_n(mine, limit)).alias("rank", "offer"),
-    ).select(
+    keep = ["site", F.col("idx").alias("source_idx")]
+    return unnest(joined, keep, first_n(mine, limit), "offer", "rank").select(
         "site",
         "source_idx",
-        (F.col("rank") + 1).cast("long").alias("rank"),
+        (F.col("rank") + 1).alias("rank"),
         F.col("offer.idx").alias("target_idx"),
         F.col("offer.kind").alias("target_type"),
         F.col("offer.topic").alias("target_topic"),
@@ -188,11 +181,8 @@ def reachable_pages(
 
 def page_link_table(features: DataFrame) -> DataFrame:
     """``(site, source, pos, target)`` rows of the links found in pages."""
-    return features.select(
-        "site",
-        urls.canonical(F.col("url")).alias("source"),
-        F.posexplode("internal_links").alias("pos", "target"),
-    )
+    keep = ["site", urls.canonical(F.col("url")).alias("source")]
+    return unnest(features, keep, F.col("internal_links"), "target", "pos")
 
 
 def inject_links(content: Column, links: Column, staged: bool = False) -> Column:

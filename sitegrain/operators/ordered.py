@@ -29,6 +29,22 @@ def top_k(
     return kept if rank else kept.drop(name)
 
 
+def unnest(
+    df: DataFrame, keep: Sequence[str | Column], items: Column, value: str, pos: str | None = None
+) -> DataFrame:
+    """One row per array element: ``keep`` columns, ``value`` and its 0-based ``pos``.
+
+    A plain explode makes the optimizer add a "size of the array > 0" filter
+    below it, which evaluates a computed array again. The outer form does not,
+    so the array is computed once; rows of empty arrays are dropped after it.
+    """
+    name = pos or "__pos"
+    rows = df.select(*keep, F.posexplode_outer(items).alias(name, value)).filter(
+        F.col(name).isNotNull()
+    )
+    return rows.withColumn(name, F.col(name).cast("long")) if pos else rows.drop(name)
+
+
 def first_occurrence(
     df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]
 ) -> DataFrame:

@@ -15,7 +15,7 @@ from sitegrain.functions.text import (
     tags_to_space,
     text_or_empty,
 )
-from sitegrain.operators.ordered import first_occurrence, lookup, top_k
+from sitegrain.operators.ordered import first_occurrence, lookup, top_k, unnest
 from sitegrain.vocab import CTA_LINK_TERMS, SECTION_KEYWORDS
 
 STORE_SIZE = 200
@@ -97,9 +97,10 @@ def merge_signals(signals: DataFrame, group: Sequence[str] = ("site",), order: s
     )
     values = (
         signals.select(*group, order, field.alias("f"))
-        .select(*group, order, "f.field", F.posexplode("f.items").alias("pos", "value"))
-        .filter("value IS NOT NULL AND value <> ''")
     )
+    values = unnest(
+        values, [*group, order, F.col("f.field").alias("field")], F.col("f.items"), "value", "pos"
+    ).filter("value IS NOT NULL AND value <> ''")
     counts = values.groupBy(*group, "field", "value").agg(
         F.count("*").alias("uses"), F.min(F.struct(order, "pos")).alias("first_seen")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.functions.text import any_of, content_tokens
-from sitegrain.operators.ordered import top_k
+from sitegrain.operators.ordered import top_k, unnest
 from sitegrain.vocab import STOPWORDS, Vocabulary
 
 # fixed values: terms kept per n-gram length, phrases kept in total
@@ -25,16 +25,12 @@ def gram_counts(documents: DataFrame, doc: str, text: str, stopwords: Sequence[s
     """
     placed = documents.select(doc, text).repartition(doc)
     tokens = placed.select(doc, content_tokens(F.col(text), stopwords).alias("w1"))
-    zipped = tokens.select(
-        doc,
-        F.posexplode(
-            F.arrays_zip(
-                F.col("w1"),
-                F.slice("w1", 2, F.greatest(F.size("w1"), F.lit(1))).alias("w2"),
-                F.slice("w1", 3, F.greatest(F.size("w1"), F.lit(1))).alias("w3"),
-            )
-        ).alias("pos", "w"),
+    shifted = F.arrays_zip(
+        F.col("w1"),
+        F.slice("w1", 2, F.greatest(F.size("w1"), F.lit(1))).alias("w2"),
+        F.slice("w1", 3, F.greatest(F.size("w1"), F.lit(1))).alias("w3"),
     )
+    zipped = unnest(tokens, [doc], shifted, "w", "pos")
     pair = F.when(F.col("w.w2").isNotNull(), F.concat_ws(" ", "w.w1", "w.w2"))
     triple = F.when(F.col("w.w3").isNotNull(), F.concat_ws(" ", "w.w1", "w.w2", "w.w3"))
     grams = zipped.select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.functions import topics as Tp
 from sitegrain.functions.text import text_or_empty
+from sitegrain.operators.ordered import unnest
 from sitegrain.vocab import SERP_RULES, SERVICE_EXPANSIONS, SerpRule
 
 
@@ -49,14 +50,11 @@ def site_pages(inputs: DataFrame, key: Sequence[str], expansions=SERVICE_EXPANSI
         F.slice("service_topics", 1, 2),
         lambda t: page("blog", F.concat(F.lit("What to Know About "), t, suffix)),
     )
-    listed = planned.select(
-        *key,
-        "base_location",
-        F.posexplode(F.concat(home, services, locations, blogs)).alias("pos", "page"),
-    )
+    every = F.concat(home, services, locations, blogs)
+    listed = unnest(planned, [*key, "base_location"], every, "page", "pos")
     return listed.select(
         *key,
-        F.col("pos").cast("long").alias("pos"),
+        "pos",
         F.col("page.page_type").alias("page_type"),
         F.col("page.topic").alias("topic"),
         F.col("base_location").alias("location"),

@@ -18,7 +18,7 @@ from sitegrain.functions.text import (
     text_slug,
     word_count,
 )
-from sitegrain.operators.ordered import first_occurrence, lookup, top_k
+from sitegrain.operators.ordered import first_occurrence, lookup, top_k, unnest
 from sitegrain.operators.phrases import entities_and_phrases
 from sitegrain.vocab import (
     CLUSTER_GROUPS,
@@ -75,12 +75,10 @@ def aggregate_intel(
                 _named("top_urls", F.array("url")),
             )
         ).alias("part"),
-    ).select(
-        "query",
-        "row_pos",
-        F.col("part.list").alias("list"),
-        F.posexplode("part.items").alias("pos", "value"),
-    ).withColumn("pos", F.col("pos").cast("long"))
+    )
+    listed = unnest(
+        listed, ["query", "row_pos", F.col("part.list").alias("list")], F.col("part.items"), "value", "pos"
+    )
     values = mined.unionByName(listed.filter("value IS NOT NULL"))
     firsts = values.groupBy("query", "list", "value").agg(
         F.min(F.struct("row_pos", "pos")).alias("place")

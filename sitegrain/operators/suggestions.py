@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.functions import urls
 from sitegrain.functions.text import any_of, bind, hyphen_tokens
-from sitegrain.operators.ordered import first_distinct, lookup, top_k
+from sitegrain.operators.ordered import first_distinct, lookup, top_k, unnest
 from sitegrain.session import cut_lineage
 from sitegrain.vocab import Vocabulary
 
@@ -130,12 +130,10 @@ def suggest_links(
         heavy_sites = heavy.select("site").distinct().withColumn("big", F.lit(True))
         # Set size 1: every token of anchors on sites with more targets than one list.
         big_targets = lookup(targets, heavy_sites, ["site"], "idx", "inner").drop("big")
-        members = big_targets.withColumn("key", F.explode(F.array_distinct("tokens")))
+        members = unnest(big_targets, ["*"], F.array_distinct("tokens"), "key")
         postings = cut_lineage(_posting_lists(members, list_size))
         big_sources = lookup(sources, heavy_sites, ["site"], "idx", "inner").drop("big")
-        asked = big_sources.select(
-            "site", "idx", "for_pdp", F.explode("page_tokens").alias("key")
-        )
+        asked = unnest(big_sources, ["site", "idx", "for_pdp"], F.col("page_tokens"), "key")
         reads = lookup(asked, postings, ["site", "for_pdp", "key"], "idx", "inner")
         collected.append(reads.select("site", "idx", "entries"))
 
@@ -154,16 +152,12 @@ def suggest_links(
         sources.join(gathered, ["site", "idx"], "left"), backfill, ["site"], "idx"
     )
     chosen = joined.withColumn("chosen", _choose(picks, minimum))
-    return chosen.select(
-        "site",
-        F.col("idx").alias("source_idx"),
-        F.col("url").alias("source_page"),
-        F.posexplode("chosen").alias("rank", "pick"),
-    ).select(
+    keep = ["site", F.col("idx").alias("source_idx"), F.col("url").alias("source_page")]
+    return unnest(chosen, keep, F.col("chosen"), "pick", "rank").select(
         "site",
         "source_idx",
         "source_page",
-        (F.col("rank") + 1).cast("long").alias("rank"),
+        (F.col("rank") + 1).alias("rank"),
         F.col("pick.anchor").alias("anchor"),
         F.col("pick.url").alias("target_page"),
     )
@@ -175,7 +169,7 @@ def _combined_reads(
     """Reads of sets of two and more tokens, all of them heavy on their own."""
     heavy_tokens = heavy.select("site", F.col("key").alias("token")).distinct()
     flagged = heavy_tokens.withColumn("is_heavy", F.lit(True))
-    exploded = big_targets.withColumn("token", F.explode(F.array_distinct("tokens")))
+    exploded = unnest(big_targets, ["*"], F.array_distinct("tokens"), "token")
     members = (
         lookup(exploded, flagged, ["site", "token"], "idx", "inner")
         .groupBy("site", "idx")
@@ -183,26 +177,23 @@ def _combined_reads(
             F.array_sort(F.collect_list("token")).alias("pool"),
             *[F.first(c).alias(c) for c in ("url", "anchor", "tokens", "terms", "category")],
         )
-        .withColumn("key", F.explode("pool"))
     )
+    members = unnest(members, ["*"], F.col("pool"), "key")
     frontier = (
         reads.filter("heavy")
         .groupBy("site", "idx", "for_pdp")
         .agg(F.array_sort(F.collect_list("key")).alias("pool"))
-        .withColumn("key", F.explode("pool"))
     )
+    frontier = unnest(cut_lineage(frontier), ["*"], F.col("pool"), "key")
     out: list[DataFrame] = []
     last = F.substring_index("key", " ", -1)
     while True:
-        grow = F.explode(F.filter("pool", lambda t: t > last))
-        members = members.withColumn("extra", grow).withColumn(
-            "key", F.concat_ws(" ", "key", "extra")
-        ).drop("extra")
+        later = F.filter("pool", lambda t: t > last)
+        grown = F.concat_ws(" ", "key", "extra")
+        members = unnest(members, ["*"], later, "extra").withColumn("key", grown).drop("extra")
         members = cut_lineage(members)
         postings = cut_lineage(_posting_lists(members.drop("pool"), list_size))
-        asked = frontier.withColumn("extra", grow).withColumn(
-            "key", F.concat_ws(" ", "key", "extra")
-        ).drop("extra")
+        asked = unnest(frontier, ["*"], later, "extra").withColumn("key", grown).drop("extra")
         reads = lookup(asked, postings, ["site", "for_pdp", "key"], "idx", "inner")
         out.append(reads.select("site", "idx", "entries"))
         heavy = postings.filter("heavy")
@@ -210,7 +201,9 @@ def _combined_reads(
             return out
         still = heavy.select("site", "key").distinct().withColumn("is_heavy", F.lit(True))
         members = lookup(members, still, ["site", "key"], "idx", "inner").drop("is_heavy")
-        frontier = reads.filter("heavy").select("site", "idx", "for_pdp", "pool", "key")
+        frontier = cut_lineage(
+            reads.filter("heavy").select("site", "idx", "for_pdp", "pool", "key")
+        )
 
 
 def _backfill_lists(targets: DataFrame, anchors: int) -> DataFrame:

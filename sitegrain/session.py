@@ -28,22 +28,24 @@ def local_session(cores: int | str = 8, app: str = "sitegrain") -> SparkSession:
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and read it back.
+def work_folder(spark: SparkSession, name: str) -> str:
+    """New folder in the shared folder that ``spark.checkpoint.dir`` names.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. A
-    temporary folder is used only when the session names none (tests).
+    Only where the session names none (tests) a temporary folder is set up.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get(CHECKPOINT_CONF, None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="sitegrain-ckpt-"))
-    return df.checkpoint(eager=True)
+    root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = tempfile.mkdtemp(prefix="sitegrain-work-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """New folder in the shared checkpoint folder (a temporary one in tests)."""
-    configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
-    root = configured or tempfile.mkdtemp(prefix="sitegrain-work-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as a table in the cluster's shared folder and read it back.
+
+    The table survives lost executors, keeps its columns apart (later steps read
+    only those they need) and gives the optimizer its true size.
+    """
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from sitegrain.functions import urls
 from sitegrain.functions.html import decode_references
 from sitegrain.functions.text import bind, strip, text_or_empty
 from sitegrain.operators.links import reachable_pages
-from sitegrain.operators.ordered import first_occurrence
+from sitegrain.operators.ordered import first_occurrence, unnest
 
 MAX_SITEMAPS = 40
 AUDIT_SITEMAPS = 30
@@ -99,16 +99,17 @@ def sitemap_pages(roots: DataFrame, sitemaps: DataFrame, audit: bool = False) ->
         "sitemap_locs",
     )
     normal = F.transform("sitemap_locs", lambda u: urls.canonical(u))
-    edges = stored.select(
-        "site", F.col("url").alias("source"), F.posexplode(normal).alias("pos", "target")
+    edges = unnest(
+        stored, ["site", F.col("url").alias("source")], normal, "target", "pos"
     ).filter(urls.hostname(F.col("target")) == F.col("site"))
     cap = AUDIT_SITEMAPS if audit else MAX_SITEMAPS
     visited = reachable_pages(seeds, edges, stored, max_depth=cap, max_pages=cap, page_filter=False)
     listed = (
         visited.select("site", "url", "seq")
         .join(stored.select("site", "url", "page_locs"), ["site", "url"])
-        .select("site", "seq", F.posexplode("page_locs").alias("pos", "loc"))
-        .withColumn("page", urls.canonical(F.col("loc")))
+    )
+    listed = unnest(listed, ["site", "seq"], F.col("page_locs"), "loc", "pos").withColumn(
+        "page", urls.canonical(F.col("loc"))
     )
     keep = urls.same_host(F.col("page"), F.col("site")) & urls.likely_html(F.col("page"))
     if not audit:
