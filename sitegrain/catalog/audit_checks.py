@@ -39,42 +39,38 @@ def audit_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sitemap_walk(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers as sites, their orders as child sitemaps, line items as pages."""
-    orders = table(spark, sf, "orders").select(
-        F.concat(F.lit("https://c"), "o_custkey", F.lit(".example.com")).alias("base_url"), "o_orderkey"
-    )
-    child = F.concat("base_url", F.lit("/o/"), "o_orderkey", F.lit(".xml"))
-    loc = lambda tag, url: F.concat(F.lit(f"<{tag}><loc> "), url, F.lit(f" </loc></{tag}>"))
-    index = orders.groupBy("base_url").agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("o_orderkey", child.alias("u")))), lambda r: loc("sitemap", r["u"])
+    """Every order is a small site: an index file with two page files."""
+    item = table(spark, sf, "orders")
+    site = F.concat(F.lit("https://o"), "o_orderkey", F.lit(".example.com"))
+    entry = lambda tag, *url: F.concat(F.lit(f"<{tag}><loc> "), *url, F.lit(f" </loc></{tag}>"))
+    end = F.when(F.col("o_orderstatus") == "F", ".jpg").when(F.col("o_orderpriority").startswith("2"), "#x").otherwise("")
+    home = F.when(F.col("o_orderpriority").startswith("1"), F.lit("https://other.example.com")).otherwise(site)
+    based = item.select(
+        site.alias("base_url"),
+        F.array(
+            F.struct(
+                F.concat(site, F.lit("/sitemap.xml")).alias("url"),
+                F.concat(
+                    F.lit("<sitemapindex>"), entry("sitemap", site, F.lit("/a.xml")), entry("sitemap", site, F.lit("/sitemap.xml")),
+                    entry("sitemap", F.lit("https://other.example.com/c.xml")), entry("sitemap", site, F.lit("/b.xml")),
+                    F.lit("</sitemapindex>"),
+                ).alias("xml"),
             ),
-            "",
-        ).alias("body")
-    )
-    items = table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    page = F.concat(
-        F.when(F.col("l_returnflag") == "R", F.lit("https://other.example.com")).otherwise(F.col("base_url")),
-        F.lit("/p/"), "l_partkey",
-        F.when(F.col("l_linestatus") == "F", ".jpg").when(F.col("l_linenumber") == 2, "#x").otherwise(""),
-    )
-    urlsets = items.groupBy(child.alias("url")).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", page.alias("u")))),
-                lambda r: loc("url", r["u"]),
+            F.struct(
+                F.concat(site, F.lit("/a.xml")).alias("url"),
+                F.concat(F.lit("<urlset>"), entry("url", home, F.lit("/p/"), "o_custkey", end), F.lit("</urlset>")).alias("xml"),
             ),
-            "",
-        ).alias("body")
-    )
-    stored = index.select(
-        F.concat("base_url", F.lit("/sitemap.xml")).alias("url"),
-        F.concat(F.lit("<sitemapindex>"), "body", F.lit("</sitemapindex>")).alias("xml"),
-    ).unionByName(
-        urlsets.select("url", F.concat(F.lit("<urlset>"), "body", F.lit("</urlset>")).alias("xml"))
+            F.struct(
+                F.concat(site, F.lit("/b.xml")).alias("url"),
+                F.concat(
+                    F.lit("<urlset>"), entry("url", site, F.lit("/s/"), "o_orderkey"), entry("url", site, F.lit("/login/")),
+                    F.lit("</urlset>"),
+                ).alias("xml"),
+            ),
+        ).alias("files"),
     )
-    return sitemap_pages(orders.select("base_url").distinct(), stored).select("site", "url")
+    stored = based.select(F.explode("files").alias("f")).select("f.url", "f.xml")
+    return sitemap_pages(based.select("base_url").distinct(), stored).select("site", "url")
 
 
 def stored_artifacts(spark: SparkSession, sf: str) -> DataFrame:
@@ -227,9 +223,9 @@ ORACLES = {
         count(*) AS keyword_clustered_pages, coalesce(any_value(lk.k), 0)::BIGINT AS internal_link_recommendations
       FROM full_pages f JOIN hits USING (idx) LEFT JOIN lk ON lk.site = f.site GROUP BY 1""",
     "sitemap_walk": """
-      SELECT DISTINCT 'c' || o_custkey || '.example.com' AS site, 'https://c' || o_custkey || '.example.com/p/' || l_partkey AS url
-      FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R' AND l_linestatus <> 'F'
-      AND o_orderkey IN (SELECT o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 39)""",
+      WITH l AS (SELECT 'o' || o_orderkey || '.example.com' AS site, * FROM orders)
+      SELECT site, 'https://' || site || '/p/' || o_custkey AS url FROM l WHERE o_orderpriority NOT LIKE '1%' AND o_orderstatus <> 'F'
+      UNION SELECT site, 'https://' || site || '/s/' || o_orderkey FROM l""",
     "stored_artifacts": """
       SELECT '1.0' AS "schemaVersion", 'scrapeStage' AS producer, doc_id, text FROM documents""",
     "streamed_pages": f"""

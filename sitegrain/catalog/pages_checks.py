@@ -163,6 +163,17 @@ def page_budget(spark: SparkSession, sf: str) -> DataFrame:
     return serp_budget(limited, 3).select("site", "idx", "within_budget")
 
 
+def model_budget(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as sites: their orders spend one or two calls each."""
+    from sitegrain.operators.runs import model_budget as budget
+
+    orders = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("site"), F.col("o_orderkey").alias("idx"),
+        F.when(F.col("o_orderstatus") == "F", 2).otherwise(1).alias("attempt"),
+    )
+    return budget(orders, 5).select("site", "idx", "within_budget")
+
+
 def first_page_of_section(spark: SparkSession, sf: str) -> DataFrame:
     sections = url_pages(spark, sf).withColumn("section", urls.section_root(F.col("url")))
     return first_occurrence(sections, ["site", "section"], [F.col("idx")]).select("site", "section", "idx")
@@ -219,7 +230,7 @@ QUERIES = {
     for f in (
         url_list, visible_markup, page_text, page_headings, technical_fields, content_quality,
         main_content, internal_links, competitor_page, url_parts, url_slugs, route_pages,
-        pages_per_type, product_signals, url_filters, unsafe_urls, type_filter, page_budget,
+        pages_per_type, product_signals, url_filters, unsafe_urls, type_filter, page_budget, model_budget,
         first_page_of_section, safe_hrefs, robots_allowed, sources_by_precedence, discovered_pages,
     )
 }
@@ -348,6 +359,10 @@ ORACLES = {
       WITH r AS (SELECT {sql.host('url')} AS site, page_id AS idx,
                         row_number() OVER (PARTITION BY {sql.host('url')} ORDER BY page_id) AS n FROM pages)
       SELECT site, idx, n <= 3 AS within_budget FROM r WHERE n <= 5""",
+    "model_budget": """
+      SELECT o_custkey AS site, o_orderkey AS idx,
+             coalesce(sum(CASE o_orderstatus WHEN 'F' THEN 2 ELSE 1 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 5 AS within_budget FROM orders""",
     "first_page_of_section": f"""
       SELECT {sql.host('url')} AS site, {sql.first_segment('url', 'root')} AS section, min(page_id) AS idx
       FROM pages GROUP BY ALL""",

@@ -257,17 +257,16 @@ def contract_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def blueprint_violations(spark: SparkSession, sf: str) -> DataFrame:
-    item = table(spark, sf, "lineitem")
-    section = F.struct(
-        F.col("l_returnflag").alias("component"), F.col("l_linestatus").alias("variant")
-    )
-    blueprints = item.groupBy("l_orderkey").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", section.alias("s")))), lambda r: r["s"]).alias("sections")
+    """Every line item is a blueprint of two sections."""
+    section = lambda c, v: F.struct(F.col(c).alias("component"), F.col(v).alias("variant"))
+    blueprints = table(spark, sf, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("item"),
+        F.array(section("l_returnflag", "l_linestatus"), section("l_linestatus", "l_returnflag")).alias("sections"),
     )
     registry = table(spark, sf, "orders").filter("o_orderstatus = 'O'").select(
         F.explode(F.array(F.lit("N"), F.lit("A"))).alias("component"), F.col("o_orderstatus").alias("variant")
     )
-    return quality.check_blueprints(blueprints, registry, ["l_orderkey"])
+    return quality.check_blueprints(blueprints, registry, ["item"])
 
 
 def page_audit_reports(spark: SparkSession, sf: str) -> DataFrame:
@@ -459,8 +458,9 @@ ORACLES = {
         CASE WHEN o_custkey < 500 THEN 'Input.extra is not allowed.' END], lambda x: x IS NOT NULL), '|') AS violations
       FROM orders""",
     "blueprint_violations": """
-      WITH n AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus) - 1 AS pos,
-                        l_returnflag AS component, l_linestatus AS variant FROM lineitem)
+      WITH n AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS item, 0 AS pos,
+                        l_returnflag AS component, l_linestatus AS variant FROM lineitem
+                 UNION ALL SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey), 1, l_linestatus, l_returnflag FROM lineitem)
       SELECT *, CASE WHEN component NOT IN ('N', 'A') THEN 'Blueprint references unknown component "' || component || '".'
                      ELSE 'Component "' || component || '" does not define variant "' || variant || '".' END AS message
       FROM n WHERE component NOT IN ('N', 'A') OR variant <> 'O'""",

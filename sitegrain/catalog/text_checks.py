@@ -241,17 +241,13 @@ def audit_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def faq_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Chat turns as marked lines: users ask, assistants answer."""
-    prefix = F.when(F.col("role") == "user", "Q: ").otherwise("Answer:")
-    turns = table(spark, sf, "conversations").select(
-        "conv_id",
-        F.struct("turn", F.concat(prefix, F.regexp_replace("text", r"\n", " ")).alias("line")).alias("t"),
+    """Lines of every chat turn marked as questions and answers in turn."""
+    lines = F.transform(
+        F.split("text", "\n"), lambda t, i: F.concat(F.when(i % 2 == 0, "Q: ").otherwise("Answer:"), t)
     )
-    texts = turns.groupBy("conv_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["line"]), "\n").alias("text")
-    )
-    return texts.select("conv_id", F.posexplode(schema_org.faq_pairs(F.col("text"))).alias("pos", "p")).select(
-        "conv_id", F.col("pos").cast("long").alias("pos"), F.col("p.question").alias("question"),
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(lines, "\n").alias("text"))
+    return turns.select("conv_id", "turn", F.posexplode(schema_org.faq_pairs(F.col("text"))).alias("pos", "p")).select(
+        "conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.col("p.question").alias("question"),
         F.col("p.answer").alias("answer"),
     )
 
@@ -504,10 +500,12 @@ ORACLES = {
       SELECT doc_id, length(text) + CASE WHEN lang = 'en' THEN 2 + {len(prompts.AUDIT_SECTION_TEXT)} ELSE 0 END AS chars,
              true AS stable FROM documents""",
     "faq_pairs": f"""
-      WITH t AS (SELECT conv_id, turn, role = 'user' AS asks, {sql.strip("replace(text, chr(10), ' ')")} AS x FROM conversations),
-      l AS (SELECT *, lag(asks) OVER w AS qa, lag(x) OVER w AS qx FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-      p AS (SELECT conv_id, turn, qx AS question, x AS answer FROM l WHERE NOT asks AND qa AND qx <> '' AND x <> '')
-      SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, question, answer FROM p""",
+      WITH t AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS x,
+                        generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations),
+      p AS (SELECT q.conv_id, q.turn, q.i, {sql.strip('q.x')} AS question, {sql.strip('a.x')} AS answer
+            FROM t q JOIN t a ON a.conv_id = q.conv_id AND a.turn = q.turn AND a.i = q.i + 1 WHERE q.i % 2 = 1)
+      SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS pos, question, answer
+      FROM p WHERE question <> '' AND answer <> ''""",
     "page_schemas": f"""
       WITH {sql.PAGES}, s AS (
         SELECT idx, url, title, first_1500_words, array_to_string(list_filter(string_split(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.functions.text import strip
+from sitegrain.operators.ordered import lookup
 
 
 @dataclass(frozen=True)
@@ -86,8 +87,8 @@ def check_blueprints(blueprints: DataFrame, registry: DataFrame, keys: Sequence[
         F.col("section.component").alias("component"),
         F.col("section.variant").alias("variant"),
     )
-    known = registry.groupBy("component").agg(F.collect_set("variant").alias("variants"))
-    joined = sections.join(known, "component", "left")
+    known = registry.distinct().groupBy("component").agg(F.collect_set("variant").alias("variants"))
+    joined = lookup(sections, known, ["component"], keys[0])
     message = F.when(
         F.col("variants").isNull(),
         F.concat(F.lit('Blueprint references unknown component "'), F.col("component"), F.lit('".')),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sitegrain.functions.text import text_or_empty
-from sitegrain.operators.ordered import first_occurrence
+from sitegrain.operators.ordered import first_occurrence, top_k
 from sitegrain.session import cut_lineage
 from sitegrain.vocab import MODEL_PRICES
 
@@ -289,9 +289,27 @@ def serp_budget(pages: DataFrame, max_calls: int, order: str = "idx", group: Seq
     """
     if max_calls <= 0:
         return pages.withColumn("within_budget", F.lit(True))
-    from sitegrain.operators.ordered import top_k
-
     first = top_k(pages.select(*group, order), list(group), [F.col(order)], max_calls)
     flagged = first.withColumn("__in", F.lit(True))
     joined = pages.join(flagged, [*group, order], "left")
     return joined.withColumn("within_budget", F.coalesce("__in", F.lit(False))).drop("__in")
+
+
+def model_budget(pages: DataFrame, max_calls: int, order: str = "idx", group: Sequence[str] = ("site",)) -> DataFrame:
+    """Add ``within_budget`` to product pages that each spend ``attempt`` calls.
+
+    A page may call while the pages before it have spent less than ``max_calls``;
+    later ones fail. Every page spends at least one call, so only the first
+    ``max_calls`` pages per group can be within it, and the running sum is taken
+    over those alone.
+    """
+    if max_calls <= 0:
+        return pages.withColumn("within_budget", F.lit(True))
+    first = top_k(pages.select(*group, order, "attempt"), list(group), [F.col(order)], max_calls)
+    before = (
+        Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    spent = F.coalesce(F.sum("attempt").over(before), F.lit(0))
+    allowed = first.withColumn("__ok", spent < max_calls).drop("attempt")
+    joined = pages.join(allowed, [*group, order], "left")
+    return joined.withColumn("within_budget", F.coalesce("__ok", F.lit(False))).drop("__ok")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.functions.text import first_n, list_or_empty, listed_in, text_or_empty
-from sitegrain.operators.ordered import first_occurrence, top_k
+from sitegrain.operators.ordered import first_occurrence, lookup, top_k
 from sitegrain.vocab import BLOG_TOPIC_TEMPLATES
 
 SHORT_LIST = 10
@@ -66,7 +66,7 @@ def keyword_gaps(clusters: DataFrame, audits: DataFrame, limit: int = GAP_ROWS)
     ``audits(idx, url, seo_recommendations)``.
     """
     first = first_occurrence(audits, ["url"], [F.col("idx")]).select("url", "seo_recommendations")
-    joined = clusters.join(first, "url", "left")
+    joined = lookup(clusters, first, ["url"], "idx")
     missing = listed_in(
         list_or_empty(F.col("keywords")), text_or_empty(F.col("seo_recommendations")), present=False
     )

@@ -10,6 +10,7 @@ from sitegrain.functions.html import decode_references
 from sitegrain.functions.text import bind, strip, text_or_empty
 from sitegrain.operators.links import reachable_pages
 from sitegrain.operators.ordered import first_occurrence, unnest
+from sitegrain.session import cut_lineage
 
 MAX_SITEMAPS = 40
 AUDIT_SITEMAPS = 30
@@ -92,25 +93,25 @@ def sitemap_pages(roots: DataFrame, sitemaps: DataFrame, audit: bool = False) ->
             F.array().cast("array<string>")
         )
         parsed = whole.withColumns({"sitemap_locs": children, "page_locs": pages})
-    stored = parsed.select(
-        urls.hostname(F.col("url")).alias("site"),
-        urls.canonical(F.col("url")).alias("url"),
-        "page_locs",
-        "sitemap_locs",
+    # Files are parsed once; the walk below reads the parsed table each round.
+    stored = cut_lineage(
+        parsed.select(
+            urls.hostname(F.col("url")).alias("site"),
+            urls.canonical(F.col("url")).alias("url"),
+            F.transform("page_locs", lambda u: urls.canonical(u)).alias("pages"),
+            F.transform("sitemap_locs", lambda u: urls.canonical(u)).alias("children"),
+        )
     )
-    normal = F.transform("sitemap_locs", lambda u: urls.canonical(u))
     edges = unnest(
-        stored, ["site", F.col("url").alias("source")], normal, "target", "pos"
+        stored, ["site", F.col("url").alias("source")], F.col("children"), "target", "pos"
     ).filter(urls.hostname(F.col("target")) == F.col("site"))
     cap = AUDIT_SITEMAPS if audit else MAX_SITEMAPS
     visited = reachable_pages(seeds, edges, stored, max_depth=cap, max_pages=cap, page_filter=False)
     listed = (
         visited.select("site", "url", "seq")
-        .join(stored.select("site", "url", "page_locs"), ["site", "url"])
-    )
-    listed = unnest(listed, ["site", "seq"], F.col("page_locs"), "loc", "pos").withColumn(
-        "page", urls.canonical(F.col("loc"))
+        .join(stored.select("site", "url", "pages"), ["site", "url"])
     )
+    listed = unnest(listed, ["site", "seq"], F.col("pages"), "page", "pos")
     keep = urls.same_host(F.col("page"), F.col("site")) & urls.likely_html(F.col("page"))
     if not audit:
         keep = keep & ~urls.skip_for_audit(F.col("page"))
