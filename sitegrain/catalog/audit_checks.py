@@ -77,7 +77,7 @@ def stored_artifacts(spark: SparkSession, sf: str) -> DataFrame:
     """Artifacts written as JSON per producer and read back."""
     path = work_folder(spark, "artifacts")
     docs = table(spark, sf, "documents").select("doc_id", F.struct("lang", "text").alias("data"))
-    A.write_artifacts(A.with_envelope(docs, F.lit("2024-01-01"), producer="scrapeStage"), path)
+    A.write_artifacts(A.with_envelope(docs, F.lit("2024-01-01"), producer="scrape"), path)
     schema = "schemaVersion STRING, createdAt STRING, doc_id BIGINT, data STRUCT<lang: STRING, text: STRING>, producer STRING"
     back = A.read_artifacts(spark, path, schema)
     return back.select("schemaVersion", "producer", "doc_id", F.col("data.text").alias("text"))
@@ -227,7 +227,7 @@ ORACLES = {
       SELECT site, 'https://' || site || '/p/' || o_custkey AS url FROM l WHERE o_orderpriority NOT LIKE '1%' AND o_orderstatus <> 'F'
       UNION SELECT site, 'https://' || site || '/s/' || o_orderkey FROM l""",
     "stored_artifacts": """
-      SELECT '1.0' AS "schemaVersion", 'scrapeStage' AS producer, doc_id, text FROM documents""",
+      SELECT '1.0' AS "schemaVersion", 'scrape' AS producer, doc_id, text FROM documents""",
     "streamed_pages": f"""
       WITH {sql.PAGES}
       SELECT site, idx, {_CONTENT_TYPE} AS page_type, len(body_words) AS word_count, len(body_words) < 300 AS thin_content FROM feats""",

@@ -337,7 +337,7 @@ def log_records(spark: SparkSession, sf: str) -> DataFrame:
 
 def enveloped_artifacts(spark: SparkSession, sf: str) -> DataFrame:
     payload = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("model"), F.struct("source", "n_chars").alias("data"))
-    full = A.with_envelope(payload, F.lit("2024-01-01T00:00:00.000Z"), producer="scrapeStage", run_id="r1", model="none")
+    full = A.with_envelope(payload, F.lit("2024-01-01T00:00:00.000Z"), producer="scrape", run_id="r1", model="none")
     return full.select("schemaVersion", "producer", "runId", "promptVersion", "model", "createdAt", "doc_id", F.col("data.source").alias("source"))
 
 
@@ -502,7 +502,7 @@ ORACLES = {
       SELECT event_id, epoch_us(ts) // 1000 AS ms, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS level, event_type AS event,
              3 AS extra_keys, user_id FROM events""",
     "enveloped_artifacts": """
-      SELECT '1.0' AS "schemaVersion", 'scrapeStage' AS producer, 'r1' AS "runId", 'unknown' AS "promptVersion", lang AS model,
+      SELECT '1.0' AS "schemaVersion", 'scrape' AS producer, 'r1' AS "runId", 'unknown' AS "promptVersion", lang AS model,
              '2024-01-01T00:00:00.000Z' AS "createdAt", doc_id, source FROM documents""",
     "content_hashes": """
       SELECT min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY lang, text""",

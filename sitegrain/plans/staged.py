@@ -111,5 +111,5 @@ def run_status(optimized: DataFrame, run_id: str) -> DataFrame:
     """Status rows of a run, the input of the run report."""
     return optimized.select(
         F.lit(run_id).alias("run_id"), "url", "status", "product_page",
-        F.when(F.col("status") == runs.FAILED, F.lit("pdpAgent returned empty output")).alias("error"),
+        F.when(F.col("status") == runs.FAILED, F.lit("Generated content is empty")).alias("error"),
     )
