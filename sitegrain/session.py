@@ -7,6 +7,7 @@ DataFrames. ``local_session`` exists for tests and benches only.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,10 +32,13 @@ def local_session(cores: int | str = 8, app: str = "sitegrain") -> SparkSession:
 def work_folder(spark: SparkSession, name: str) -> str:
     """New folder in the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only where the session names none (tests) a temporary folder is set up.
+    A session on one machine (tests, benches) that names none gets a temporary folder. On a
+    cluster a local folder would be another one on every executor, so there it is an error.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="sitegrain-work-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
