@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sitegrain.llm.minhash import near_duplicates
+from sitegrain.llm.substrings import without_repeats
 
 BLANK = r"[\x20\x09-\x0D]+"
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -44,5 +46,33 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS c
     coalesce(component_id, doc_id) = doc_id AS kept
 FROM sets LEFT JOIN parts ON parts.id = sets.doc_id"""
 
-QUERIES = {"op1_minhash": op1_minhash}
-ORACLES = {"op1_minhash": OP1_SQL}
+
+def op10_recompression(spark: SparkSession, sf: str) -> DataFrame:
+    """Digest of what is left of every document without its repeated windows of 20 words."""
+    left = without_repeats(table(spark, sf, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = rf"""
+WITH split AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{BLANK}'), lambda x: x <> '') AS w FROM documents
+),
+windows AS (
+    SELECT doc_id, p, array_to_string(w[p + 1:p + 20], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(0, len(w) - 19)) AS p FROM split)
+),
+again AS (
+    SELECT doc_id, p FROM windows QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, p) > 1
+),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p + 1, p + 21)) AS i FROM again),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM split),
+kept AS (
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t
+    FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT s.doc_id, len(s.w)::BIGINT AS n_words, (len(s.w) - coalesce(k.n, 0))::BIGINT AS n_removed,
+    sha256(coalesce(k.t, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k USING (doc_id)"""
+
+QUERIES = {"op1_minhash": op1_minhash, "op10_recompression": op10_recompression}
+ORACLES = {"op1_minhash": OP1_SQL, "op10_recompression": OP10_SQL}
