@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegrain.llm.minhash import near_duplicates
+from sitegrain.llm.mixing import PRIME, MixOptions, mixture, taken_words
 from sitegrain.llm.substrings import without_repeats
 
 BLANK = r"[\x20\x09-\x0D]+"
@@ -74,5 +75,75 @@ SELECT s.doc_id, len(s.w)::BIGINT AS n_words, (len(s.w) - coalesce(k.n, 0))::BIG
     sha256(coalesce(k.t, '')) AS kept_sha256
 FROM split s LEFT JOIN kept k USING (doc_id)"""
 
-QUERIES = {"op1_minhash": op1_minhash, "op10_recompression": op10_recompression}
-ORACLES = {"op1_minhash": OP1_SQL, "op10_recompression": OP10_SQL}
+
+def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    mix = mixture(table(spark, sf, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", taken_words().alias("taken"))
+
+
+def _permuted_sql(x: str, size: str, seed: str, rounds: int) -> str:
+    """Subqueries that apply mixing.permuted to column ``x`` of ``{}``."""
+    def scrambled(value: str, shift: str, name: str, inner: str) -> str:
+        """Adds column ``name``; intermediate values are columns of their own."""
+        sql = f"SELECT *, (({value}) % {PRIME} + (({value}) >> 31) + ({shift})) % {PRIME} AS y FROM ({inner})"
+        sql = f"SELECT *, (y * y + 40503) % {PRIME} AS z FROM ({sql})"
+        return f"SELECT * EXCLUDE (y, z), (z * z) % {PRIME} AS {name} FROM ({sql})"
+
+    sql = "{}"
+    for k in range(rounds):
+        for i in (1, 2, 3):
+            sql = scrambled(seed, str(4 * k + i), f"s{i}", sql)
+        sql = f"SELECT *, ((s1 * {PRIME} + s2) % {size} - {x} + {size}) % {size} AS o FROM ({sql})"
+        sql = scrambled(f"greatest({x}, o)", "s3", "c", sql)
+        sql = f"SELECT * EXCLUDE (s1, s2, s3, o, c) REPLACE (CASE WHEN (c >> 7) % 2 = 1 THEN o ELSE {x} END AS {x}) FROM ({sql})"
+    return sql
+
+
+def _mixing_sql(o: MixOptions) -> str:
+    number = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+    weights = f"[{', '.join(map(str, o.weights))}]"
+    draws = """SELECT source, blocks, slots, k // blocks AS copy, k % blocks AS block,
+        {seed} AS seed FROM (SELECT *, unnest(range(quota)) AS k FROM plan WHERE quota > 0)""".format(
+        seed=number.format(f"'{o.seed}/source/' || coalesce('=' || source, 'null')")
+    )
+    return rf"""
+WITH sizes AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+),
+per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
+ranked AS (
+    SELECT source, source_size, source_size * {o.repeat} AS cap, (sum(source_size) OVER ())::BIGINT * {o.percent} / 100.0::DOUBLE AS total,
+        {weights}[((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % {len(o.weights)} + 1] AS weight FROM per
+),
+filled AS (
+    SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)
+        / (sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS own
+    FROM ranked
+),
+levels AS (SELECT *, CASE WHEN max(cap > own * weight) OVER () THEN max(own) OVER () END AS level FROM filled),
+aims AS (
+    SELECT source, source_size, CASE WHEN level IS NULL OR cap <= level * weight THEN cap::DOUBLE ELSE level * weight END AS target,
+        CAST(ceil(source_size / {o.block}) AS BIGINT) AS blocks FROM levels
+),
+quotas AS (SELECT *, least(CAST(floor(target / {o.block} + 0.5) AS BIGINT), blocks * {o.repeat}) AS quota FROM aims),
+plan AS (SELECT *, (sum(quota) OVER ())::BIGINT AS slots FROM quotas),
+draws AS ({_permuted_sql("block", "blocks", "seed", o.rounds).replace("{}", draws)}),
+lanes AS (
+    SELECT *, {number.format(f"'{o.seed}/' || coalesce(doc_id::VARCHAR, 'null')")} % {o.lanes} AS lane FROM sizes
+),
+places AS (
+    SELECT *, row_number() OVER () AS id, (sum(size) OVER (PARTITION BY source ORDER BY lane, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS begin FROM lanes
+),
+parts AS (
+    SELECT id, source, size, begin, unnest(range(begin // {o.block}, (begin + size - 1) // {o.block} + 1)) AS block FROM places WHERE size > 0
+),
+taken AS (
+    SELECT id, sum(least((p.block + 1) * {o.block} - begin, size) - greatest(p.block * {o.block} - begin, 0))::BIGINT AS taken
+    FROM parts p JOIN draws d ON p.source IS NOT DISTINCT FROM d.source AND p.block = d.block GROUP BY id
+)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+FROM places p JOIN plan q ON p.source IS NOT DISTINCT FROM q.source LEFT JOIN taken USING (id)"""
+
+QUERIES = {"op1_minhash": op1_minhash, "op6_mixing": op6_mixing, "op10_recompression": op10_recompression}
+ORACLES = {"op1_minhash": OP1_SQL, "op6_mixing": _mixing_sql(MixOptions()), "op10_recompression": OP10_SQL}
