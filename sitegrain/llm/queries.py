@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitegrain.llm.licenses import BASE, rules, scanned
 from sitegrain.llm.minhash import near_duplicates
 from sitegrain.llm.mixing import PRIME, MixOptions, mixture, taken_words
 from sitegrain.llm.substrings import without_repeats
@@ -145,5 +146,57 @@ taken AS (
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
 FROM places p JOIN plan q ON p.source IS NOT DISTINCT FROM q.source LEFT JOIN taken USING (id)"""
 
-QUERIES = {"op1_minhash": op1_minhash, "op6_mixing": op6_mixing, "op10_recompression": op10_recompression}
-ORACLES = {"op1_minhash": OP1_SQL, "op6_mixing": _mixing_sql(MixOptions()), "op10_recompression": OP10_SQL}
+
+def op2_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    """Licence labels of every document: base phrases and signature rules."""
+    rows = scanned(table(spark, sf, "documents"))
+    names = lambda *columns: F.array_join(F.array_sort(F.array_distinct(F.concat(*(F.col(c)["label"] for c in columns)))), ",")
+    return rows.select(
+        "doc_id", "n_words", F.size("base").cast("bigint").alias("n_base"), F.array_min(F.col("base")["first"]).alias("first_word"),
+        F.array_max(F.col("base")["first"]).alias("last_word"), names("base").alias("base_labels"), names("base", "detections").alias("labels"),
+        F.coalesce(F.array_max(F.col("detections")["confidence"]), F.lit(0.0)).alias("score"),
+    )
+
+
+def _licenses_sql() -> str:
+    quoted = lambda x: "'" + str(x).replace("'", "''") + "'"
+    listed = lambda words: "[" + ", ".join(map(quoted, words)) + "]"
+    table = ",\n".join(
+        f"({r.number}, {quoted(r.label)}, {listed(r.forms)}, {listed(r.names)}, {quoted(r.pattern)}, {r.priority}, {r.confidence}::DOUBLE)" for r in rules()
+    )
+    base = ",\n".join(f"({quoted(phrase)}, {quoted(label)})" for phrase, label in BASE)
+    blanks = lambda x: f"length({x}) - length(replace({x}, ' ', ''))"
+    top = max(r.priority for r in rules())
+    order = "PARTITION BY doc_id ORDER BY first, words DESC, priority DESC, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    ends = " ".join(f"WHEN priority = {p} THEN coalesce(max(first + words) FILTER (priority >= {p}) OVER ({order}), -1)" for p in range(1, top + 1))
+    return rf"""
+WITH rules(rule, label, forms, names, pattern, priority, confidence) AS (VALUES {table}),
+phrases(phrase, label) AS (VALUES {base}),
+split AS (SELECT doc_id, list_filter(regexp_split_to_array({LOWER_SQL}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+flat AS (SELECT doc_id, w, ' ' || array_to_string(w, '  ') || ' ' AS t FROM split),
+places AS (
+    SELECT doc_id, label, i FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM split) s
+    JOIN phrases p ON array_to_string(w[i + 1:i + len(string_split(phrase, ' '))], ' ') = phrase
+),
+ready AS (
+    SELECT doc_id, t, rule, label, pattern, priority, confidence FROM flat JOIN rules
+        ON len(list_filter(names, lambda x: contains(t, x))) > 0 AND len(list_filter(forms, lambda x: contains(t, x))) > 0
+    WHERE regexp_matches(t, pattern)
+),
+cut AS (SELECT *, regexp_extract_all(t, pattern) AS hits, string_split_regex(t, pattern) AS gaps FROM ready),
+each AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM cut),
+found AS (
+    SELECT doc_id, rule, label, priority, confidence, ({blanks("array_to_string(gaps[1:i], '')")} + {blanks("array_to_string(hits[1:i - 1], '')")}) // 2 AS first,
+        ({blanks("hits[i]")}) // 2 AS words FROM each
+),
+kept AS (SELECT * FROM found QUALIFY CASE {ends} END < first + words),
+named AS (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM kept)
+SELECT s.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+    coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM split s
+LEFT JOIN (SELECT doc_id, count(*) AS n, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM named GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT doc_id, max(confidence) AS score FROM kept GROUP BY doc_id) USING (doc_id)"""
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_licenses": op2_licenses, "op6_mixing": op6_mixing, "op10_recompression": op10_recompression}
+ORACLES = {"op1_minhash": OP1_SQL, "op2_licenses": _licenses_sql(), "op6_mixing": _mixing_sql(MixOptions()), "op10_recompression": OP10_SQL}
