@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitegrain.llm import langid
 from sitegrain.llm.licenses import BASE, rules, scanned
 from sitegrain.llm.minhash import near_duplicates
 from sitegrain.llm.mixing import PRIME, MixOptions, mixture, taken_words
@@ -198,5 +199,12 @@ LEFT JOIN (SELECT doc_id, count(*) AS n, min(i) AS first_word, max(i) AS last_wo
 LEFT JOIN (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM named GROUP BY doc_id) USING (doc_id)
 LEFT JOIN (SELECT doc_id, max(confidence) AS score FROM kept GROUP BY doc_id) USING (doc_id)"""
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_licenses": op2_licenses, "op6_mixing": op6_mixing, "op10_recompression": op10_recompression}
+
+def op5_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """Predicted language of every document; a quarter of the documents is held out of training."""
+    docs = table(spark, sf, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
+    model = langid.fit(docs.filter("not held_out"))
+    return langid.identified(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_licenses": op2_licenses, "op5_languages": op5_languages, "op6_mixing": op6_mixing, "op10_recompression": op10_recompression}
 ORACLES = {"op1_minhash": OP1_SQL, "op2_licenses": _licenses_sql(), "op6_mixing": _mixing_sql(MixOptions()), "op10_recompression": OP10_SQL}
