@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegrain.llm import langid
+from sitegrain.llm.bpe import BpeFile, decoded, encoded
 from sitegrain.llm.licenses import BASE, rules, scanned
 from sitegrain.llm.minhash import near_duplicates
 from sitegrain.llm.mixing import PRIME, MixOptions, mixture, taken_words
+from sitegrain.llm.simple8b import read_ids, write_ids
 from sitegrain.llm.substrings import without_repeats
+from sitegrain.session import work_folder
 
 BLANK = r"[\x20\x09-\x0D]+"
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -206,5 +210,22 @@ def op5_languages(spark: SparkSession, sf: str) -> DataFrame:
     model = langid.fit(docs.filter("not held_out"))
     return langid.identified(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_licenses": op2_licenses, "op5_languages": op5_languages, "op6_mixing": op6_mixing, "op10_recompression": op10_recompression}
+
+def op7_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Digests of the token ids of every document and of the text decoded from them."""
+    file = BpeFile.read(public_tokenizers.path("word_bpe_49k.json"))
+    rows = decoded(encoded(table(spark, sf, "documents"), file), file)
+    return rows.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_simple8b(spark: SparkSession, sf: str) -> DataFrame:
+    """Place and checksum of every document's ids, read back from the files they were written to."""
+    path = work_folder(spark, "ids")
+    write_ids(table(spark, sf, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_licenses": op2_licenses, "op5_languages": op5_languages, "op6_mixing": op6_mixing, "op7_bpe": op7_bpe, "op8_simple8b": op8_simple8b, "op10_recompression": op10_recompression}
 ORACLES = {"op1_minhash": OP1_SQL, "op2_licenses": _licenses_sql(), "op6_mixing": _mixing_sql(MixOptions()), "op10_recompression": OP10_SQL}
