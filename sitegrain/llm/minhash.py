@@ -3,14 +3,15 @@
 Under each permutation both the minimum and the maximum of a shingle set are kept, so a signature
 of ``2 * permutations`` values costs half the hash evaluations. Both are unbiased estimators of
 the Jaccard similarity. Bands of ``rows`` values give bucket keys; two sets with similarity s
-meet in no bucket with probability ``(1 - s ** rows) ** bands``: 5e-6 at s = 0.75 by default.
+meet in no bucket with probability ``(1 - s ** rows) ** bands``: 1e-6 at s = 0.75 by default.
 
-1. One pass over the texts writes fingerprint, set size, band keys and a one-bit sketch per document.
+1. One pass over the texts writes fingerprint, set size, band keys and a sketch (four bits of each value) per document.
 2. Exact copies fall together by fingerprint; only their smallest id goes on.
 3. Every member of a bucket is checked against the bucket's smallest id (a star, not all pairs).
-4. Members that the star left in different components are compared pairwise behind the sketch,
-   whose cut lies 5.5 standard deviations below the threshold, so nothing that counts is dropped.
-5. All links are confirmed on the full shingle sets before components are taken.
+4. Members whose component is not that of a member drawn anew in each bucket are checked against that one.
+5. What is still apart then is compared across components in blocks, from which only links leave.
+6. All links are confirmed on the full shingle sets. Before that, sizes and sketches rule pairs out; the cut
+   of the sketch lies 5.5 standard deviations below the threshold, so nothing that counts is dropped.
 """
 
 from __future__ import annotations
@@ -31,9 +32,11 @@ from sitegrain.llm.words import mix, powers, shingle_set, signed, slices, span_h
 class MinHashOptions:
     shingle: int = 5
     numerator: int = 75  # link if 100 * intersection >= numerator * union
-    bands: int = 32
-    rows: int = 4
+    bands: int = 51
+    rows: int = 5
     seed: int = 20240229
+    held: int = 256  # texts that a task holds while others of their bucket pass
+    streamed: int = 4096  # texts that pass them
     beside: int = 256  # documents that are checked beside one copy of their bucket's first text
 
     @property
@@ -41,10 +44,14 @@ class MinHashOptions:
         return -(-self.bands * self.rows // 2)
 
     @property
-    def least_sketch(self) -> int:
-        """Equal sketch bits that a linked pair has but for a chance of 2e-8."""
-        bits, p = 2 * self.permutations, (1 + self.numerator / 100) / 2
-        return int(bits * p - 5.5 * (bits * p * (1 - p)) ** 0.5)
+    def most_unlike(self) -> int:
+        """Values of the sketch that differ, which a linked pair exceeds with a chance of 2e-8."""
+        values, p = 2 * self.permutations, (1 - self.numerator / 100) * 15 / 16
+        return int(values * p + 5.5 * (values * p * (1 - p)) ** 0.5)
+
+    @property
+    def sketch_words(self) -> int:
+        return -(-2 * self.permutations // 16)
 
 
 def _multipliers(o: MinHashOptions) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +80,7 @@ def signatures(docs: DataFrame, o: MinHashOptions) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         perms = _multipliers(o)
         bits = 2 * o.permutations
-        words = -(-bits // 64)
+        words = o.sketch_words
         # Minimum and maximum of one permutation stand side by side.
         order = np.arange(bits).reshape(2, -1).T.ravel()[: o.bands * o.rows]
         weights = powers(0xA0761D6478BD642F | 1, o.rows + 1)[1:]
@@ -93,9 +100,9 @@ def signatures(docs: DataFrame, o: MinHashOptions) -> DataFrame:
                         sig = mix(signature(shingles, o, perms))
                         grid = sig[order].reshape(o.bands, o.rows)
                         keys[s.first + k] = mix((grid * weights).sum(axis=1, dtype=np.uint64) ^ salt)
-                        flat = np.zeros(words * 64, np.uint8)
-                        flat[:bits] = sig & np.uint64(1)
-                        sketch[s.first + k] = np.packbits(flat, bitorder="little").view(np.uint64)
+                        nibbles = np.zeros(words * 16, np.uint8)
+                        nibbles[:bits] = sig & np.uint64(15)
+                        sketch[s.first + k] = (nibbles[0::2] | (nibbles[1::2] << 4)).view(np.uint64)
             lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(signed(x.ravel())), x.shape[1]).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(fp1), pa.array(fp2), pa.array(size), lists(keys), lists(sketch)],
@@ -117,7 +124,8 @@ def verified(docs: DataFrame, pairs: DataFrame, o: MinHashOptions) -> DataFrame:
     places = heads.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(0).alias("role")).union(
         salted.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("role"))
     )
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(places, "doc_id")
+    # Texts are shuffled at every size: the plan is then the same for small and large inputs.
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(places.hint("merge"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, heads = None, []
@@ -174,28 +182,16 @@ def near_duplicates(docs: DataFrame, o: MinHashOptions = MinHashOptions()) -> Da
     named = lambda side: facts.select(*(F.col(c).alias(f"{side}_{c}") for c in facts.columns))
     star = hits.filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
     star = star.join(named("a"), F.col("a") == F.col("a_doc_id")).join(named("b"), F.col("b") == F.col("b_doc_id"))
-    star = star.filter(_possible(o)).select("a", "b")
-    links = scratch.keep(verified(docs, scratch.keep(star, "star"), o), "links")
+    star = scratch.keep(star.filter(_possible(o)).select("a", "b"), "star")
+    links = scratch.keep(verified(docs, star, o), "links")
 
-    parts = scratch.keep(connected_components(links, scratch), "parts")
-    placed = hits.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-        "key", "doc_id", "head", F.coalesce("component", "doc_id").alias("part")
-    )
-    heads = placed.filter("doc_id = head").select("key", F.col("part").alias("head_part"))
-    mixed = placed.join(heads, "key").join(facts, "doc_id")
-    outside = mixed.filter("part <> head_part and doc_id <> head")
-    columns = ("doc_id", "n_shingles", "sketch", "part", "head_part", "head")
-    left = outside.select("key", *(F.col(c).alias(f"a_{c}") for c in columns))
-    right = mixed.filter("doc_id <> head").select("key", *(F.col(c).alias(f"b_{c}") for c in columns))
-    # One side lies outside the part of the bucket's head: inside it nothing is left to find.
-    apart = (F.col("a_part") != F.col("b_part")) & (
-        (F.col("b_part") == F.col("b_head_part")) | (F.col("a_doc_id") < F.col("b_doc_id"))
-    )
-    rest = left.join(right, (left["key"] == right["key"]) & apart & _possible(o)).select(
-        F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")
-    )
-    rest = scratch.keep(rest.distinct(), "rest")
-    more = scratch.keep(verified(docs, rest, o), "links")
+    outside, _ = _outside(hits, facts, links, 1, scratch)
+    probes = outside.filter(_possible(o)).select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b"))
+    probes = scratch.keep(probes.distinct().join(star, ["a", "b"], "left_anti"), "probes")
+    links = scratch.keep(links.union(verified(docs, probes, o)), "links")
+
+    _, mixed = _outside(hits, facts, links, 2, scratch)
+    more = scratch.keep(_apart(docs, scratch.keep(mixed, "mixed"), chosen, o), "links")
 
     edges = links.union(more).union(copies.select("a", "b"))
     parts = connected_components(edges, scratch)
@@ -204,13 +200,112 @@ def near_duplicates(docs: DataFrame, o: MinHashOptions = MinHashOptions()) -> Da
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _outside(hits: DataFrame, facts: DataFrame, links: DataFrame, turn: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Members whose part is not that of a head drawn in their bucket (a_: the head, b_: the member).
+
+    The second table holds all members ``key, doc_id, part, outside`` of the buckets that have such members.
+    """
+    parts = connected_components(links, scratch).withColumnRenamed("id", "doc_id")
+    placed = hits.join(parts, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    placed = scratch.keep(placed, "placed")
+    drawn = F.struct(F.xxhash64("key", "doc_id", F.lit(turn)), "doc_id", "part")
+    heads = placed.groupBy("key").agg(F.min(drawn).alias("h"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q")
+    mixed = placed.join(heads.select("key", F.col("h.doc_id").alias("head"), F.col("h.part").alias("head_part")), "key")
+    mixed = mixed.withColumn("outside", F.col("part") != F.col("head_part"))
+    named = lambda side: facts.select(*(F.col(c).alias(f"{side}_{c}") for c in facts.columns))
+    outside = mixed.filter("outside").select(F.col("head").alias("a_doc_id"), F.col("doc_id").alias("b_doc_id"))
+    outside = outside.distinct().join(named("b"), "b_doc_id").join(named("a"), "a_doc_id")
+    return outside, mixed.select("key", "doc_id", "part", "outside")
+
+
+def _apart(docs: DataFrame, mixed: DataFrame, chosen: DataFrame, o: MinHashOptions) -> DataFrame:
+    """Links ``a, b`` across parts in each bucket: members outside the head's part against all members.
+
+    Blocks of ``held`` outside members meet lanes of ``streamed`` members in one task each, so no group is
+    bounded by its bucket. Only links leave the task, never pairs; a pair is compared in its first bucket only.
+    """
+    sizes = mixed.groupBy("key").agg(
+        F.ceil(F.count_if("outside") / o.held).alias("blocks"), F.ceil(F.count("*") / o.streamed).alias("lanes")
+    )
+    rows = mixed.join(sizes, "key")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("doc_id", F.lit(n)), F.col(n))
+    held = rows.filter("outside").select("key", "doc_id", "part", "outside", F.lit(0).alias("role"), own("blocks").alias("block"), all_of("lanes").alias("lane"))
+    passing = rows.select("key", "doc_id", "part", "outside", F.lit(1).alias("role"), all_of("blocks").alias("block"), own("lanes").alias("lane"))
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    places = held.union(passing).join(chosen, "doc_id")
+    group = ("key", "block", "lane")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, box = None, _Box(o)
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            col = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*group, "doc_id", "part", "outside", "role")}
+            keys = batch.column("keys").flatten().to_numpy().reshape(-1, o.bands)
+            sketch = batch.column("sketch").flatten().to_numpy().view(np.uint8).reshape(-1, 8 * o.sketch_words)
+            for s in slices(batch.column("text"), lower=True):
+                for k in range(len(s)):
+                    i = s.first + k
+                    if at != (now := tuple(col[c][i] for c in group)):
+                        at = now
+                        box.clear()
+                    shingles = shingle_set(s.hashes[s.words[k] : s.words[k + 1]], o.shingle)
+                    row = (col["doc_id"][i], col["part"][i], len(shingles), keys[i], sketch[i], shingles)
+                    if col["role"][i] == 0:
+                        box.add(*row)
+                    else:
+                        found += box.links(*row, key=at[0], outside=col["outside"][i])
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    rows = texts.join(places.hint("merge"), "doc_id")
+    return rows.repartition(*group).sortWithinPartitions(*group, "role").mapInArrow(run, "a bigint, b bigint")
+
+
+class _Box:
+    """Held members of one group; ``links`` compares one more with all of them."""
+
+    def __init__(self, o: MinHashOptions) -> None:
+        self.o = o
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: list[tuple] = []
+        self.columns: list[np.ndarray] | None = None
+
+    def add(self, *row) -> None:
+        self.rows.append(row)
+        self.columns = None
+
+    def links(self, doc, part, size, keys, sketch, shingles, key, outside) -> list[tuple[int, int]]:
+        if not self.rows:
+            return []
+        if self.columns is None:
+            self.columns = [np.array([r[i] for r in self.rows]) for i in range(5)]
+        docs, parts, sizes, their_keys, sketches = self.columns
+        # Two outside members meet twice: the larger id passes the smaller.
+        fits = (parts != part) & (docs < doc if outside else docs != doc)
+        fits &= 100 * np.minimum(sizes, size) >= self.o.numerator * np.maximum(sizes, size)
+        at = np.flatnonzero(fits)
+        if not len(at):
+            return []
+        x = sketches[at] ^ sketch
+        at = at[((x & 15) != 0).sum(axis=1) + ((x >> 4) != 0).sum(axis=1) <= self.o.most_unlike]
+        here = int(np.flatnonzero(keys == key)[0])
+        at = at[~(their_keys[at, :here] == keys[:here]).any(axis=1)]
+        return [(int(docs[i]), int(doc)) for i in at if _linked(self.rows[i][5], shingles, self.o.numerator)]
+
+
 def _possible(o: MinHashOptions):
     """Sizes allow the threshold, and the sketches do not rule it out."""
     a, b = F.col("a_n_shingles"), F.col("b_n_shingles")
     sizes = 100 * F.least(a, b) >= o.numerator * F.greatest(a, b)
-    words = -(-2 * o.permutations // 64)
-    differ = sum((F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(words)), F.lit(0))
-    return sizes & (differ <= 2 * o.permutations - o.least_sketch)
+    unlike = F.lit(0)
+    for i in range(o.sketch_words):
+        x = F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        unlike = unlike + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return sizes & (unlike <= o.most_unlike)
 
 
 def deduplicated(docs: DataFrame, o: MinHashOptions = MinHashOptions()) -> DataFrame:
