@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from sitegrain.llm import langid
 from sitegrain.llm.bpe import BpeFile, decoded, encoded
+from sitegrain.llm.forest import nearest
 from sitegrain.llm.licenses import BASE, rules, scanned
 from sitegrain.llm.minhash import near_duplicates
 from sitegrain.llm.mixing import PRIME, MixOptions, mixture, taken_words
 from sitegrain.llm.simple8b import read_ids, write_ids
 from sitegrain.llm.substrings import without_repeats
+from sitegrain.llm.vectors import near_vectors
 from sitegrain.session import work_folder
 
 BLANK = r"[\x20\x09-\x0D]+"
@@ -227,5 +229,30 @@ def op8_simple8b(spark: SparkSession, sf: str) -> DataFrame:
     write_ids(table(spark, sf, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_licenses": op2_licenses, "op5_languages": op5_languages, "op6_mixing": op6_mixing, "op7_bpe": op7_bpe, "op8_simple8b": op8_simple8b, "op10_recompression": op10_recompression}
-ORACLES = {"op1_minhash": OP1_SQL, "op2_licenses": _licenses_sql(), "op6_mixing": _mixing_sql(MixOptions()), "op10_recompression": OP10_SQL}
+
+def op3_signs(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and component of every embedding."""
+    return near_vectors(table(spark, sf, "embeddings"))
+
+
+OP3_SQL = rf"""
+WITH RECURSIVE fit AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda v: v * v))) AS norm FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+),
+usable AS (SELECT * FROM fit WHERE norm > 0),
+links AS (
+    SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y ON x.vec_id < y.vec_id AND len(x.e) = len(y.e)
+    WHERE list_inner_product(x.e, y.e) >= 0.95 * x.norm * y.norm
+),{COMPONENTS_SQL},
+counts AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY id)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings e LEFT JOIN parts p ON p.id = e.vec_id LEFT JOIN counts c ON c.id = e.vec_id"""
+
+
+def op9_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 nearest neighbours of every vector whose id is divisible by 20."""
+    return nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_licenses": op2_licenses, "op3_signs": op3_signs, "op5_languages": op5_languages, "op6_mixing": op6_mixing, "op7_bpe": op7_bpe, "op8_simple8b": op8_simple8b, "op9_forest": op9_forest, "op10_recompression": op10_recompression}
+ORACLES = {"op1_minhash": OP1_SQL, "op2_licenses": _licenses_sql(), "op3_signs": OP3_SQL, "op6_mixing": _mixing_sql(MixOptions()), "op10_recompression": OP10_SQL}
