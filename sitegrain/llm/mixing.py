@@ -174,3 +174,29 @@ def mixture(docs: DataFrame, o: MixOptions = MixOptions()) -> DataFrame:
 def taken_words() -> Column:
     """Words that the mix takes of a row of ``mixture``, repeats counted."""
     return F.coalesce(F.aggregate("pieces", F.lit(0).cast("bigint"), lambda s, p: s + p["words"]), F.lit(0).cast("bigint"))
+
+
+def mixed(docs: DataFrame, o: MixOptions = MixOptions()) -> DataFrame:
+    """The mix itself: columns of ``docs``, one row per document and copy that the mix reads.
+
+    ``text`` holds the words that the copy takes, joined by one blank, or the whole text as it is where it takes all
+    words. Documents that the mix does not take are gone. Among rows that share doc_id, source and size, pieces are
+    dealt in the order of their texts.
+    """
+    plan = mixture(docs, o).filter("pieces is not null")
+    key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "source", "size")]
+    known = F.concat_ws("/", *key, F.col("doc_id").isNull().cast("string"), F.col("source").isNull().cast("string"))
+    turn = lambda *order: F.row_number().over(Window.partitionBy("__key").orderBy(*order))
+    plan = plan.select(known.alias("__key"), "size", "begin", "pieces").withColumn("__turn", turn("begin")).withColumnsRenamed({"size": "__size", "pieces": "__pieces"})
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("__row"))
+    size = F.coalesce(F.regexp_count(F.col("__row.text").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
+    rows = rows.withColumns({"doc_id": F.col("__row.doc_id").cast("bigint"), "source": F.col("__row.source").cast("string"), "size": size})
+    rows = rows.select("__row", known.alias("__key"), F.xxhash64("__row.text").alias("__hash")).withColumn("__turn", turn("__hash")).drop("__hash")
+    joined = rows.join(plan.drop("begin"), ["__key", "__turn"])
+    copies = joined.withColumn("__copy", F.explode(F.array_distinct(F.col("__pieces")["copy"])))
+    own = F.filter("__pieces", lambda p: p["copy"] == F.col("__copy"))
+    words = F.regexp_extract_all(F.col("__row.text").cast("string"), F.lit(WORD), F.lit(0))
+    cut = bind(words, lambda w: F.array_join(F.flatten(F.transform(own, lambda p: F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int")))), " "))
+    taken = F.aggregate(own, F.lit(0).cast("bigint"), lambda s, p: s + p["words"])
+    text = F.when(taken == F.col("__size"), F.col("__row.text").cast("string")).otherwise(cut)
+    return copies.select(*(text.alias("text") if c == "text" else F.col(f"__row.`{c}`") for c in docs.columns))

@@ -82,8 +82,8 @@ def slices(column: pa.Array, lower: bool, most: int = SLICE_BYTES) -> Iterator[S
         row = stop
 
 
-def _slice(first: int, data: np.ndarray, bounds: np.ndarray) -> Slice:
-    solid = ~_BLANK[data]
+def runs(solid: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and end byte of every run of ``solid`` bytes, and the number of each document's first run."""
     begins, stops = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     stops[:-1] &= ~solid[1:]
@@ -92,10 +92,16 @@ def _slice(first: int, data: np.ndarray, bounds: np.ndarray) -> Slice:
     begins[heads] |= solid[heads]
     stops[tails] |= solid[tails]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    return Slice(first, data, bounds, starts, ends, np.searchsorted(starts, bounds), _hashes(data, starts, ends))
+    return starts, ends, np.searchsorted(starts, bounds)
+
+
+def _slice(first: int, data: np.ndarray, bounds: np.ndarray) -> Slice:
+    starts, ends, words = runs(~_BLANK[data], bounds)
+    return Slice(first, data, bounds, starts, ends, words, byte_hashes(data, starts, ends))
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each byte range ``data[start:end]``."""
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_MULTIPLIER, max(1, len(data)))[: len(data)], out=sums[1:])
     back = powers(_INVERSE, max(1, len(data)))
