@@ -171,7 +171,7 @@ _ENTITY = (
     + ", ' '), lambda t: t <> '')[1:3], ' ')"
 )
 _CONTENT_TYPE = sql.page_type(
-    "path", "lower(concat_ws(' ', title, array_to_string(heading_texts, ' '), first_1500_words))", V
+    "path", "lower(concat_ws(' ', title, array_to_string(heading_texts, ' '), body_text))", V
 )
 # Types by URL plan the links; types by content drive the suggestions.
 _AUDIT = f"""

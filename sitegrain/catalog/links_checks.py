@@ -117,7 +117,7 @@ def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
 
 def reachable_pages(spark: SparkSession, sf: str) -> DataFrame:
     seeds, edges, stored = _graph(spark, sf)
-    return L.reachable_pages(seeds, edges, stored, max_depth=2, max_pages=250, page_filter=False)
+    return L.reachable_pages(seeds, edges, stored, max_depth=2, page_filter=False)
 
 
 def linked_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,7 +128,7 @@ def linked_words(spark: SparkSession, sf: str) -> DataFrame:
     seeds = pages.groupBy("site").agg(
         F.min_by(urls.canonical(F.col("url")), "idx").alias("url")
     )
-    return L.reachable_pages(seeds, edges, stored, max_pages=5)
+    return L.reachable_pages(seeds, edges, stored, max_depth=2)
 
 
 def injected_links(spark: SparkSession, sf: str) -> DataFrame:
@@ -297,7 +297,7 @@ ORACLES = {
       GROUP BY p.site, p.idx""",
     "broken_links": f"""
       WITH {sql.PAGES}, {sql.LINKS},
-      n AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY pos) - 1 AS p FROM page_links QUALIFY p < 20),
+      n AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY pos) - 1 AS p FROM page_links),
       s AS (SELECT *, CASE WHEN length(link) > 26 THEN CASE WHEN contains(link, 'th') THEN 404 ELSE 200 END END AS status FROM n)
       SELECT site, idx, p AS pos, link, status FROM s WHERE status IS NULL OR status >= 400""",
     "related_pages": f"""
@@ -317,14 +317,14 @@ ORACLES = {
       WITH edges AS (SELECT l_returnflag AS site, '/p/' || l_partkey AS source, l_orderkey * 10 + l_linenumber AS pos,
                             '/p/' || (l_suppkey * 7 + l_linenumber) AS target FROM lineitem),
       seeds AS (SELECT l_returnflag AS site, '/p/' || min(l_partkey) AS url FROM lineitem GROUP BY 1),
-      have AS (SELECT DISTINCT site, source AS url FROM edges),""" + _REACH.format(cap=250),
+      have AS (SELECT DISTINCT site, source AS url FROM edges),""" + _REACH.format(cap=10**9),
     "linked_words": f"""
       WITH {sql.PAGES}, {sql.LINKS},
       edges AS (SELECT site, {sql.no_fragment('url')} AS source, pos, link AS target FROM page_links
                 WHERE NOT regexp_matches({sql.path('link')}, '(?i)\\.(jpg|jpeg|png|gif|webp|svg|pdf|zip|xml|json|css|js|ico|txt)$')
                 AND NOT regexp_matches(lower({sql.path('link')}), '/(login|recover-password|share|feedback|contact|customer-care|help-center-and-support|track-my-order|returns|issues-and-resolutions|resources|videos)(/|$)')),
       seeds AS (SELECT site, {sql.no_fragment('min_by(url, idx)')} AS url FROM raw_pages GROUP BY site),
-      have AS (SELECT DISTINCT site, {sql.no_fragment('url')} AS url FROM raw_pages),""" + _REACH.format(cap=5),
+      have AS (SELECT DISTINCT site, {sql.no_fragment('url')} AS url FROM raw_pages),""" + _REACH.format(cap=10**9),
     "injected_links": f"""
       WITH {sql.PAGES}, {_TYPED}, a AS (
         SELECT idx, regexp_extract(html, '(?is)<article>(.*)</article>', 1) AS x,

@@ -238,7 +238,7 @@ QUERIES = {
 _TYPE_BY_URL = sql.page_type("path", None, V)
 _ROUTED = f"""
 routed AS (
-  SELECT *, {sql.page_type('path', "lower(concat_ws(' ', title, array_to_string(heading_texts, ' '), first_1500_words))", V)} AS page_type
+  SELECT *, {sql.page_type('path', "lower(concat_ws(' ', title, array_to_string(heading_texts, ' '), body_text))", V)} AS page_type
   FROM feats
 )"""
 _SLUG_NOISE = r"(?i)\b(custom|cheap|best|buy|shop|online|printing|print)\b"
@@ -282,8 +282,8 @@ ORACLES = {
       FROM raw_pages""",
     "content_quality": f"""
       WITH {sql.PAGES}
-      SELECT idx, {sql.word_count('first_1500_words')} AS quality_word_count,
-             {sql.word_count('first_1500_words')} < 300 AS thin_content,
+      SELECT idx, {sql.word_count('body_text')} AS quality_word_count,
+             {sql.word_count('body_text')} < 300 AS thin_content,
              len(regexp_extract_all(vis, '(?i)<p[\\s>]')) AS paragraph_count,
              array_to_string(heading_texts, '|') AS heading_structure
       FROM feats""",

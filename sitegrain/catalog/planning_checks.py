@@ -100,7 +100,7 @@ def _store(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def recorded_patterns(spark: SparkSession, sf: str) -> DataFrame:
     store, uses = _store(spark, sf)
-    return Pt.record_patterns(store, uses, size=100).drop("last_used")
+    return Pt.record_patterns(store, uses).drop("last_used")
 
 
 def ranked_patterns(spark: SparkSession, sf: str) -> DataFrame:
@@ -279,9 +279,9 @@ ORACLES = {
              {_mode('layout_preference')} AS layout_preference, {_mode('section_density')} AS section_density, {_mode('cta_frequency')} AS cta_frequency
       FROM sg""",
     "recorded_patterns": f"""
-      WITH {_PATTERNS} SELECT signature, page_type, theme, usage_count FROM pat ORDER BY usage_count DESC, lu DESC, signature LIMIT 100""",
+      WITH {_PATTERNS} SELECT signature, page_type, theme, usage_count FROM pat""",
     "ranked_patterns": f"""
-      WITH {_PATTERNS}, k AS (SELECT * FROM pat ORDER BY usage_count DESC, lu DESC, signature LIMIT 200)
+      WITH {_PATTERNS}, k AS (SELECT * FROM pat)
       SELECT signature, usage_count, CASE WHEN usage_count > 5 THEN 'high' WHEN usage_count > 2 THEN 'medium' ELSE 'low' END AS confidence,
              row_number() OVER (PARTITION BY page_type, theme ORDER BY usage_count DESC, signature) AS rank FROM k""",
     "preferred_patterns": f"""

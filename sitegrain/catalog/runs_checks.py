@@ -219,10 +219,10 @@ def keyword_gaps(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     url = F.concat_ws("/", "source", "lang")
     clusters = docs.select(
-        F.col("doc_id").alias("idx"), url.alias("url"), F.lit(0).alias("topic_pos"), F.col("lang").alias("topic"),
-        F.slice(F.split("text", " "), 1, 9).alias("keywords"),
+        F.col("source").alias("site"), F.col("doc_id").alias("idx"), url.alias("url"), F.lit(0).alias("topic_pos"), F.col("lang").alias("topic"),
+        F.split("text", " ").alias("keywords"),
     )
-    audits = docs.select(F.col("doc_id").alias("idx"), url.alias("url"), F.col("text").alias("seo_recommendations"))
+    audits = docs.select(F.col("source").alias("site"), F.col("doc_id").alias("idx"), url.alias("url"), F.col("text").alias("seo_recommendations"))
     gaps = strategy.keyword_gaps(clusters, audits)
     return gaps.withColumn("missing_keywords", joined(F.col("missing_keywords")))
 
@@ -233,7 +233,7 @@ def blog_topics(spark: SparkSession, sf: str) -> DataFrame:
     for old, new in names.items():
         pattern = F.when(F.col("event_type") == old, new).otherwise(pattern)
     patterns = _events(spark, sf).select(
-        F.col("user_id").alias("idx"), F.col("event_id").alias("pos"), pattern.alias("pattern"),
+        (F.col("user_id") % 5).alias("site"), F.col("user_id").alias("idx"), F.col("event_id").alias("pos"), pattern.alias("pattern"),
         F.when(F.col("value") > 3, F.concat(F.lit("item "), "user_id")).alias("core_keyword"),
     )
     return strategy.blog_topics(patterns)
@@ -437,18 +437,17 @@ ORACLES = {
       SELECT l_returnflag AS site, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey) AS line_no,
              '/o/' || l_orderkey || ' -> (' || l_linestatus || ') -> /p/' || l_partkey AS line FROM lineitem QUALIFY line_no <= 30""",
     "keyword_gaps": """
-      WITH d AS (SELECT doc_id, source || '/' || lang AS url, lang, text, string_split(text, ' ')[1:9] AS kw FROM documents),
+      WITH d AS (SELECT doc_id, source AS site, source || '/' || lang AS url, lang, text, string_split(text, ' ') AS kw FROM documents),
       f AS (SELECT url, min_by(text, doc_id) AS t FROM d GROUP BY 1),
-      g AS (SELECT doc_id, d.url, lang, list_filter(kw, lambda k: NOT contains(lower(t), lower(k))) AS m FROM d JOIN f ON f.url = d.url)
-      SELECT doc_id AS idx, url, lang AS topic, array_to_string(m[1:5], '|') AS missing_keywords FROM g WHERE len(m) > 0 ORDER BY doc_id LIMIT 20""",
+      g AS (SELECT doc_id, site, d.url, lang, list_filter(kw, lambda k: NOT contains(lower(t), lower(k))) AS m FROM d JOIN f ON f.url = d.url)
+      SELECT site, doc_id AS idx, url, lang AS topic, array_to_string(m[1:5], '|') AS missing_keywords FROM g WHERE len(m) > 0""",
     "blog_topics": """
-      WITH t AS (SELECT user_id AS idx, event_id AS pos, CASE WHEN value > 3 THEN 'item ' || user_id ELSE 'product' END AS e, event_type FROM events),
-      x AS (SELECT idx, pos, CASE event_type WHEN 'view' THEN 'How to choose the right ' || e || ' for your use case'
+      WITH t AS (SELECT user_id % 5 AS site, user_id AS idx, event_id AS pos, CASE WHEN value > 3 THEN 'item ' || user_id ELSE 'product' END AS e, event_type FROM events),
+      x AS (SELECT site, idx, pos, CASE event_type WHEN 'view' THEN 'How to choose the right ' || e || ' for your use case'
               WHEN 'click' THEN e || ' shipping and turnaround timelines explained'
               WHEN 'purchase' THEN e || ' pricing guide: size, material, and finishing factors'
               WHEN 'signup' THEN e || ' sizing guide for first-time buyers' END AS topic FROM t)
-      SELECT idx, pos, topic FROM x WHERE topic IS NOT NULL QUALIFY row_number() OVER (PARTITION BY topic ORDER BY idx, pos) = 1
-      ORDER BY idx, pos LIMIT 12""",
+      SELECT site, idx, pos, topic FROM x WHERE topic IS NOT NULL QUALIFY row_number() OVER (PARTITION BY site, topic ORDER BY idx, pos) = 1""",
     "contract_violations": """
       SELECT o_orderkey, array_to_string(list_filter([
         CASE WHEN o_orderstatus = 'P' THEN 'Input.topic is required.' END,

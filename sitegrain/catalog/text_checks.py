@@ -90,7 +90,7 @@ def intel_requests(spark: SparkSession, sf: str) -> DataFrame:
     """First page per entity key, joined back to every page."""
     pages = features(spark, sf)
     wide = pages.withColumn("product_entity", F.lower(F.substring("product_entity", 1, 2)))
-    requests = serp.intel_requests(wide).select("entity_key", "request_idx", "query")
+    requests = serp.intel_requests(wide).select("site", "entity_key", "request_idx", "query")
     return serp.attach_by_entity(wide, requests).select("idx", "entity_key", "request_idx", "query")
 
 
@@ -268,7 +268,7 @@ def page_schemas(spark: SparkSession, sf: str) -> DataFrame:
 
 def gap_report(spark: SparkSession, sf: str) -> DataFrame:
     themes, vocabulary = _gap_input(spark, sf)
-    found = gaps.gap_opportunities(gaps.page_gaps(gaps.missing_keywords(themes, vocabulary)))
+    found = gaps.gap_opportunities(gaps.page_gaps(gaps.missing_keywords(themes, vocabulary)), limit=40)
     from pyspark.sql.window import Window
 
     # At most 40 rows reach this window.
@@ -357,7 +357,7 @@ opp AS (
          WHEN regexp_matches(lower(topic), 'guide|how|tips|ideas') THEN 'medium' ELSE 'low' END AS estimated_difficulty,
     target_keywords,
     'What to Know About ' || t || '|Best Use Cases for ' || t || '|' || t || ' Pricing and Options|How to Choose the Right ' || t AS suggested_h2_headings
-  FROM uniq JOIN lists USING (idx) ORDER BY idx, pos LIMIT 40)"""
+  FROM uniq JOIN lists USING (idx))"""
 
 _S, _B = sql.BLANKS, r"\b"
 _INJECT = prompts.injection_regexes(_S, _B, _B)
@@ -431,14 +431,14 @@ ORACLES = {
       WITH {sql.PAGES}, e AS (
         SELECT idx, lower(substring(array_to_string(list_filter(string_split(
                {sql.squash("regexp_replace(trim(coalesce(heading_texts[1], '') || ' ' || title), '(?i)" + chr(92) + "b(custom|cheap|best|buy|shop|online|printing|print)" + chr(92) + "b', '', 'g')")}, ' '),
-               lambda t: t <> '')[1:3], ' '), 1, 2)) AS entity, title, url,
-               {sql.page_type('path', "lower(concat_ws(' ', title, array_to_string(heading_texts, ' '), first_1500_words))", V)} AS page_type
+               lambda t: t <> '')[1:3], ' '), 1, 2)) AS entity, title, url, site,
+               {sql.page_type('path', "lower(concat_ws(' ', title, array_to_string(heading_texts, ' '), body_text))", V)} AS page_type
         FROM feats),
       k AS (SELECT *, substring(regexp_replace(regexp_replace(lower(coalesce(nullif(entity, ''), page_type)), '[^a-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS entity_key FROM e),
-      f AS (SELECT entity_key, min(idx) AS request_idx FROM k GROUP BY 1)
+      f AS (SELECT site, entity_key, min(idx) AS request_idx FROM k GROUP BY ALL)
       SELECT k.idx, k.entity_key, request_idx,
              lower(trim(coalesce(nullif(r.entity, ''), nullif(r.title, ''), r.url))) AS query
-      FROM k JOIN f USING (entity_key) JOIN k r ON r.idx = f.request_idx""",
+      FROM k JOIN f USING (site, entity_key) JOIN k r ON r.idx = f.request_idx""",
     "fresh_cache": f"""
       WITH c AS (SELECT substring(sha256('user ' || user_id), 1, 16) AS cache_key, ts, event_id FROM events
                  WHERE ts <= TIMESTAMP '{AS_OF}' AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR)
@@ -511,7 +511,7 @@ ORACLES = {
         SELECT idx, url, title, first_1500_words, array_to_string(list_filter(string_split(
                {sql.squash("regexp_replace(trim(coalesce(heading_texts[1], '') || ' ' || title || ' ' || regexp_replace(" + sql.last_segment('url', '') + ", '[-_]+', ' ', 'g')), '(?i)" + chr(92) + "b(custom|cheap|best|buy|shop|online|printing|print)" + chr(92) + "b', '', 'g')")}, ' '),
                lambda t: t <> '')[1:3], ' ') AS entity,
-               {sql.page_type('path', "lower(concat_ws(' ', title, array_to_string(heading_texts, ' '), first_1500_words))", V)} = 'pdp' AS pdp
+               {sql.page_type('path', "lower(concat_ws(' ', title, array_to_string(heading_texts, ' '), body_text))", V)} = 'pdp' AS pdp
         FROM feats)
       SELECT idx, CASE WHEN pdp THEN 'Product' ELSE 'WebPage' END AS type,
              CASE WHEN pdp THEN coalesce(nullif(entity, ''), nullif(title, ''), 'Product') ELSE coalesce(nullif(title, ''), url) END AS name,
@@ -519,7 +519,7 @@ ORACLES = {
              CASE WHEN pdp THEN 'USD' END AS currency, CASE WHEN pdp AND title <> '' THEN url END AS answer
       FROM s""",
     "gap_report": f"""
-      WITH {_GAPS}, {_OPPS}, r AS (SELECT *, row_number() OVER (ORDER BY idx, pos) AS place FROM opp)
+      WITH {_GAPS}, {_OPPS}, r AS (SELECT *, row_number() OVER (ORDER BY idx, pos) AS place FROM opp QUALIFY place <= 40)
       SELECT '# Content Gap Report' || chr(10) || chr(10) || '- Pages analyzed: ' || (SELECT count(*) FROM documents) || chr(10)
              || '- Recommended pages: ' || count(*) || chr(10) || chr(10) || '## Top Opportunities' || chr(10)
              || string_agg('- ' || title || ' (' || search_intent || ', ' || estimated_difficulty || ')', chr(10) ORDER BY place) FILTER (place <= 15)

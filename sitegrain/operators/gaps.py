@@ -6,20 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.functions.text import contains_any, first_n, hyphen_tokens, text_or_empty, title_case
-from sitegrain.operators.ordered import first_occurrence, lookup, unnest
+from sitegrain.operators.ordered import first_occurrence, lookup, top_k, unnest
 
 MISSING_PER_PAGE = 15
 THEMES_PER_PAGE = 20
 TOPICS_PER_PAGE = 5
-OPPORTUNITIES = 40
 REPORTED = 15
 
 
 def site_vocabulary(pages: DataFrame, group: tuple[str, ...] = ("site",)) -> DataFrame:
-    """Distinct tokens of a site's pages: prefix text, else visible text, else title."""
-    text = F.coalesce(
-        *[F.nullif(text_or_empty(F.col(c)), F.lit("")) for c in ("first_1500_words", "visible_text", "title")]
-    )
+    """Distinct tokens of a site's pages: whole text, else stored or visible text, else title."""
+    known = [c for c in ("body_text", "first_1500_words", "visible_text", "title") if c in pages.columns]
+    text = F.coalesce(*[F.nullif(text_or_empty(F.col(c)), F.lit("")) for c in known])
     tokens = F.array_distinct(hyphen_tokens(text))
     return unnest(pages, list(group), tokens, "token").distinct()
 
@@ -107,17 +105,18 @@ def recommend_pages(topics: DataFrame) -> DataFrame:
     )
 
 
-def gap_opportunities(gaps: DataFrame, limit: int = OPPORTUNITIES) -> DataFrame:
-    """First recommendations over all pages, one per title, in page order.
+def gap_opportunities(
+    gaps: DataFrame, limit: int | None = None, group: tuple[str, ...] = ("site",)
+) -> DataFrame:
+    """Recommendations of each site, one per title, first in page order.
 
-    ``gaps`` is the output of ``page_gaps``. The final list is at most ``limit``
-    rows, so its ordering is a top-k and never a global sort.
+    ``gaps`` is the output of ``page_gaps``. ``limit`` keeps the first ones per site.
     """
     first = first_n(F.col("all_missing"), TOPICS_PER_PAGE)
     topics = unnest(
-        gaps, ["idx", F.col("all_missing").alias("keywords")], first, "topic", "pos"
+        gaps, [*group, "idx", F.col("all_missing").alias("keywords")], first, "topic", "pos"
     ).withColumn("topic_rank", F.col("pos") + 1)
     rows = recommend_pages(topics)
     order = [F.col("idx"), F.col("pos")]
-    unique = first_occurrence(rows, ["title"], order)
-    return unique.orderBy(*order).limit(limit)
+    unique = first_occurrence(rows, [*group, "title"], order)
+    return unique if limit is None else top_k(unique, list(group), order, limit)

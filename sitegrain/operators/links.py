@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sitegrain.functions import urls
 from sitegrain.functions.text import bind, first_n, strip, text_or_empty
@@ -12,7 +15,6 @@ from sitegrain.session import cut_lineage
 from sitegrain.vocab import RELATED_DEFAULT, RELATED_TYPES
 
 MERGED_LINKS = 5
-CHECKED_LINKS = 20
 
 
 def merge_suggestions(
@@ -60,15 +62,16 @@ def known_link_hits(features: DataFrame, known_urls: DataFrame) -> DataFrame:
 
 
 def broken_links(
-    features: DataFrame, url_status: DataFrame, checked: int = CHECKED_LINKS
+    features: DataFrame, url_status: DataFrame, checked: int | None = None
 ) -> DataFrame:
-    """First links of each page whose status is missing or an error.
+    """Links of each page whose status is missing or an error.
 
-    ``url_status`` has ``(url, status)``, one row per URL.
+    ``url_status`` has ``(url, status)``; of several rows of a URL the worst
+    status counts. ``checked`` limits the links looked at per page.
     """
-    first = first_n(F.col("internal_links"), checked)
+    first = F.col("internal_links") if checked is None else first_n(F.col("internal_links"), checked)
     links = unnest(features, ["site", "idx", "url"], first, "link", "pos")
-    status = url_status.select(F.col("url").alias("link"), "status")
+    status = url_status.groupBy(F.col("url").alias("link")).agg(F.max("status").alias("status"))
     joined = lookup(links, status, ["link"], "idx")
     bad = joined.filter(F.col("status").isNull() | (F.col("status") >= 400))
     return bad.select("site", "idx", "url", "pos", "link", "status")
@@ -117,33 +120,35 @@ def reachable_pages(
     seeds: DataFrame,
     links: DataFrame,
     stored: DataFrame,
-    max_depth: int = 2,
-    max_pages: int = 250,
+    max_depth: int | None = None,
+    max_pages: int | None = None,
     page_filter: bool = True,
 ) -> DataFrame:
     """Breadth-first reach over the stored link table.
 
     ``seeds(site, url)``, ``links(site, source, pos, target)`` and
     ``stored(site, url)``. Visits are ordered by depth, then by the order in
-    which links appear; at most ``max_pages`` per site are visited, and visited
-    pages that are not stored count but lead nowhere. Each round is one
-    equi-join on the frontier, which the cap keeps small.
+    which links appear; visited pages that are not stored count but lead nowhere.
+    ``max_depth`` and ``max_pages`` (per site) are limits of a crawl; without them
+    the walk ends when nothing new is reached. The table of links is written once
+    and each round is one equi-join on the frontier.
     """
-    edges = links
+    edges = links.select("site", "source", "pos", "target")
     if page_filter:
         edges = edges.filter(
             (urls.hostname(F.col("target")) == F.col("site"))
             & urls.likely_html(F.col("target"))
             & ~urls.skip_for_audit(F.col("target"))
         )
-    have = stored.select("site", "url").distinct().withColumn("is_stored", F.lit(True))
+    edges = cut_lineage(edges, "edges")
+    have = cut_lineage(stored.select("site", "url").distinct().withColumn("is_stored", F.lit(True)), "stored")
     visited = first_occurrence(
         seeds.select("site", "url").withColumns({"depth": F.lit(0), "seq": F.lit(1).cast("long")}),
         ["site", "url"],
         [F.col("seq")],
     )
     frontier = visited
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         # Parents that hold no page have no links to follow.
         parents = frontier.join(have, ["site", "url"], "left_semi")
         step = parents.select(
@@ -155,17 +160,22 @@ def reachable_pages(
             [F.col("parent_seq"), F.col("pos")],
         ).join(visited.select("site", "url"), ["site", "url"], "left_anti")
         taken = visited.groupBy("site").agg(F.max("seq").alias("taken"))
-        numbered = top_k(
-            reached, ["site"], [F.col("parent_seq"), F.col("pos")], max_pages, "place"
-        ).join(taken, "site")
+        order = [F.col("parent_seq"), F.col("pos")]
+        if max_pages is None:
+            place = F.row_number().over(Window.partitionBy("site").orderBy(*order))
+            numbered = reached.withColumn("place", place).join(taken, "site")
+        else:
+            numbered = top_k(reached, ["site"], order, max_pages, "place").join(taken, "site")
         frontier = numbered.select(
             "site",
             "url",
             F.lit(depth).alias("depth"),
             (F.col("taken") + F.col("place")).alias("seq"),
-        ).filter(F.col("seq") <= max_pages)
+        )
+        if max_pages is not None:
+            frontier = frontier.filter(F.col("seq") <= max_pages)
         visited = visited.unionByName(frontier)
-        if depth >= 2 and depth < max_depth:
+        if max_depth is None or 2 <= depth < max_depth:
             visited = cut_lineage(visited)
             frontier = visited.filter(F.col("depth") == depth)
             if frontier.isEmpty():

@@ -87,15 +87,18 @@ def lookup(
     on: Sequence[str],
     spread: str,
     how: str = "left",
-    splits: int = 16,
+    splits: int | None = None,
 ) -> DataFrame:
     """Join rows to a table that has at most one row per key.
 
-    A key that holds a third of ``left`` would land in one task. The key is
-    therefore split by a hash of ``spread`` (a column that varies within a key)
-    and ``right`` repeated per split. Nothing is force-broadcast: if ``right``
-    turns out small, adaptive execution broadcasts it from its measured size.
+    A plain equi-join: adaptive execution splits the partitions of ``left`` that
+    a hot key swells, and broadcasts ``right`` where its measured size is small.
+    Where a caller knows that it must not rely on that, ``splits`` cuts every key
+    by a hash of ``spread`` (a column that varies within a key) and repeats
+    ``right`` per cut.
     """
+    if splits is None:
+        return left.join(right, list(on), how)
     salted = left.withColumn(_SALT, F.pmod(F.xxhash64(F.col(spread)), F.lit(splits)).cast("int"))
     copies = right.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
     return salted.join(copies, [*on, _SALT], how).drop(_SALT)

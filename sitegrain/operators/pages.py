@@ -58,6 +58,7 @@ def scrape_fields(pages: DataFrame) -> DataFrame:
         "title",
         "meta_description",
         "headings",
+        "body_text",
         F.array_join(first_n(F.col("body_words"), PREFIX_WORDS), " ").alias("first_1500_words"),
         F.size("body_words").cast("long").alias("word_count"),
         H.product_entity(H.first_h1(F.col("headings")), F.col("title"), F.col("url")).alias(
@@ -94,13 +95,13 @@ def technical_seo(pages: DataFrame) -> DataFrame:
     )
 
 
-def content_quality(features: DataFrame) -> DataFrame:
+def content_quality(features: DataFrame, prefix_words: int | None = None) -> DataFrame:
     """Quality fields; scraped headings win over the h1–h6 fallback when present.
 
-    ``quality_word_count`` counts the stored prefix, ``paragraph_count`` the
-    full HTML.
+    All counts are over the whole page. ``prefix_words`` limits the word count
+    to a stored prefix of that many words.
     """
-    count = F.least(F.col("word_count"), F.lit(PREFIX_WORDS))
+    count = F.col("word_count") if prefix_words is None else F.least(F.col("word_count"), F.lit(prefix_words))
     fallback = H.headings(F.col("visible"), "1-6")
     return features.withColumns(
         {

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sitegrain.functions.text import (
     WORD_END,
@@ -136,8 +137,8 @@ def blueprint_signature(page_type: Column, theme: Column, sections: Column) -> C
     return F.concat_ws("::", page_type, theme, order, variants)
 
 
-def record_patterns(store: DataFrame, uses: DataFrame, size: int = STORE_SIZE) -> DataFrame:
-    """Add pattern uses to the store; keep the most used, then the latest.
+def record_patterns(store: DataFrame, uses: DataFrame, size: int | None = None) -> DataFrame:
+    """Add pattern uses to the store; ``size`` keeps the most used, then the latest (``STORE_SIZE`` is usual).
 
     ``store(signature, page_type, theme, usage_count, last_used)``,
     ``uses(page_type, theme, sections, used_at)``. Uses are counted per
@@ -156,6 +157,8 @@ def record_patterns(store: DataFrame, uses: DataFrame, size: int = STORE_SIZE) -
         .groupBy("signature", "page_type", "theme")
         .agg(F.sum("usage_count").alias("usage_count"), F.max("last_used").alias("last_used"))
     )
+    if size is None:
+        return merged
     return merged.orderBy(F.desc("usage_count"), F.desc("last_used"), "signature").limit(size)
 
 
@@ -165,10 +168,10 @@ def confidence(usage_count: Column) -> Column:
 
 
 def rank_patterns(store: DataFrame, group: Sequence[str] = ("page_type", "theme")) -> DataFrame:
-    """Patterns with confidence and their rank per group (the store is capped)."""
+    """All patterns with confidence and their rank per group."""
     order = [F.desc("usage_count"), F.col("signature")]
     banded = store.withColumn("confidence", confidence(F.col("usage_count")))
-    return top_k(banded, list(group), order, STORE_SIZE, "rank")
+    return banded.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 
 
 def preferred_patterns(requests: DataFrame, store: DataFrame, spread: str) -> DataFrame:

@@ -55,11 +55,11 @@ def page_type(
 
 
 def route_pages(features: DataFrame, vocab: Vocabulary = Vocabulary()) -> DataFrame:
-    """Add ``page_type`` from URL, title, headings and visible text."""
+    """Add ``page_type`` from URL, title, headings and the whole visible text."""
     texts = F.transform("headings", lambda h: h["text"])
     return features.withColumn(
         "page_type",
-        page_type(F.col("url"), F.col("title"), texts, F.col("first_1500_words"), vocab),
+        page_type(F.col("url"), F.col("title"), texts, F.col("body_text"), vocab),
     )
 
 

@@ -13,12 +13,12 @@ from sitegrain.operators.ordered import first_occurrence, top_k
 from sitegrain.session import cut_lineage
 from sitegrain.vocab import MODEL_PRICES
 
-HASHED_FIELDS = ("title", "meta_description", "first_1500_words", "headings")
+HASHED_FIELDS = ("title", "meta_description", "body_text", "headings")
 DONE, FAILED, SKIPPED = "completed", "failed", "skipped"
 
 
 def content_hash(*fields: str) -> Column:
-    """SHA-256 of the JSON of the fields that define a page's content."""
+    """SHA-256 of the JSON of the fields that define a page's content (its whole text among them)."""
     names = fields or HASHED_FIELDS
     return F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
 

@@ -200,19 +200,20 @@ def entity_key(entity: Column, page_type: Column) -> Column:
 
 
 def intel_requests(pages: DataFrame) -> DataFrame:
-    """One request per entity key; the first page in site order supplies it.
+    """One request per site and entity key; the first page in site order supplies it.
 
     ``pages``: ``site, idx, url, title, page_type, product_entity, headings,
     first_1500_words``.
     """
     keyed = pages.withColumn("entity_key", entity_key(F.col("product_entity"), F.col("page_type")))
-    first = first_occurrence(keyed, ["entity_key"], [F.col("idx")])
+    first = first_occurrence(keyed, ["site", "entity_key"], [F.col("idx"), F.col("url")])
     query = F.coalesce(
         F.nullif(text_or_empty(F.col("product_entity")), F.lit("")),
         F.nullif(text_or_empty(F.col("title")), F.lit("")),
         F.col("url"),
     )
     return first.select(
+        "site",
         "entity_key",
         F.col("idx").alias("request_idx"),
         F.col("url").alias("request_url"),
@@ -224,9 +225,9 @@ def intel_requests(pages: DataFrame) -> DataFrame:
 
 
 def attach_by_entity(pages: DataFrame, per_key: DataFrame) -> DataFrame:
-    """Join a table with one row per entity key back to all pages."""
+    """Join a table with one row per site and entity key back to all pages."""
     keyed = pages.withColumn("entity_key", entity_key(F.col("product_entity"), F.col("page_type")))
-    return lookup(keyed, per_key, ["entity_key"], "idx")
+    return lookup(keyed, per_key, ["site", "entity_key"], "idx")
 
 
 def query_hash(query: Column) -> Column:

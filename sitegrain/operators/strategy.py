@@ -14,8 +14,6 @@ from sitegrain.vocab import BLOG_TOPIC_TEMPLATES
 SHORT_LIST = 10
 LINK_LINES = 30
 GAP_KEYWORDS = 5
-GAP_ROWS = 20
-BLOG_TOPICS = 12
 
 
 def pages_by_type(audits: DataFrame, group: Sequence[str] = ("site",)) -> DataFrame:
@@ -59,29 +57,29 @@ def link_lines(plan: DataFrame, n: int = LINK_LINES, group: Sequence[str] = ("si
     return rows.select(*group, "line_no", line.alias("line"))
 
 
-def keyword_gaps(clusters: DataFrame, audits: DataFrame, limit: int = GAP_ROWS) -> DataFrame:
-    """First cluster rows, in page order, whose keywords the page's text lacks.
+def keyword_gaps(
+    clusters: DataFrame, audits: DataFrame, limit: int | None = None, group: Sequence[str] = ("site",)
+) -> DataFrame:
+    """Cluster rows whose keywords the page's text lacks; ``limit`` keeps the first per site, in page order.
 
-    ``clusters(idx, url, topic_pos, topic, keywords)``,
-    ``audits(idx, url, seo_recommendations)``.
+    ``clusters(site, idx, url, topic_pos, topic, keywords)``,
+    ``audits(site, idx, url, seo_recommendations)``.
     """
-    first = first_occurrence(audits, ["url"], [F.col("idx")]).select("url", "seo_recommendations")
-    joined = lookup(clusters, first, ["url"], "idx")
+    first = first_occurrence(audits, [*group, "url"], [F.col("idx")]).select(*group, "url", "seo_recommendations")
+    joined = lookup(clusters, first, [*group, "url"], "idx")
     missing = listed_in(
         list_or_empty(F.col("keywords")), text_or_empty(F.col("seo_recommendations")), present=False
     )
     gaps = joined.withColumn("missing", missing).filter(F.size("missing") > 0)
-    return (
-        gaps.orderBy("idx", "topic_pos")
-        .limit(limit)
-        .select("idx", "url", "topic", first_n(F.col("missing"), GAP_KEYWORDS).alias("missing_keywords"))
-    )
+    if limit is not None:
+        gaps = top_k(gaps, list(group), [F.col("idx"), F.col("topic_pos")], limit)
+    return gaps.select(*group, "idx", "url", "topic", first_n(F.col("missing"), GAP_KEYWORDS).alias("missing_keywords"))
 
 
-def blog_topics(patterns: DataFrame, limit: int = BLOG_TOPICS) -> DataFrame:
-    """First distinct blog topics, in page and pattern order.
+def blog_topics(patterns: DataFrame, limit: int | None = None, group: Sequence[str] = ("site",)) -> DataFrame:
+    """Distinct blog topics of each site; ``limit`` keeps the first, in page and pattern order.
 
-    ``patterns(idx, pos, core_keyword, pattern)``. Patterns compare by equality.
+    ``patterns(site, idx, pos, core_keyword, pattern)``. Patterns compare by equality.
     """
     entity = F.coalesce(F.nullif(text_or_empty(F.col("core_keyword")), F.lit("")), F.lit("product"))
     topic = F.lit(None).cast("string")
@@ -91,6 +89,7 @@ def blog_topics(patterns: DataFrame, limit: int = BLOG_TOPICS) -> DataFrame:
         ).otherwise(topic)
     rows = patterns.withColumn("topic", topic).filter("topic IS NOT NULL")
     order = [F.col("idx"), F.col("pos")]
-    return first_occurrence(rows, ["topic"], order).orderBy(*order).limit(limit).select(
-        "idx", "pos", "topic"
-    )
+    unique = first_occurrence(rows, [*group, "topic"], order)
+    if limit is not None:
+        unique = top_k(unique, list(group), order, limit)
+    return unique.select(*group, "idx", "pos", "topic")

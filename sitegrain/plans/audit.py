@@ -103,7 +103,7 @@ def audit_sites(
             vocab,
         )
         seen = insights(intel, AUDIT_THEMES)
-        per_key = requests.select("entity_key", "query").join(seen, "query")
+        per_key = requests.select("site", "entity_key", "query").join(seen, "query")
         base = attach_by_entity(base, per_key)
     else:
         base = base.withColumn("keyword_themes", F.array().cast("array<string>"))

@@ -64,7 +64,7 @@ def optimize_pages(
         )
     else:
         ready = attach_by_entity(
-            with_schema.drop("average_word_count", *lists), intel.select("entity_key", "average_word_count", *lists)
+            with_schema.drop("average_word_count", *lists), intel.select("site", "entity_key", "average_word_count", *lists)
         )
     scored = scoring.content_score(scoring.evaluate(ready, rules=rules), rules=rules)
     decided = scoring.retry_decision(scored.withColumn("attempt", F.coalesce("attempt", F.lit(1))), rules)
@@ -83,7 +83,7 @@ def page_intel(features: DataFrame, serp_pages: DataFrame, vocab: Vocabulary = V
     requests = cut_lineage(intel_requests(features))
     queries = requests.select("query", F.lit("ok").alias("status"), "headings", "text").dropDuplicates(["query"])
     intel = serp_intel(queries, serp_pages, vocab)
-    return requests.select("entity_key", "query").join(intel, "query")
+    return requests.select("site", "entity_key", "query").join(intel, "query")
 
 
 def find_gaps(features: DataFrame, intel: DataFrame) -> GapAnalysis:
@@ -91,14 +91,14 @@ def find_gaps(features: DataFrame, intel: DataFrame) -> GapAnalysis:
 
     Pages without an entity or title are left out, as they have no query.
     """
-    vocabulary = gaps.site_vocabulary(features.withColumn("visible_text", F.col("first_1500_words")))
+    vocabulary = gaps.site_vocabulary(features)
     named = features.filter(
         F.coalesce(
             F.nullif(text_or_empty(F.col("product_entity")), F.lit("")), text_or_empty(F.col("title"))
         )
         != ""
     )
-    themes = attach_by_entity(named, intel.select("entity_key", "semantic_phrases")).select(
+    themes = attach_by_entity(named, intel.select("site", "entity_key", "semantic_phrases")).select(
         "site",
         "idx",
         F.coalesce("semantic_phrases", F.array().cast("array<string>")).alias("keywords"),

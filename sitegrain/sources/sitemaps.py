@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 
 from sitegrain.functions import urls
 from sitegrain.functions.html import decode_references
-from sitegrain.functions.text import bind, strip, text_or_empty
+from sitegrain.functions.text import strip, text_or_empty
 from sitegrain.operators.links import reachable_pages
 from sitegrain.operators.ordered import first_occurrence, unnest
 from sitegrain.session import cut_lineage
 
-MAX_SITEMAPS = 40
-AUDIT_SITEMAPS = 30
-
 
 def _locs(xml: Column, entry: str) -> Column:
     """First ``<loc>`` of every ``<entry>`` element, trimmed, blanks dropped."""
@@ -52,26 +49,27 @@ def read_sitemap_files(spark: SparkSession, path: str, index: bool = False) -> D
     return rows.filter("loc <> ''")
 
 
-def _before_bad(locs: Column) -> Column:
-    """Entries before the first one that is no absolute URL: the rest of a file
-    is not read once an entry fails."""
+def _good(locs: Column) -> Column:
+    """Entries that are absolute URLs; the others are in ``bad_locs``."""
+    return F.filter(locs, lambda u: urls.is_absolute(u))
 
-    def cut(items: Column) -> Column:
-        return bind(
-            F.array_position(F.transform(items, lambda u: urls.is_absolute(u)), F.lit(False)),
-            lambda bad: F.when(bad > 0, F.slice(items, F.lit(1), bad.cast("int") - 1)).otherwise(items),
-        )
 
-    return bind(locs, cut)
+def bad_locs(sitemaps: DataFrame) -> DataFrame:
+    """``(url, pos, loc)`` of every entry of stored sitemaps that is no absolute URL."""
+    rows = unnest(sitemaps, ["url"], all_locs(F.col("xml")), "loc", "pos")
+    return rows.filter(~urls.is_absolute(F.col("loc"))).select("url", "pos", "loc")
 
 
-def sitemap_pages(roots: DataFrame, sitemaps: DataFrame, audit: bool = False) -> DataFrame:
+def sitemap_pages(
+    roots: DataFrame, sitemaps: DataFrame, audit: bool = False, max_sitemaps: int | None = None
+) -> DataFrame:
     """Pages listed by the sitemaps reachable from ``/sitemap.xml`` of each root.
 
     ``roots(base_url)``, ``sitemaps(url, xml)`` (stored files). Result: ``site,
     pos, url`` with one row per page, ``pos`` ordered by sitemap visit and place
     in the file. The audit form takes every ``<loc>``: names that look like
-    sitemaps are children, the rest pages, and utility paths are kept.
+    sitemaps are children, the rest pages, and utility paths are kept. Bad
+    entries are passed over. ``max_sitemaps`` limits the files read per site.
     """
     origin = urls.base_url(F.col("base_url"))
     seeds = roots.select(
@@ -79,20 +77,16 @@ def sitemap_pages(roots: DataFrame, sitemaps: DataFrame, audit: bool = False) ->
     ).distinct()
     if audit:
         looks_like_map = lambda u: u.rlike(r"(?i)\.xml(?:\?|$)") | u.rlike("(?i)sitemap")
-        parsed = sitemaps.withColumn("__locs", _before_bad(all_locs(F.col("xml")))).withColumns(
+        parsed = sitemaps.withColumn("__locs", _good(all_locs(F.col("xml")))).withColumns(
             {
                 "page_locs": F.filter("__locs", lambda u: ~looks_like_map(u)),
                 "sitemap_locs": F.filter("__locs", looks_like_map),
             }
         )
     else:
-        whole = parse_sitemaps(sitemaps)
-        pages = _before_bad(F.col("page_locs"))
-        complete = F.size(pages) == F.size("page_locs")
-        children = F.when(complete, _before_bad(F.col("sitemap_locs"))).otherwise(
-            F.array().cast("array<string>")
+        parsed = parse_sitemaps(sitemaps).withColumns(
+            {"sitemap_locs": _good(F.col("sitemap_locs")), "page_locs": _good(F.col("page_locs"))}
         )
-        parsed = whole.withColumns({"sitemap_locs": children, "page_locs": pages})
     # Files are parsed once; the walk below reads the parsed table each round.
     stored = cut_lineage(
         parsed.select(
@@ -105,8 +99,7 @@ def sitemap_pages(roots: DataFrame, sitemaps: DataFrame, audit: bool = False) ->
     edges = unnest(
         stored, ["site", F.col("url").alias("source")], F.col("children"), "target", "pos"
     ).filter(urls.hostname(F.col("target")) == F.col("site"))
-    cap = AUDIT_SITEMAPS if audit else MAX_SITEMAPS
-    visited = reachable_pages(seeds, edges, stored, max_depth=cap, max_pages=cap, page_filter=False)
+    visited = reachable_pages(seeds, edges, stored, max_depth=None, max_pages=max_sitemaps, page_filter=False)
     listed = (
         visited.select("site", "url", "seq")
         .join(stored.select("site", "url", "pages"), ["site", "url"])

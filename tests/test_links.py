@@ -151,3 +151,11 @@ def test_reach_cap_and_missing_pages(spark):
         ("https://s.com/2", 1, False), ("https://s.com/3", 1, False), ("https://s.com/deep", 2, True),
     ]
     assert L.reachable_pages(seeds, links, stored, max_pages=3).count() == 3
+    assert L.reachable_pages(seeds, links, stored, max_depth=1).count() == 5
+
+
+def test_every_broken_link_is_found(spark):
+    pages = spark.createDataFrame([("s", 1, "u", [f"l{i}" for i in range(30)])], "site STRING, idx BIGINT, url STRING, internal_links ARRAY<STRING>")
+    status = spark.createDataFrame([("l0", 200), ("l0", 500), ("l1", 200)], "url STRING, status INT")
+    assert L.broken_links(pages, status).count() == 29
+    assert L.broken_links(pages, status, checked=2).count() == 1

@@ -48,7 +48,7 @@ def test_staged_run(spark):
     assert {r["idx"]: r["missing_keywords"] for r in found.pages.collect()}[1] == [
         "hurricane grade", "grade mesh", "hurricane grade mesh", "grade mesh banner",
     ]
-    assert found.opportunities.first()["title"] == "Hurricane Grade Guide"
+    assert found.opportunities.orderBy("idx", "pos").first()["title"] == "Hurricane Grade Guide"
 
 
 def test_limits_and_filter(spark):

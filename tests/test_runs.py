@@ -70,10 +70,34 @@ def test_reports(spark):
 
 
 def test_keyword_gaps_use_first_audit(spark):
-    clusters = spark.createDataFrame([(1, "u", 0, "t", ["Mesh", "vinyl"]), (2, "v", 0, "t", ["x"])], "idx BIGINT, url STRING, topic_pos INT, topic STRING, keywords ARRAY<STRING>")
-    audits = spark.createDataFrame([(1, "u", "has mesh"), (2, "u", "has vinyl")], "idx BIGINT, url STRING, seo_recommendations STRING")
-    got = [(r["url"], r["missing_keywords"]) for r in strategy.keyword_gaps(clusters, audits).collect()]
-    assert got == [("u", ["vinyl"]), ("v", ["x"])]
+    clusters = spark.createDataFrame([("a", 1, "u", 0, "t", ["Mesh", "vinyl"]), ("a", 2, "v", 0, "t", ["x"]), ("b", 1, "u", 0, "t", ["y"])], "site STRING, idx BIGINT, url STRING, topic_pos INT, topic STRING, keywords ARRAY<STRING>")
+    audits = spark.createDataFrame([("a", 1, "u", "has mesh"), ("a", 2, "u", "has vinyl")], "site STRING, idx BIGINT, url STRING, seo_recommendations STRING")
+    got = sorted((r["site"], r["url"], r["missing_keywords"]) for r in strategy.keyword_gaps(clusters, audits).collect())
+    assert got == [("a", "u", ["vinyl"]), ("a", "v", ["x"]), ("b", "u", ["y"])]
+    # A limit holds per site.
+    first = strategy.keyword_gaps(clusters, audits, limit=1).collect()
+    assert sorted((r["site"], r["url"]) for r in first) == [("a", "u"), ("b", "u")]
+
+
+def test_whole_text_decides_that_a_page_changed(spark):
+    text = " ".join(f"w{i}" for i in range(2000))
+    pages = spark.createDataFrame(
+        [("t", "d", text + end, []) for end in (" old", " new", " old")],
+        "title STRING, meta_description STRING, body_text STRING, headings ARRAY<STRUCT<tag:STRING,text:STRING>>",
+    )
+    a, b, c_ = [r[0] for r in pages.select(runs.content_hash()).collect()]
+    assert a == c_ and a != b
+
+
+def test_blog_topics_of_every_site(spark):
+    rows = [(s, i, 0, "item", "pricing") for s in "ab" for i in range(20)]
+    patterns = spark.createDataFrame(rows, "site STRING, idx BIGINT, pos INT, core_keyword STRING, pattern STRING")
+    assert sorted((r["site"], r["idx"]) for r in strategy.blog_topics(patterns).collect()) == [("a", 0), ("b", 0)]
+
+
+def test_all_patterns_are_ranked(spark):
+    store = spark.createDataFrame([(f"s{i:03d}", "home", "gym", 1) for i in range(250)], "signature STRING, page_type STRING, theme STRING, usage_count BIGINT")
+    assert Pt.rank_patterns(store).count() == 250
 
 
 def test_patterns(spark):
@@ -86,7 +110,8 @@ def test_patterns(spark):
         [(f"s{i}", "home", "gym", 1, f"2023-01-01 {i:03d}") for i in range(205)],
         "signature STRING, page_type STRING, theme STRING, usage_count BIGINT, last_used STRING",
     )
-    kept = Pt.record_patterns(store, uses)
+    assert Pt.record_patterns(store, uses).count() == 206
+    kept = Pt.record_patterns(store, uses, size=Pt.STORE_SIZE)
     rows = kept.collect()
     assert len(rows) == 200
     assert (rows[0]["signature"], rows[0]["usage_count"]) == ("home::gym::hero|cta::hero:a|cta:b", 2)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sitegrain.operators import reports
 from sitegrain.sources import artifacts as A
 from sitegrain.sources import url_lists as U
-from sitegrain.sources.sitemaps import parse_sitemaps, read_sitemap_files, sitemap_pages
+from sitegrain.sources.sitemaps import bad_locs, parse_sitemaps, read_sitemap_files, sitemap_pages
 
 
 def test_url_list(spark, tmp_path):
@@ -45,12 +45,22 @@ def test_sitemaps(spark):
     assert len(parsed["https://s.com/sitemap.xml"]["sitemap_locs"]) == 5
     roots = spark.createDataFrame([("s.com",)], "base_url STRING")
     got = [r["url"] for r in sitemap_pages(roots, stored).orderBy("pos").collect()]
-    # The file with a bad entry is read up to it; the index loop ends.
-    assert got == ["https://s.com/2", "https://s.com/1", "https://s.com/?a=1&b=2", "https://s.com/3"]
+    # A bad entry is passed over; the index loop ends.
+    assert got == ["https://s.com/2", "https://s.com/1", "https://s.com/?a=1&b=2", "https://s.com/3", "https://s.com/4"]
+    assert [(r["url"], r["loc"]) for r in bad_locs(stored).collect()] == [("https://s.com/b.xml", "bad")]
+    limited = sitemap_pages(roots, stored, max_sitemaps=2)
+    assert limited.count() == 3
     audit = [r["url"] for r in sitemap_pages(roots, stored, audit=True).orderBy("pos").collect()]
     assert "https://s.com/login" in audit and "https://s.com/3" in audit
 
 
+def test_every_sitemap_of_a_site_is_read(spark):
+    maps = [("https://s.com/sitemap.xml", xml("sitemapindex", "sitemap", *(f"https://s.com/m{i}.xml" for i in range(60))))]
+    maps += [(f"https://s.com/m{i}.xml", xml("urlset", "url", f"https://s.com/p{i}")) for i in range(60)]
+    roots = spark.createDataFrame([("s.com",)], "base_url STRING")
+    assert sitemap_pages(roots, spark.createDataFrame(maps, "url STRING, xml STRING")).count() == 60
+
+
 def test_sitemap_files(spark, tmp_path):
     (tmp_path / "a.xml").write_text(STORED[1][1].replace(" xmlns='x'", ""))
     assert read_sitemap_files(spark, str(tmp_path)).count() == 6

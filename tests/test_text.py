@@ -115,9 +115,13 @@ def test_gaps(spark):
 
 def test_opportunities(spark):
     df = spark.createDataFrame(
-        [(1, ["how to mount", "b", "c", "tips for x", "e", "f"]), (2, ["b", "best y"])], "idx BIGINT, all_missing ARRAY<STRING>"
+        [("a", 1, ["how to mount", "b", "c", "tips for x", "e", "f"]), ("a", 2, ["b", "best y"]), ("b", 1, ["b"])],
+        "site STRING, idx BIGINT, all_missing ARRAY<STRING>",
     )
-    got = gaps.gap_opportunities(df).collect()
+    every = gaps.gap_opportunities(df).orderBy("site", "idx", "pos").collect()
+    assert [r["title"] for r in every if r["site"] == "b"] == ["B Guide"]
+    assert gaps.gap_opportunities(df, limit=2).groupBy("site").count().count() == 2
+    got = [r for r in every if r["site"] == "a"]
     assert [r["title"] for r in got] == [
         "How To Mount Guide", "B Guide", "C Guide", "Tips For X Guide", "E Guide", "Best Y Guide",
     ]
