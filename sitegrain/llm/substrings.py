@@ -7,8 +7,9 @@ support: the words that decided on it. Equal windows therefore hold the same sym
 support lies inside, whatever surrounds them.
 
 Each window of ``window`` words is filed under its highest such symbol (named by the words of its
-support). Neighbouring windows with the same symbol form one segment, about one for nine words:
-only segments are shuffled. A name with one occurrence is unique. Where all segments of a name are
+support). Neighbouring windows with the same symbol form one segment, about one for eight words:
+only segments are shuffled. More rounds give longer symbols, of which fewer are certain in a window of
+20 words, so neighbours agree less: two rounds move the least among those that name pairs of pairs. A name with one occurrence is unique. Where all segments of a name are
 equal, all but the first are repeats. Where they differ (the edges of repeated passages), the
 windows of each different segment are compared one by one. The result is exact.
 """
@@ -27,7 +28,7 @@ from sitegrain.llm.tables import Scratch
 from sitegrain.llm.words import Slice, mix, signed, slices, span_hashes
 
 WINDOW = 20
-ROUNDS = 5
+ROUNDS = 2
 
 _FAR = np.int64(1) << 60
 
@@ -79,7 +80,8 @@ def _beside(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray
 def segments(s: Slice, window: int, rounds: int) -> tuple[np.ndarray, ...]:
     """Document, first window, number of windows, name and content hash of every segment.
 
-    The number is negative if two windows of the segment may be equal (periodic text).
+    A segment in which two windows may be equal (periodic text) comes twice, with two contents, so that
+    its windows are compared one by one.
     """
     n = len(s.hashes)
     sizes = np.diff(s.words)
@@ -118,7 +120,9 @@ def segments(s: Slice, window: int, rounds: int) -> tuple[np.ndarray, ...]:
     for d in range(1, window):
         same = np.flatnonzero((whole[d:] == whole[:-d]) & (number[d:] == number[:-d]))
         periodic[number[same]] = True
-    return doc[at], at - s.words[:-1][doc[at]], np.where(periodic, -count, count), best[first], span_hashes(s.hashes, at, at + count + window - 1, 0x7FB5D329728EA185)
+    content = span_hashes(s.hashes, at, at + count + window - 1, 0x7FB5D329728EA185)
+    out = doc[at], at - s.words[:-1][doc[at]], count, best[first], content
+    return tuple(np.concatenate([x, (~x if x is content else x)[periodic]]) for x in out)
 
 
 def _segment_rows(docs: DataFrame, window: int, rounds: int) -> DataFrame:
@@ -161,49 +165,66 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pos, n, np.repeat(np.arange(len(lists)), sizes)
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, scratch: Scratch | None = None) -> DataFrame:
+def _texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and the other columns, whatever their names, in one."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *([F.struct(*rest).alias("__rest")] if rest else []))
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, spans``: word ranges (pos, n) whose windows start earlier, too, in one row per document.
 
     Earlier means a smaller doc_id, or a smaller start in the same document. Rows with a null
     doc_id take no part. Rows that repeat a doc_id count as one document: none is earlier than the
     other, and their spans are pooled. Null or short texts have no windows.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "substrings")
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    rows = _segment_rows(texts.filter("doc_id is not null"), window, rounds)
-    place = F.struct("doc_id", "pos")
+    scratch = Scratch(docs.sparkSession, "substrings")
+    texts = _texts(docs).filter("doc_id is not null")
+    rows = _segment_rows(texts.select("doc_id", "text"), window, rounds)
+    # Four numbers per name: what the map side sends stays as small as the segments themselves.
     names = rows.groupBy("name").agg(
-        F.min("content").alias("c0"), F.max("content").alias("c1"), F.min(place).alias("first"), F.max(place).alias("last"), F.min("n").alias("n")
+        F.min("content").alias("c0"), F.max("content").alias("c1"), F.count("*").alias("k"), F.min("doc_id").alias("home")
     )
-    shared = names.filter("first <> last or n < 0").select("name", F.expr("c0 = c1 and n > 0").alias("alike"), "first")
-    hits = rows.join(scratch.keep(shared, "names"), "name").filter(~F.col("alike") | (place != F.col("first")))
-    hits = scratch.keep(hits.select("name", "content", "doc_id", "pos", F.abs("n").alias("n"), "alike"), "hits")
+    shared = scratch.keep(names.filter("k > 1").select("name", F.expr("c0 = c1").alias("alike"), "home"), "names")
+    hits = rows.join(shared, "name")
+    hits = scratch.keep(hits.select("name", "content", "doc_id", "pos", "n", "alike", (F.col("doc_id") == F.col("home")).alias("home")), "hits")
+
+    # Names of one content: every occurrence but the first repeats. Several in the first document are told apart by place.
+    alike = hits.filter("alike")
+    inner = alike.filter("home").groupBy("name").agg(F.min("pos").alias("p0"), F.count("*").alias("k")).filter("k > 1")
+    inner = alike.filter("home").join(inner, "name").filter("pos <> p0")
+    whole = alike.filter("not home").select("doc_id", "pos", "n").union(inner.select("doc_id", "pos", "n"))
 
-    unlike = hits.filter("not alike").drop("alike")
+    # Names of several contents: of each content only the first occurrence has windows to compare.
+    place = F.struct("doc_id", "pos")
+    unlike = hits.filter("not alike").select("name", "content", "doc_id", "pos", "n")
     firsts = unlike.groupBy("name", "content").agg(F.min(place).alias("first"))
-    unlike = unlike.join(firsts, ["name", "content"]).withColumn("again", place != F.col("first"))
-    whole = hits.filter("alike").select("doc_id", "pos", "n").union(unlike.filter("again").select("doc_id", "pos", "n"))
+    unlike = scratch.keep(unlike.join(firsts, ["name", "content"]).withColumn("again", place != F.col("first")).drop("first"), "edges")
+    whole = whole.union(unlike.filter("again").select("doc_id", "pos", "n"))
     whole = whole.select("doc_id", "pos", (F.col("n") + (window - 1)).alias("n"))
 
+    # Not cut: the join of the texts shares their exchange with the one that the caller makes.
     edges = unlike.filter("not again").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
-    windows = scratch.keep(_window_rows(texts.join(edges, "doc_id"), window), "windows")
-    seen = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
+    windows = _window_rows(texts.join(edges.hint("merge"), "doc_id"), window)
+    seen = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("k")).filter("k > 1")
     again = windows.join(seen, ["h1", "h2"]).filter(place != F.col("first")).select("doc_id", "pos", F.lit(window).alias("n"))
     return whole.union(again).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, whole_texts: bool = False) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept`` for every row: the words that stay, joined by one space.
+    """``docs`` without ``text``, with ``n_words``, ``n_removed`` and ``kept``: the words that stay, joined by one blank.
 
-    With ``whole_texts`` a text that loses nothing is returned as it is. Null texts have no words.
+    With ``whole_texts`` a text that loses nothing is kept as it is. Null texts have no words. Columns of ``docs``
+    with one of the three names are replaced; all others pass through unread.
     """
+    docs = docs.select(*(f"`{c}`" for c in docs.columns if c not in ("n_words", "n_removed", "kept")))
     spans = repeated_spans(docs, window, rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                pos, n, row = _flat(part.column("spans"))
+                pos, n, row = _flat(part.column(part.schema.names.index("spans")))
                 edge = np.searchsorted(row, np.arange(part.num_rows + 1))
                 total, gone, kept = [], [], []
                 for k, text in enumerate(part.column("text").cast(pa.large_binary())):
@@ -221,10 +242,15 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
                     stay = np.cumsum(step[:-1]) == 0
                     gone.append(len(words) - int(stay.sum()))
                     kept.append(b" ".join(compress(words, stay.tolist())))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.large_binary()).cast(pa.large_string()).cast(pa.string())],
-                    names=["doc_id", "n_words", "n_removed", "kept"],
-                )
-
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return texts.join(spans, "doc_id", "left").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+                new = [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.large_binary()).cast(pa.large_string()).cast(pa.string())]
+                old = [c for c in part.schema.names if c not in ("spans", "text")]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in old), *new], names=[*old, "n_words", "n_removed", "kept"])
+
+    texts = _texts(docs)
+    passed = [c for c in texts.columns if c != "text"]
+    joined = texts.filter("doc_id is not null").join(spans.hint("merge"), "doc_id", "left")
+    unnamed = texts.filter("doc_id is null").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields if f.name in passed)
+    out = joined.unionByName(unnamed).mapInArrow(run, f"{schema}, n_words bigint, n_removed bigint, kept string")
+    rest = [F.col(f"__rest.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return out.select("doc_id", *rest, "n_words", "n_removed", "kept")
