@@ -38,8 +38,8 @@ def audit_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _audit(spark, sf).summary
 
 
-def sitemap_walk(spark: SparkSession, sf: str) -> DataFrame:
-    """Every order is a small site: an index file with two page files."""
+def order_sitemaps(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Roots and stored sitemaps: every order is a small site, an index file with two page files."""
     item = table(spark, sf, "orders")
     site = F.concat(F.lit("https://o"), "o_orderkey", F.lit(".example.com"))
     entry = lambda tag, *url: F.concat(F.lit(f"<{tag}><loc> "), *url, F.lit(f" </loc></{tag}>"))
@@ -70,7 +70,12 @@ def sitemap_walk(spark: SparkSession, sf: str) -> DataFrame:
         ).alias("files"),
     )
     stored = based.select(F.explode("files").alias("f")).select("f.url", "f.xml")
-    return sitemap_pages(based.select("base_url").distinct(), stored).select("site", "url")
+    return based.select("base_url").distinct(), stored
+
+
+def sitemap_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of every order's sitemaps."""
+    return sitemap_pages(*order_sitemaps(spark, sf)).select("site", "url")
 
 
 def stored_artifacts(spark: SparkSession, sf: str) -> DataFrame:
