@@ -161,7 +161,8 @@ def mixture(docs: DataFrame, o: MixOptions = MixOptions()) -> DataFrame:
     key = lambda d: d.withColumn("named", F.col("source").isNotNull()).fillna("", ["source"])
     low = F.greatest(F.col("block") * o.block - F.col("begin"), F.lit(0))
     high = F.least((F.col("block") + 1) * o.block - F.col("begin"), F.col("size"))
-    taken = key(parts).join(key(draws), ["named", "source", "block"]).select(
+    # Spark takes the draws for as small as the targets that they are made from; they grow with the corpus.
+    taken = key(parts).join(key(draws).hint("merge"), ["named", "source", "block"]).select(
         "row", F.explode("copies").alias("copy"), low.alias("first"), (high - low).alias("words")
     )
     taken = taken.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("copy", "first", "words"))).alias("pieces"))
