@@ -224,7 +224,7 @@ ORACLES = {
              FROM ct s JOIN ct t ON s.site = t.site AND s.idx <> t.idx GROUP BY ALL),
       lk AS (SELECT site, sum(k) AS k FROM (SELECT site, si, least(5, count(*) FILTER (sc > 0)) AS k FROM pr GROUP BY ALL) GROUP BY 1)
       SELECT f.site, count(*) AS total_pages, count(*) FILTER (len(body_words) < 300) AS thin_pages,
-        count(*) FILTER (n < 2 OR known = 0) AS weak_internal_link_pages, count(*) AS missing_meta_pages, count(*) AS serp_analyzed_pages,
+        count(*) FILTER (n < 2 OR known = 0) AS weak_internal_link_pages, count(*) AS missing_meta_pages, 0::BIGINT AS serp_analyzed_pages,
         count(*) AS keyword_clustered_pages, coalesce(any_value(lk.k), 0)::BIGINT AS internal_link_recommendations
       FROM full_pages f JOIN hits USING (idx) LEFT JOIN lk ON lk.site = f.site GROUP BY 1""",
     "sitemap_walk": """

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitegrain.catalog import sql
 from sitegrain.catalog.common import joined, table
 from sitegrain.operators import quality, reports, runs, strategy
 from sitegrain.operators.quality import Field
 from sitegrain.sources import artifacts as A
+from sitegrain.vocab import MISSING_CATEGORY_PAGES, PILLAR_PAGES
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
@@ -197,6 +199,29 @@ def strategy_summary(spark: SparkSession, sf: str) -> DataFrame:
     return strategy.summary(audits, e.filter(kind == "purchase").select("site"))
 
 
+def site_strategy(spark: SparkSession, sf: str) -> DataFrame:
+    """Strategy of every source: a page per document, a planned link per order line, a blog pattern per event."""
+    docs = table(spark, sf, "documents")
+    words = F.split("text", " ")
+    audits = docs.select(
+        F.col("source").alias("site"), F.col("doc_id").alias("idx"), F.concat(F.lit("/d/"), "doc_id").alias("url"),
+        (F.col("n_chars") < 600).alias("thin_content"), (F.col("doc_id") % 7 == 3).alias("orphan_page_risk"),
+        F.when(F.col("lang") == "en", "").otherwise(F.col("lang")).alias("meta_description"), (F.col("doc_id") % 2 == 0).alias("serp_analyzed"),
+        F.lit(True).alias("keyword_clustered"), F.array(F.struct(F.col("lang").alias("topic"), words.alias("keywords"))).alias("clusters"),
+        F.element_at(F.split("text", "\n"), 1).alias("seo_recommendations"),
+    )
+    plan = table(spark, sf, "lineitem").select(
+        F.concat(F.lit("src"), F.col("l_suppkey") % 25).alias("site"), F.col("l_orderkey").alias("source_idx"), (F.col("l_linenumber") * F.lit(1 << 32) + F.col("l_partkey")).alias("rank"),
+        F.concat(F.lit("/o/"), "l_orderkey").alias("source_page"), F.col("l_linestatus").alias("anchor"), F.concat(F.lit("/p/"), "l_partkey").alias("target_page"),
+    )
+    patterns = _events(spark, sf).select(
+        F.concat(F.lit("src"), F.col("user_id") % 25).alias("site"), F.col("user_id").alias("idx"), F.col("event_id").alias("pos"),
+        F.when(F.col("event_type") == "view", "how-to").when(F.col("event_type") == "click", "pricing").alias("pattern"), F.concat(F.lit("item "), "user_id").alias("core_keyword"),
+    )
+    report = strategy.site_strategy(audits, plan, patterns)
+    return report.select(*(joined(F.col(c)).alias(c) if t.startswith("array") else F.col(c) for c, t in report.dtypes))
+
+
 def thin_pages(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(
         F.col("source").alias("site"), F.col("doc_id").alias("idx"), F.concat(F.lit("/d/"), "doc_id").alias("url"),
@@ -352,7 +377,7 @@ QUERIES = {
     for f in (
         latest_snapshots, overlaid_states, unchanged_pages, crawl_diff, resumed_pages, model_costs, cost_report,
         run_report, run_errors, site_audit_summary, batch_summary, run_artifacts, dimension_rows, finished_runs,
-        skip_ladder, strategy_summary, thin_pages, link_lines, keyword_gaps, blog_topics, contract_violations,
+        skip_ladder, strategy_summary, site_strategy, thin_pages, link_lines, keyword_gaps, blog_topics, contract_violations,
         blueprint_violations, page_audit_reports, site_overviews, output_index, log_records, enveloped_artifacts,
         content_hashes,
     )
@@ -436,6 +461,27 @@ ORACLES = {
     "link_lines": """
       SELECT l_returnflag AS site, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey) AS line_no,
              '/o/' || l_orderkey || ' -> (' || l_linestatus || ') -> /p/' || l_partkey AS line FROM lineitem QUALIFY line_no <= 30""",
+    "site_strategy": f"""
+      WITH d AS (SELECT source AS site, doc_id AS idx, '/d/' || doc_id AS url, n_chars < 600 AS thin, doc_id % 7 = 3 AS weak, lang,
+                        string_split(text, ' ') AS kw, lower(string_split(text, chr(10))[1]) AS t FROM documents),
+      l AS (SELECT 'src' || (l_suppkey % 25) AS site, l_orderkey, l_linenumber, l_partkey, '/o/' || l_orderkey || ' -> (' || l_linestatus || ') -> /p/' || l_partkey AS line FROM lineitem),
+      g AS (SELECT site, idx, url || ': ' || lang || ' - ' || array_to_string(list_filter(kw, lambda k: NOT contains(t, lower(k)))[1:5], ', ') AS gap,
+                   len(list_filter(kw, lambda k: NOT contains(t, lower(k)))) AS m FROM d),
+      e AS (SELECT 'src' || (user_id % 25) AS site, user_id AS idx, event_id AS pos, CASE event_type WHEN 'view' THEN 'How to choose the right item ' || user_id || ' for your use case'
+                   WHEN 'click' THEN 'item ' || user_id || ' pricing guide: size, material, and finishing factors' END AS topic FROM events),
+      u AS (SELECT * FROM e WHERE topic IS NOT NULL QUALIFY row_number() OVER (PARTITION BY site, topic ORDER BY idx, pos) = 1),
+      lists AS (
+        SELECT site, 'thin' AS k, string_agg(url, '|' ORDER BY idx) AS s FROM (SELECT * FROM d WHERE thin QUALIFY row_number() OVER (PARTITION BY site ORDER BY idx) <= 10) GROUP BY site
+        UNION ALL SELECT site, 'weak', string_agg(url, '|' ORDER BY idx) FROM (SELECT * FROM d WHERE weak QUALIFY row_number() OVER (PARTITION BY site ORDER BY idx) <= 10) GROUP BY site
+        UNION ALL SELECT site, 'gap', string_agg(gap, '|' ORDER BY idx) FROM (SELECT * FROM g WHERE m > 0 QUALIFY row_number() OVER (PARTITION BY site ORDER BY idx) <= 20) GROUP BY site
+        UNION ALL SELECT site, 'line', string_agg(line, '|' ORDER BY l_orderkey, l_linenumber, l_partkey) FROM (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY site ORDER BY l_orderkey, l_linenumber, l_partkey) <= 30) GROUP BY site
+        UNION ALL SELECT site, 'blog', string_agg(topic, '|' ORDER BY idx, pos) FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY site ORDER BY idx, pos) <= 12) GROUP BY site),
+      c AS (SELECT source AS site, count(*) AS total_pages, count(*) FILTER (n_chars < 600) AS thin_pages, count(*) FILTER (doc_id % 7 = 3) AS weak_internal_link_pages,
+                   count(*) FILTER (lang = 'en') AS missing_meta_pages, count(*) FILTER (doc_id % 2 = 0) AS serp_analyzed_pages, count(*) AS keyword_clustered_pages FROM documents GROUP BY 1)
+      SELECT c.*, coalesce((SELECT count(*) FROM l WHERE l.site = c.site), 0) AS internal_link_recommendations,
+        {", ".join(f"coalesce((SELECT s FROM lists WHERE lists.site = c.site AND k = '{k}'), '') AS {n}" for k, n in (("thin", "thin_page_list"), ("weak", "weak_page_list"), ("gap", "keyword_gap_list"), ("line", "link_line_list"), ("blog", "blog_topic_list")))},
+        {sql.q("|".join(PILLAR_PAGES))} AS pillar_pages, {sql.q("|".join(MISSING_CATEGORY_PAGES))} AS missing_category_pages
+      FROM c""",
     "keyword_gaps": """
       WITH d AS (SELECT doc_id, source AS site, source || '/' || lang AS url, lang, text, string_split(text, ' ') AS kw FROM documents),
       f AS (SELECT url, min_by(text, doc_id) AS t FROM d GROUP BY 1),

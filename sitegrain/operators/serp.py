@@ -52,12 +52,11 @@ def aggregate_intel(
     their first place per query, which collapses repeats before the shuffle,
     and ranked under the list's cap.
     """
-    keyed = serp_pages.withColumn("row_id", F.concat_ws("\u0001", "query", "row_pos"))
+    keyed = serp_pages.withColumn("row_id", F.struct("query", F.col("row_pos").cast("long").alias("row_pos")))
     terms = entities_and_phrases(keyed, "row_id", "paragraph_text", vocab, stopwords)
-    split_id = F.split("row_id", "\u0001")
     mined = terms.select(
-        split_id[0].alias("query"),
-        split_id[1].cast("long").alias("row_pos"),
+        "row_id.query",
+        "row_id.row_pos",
         F.when(F.col("kind") == "entity", "entity_coverage")
         .otherwise("semantic_phrases")
         .alias("list"),
@@ -163,7 +162,9 @@ def serp_intel(
     """
     failed = queries.filter("status = 'failed'").select("query", "headings", "text")
     served = queries.filter("status <> 'failed' OR status IS NULL").select("query")
-    found = aggregate_intel(serp_pages, vocab, stopwords)
+    # Only asked result pages are tokenised.
+    asked = serp_pages.join(served.distinct(), "query", "left_semi")
+    found = aggregate_intel(asked, vocab, stopwords)
     full = served.join(found, "query", "left").select(
         "query",
         F.coalesce("average_word_count", F.lit(0)).alias("average_word_count"),

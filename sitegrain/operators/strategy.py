@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.functions.text import first_n, list_or_empty, listed_in, text_or_empty
-from sitegrain.operators.ordered import first_occurrence, lookup, top_k
-from sitegrain.vocab import BLOG_TOPIC_TEMPLATES
+from sitegrain.operators.ordered import first_occurrence, lookup, top_k, unnest
+from sitegrain.vocab import BLOG_TOPIC_TEMPLATES, MISSING_CATEGORY_PAGES, PILLAR_PAGES
 
 SHORT_LIST = 10
 LINK_LINES = 30
 GAP_KEYWORDS = 5
+GAP_ROWS = 20  # of a strategy report
+BLOG_TOPICS = 12
 
 
 def pages_by_type(audits: DataFrame, group: Sequence[str] = ("site",)) -> DataFrame:
@@ -93,3 +95,46 @@ def blog_topics(patterns: DataFrame, limit: int | None = None, group: Sequence[s
     if limit is not None:
         unique = top_k(unique, list(group), order, limit)
     return unique.select(*group, "idx", "pos", "topic")
+
+
+def cluster_rows(audits: DataFrame, group: Sequence[str] = ("site",)) -> DataFrame:
+    """One row per page and keyword cluster: ``idx, url, topic_pos, topic, keywords``."""
+    rows = unnest(audits, [*group, "idx", "url"], F.col("clusters"), "cluster", "topic_pos")
+    return rows.select(*group, "idx", "url", "topic_pos", F.col("cluster.topic").alias("topic"), F.col("cluster.keywords").alias("keywords"))
+
+
+def _listed(rows: DataFrame, order: Sequence[str], value: str, name: str, group: Sequence[str]) -> DataFrame:
+    """One array per group: ``value`` in ``order``. Its rows are a top-k per group."""
+    places = F.array_sort(F.collect_list(F.struct(*order, value)))
+    return rows.groupBy(*group).agg(F.transform(places, lambda r: r[value]).alias(name))
+
+
+def site_strategy(
+    audits: DataFrame, link_plan: DataFrame, patterns: DataFrame | None = None, rows: int = GAP_ROWS,
+    topics: int = BLOG_TOPICS, group: Sequence[str] = ("site",),
+) -> DataFrame:
+    """The strategy of every site in one row: counts, short lists, gaps, topics, link lines and fixed advice.
+
+    ``audits``: site, idx, url, thin_content, orphan_page_risk, meta_description, serp_analyzed,
+    keyword_clustered, clusters, seo_recommendations. ``link_plan``: site, source_idx, rank, source_page,
+    anchor, target_page. ``patterns`` as for ``blog_topics``. The lists of a report are its first rows; the
+    operators they come from return everything.
+    """
+    keys = list(group)
+    gaps = keyword_gaps(cluster_rows(audits, group), audits, rows, group)
+    gap = F.concat(F.col("url"), F.lit(": "), F.col("topic"), F.lit(" - "), F.array_join("missing_keywords", ", "))
+    parts = [
+        _listed(short_list(audits, "thin_content", group=group), ["rank"], "url", "thin_page_list", keys),
+        _listed(short_list(audits, "orphan_page_risk", group=group), ["rank"], "url", "weak_page_list", keys),
+        _listed(gaps.withColumn("gap", gap), ["idx", "topic"], "gap", "keyword_gap_list", keys),
+        _listed(link_lines(link_plan, group=group), ["line_no"], "line", "link_line_list", keys),
+    ]
+    if patterns is not None:
+        parts.append(_listed(blog_topics(patterns, topics, group), ["idx", "pos"], "topic", "blog_topic_list", keys))
+    report = summary(audits, link_plan, group)
+    for part in parts:
+        report = report.join(part, keys, "left")
+    lists = [c for c in report.columns if c.endswith("_list")]
+    return report.withColumns({c: list_or_empty(F.col(c)) for c in lists}).withColumns(
+        {"pillar_pages": F.array(*map(F.lit, PILLAR_PAGES)), "missing_category_pages": F.array(*map(F.lit, MISSING_CATEGORY_PAGES))}
+    )

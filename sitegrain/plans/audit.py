@@ -113,8 +113,8 @@ def audit_sites(
         .join(listed, ["site", "idx"], "left")
         .withColumns(
             {
-                "serp_analyzed": F.lit(True),
-                "keyword_clustered": F.lit(True),
+                "serp_analyzed": F.col("keyword_themes").isNotNull() & F.lit(serp_pages is not None),
+                "keyword_clustered": F.size("clusters") > 0,
             }
         )
     )
