@@ -199,6 +199,20 @@ def strategy_summary(spark: SparkSession, sf: str) -> DataFrame:
     return strategy.summary(audits, e.filter(kind == "purchase").select("site"))
 
 
+def snapshot_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Measures of every other event's snapshot, some of them zero or blank."""
+    e = _events(spark, sf)
+    snaps = e.select(
+        F.col("event_id").alias("id"), F.lit(1).cast("long").alias("tokens_in"), F.lit(2).cast("long").alias("tokens_out"),
+        F.lit(0.5).alias("cost_usd"), F.lit("pending").alias("status"), F.lit("old").alias("error"),
+    )
+    metrics = e.filter("event_id % 2 = 0").select(
+        F.col("event_id").alias("id"), (F.col("event_id") % 3).alias("tokens_in"), F.col("user_id").cast("long").alias("tokens_out"), F.col("value").alias("cost_usd"),
+        F.when(F.col("event_type") == "click", "").otherwise(F.col("event_type")).alias("status"), F.when(F.col("event_type") == "error", "bad").otherwise("").alias("error"),
+    )
+    return runs.updated_snapshots(snaps, metrics)
+
+
 def site_strategy(spark: SparkSession, sf: str) -> DataFrame:
     """Strategy of every source: a page per document, a planned link per order line, a blog pattern per event."""
     docs = table(spark, sf, "documents")
@@ -377,7 +391,7 @@ QUERIES = {
     for f in (
         latest_snapshots, overlaid_states, unchanged_pages, crawl_diff, resumed_pages, model_costs, cost_report,
         run_report, run_errors, site_audit_summary, batch_summary, run_artifacts, dimension_rows, finished_runs,
-        skip_ladder, strategy_summary, site_strategy, thin_pages, link_lines, keyword_gaps, blog_topics, contract_violations,
+        skip_ladder, strategy_summary, site_strategy, snapshot_metrics, thin_pages, link_lines, keyword_gaps, blog_topics, contract_violations,
         blueprint_violations, page_audit_reports, site_overviews, output_index, log_records, enveloped_artifacts,
         content_hashes,
     )
@@ -461,6 +475,11 @@ ORACLES = {
     "link_lines": """
       SELECT l_returnflag AS site, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey) AS line_no,
              '/o/' || l_orderkey || ' -> (' || l_linestatus || ') -> /p/' || l_partkey AS line FROM lineitem QUALIFY line_no <= 30""",
+    "snapshot_metrics": """
+      SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN nullif(event_id % 3, 0) ELSE 1 END AS tokens_in,
+        CASE WHEN event_id % 2 = 0 THEN nullif(user_id, 0) ELSE 2 END AS tokens_out, CASE WHEN event_id % 2 = 0 THEN nullif(value, 0) ELSE 0.5 END AS cost_usd,
+        CASE WHEN event_id % 2 = 1 THEN 'pending' WHEN event_type = 'click' THEN 'completed' ELSE event_type END AS status,
+        CASE WHEN event_id % 2 = 1 THEN 'old' WHEN event_type = 'error' THEN 'bad' END AS error FROM events""",
     "site_strategy": f"""
       WITH d AS (SELECT source AS site, doc_id AS idx, '/d/' || doc_id AS url, n_chars < 600 AS thin, doc_id % 7 = 3 AS weak, lang,
                         string_split(text, ' ') AS kw, lower(string_split(text, chr(10))[1]) AS t FROM documents),

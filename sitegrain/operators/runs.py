@@ -256,6 +256,27 @@ def finish_runs(runs: DataFrame, updates: DataFrame) -> DataFrame:
     return joined.withColumns(out).select(*runs.columns)
 
 
+def updated_snapshots(snapshots: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Snapshots with the measures of ``metrics(id, tokens_in, tokens_out, cost_usd, status, error)``.
+
+    A measured snapshot takes all five values: zero counts and blank errors are
+    stored as null, a blank status as completed. Of several rows of an id the
+    largest one counts. Other snapshots stay as they are.
+    """
+    names = ("tokens_in", "tokens_out", "cost_usd", "status", "error")
+    given = {
+        **{c: F.when(F.col(c) != 0, F.col(c)) for c in names[:3]},
+        "status": F.coalesce(F.nullif(text_or_empty(F.col("status")), F.lit("")), F.lit(DONE)),
+        "error": F.nullif(text_or_empty(F.col("error")), F.lit("")),
+    }
+    new = metrics.select("id", F.struct(*(v.alias(c) for c, v in given.items())).alias("__new"))
+    new = new.groupBy("id").agg(F.max("__new").alias("__new"))
+    joined = snapshots.join(new, "id", "left")
+    hit = F.col("__new").isNotNull()
+    out = joined.withColumns({c: F.when(hit, F.col(f"__new.{c}")).otherwise(F.col(c)) for c in names})
+    return out.select(*snapshots.columns)
+
+
 def final_run_status(error_count: Column) -> Column:
     return F.when(error_count > 0, "completed_with_errors").otherwise("completed")
 

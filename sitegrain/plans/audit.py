@@ -19,6 +19,7 @@ from sitegrain.operators.links import known_link_hits, merge_suggestions
 from sitegrain.operators.ordered import prefix_limit
 from sitegrain.operators.pages import content_quality, scrape_fields, technical_columns
 from sitegrain.operators.routing import apply_type_filter, route_pages, route_urls
+from sitegrain.operators.runs import serp_budget
 from sitegrain.operators.serp import (
     attach_by_entity,
     insights,
@@ -39,6 +40,7 @@ class AuditOptions:
     max_pages: int = 0
     page_type_filter: str | None = None
     force_pdp: bool = False
+    max_serp_calls: int = 0  # pages per site whose search results are used; 0: all
 
 
 @dataclass(frozen=True)
@@ -104,7 +106,8 @@ def audit_sites(
         )
         seen = insights(intel, AUDIT_THEMES)
         per_key = requests.select("site", "entity_key", "query").join(seen, "query")
-        base = attach_by_entity(base, per_key)
+        base = serp_budget(attach_by_entity(base, per_key), options.max_serp_calls)
+        base = base.withColumn("keyword_themes", F.when(F.col("within_budget"), F.col("keyword_themes"))).drop("within_budget")
     else:
         base = base.withColumn("keyword_themes", F.array().cast("array<string>"))
     clustered = keyword_clusters(base, "keyword_themes")

@@ -31,16 +31,23 @@ class GapAnalysis:
 
 
 def optimize_pages(
-    audits: DataFrame, generated: DataFrame, intel: DataFrame | None = None, rules: ScoringRules = ScoringRules()
+    audits: DataFrame, generated: DataFrame, intel: DataFrame | None = None, rules: ScoringRules = ScoringRules(),
+    max_model_calls: int = 0,
 ) -> DataFrame:
     """Final content, schema, scores and retry decision of every audited page.
 
     ``audits``: rows of ``audit_sites``. ``generated``: ``site, idx,
     generated_content, attempt``, one row per page; product pages without one
     have failed. ``intel`` (``entity_key`` and roll-up lists) feeds the content
-    score. Only product pages are scored.
+    score. Only product pages are scored. With ``max_model_calls`` the product
+    pages of a site that come after its budget is spent fail.
     """
     joined = audits.join(generated, ["site", "idx"], "left")
+    if max_model_calls > 0:
+        asked = joined.filter("product_page").select("site", "idx", F.coalesce("attempt", F.lit(1)).alias("attempt"))
+        over = runs.model_budget(asked, max_model_calls).filter("NOT within_budget").select("site", "idx", F.lit(True).alias("__over"))
+        joined = joined.join(over, ["site", "idx"], "left")
+        joined = joined.withColumn("generated_content", F.when(F.col("__over").isNull(), F.col("generated_content"))).drop("__over")
     before, after = NO_SPECIALIST.split("{kind}")
     fallback = F.concat(F.lit(before), F.col("page_type"), F.lit(after))
     own = F.when(F.col("product_page"), text_or_empty(F.col("generated_content"))).otherwise(

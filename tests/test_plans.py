@@ -51,6 +51,19 @@ def test_staged_run(spark):
     assert found.opportunities.orderBy("idx", "pos").first()["title"] == "Hurricane Grade Guide"
 
 
+def test_budgets(spark):
+    audit = audit_sites(pages(spark), AuditOptions(max_serp_calls=2), serp_pages=serp(spark))
+    rows = {r["idx"]: r for r in audit.page_audits.collect()}
+    assert [rows[i]["serp_analyzed"] for i in range(4)] == [True, True, False, False]
+    texts = spark.createDataFrame(
+        [("s.com", i, "<p>Mesh Banner Mesh.</p>", 1) for i in range(4)], "site STRING, idx BIGINT, generated_content STRING, attempt INT"
+    )
+    free = {r["idx"]: r["status"] for r in optimize_pages(audit.page_audits, texts).collect()}
+    assert free[1] == free[2] == "completed"
+    tight = {r["idx"]: r["status"] for r in optimize_pages(audit.page_audits, texts, max_model_calls=1).collect()}
+    assert tight[1] == "completed" and tight[2] == "failed" and tight[3] == "completed"
+
+
 def test_limits_and_filter(spark):
     audit = audit_sites(pages(spark), AuditOptions(max_pages=3, page_type_filter="pdp"))
     assert audit.features.count() == 3 and audit.page_audits.count() == 2
