@@ -24,8 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_CHARS = 1 << 20
-TABLE_WORDS = 500_000  # words that a worker remembers
+SLICE_CHARS = 1 << 19
+TABLE_WORDS = 100_000  # words that a worker remembers
 
 _open: dict[str, WordTable] = {}
 
@@ -131,6 +131,9 @@ def encoded(docs: DataFrame, file: BpeFile) -> DataFrame:
                 ids, begins = table.encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), lists], names=["doc_id", "ids"])
+        # Workers live on: what this task has learned must not stand beside later operators' needs.
+        table.clear()
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, ids array<int>")
 

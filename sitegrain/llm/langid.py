@@ -176,8 +176,8 @@ def fit(rows: DataFrame, o: LanguageOptions = LanguageOptions()) -> LanguageMode
 
 def _chunks(texts: pa.Array, o: LanguageOptions) -> Iterator[tuple[np.ndarray, int]]:
     for s in slices(texts, lower=True):
-        for first in range(0, len(s), 256):
-            stop = min(first + 256, len(s))
+        for first in range(0, len(s), 128):
+            stop = min(first + 128, len(s))
             yield vectors(s, first, stop, o), s.first + first
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -27,7 +27,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """``base ** i`` modulo 2**64 for i below ``n`` (kept and regrown by doubling)."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = max(1 << 16, n + n // 8)
         steps = np.full(size, base & (2**64 - 1), dtype=np.uint64)
         steps[0] = 1
         have = _powers[base] = np.cumprod(steps, dtype=np.uint64)
