@@ -146,11 +146,15 @@ def fit(rows: DataFrame, o: LanguageOptions = LanguageOptions()) -> LanguageMode
     No rows: a model that answers ``und``. One language: a model that always answers it.
     """
     usable = rows.filter("text is not null and lang is not null and doc_id is not null")
-    kinds = usable.select("lang").distinct().count()
+    counts = usable.groupBy("lang").agg(F.count("*").alias("rows"))
+    kinds = counts.count()
     per = min(o.per_language, o.sample // max(1, kinds))
     if not per:
         raise ValueError(f"{kinds} languages for a sample of {o.sample} rows")
-    draw = top_k(usable.select("doc_id", "lang"), ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], per)
+    # The smallest hashes are drawn; few rows that cannot be among them are ordered (one count per language is broadcast).
+    place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
+    low = usable.select("doc_id", "lang").join(F.broadcast(counts), "lang").filter(place * F.col("rows") < 4 * per + 100)
+    draw = top_k(low.drop("rows"), ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], per)
     # Bounded by o.sample rows, so it is broadcast.
     chosen = usable.select("doc_id", "text", "lang").join(F.broadcast(draw.distinct()), ["doc_id", "lang"])
 

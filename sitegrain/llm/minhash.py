@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.llm.tables import Scratch, connected_components
+from sitegrain.llm.tables import Scratch, beside_groups, connected_components
 from sitegrain.llm.words import mix, powers, shingle_set, signed, slices, span_hashes
 
 
@@ -118,8 +118,7 @@ def verified(docs: DataFrame, pairs: DataFrame, o: MinHashOptions) -> DataFrame:
     The texts that ``a`` is compared with stream past ``a`` in groups of ``beside``, so a text that
     a third of all pairs share is copied to many tasks and no group is held in memory.
     """
-    per = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    salted = pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / o.beside)).alias("salt"))
+    salted = beside_groups(pairs, ["a"], "b", [F.count("*").alias("n")]).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / o.beside)).alias("salt"))
     heads = salted.select("a", "salt").distinct()
     places = heads.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(0).alias("role")).union(
         salted.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("role"))
@@ -166,17 +165,25 @@ def near_duplicates(docs: DataFrame, o: MinHashOptions = MinHashOptions()) -> Da
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     signed_rows = scratch.keep(signatures(docs, o), "signatures")
-    usable = signed_rows.filter("doc_id is not null and n_shingles > 0")
+    small = scratch.keep(signed_rows.select("doc_id", "fp1", "fp2", "n_shingles"), "sizes")
+    usable = small.filter("doc_id is not null and n_shingles > 0")
     same = ["fp1", "fp2", "n_shingles"]
-    firsts = usable.groupBy(*same).agg(F.min("doc_id").alias("first"))
-    members = usable.select("doc_id", *same).distinct().join(firsts, same).select("doc_id", "first")
+    members = beside_groups(usable.select("doc_id", *same), same, "doc_id", [F.min("doc_id").alias("first")])
     copies = members.filter("doc_id <> first").select(F.col("doc_id").alias("b"), F.col("first").alias("a"))
 
-    chosen = usable.groupBy(*same).agg(F.min_by(F.struct("keys", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("doc_id"))
+    full = signed_rows.filter("doc_id is not null and n_shingles > 0")
+    chosen = full.groupBy(*same).agg(F.min_by(F.struct("keys", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("doc_id"))
     chosen = scratch.keep(chosen.select("doc_id", "n_shingles", "s.keys", "s.sketch"), "texts")
+    scratch.drop(signed_rows)
     entries = chosen.select("doc_id", F.explode("keys").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head <> last")
-    hits = scratch.keep(entries.join(buckets.select("key", "head"), "key").distinct(), "buckets")
+    ends = [F.min("doc_id").alias("head"), F.max("doc_id").alias("last")]
+    hits = beside_groups(entries, ["key"], "doc_id", ends, "head <> last")
+    hits = scratch.keep(hits.select("key", "doc_id", "head").distinct(), "buckets")
+
+    # The texts that share a bucket move once; the three rounds of checks below read only these.
+    ids = hits.select("doc_id").distinct()
+    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(ids.hint("merge"), "doc_id", "left_semi")
+    docs = scratch.keep(docs, "candidates")
 
     facts = chosen.select("doc_id", "n_shingles", "sketch")
     named = lambda side: facts.select(*(F.col(c).alias(f"{side}_{c}") for c in facts.columns))
@@ -195,7 +202,7 @@ def near_duplicates(docs: DataFrame, o: MinHashOptions = MinHashOptions()) -> Da
 
     edges = links.union(more).union(copies.select("a", "b"))
     parts = connected_components(edges, scratch)
-    out = signed_rows.select("doc_id", "n_shingles").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    out = small.select("doc_id", "n_shingles").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -209,8 +216,8 @@ def _outside(hits: DataFrame, facts: DataFrame, links: DataFrame, turn: int, scr
     placed = hits.join(parts, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
     placed = scratch.keep(placed, "placed")
     drawn = F.struct(F.xxhash64("key", "doc_id", F.lit(turn)), "doc_id", "part")
-    heads = placed.groupBy("key").agg(F.min(drawn).alias("h"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q")
-    mixed = placed.join(heads.select("key", F.col("h.doc_id").alias("head"), F.col("h.part").alias("head_part")), "key")
+    ends = [F.min(drawn).alias("h"), F.min("part").alias("p"), F.max("part").alias("q")]
+    mixed = beside_groups(placed, ["key"], "doc_id", ends, "p <> q").withColumns({"head": F.col("h.doc_id"), "head_part": F.col("h.part")})
     mixed = mixed.withColumn("outside", F.col("part") != F.col("head_part"))
     named = lambda side: facts.select(*(F.col(c).alias(f"{side}_{c}") for c in facts.columns))
     outside = mixed.filter("outside").select(F.col("head").alias("a_doc_id"), F.col("doc_id").alias("b_doc_id"))
@@ -224,10 +231,8 @@ def _apart(docs: DataFrame, mixed: DataFrame, chosen: DataFrame, o: MinHashOptio
     Blocks of ``held`` outside members meet lanes of ``streamed`` members in one task each, so no group is
     bounded by its bucket. Only links leave the task, never pairs; a pair is compared in its first bucket only.
     """
-    sizes = mixed.groupBy("key").agg(
-        F.ceil(F.count_if("outside") / o.held).alias("blocks"), F.ceil(F.count("*") / o.streamed).alias("lanes")
-    )
-    rows = mixed.join(sizes, "key")
+    sizes = [F.ceil(F.count_if("outside") / o.held).alias("blocks"), F.ceil(F.count("*") / o.streamed).alias("lanes")]
+    rows = beside_groups(mixed, ["key"], "doc_id", sizes)
     all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("doc_id", F.lit(n)), F.col(n))
     held = rows.filter("outside").select("key", "doc_id", "part", "outside", F.lit(0).alias("role"), own("blocks").alias("block"), all_of("lanes").alias("lane"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.llm.tables import Scratch
+from sitegrain.llm.tables import Scratch, beside_groups
 from sitegrain.llm.words import Slice, mix, signed, slices, span_hashes
 
 WINDOW = 20
@@ -196,21 +196,27 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     whole = alike.filter("not home").select("doc_id", "pos", "n").union(inner.select("doc_id", "pos", "n"))
 
     # Names of several contents: of each content only the first occurrence has windows to compare.
-    place = F.struct("doc_id", "pos")
-    unlike = hits.filter("not alike").select("name", "content", "doc_id", "pos", "n")
-    firsts = unlike.groupBy("name", "content").agg(F.min(place).alias("first"))
-    unlike = scratch.keep(unlike.join(firsts, ["name", "content"]).withColumn("again", place != F.col("first")).drop("first"), "edges")
+    unlike = scratch.keep(_marked(hits.filter("not alike").select("name", "content", "doc_id", "pos", "n"), "name", "content"), "edges")
     whole = whole.union(unlike.filter("again").select("doc_id", "pos", "n"))
     whole = whole.select("doc_id", "pos", (F.col("n") + (window - 1)).alias("n"))
 
     # Not cut: the join of the texts shares their exchange with the one that the caller makes.
     edges = unlike.filter("not again").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
     windows = _window_rows(texts.join(edges.hint("merge"), "doc_id"), window)
-    seen = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("k")).filter("k > 1")
-    again = windows.join(seen, ["h1", "h2"]).filter(place != F.col("first")).select("doc_id", "pos", F.lit(window).alias("n"))
+    again = _marked(windows, "h1", "h2").filter("again").select("doc_id", "pos", F.lit(window).alias("n"))
     return whole.union(again).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
 
 
+def _marked(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with ``again``: whether the key also has an earlier (doc_id, pos).
+
+    Keys of one row are left out of the join's other side.
+    """
+    place = F.struct("doc_id", "pos")
+    met = beside_groups(rows, keys, "doc_id", [F.min(place).alias("first"), F.count("*").alias("k")], "k > 1", "left")
+    return met.withColumn("again", F.coalesce(place != F.col("first"), F.lit(False))).drop("first", "k")
+
+
 def without_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, whole_texts: bool = False) -> DataFrame:
     """``docs`` without ``text``, with ``n_words``, ``n_removed`` and ``kept``: the words that stay, joined by one blank.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegrain.session import work_folder
@@ -33,13 +35,34 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+SPLITS = 16  # parts that a group of rows is cut into to meet its aggregates
+
+
+def beside_groups(
+    rows: DataFrame, keys: Sequence[str], by: str, aggregates: Sequence[Column], having: str | None = None, how: str = "inner"
+) -> DataFrame:
+    """``rows`` with aggregates of their group (``having`` leaves groups out; with ``how="left"`` their rows stay).
+
+    An aggregation and a join on one key share a shuffle, so a hot group would meet its aggregates in one task. Here
+    rows are dealt by key and by a hash of ``by`` in SPLITS parts, and a bit mask sends a group's one row to the parts
+    that it has: rare keys are not copied. Larger parts can still be split by adaptive execution.
+    """
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(SPLITS)).cast("int"))
+    groups = rows.groupBy(*keys).agg(*aggregates, F.bit_or(F.expr("shiftleft(1, __part)")).alias("__mask"))
+    if having:
+        groups = groups.filter(having)
+    parts = F.explode(F.expr(f"filter(sequence(0, {SPLITS - 1}), i -> getbit(__mask, i) = 1)"))
+    groups = groups.withColumn("__part", parts).drop("__mask")
+    return rows.join(groups, [*keys, "__part"], how).drop("__part")
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``(id, component)`` for every id of ``edges(a, b)``; a component is named by its smallest id.
 
     Large-star and small-star rounds until nothing changes. Minima are partial
-    aggregates and neighbours meet them in an inner join whose skewed side Spark
-    splits, so a hub with a third of all edges is not one task. Every round is
-    written to the shared folder and the one before it removed.
+    aggregates and neighbours meet them in parts, so a hub with a third of all
+    edges is not one task. Every round is written to the shared folder and the
+    one before it removed.
     Empty edges give an empty result; loops and repeated edges do no harm.
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
@@ -47,11 +70,13 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     mark = _state(now)
     while mark[0]:
         both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = beside_groups(both, ["a"], "b", [F.min("b").alias("m")]).filter("b > a")
+        large = large.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
         large = scratch.keep(large.filter("a <> b"), "edges")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low).filter("a <> b")
+        met = beside_groups(large, ["a"], "b", [F.min("b").alias("m")])
+        small = met.select(F.col("b").alias("a"), F.col("m").alias("b")).union(
+            large.groupBy("a").agg(F.min("b").alias("b"))
+        ).filter("a <> b")
         after = scratch.keep(small.distinct(), "edges")
         scratch.drop(now)
         scratch.drop(large)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.llm.tables import Scratch, connected_components
+from sitegrain.llm.tables import Scratch, beside_groups, connected_components
 
 
 @dataclass(frozen=True)
@@ -84,22 +84,22 @@ _GROUP = ("width", "key", "i", "j")
 def _linked(rows: DataFrame, o: SignOptions) -> DataFrame:
     """Per group and vector: linked vectors (by their numbers) and the smallest id of its part of the group."""
 
-    def links(batch: pa.Table) -> pa.RecordBatch | None:
-        """All groups of a run of rows. Row r is compared with row r + d of its group, for each d in turn."""
+    def links(batch: pa.Table) -> Iterator[pa.RecordBatch]:
+        """All groups of a run of rows: large ones one by one, so that no more pairs stand in memory than one group
+        has; of small ones together, row r is compared with row r + d of its group, for each d in turn."""
         col = {c: batch.column(c).to_numpy() for c in (*_GROUP, "first", "n", "block")}
         x = _matrix(batch.column("embedding").combine_chunks())
         unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
         group = np.cumsum(np.concatenate([[0], np.any([col[c][1:] != col[c][:-1] for c in _GROUP], axis=0)]))
-        left, right = [], []
         begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         size = np.diff(np.append(begin, len(group)))
         for b, m in zip(begin[size > 8], size[size > 8]):
             s = slice(b, b + m)
             near = unit[s] @ unit[s].T >= o.cosine - 1e-9
             a, c = np.nonzero(np.triu(near, 1))
-            left.append(a + b)
-            right.append(c + b)
+            yield from settled(col, x, a + b, c + b)
         small = np.repeat(size <= 8, size)
+        left, right = [], []
         for d in range(1, 8):
             a = np.flatnonzero((group[d:] == group[:-d]) & small[d:])
             if not len(a):
@@ -107,27 +107,30 @@ def _linked(rows: DataFrame, o: SignOptions) -> DataFrame:
             hit = a[(unit[a] * unit[a + d]).sum(axis=1) >= o.cosine - 1e-9]
             left.append(hit)
             right.append(hit + d)
-        a, b = (np.concatenate([*p, np.zeros(0, int)]).astype(int) for p in (left, right))
+        yield from settled(col, x, *(np.concatenate([*p, np.zeros(0, int)]).astype(int) for p in (left, right)))
+
+    def settled(col: dict, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """What leaves a group of pairs: exact links, each in its first table, counted and hung together."""
         # Groups of two blocks hold pairs across them only.
         fits = (col["i"][a] == col["j"][a]) | (col["block"][a] != col["block"][b])
         a, b = a[fits], b[fits]
-        for at in (slice(k, k + 65536) for k in range(0, len(a), 65536)):
+        for at in (slice(k, k + 16384) for k in range(0, len(a), 16384)):
             exact = (x[a[at]] * x[b[at]]).sum(axis=1) / np.sqrt((x[a[at]] ** 2).sum(axis=1) * (x[b[at]] ** 2).sum(axis=1))
             a[at] = np.where(exact >= o.cosine, a[at], -1)
         a, b = a[a >= 0], b[a >= 0]
         if not len(a):
-            return None
+            return
         used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
         all_keys = np.concatenate([keys(x[used[k : k + 1024]], o) for k in range(0, len(used), 1024)]).astype(np.uint16 if o.bits <= 16 else np.int64)
         pa_, pb_ = place[: len(a)], place[len(a) :]
         own = np.ones(len(a), bool)
         table = col["key"][a] % o.tables
-        for k in range(0, len(a), 65536):
-            s = slice(k, k + 65536)
+        for k in range(0, len(a), 16384):
+            s = slice(k, k + 16384)
             own[s] = (all_keys[pa_[s]] == all_keys[pb_[s]]).argmax(axis=1) == table[s]
         ia, ib = pa_[own], pb_[own]
         if not len(ia):
-            return None
+            return
         number = np.zeros(len(used), np.int64)
         np.add.at(number, ia, col["n"][used[ib]])
         np.add.at(number, ib, col["n"][used[ia]])
@@ -140,7 +143,7 @@ def _linked(rows: DataFrame, o: SignOptions) -> DataFrame:
             if (part == before).all():
                 break
         hit = number > 0
-        return pa.RecordBatch.from_arrays([pa.array(col["first"][used][hit]), pa.array(number[hit]), pa.array(part[hit])], names=["first", "links", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array(col["first"][used][hit]), pa.array(number[hit]), pa.array(part[hit])], names=["first", "links", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -155,13 +158,11 @@ def _linked(rows: DataFrame, o: SignOptions) -> DataFrame:
             cut = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0  # the last group may go on
             if cut:
                 for part in _by_width(rows.slice(0, cut)):
-                    if (out := links(part)) is not None:
-                        yield out
+                    yield from links(part)
             held = rows.slice(cut).to_batches()
         if held:
             for part in _by_width(pa.Table.from_batches(held)):
-                if (out := links(part)) is not None:
-                    yield out
+                yield from links(part)
 
     return rows.mapInArrow(run, "first bigint, links bigint, part bigint")
 
@@ -183,8 +184,7 @@ def near_vectors(vectors: DataFrame, o: SignOptions = SignOptions()) -> DataFram
     scratch = Scratch(vectors.sparkSession, "vectors")
     distinct = scratch.keep(classes(vectors), "classes")
     rows = _bucket_rows(distinct, o)
-    sizes = rows.groupBy("width", "key").agg(F.count("*").alias("m")).filter("m > 1")
-    rows = rows.join(sizes, ["width", "key"]).withColumn("blocks", F.ceil(F.col("m") / o.block))
+    rows = beside_groups(rows, ["width", "key"], "first", [F.count("*").alias("m")], "m > 1").withColumn("blocks", F.ceil(F.col("m") / o.block))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("first"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
     rows = rows.select("width", "key", "first", "block", other).select(
