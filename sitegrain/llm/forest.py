@@ -8,7 +8,8 @@ true one can only exceed, stands in for it, so the stop is on the safe side and
 
 The arrays are one table, range-partitioned by (tree, string) and written in the shared folder; queries are sent to
 the parts that their ranges overlap, and only the best ``k`` of a part leave it. Equal vectors are one entry with the
-ids that can come into any result. Inner products become angles by one more component, sqrt(longest^2 - norm^2).
+ids that can come into any result. Inner products become angles by one more component, sqrt(longest^2 - norm^2) of
+an indexed vector and 0 of a query.
 """
 
 from __future__ import annotations
@@ -39,9 +40,9 @@ class ForestOptions:
     seed: int = 11
 
 
-def signs(x: np.ndarray, longest: float, o: ForestOptions) -> np.ndarray:
-    """String of every row in every tree, as an integer below ``2 ** bits``."""
-    rest = np.sqrt(np.maximum(longest * longest - (x * x).sum(axis=1), 0.0))
+def signs(x: np.ndarray, longest: float | None, o: ForestOptions) -> np.ndarray:
+    """String of every row in every tree, as an integer below ``2 ** bits``; queries, without ``longest``, have no further component."""
+    rest = np.zeros(len(x)) if longest is None else np.sqrt(np.maximum(longest * longest - (x * x).sum(axis=1), 0.0))
     planes = np.random.default_rng([o.seed, x.shape[1]]).standard_normal((x.shape[1] + 1, o.trees * o.bits))
     above = (x @ planes[:-1] + rest[:, None] * planes[-1] > 0).reshape(len(x), o.trees, o.bits)
     return (above * (1 << np.arange(o.bits - 1, -1, -1, dtype=np.int64))).sum(axis=2)
@@ -129,7 +130,7 @@ def nearest(vectors: DataFrame, is_query: Column, o: ForestOptions = ForestOptio
                 size = np.sqrt((x * x).sum(axis=1)) * longest[width]
                 kth = np.sort(near, axis=1)[:, -o.k] / size if near.shape[1] > o.k else np.full(len(x), -1.0)
                 cut = (o.bits - level(np.where(np.isfinite(kth), kth, -1.0), o))[:, None]
-                low = signs(x, longest[width], o) >> cut << cut
+                low = signs(x, None, o) >> cut << cut
                 each = np.repeat(np.arange(len(x)), o.trees)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[take][each]), pa.array(np.tile(width * o.trees + t, len(x))), pa.array(low.ravel()), pa.array((low + (1 << cut) - 1).ravel()), _lists(x[each])],

@@ -2,6 +2,7 @@
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -129,6 +130,21 @@ def test_forest_recall_and_order(spark):
     assert set(got) == set(ids[ids % 20 == 0].tolist())
 
 
+@pytest.mark.parametrize("norms", [(0.1, 1.0), (0.3, 1.0)])
+def test_forest_recall_of_mixed_norms(spark, norms):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((20, 32))[rng.integers(0, 20, 6000)] + 0.6 * rng.standard_normal((6000, 32))
+    x *= (rng.choice(norms, 6000) / np.sqrt((x * x).sum(axis=1)))[:, None]
+    got = {}
+    for r in nearest(vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)]), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = np.arange(0, 6000, 20)
+    near = x[asked] @ x.T
+    near[np.arange(300), asked] = -np.inf
+    best = np.argpartition(-near, 20, axis=1)[:, :20]
+    assert np.mean([len(got[q] & set(b)) / 20 for q, b in zip(asked, best.tolist())]) >= 0.9
+
+
 def test_forest_of_few_and_equal_vectors(spark):
     few = nearest(vectors(spark, [(20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]), F.col("vec_id") % 20 == 0).orderBy("rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in few] == [(20, 1, 1, 1.0), (20, 2, 2, 0.0)]
