@@ -163,6 +163,7 @@ def nearest(vectors: DataFrame, is_query: Column, o: ForestOptions = ForestOptio
                     continue
                 v, q = (table.column("embedding").combine_chunks().take(pa.array(at)).flatten().to_numpy() for table, at in ((have, np.arange(a, b)), (ask, mine)))
                 v, q = v.reshape(b - a, -1), q.reshape(len(mine), -1)
+                lengths, norms = (np.sqrt((x * x).sum(axis=1)) for x in (q, v))
                 begin = np.searchsorted(string[a:b], low[mine])
                 end = np.searchsorted(string[a:b], high[mine], side="right")
                 # Queries of one range stand together and share one product.
@@ -173,11 +174,21 @@ def nearest(vectors: DataFrame, is_query: Column, o: ForestOptions = ForestOptio
                         near = q[rows] @ v[begin[e] : end[e]].T
                         if not near.shape[1]:
                             continue
-                        best = np.argpartition(-near, o.k, axis=1)[:, : o.k + 1] if near.shape[1] > o.k + 1 else np.tile(np.arange(near.shape[1]), (len(near), 1))
-                        best = best + begin[e]
-                        each = np.repeat(np.arange(rows.start, rows.stop), best.shape[1])
-                        score = (q[each] * v[best.ravel()]).sum(axis=1)
-                        out.append(pa.table({"query_id": ids[mine][each], "first": first[a:b][best.ravel()], "score": score}))
+                        # Products are rounded otherwise than scores; all that may tie with the (k + 1)-th are scored.
+                        border = np.full((len(near), 1), -np.inf)
+                        if near.shape[1] > o.k + 1:
+                            slack = 4 * v.shape[1] * np.finfo(float).eps * (lengths[rows] * norms[begin[e] : end[e]].max())
+                            border = (np.partition(near, near.shape[1] - o.k - 1, axis=1)[:, -o.k - 1] - slack)[:, None]
+                        each, best = np.nonzero(~(near < border))
+                        each, best = each + rows.start, best + begin[e]
+                        score = np.empty(len(each))
+                        for c in range(0, len(each), 8192):
+                            score[c : c + 8192] = (q[each[c : c + 8192]] * v[best[c : c + 8192]]).sum(axis=1)
+                        name = first[a:b][best]
+                        order = np.lexsort((name, -score, each))
+                        place = np.arange(len(each)) - np.searchsorted(each, each)  # ``each`` ascends, and its order stays
+                        kept = order[place <= o.k]
+                        out.append(pa.table({"query_id": ids[mine][each[kept]], "first": name[kept], "score": score[kept]}))
         return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "first": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
     found = asked.groupBy("part", "salt").cogroup(copies.groupBy("part", "salt")).applyInArrow(meet, "query_id bigint, first bigint, score double")

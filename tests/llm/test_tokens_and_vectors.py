@@ -145,6 +145,15 @@ def test_forest_recall_of_mixed_norms(spark, norms):
     assert np.mean([len(got[q] & set(b)) / 20 for q, b in zip(asked, best.tolist())]) >= 0.9
 
 
+def test_forest_ties_go_to_the_smaller_id(spark):
+    # Many different vectors tie at the border: each of 300 has a product of 1 with the query. Equal ranges take in all.
+    rows = [(0, [1.0] + [0.0] * 20)] + [(1 + i, [1.0] + [float(i >> k & 1) for k in range(20)]) for i in np.random.default_rng(1).permutation(300).tolist()]
+    for rows_of_a_part in (64, 32768):
+        o = ForestOptions(bits=1, part_rows=rows_of_a_part)
+        got = nearest(vectors(spark, rows[::-1]), F.col("vec_id") == 0, o).orderBy("rank").collect()
+        assert [(r.vec_id, r.score) for r in got] == [(i, 1.0) for i in range(1, 21)]
+
+
 def test_forest_of_few_and_equal_vectors(spark):
     few = nearest(vectors(spark, [(20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]), F.col("vec_id") % 20 == 0).orderBy("rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in few] == [(20, 1, 1, 1.0), (20, 2, 2, 0.0)]
