@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sitegrain.llm import langid
 from sitegrain.llm.bpe import BpeFile, decoded, encoded
 from sitegrain.llm.minhash import deduplicated
-from sitegrain.llm.mixing import mixed
+from sitegrain.llm.mixing import MixOptions, mixed
 from sitegrain.llm.substrings import without_repeats
 from sitegrain.llm.tables import Scratch
 
@@ -42,8 +42,11 @@ def first_occurrences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def weighted_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a document comes as often, and with as many words, as the mix reads it."""
-    return mixed(docs).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+    """The mix of sources: a document comes as often, and with as many words, as the mix reads it.
+
+    Sources meet their targets to the word, so small ones do not vanish.
+    """
+    return mixed(docs, MixOptions(exact=True)).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

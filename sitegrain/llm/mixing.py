@@ -8,6 +8,10 @@
 4. The k-th slot of a source reads block ``permutation(k mod blocks)``; a block is read again only when all
    others were. Slots and documents meet in a join by (source, block).
 
+Quotas are whole blocks, as the SQL twin of the query has them: a target of less than half a block takes nothing.
+With ``exact``, a source is read whole as often as its target holds it, and the last draw ends at the word that
+meets the target (rounded to a word).
+
 Permutations are swap-or-not networks: exact bijections of any size, made of built-in functions.
 """
 
@@ -37,6 +41,7 @@ class MixOptions:
     rounds: int = 12  # of a permutation
     lanes: int = 1024  # parts that the order of a source's documents is cut into
     seed: str = "mix"
+    exact: bool = False  # draws end at the target's last word, not at the end of a block
 
 
 def number(*parts: Column | str) -> Column:
@@ -78,9 +83,10 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def targets(sizes: DataFrame, o: MixOptions = MixOptions()) -> DataFrame:
-    """``source, source_size, target, quota, blocks, slot0, slots`` of every source.
+    """``source, source_size, target, quota, blocks, passes, rest, slot0, slots`` of every source.
 
-    One row per source goes through the windows here; documents were summed before.
+    One row per source goes through the windows here; documents were summed before. With ``o.exact`` a source is
+    read ``passes`` times whole and ``rest`` words of it once more; else both are null.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     everything = Window.partitionBy(F.lit(0))
@@ -101,17 +107,28 @@ def targets(sizes: DataFrame, o: MixOptions = MixOptions()) -> DataFrame:
     out = full.select("source", "source_size", target.alias("target"))
     blocks = F.ceil(F.col("source_size") / o.block)
     quota = F.least(F.floor(F.col("target") / o.block + 0.5), blocks * o.repeat)
-    out = out.withColumn("blocks", blocks).withColumn("quota", F.when(blocks > 0, quota).otherwise(F.lit(0)))
+    words = F.floor(F.col("target") + 0.5)
+    whole = F.when(blocks > 0, F.floor(words / F.col("source_size")).cast("bigint")) if o.exact else F.lit(None).cast("bigint")
+    out = out.withColumn("blocks", blocks).withColumn("passes", whole).withColumn("rest", words - F.col("passes") * F.col("source_size"))
+    if o.exact:
+        # The short last block may be among the draws of the rest; one that turns out to be too many has no words.
+        short = F.col("blocks") * o.block - F.col("source_size")
+        over = F.when(F.col("rest") > 0, F.least(F.ceil((F.col("rest") + short) / o.block), F.col("blocks"))).otherwise(F.lit(0))
+        quota = F.col("passes") * F.col("blocks") + over
+    out = out.withColumn("quota", F.when(blocks > 0, quota).otherwise(F.lit(0)))
     so_far = everything.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     return out.withColumn("slot0", F.coalesce(F.sum("quota").over(so_far), F.lit(0))).withColumn("slots", F.sum("quota").over(everything))
 
 
 def drawn_blocks(plan: DataFrame, o: MixOptions = MixOptions()) -> DataFrame:
-    """``shard, slot, source, block, copy``: what every slot of the mix reads. ``copy`` counts from 0."""
+    """``shard, slot, source, block, copy, words``: what every slot of the mix reads, from the block's first word on.
+
+    ``copy`` counts from 0. ``words`` may exceed what the last block of a source holds.
+    """
     width = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
     runs = plan.filter("quota > 0").select(
-        "source", "blocks", "quota", "slot0", "slots",
+        "source", "source_size", "blocks", "quota", "passes", "rest", "slot0", "slots",
         steps(number(F.lit(o.seed), F.lit("slots")), F.col("slots"), o.rounds).alias("slot_steps"),
         steps(number(F.lit(o.seed), F.lit("source"), name), F.col("blocks"), o.rounds).alias("block_steps"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("quota") - 1) / RUN))).alias("run"),
@@ -121,7 +138,14 @@ def drawn_blocks(plan: DataFrame, o: MixOptions = MixOptions()) -> DataFrame:
     )
     slot = permuted(F.col("slot0") + F.col("k"), F.col("slots"), F.col("slot_steps"))
     block = permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.col("block_steps"))
-    draws = draws.select(slot.alias("slot"), "source", block.alias("block"), F.floor(F.col("k") / F.col("blocks")).alias("copy"))
+    words = F.lit(o.block).cast("bigint")
+    if o.exact:
+        # Rounds undo themselves, so in reverse order they tell the turn of the short last block.
+        turn = permuted(F.col("blocks") - 1, F.col("blocks"), F.reverse("block_steps"))
+        k = F.col("k") % F.col("blocks")
+        earlier = k * o.block - F.when(turn < k, F.col("blocks") * o.block - F.col("source_size")).otherwise(F.lit(0))
+        words = F.when(F.col("k") < F.col("passes") * F.col("blocks"), words).otherwise(F.least(words, F.col("rest") - earlier))
+    draws = draws.select(slot.alias("slot"), "source", block.alias("block"), F.floor(F.col("k") / F.col("blocks")).alias("copy"), words.alias("words"))
     return draws.withColumn("shard", F.floor(F.col("slot") / o.shard_slots))
 
 
@@ -152,7 +176,7 @@ def mixture(docs: DataFrame, o: MixOptions = MixOptions()) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "mixing")
     sizes = scratch.keep(sized(docs), "sizes")
     plan = scratch.keep(targets(sizes, o), "targets")
-    draws = drawn_blocks(plan, o).groupBy("source", "block").agg(F.collect_set("copy").alias("copies"))
+    draws = drawn_blocks(plan, o).groupBy("source", "block").agg(F.collect_set(F.struct("copy", "words")).alias("copies"))
     rows = scratch.keep(placed(sizes, o).withColumn("row", F.monotonically_increasing_id()), "places")
     parts = rows.filter("size > 0").select(
         "row", "source", "size", "begin",
@@ -160,11 +184,11 @@ def mixture(docs: DataFrame, o: MixOptions = MixOptions()) -> DataFrame:
     )
     key = lambda d: d.withColumn("named", F.col("source").isNotNull()).fillna("", ["source"])
     low = F.greatest(F.col("block") * o.block - F.col("begin"), F.lit(0))
-    high = F.least((F.col("block") + 1) * o.block - F.col("begin"), F.col("size"))
+    high = F.least(F.col("block") * o.block + F.col("copy.words") - F.col("begin"), F.col("size"))
     # Spark takes the draws for as small as the targets that they are made from; they grow with the corpus.
-    taken = key(parts).join(key(draws).hint("merge"), ["named", "source", "block"]).select(
-        "row", F.explode("copies").alias("copy"), low.alias("first"), (high - low).alias("words")
-    )
+    taken = key(parts).join(key(draws).hint("merge"), ["named", "source", "block"]).withColumn("copy", F.explode("copies")).select(
+        "row", "copy.copy", low.alias("first"), (high - low).alias("words")
+    ).filter("words > 0")
     taken = taken.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("copy", "first", "words"))).alias("pieces"))
     known = plan.select(F.col("source").alias("of"), "source_size", "target")
     return rows.join(known, F.col("source").eqNullSafe(F.col("of"))).join(taken, "row", "left").select(

@@ -1,8 +1,10 @@
 """Text operators against brute force, with the odd rows each must stand."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -253,6 +255,27 @@ def test_mixing(spark):
     assert words == sum(t[1] for t in total.values())
 
 
+def test_exact_mixing_of_small_sources(spark):
+    sizes = {"hot": [700, 900, 500, 40] * 5, "a": [20], "b": [129], "c": [150], "d": [1], "e": [128], None: [60, 0, 71, 5], "f": [0], "z": [3000]}
+    rows = [(1000 * n + i, " ".join(f"{n}x{i}x{k}" for k in range(size)), source, i) for n, (source, own) in enumerate(sizes.items()) for i, size in enumerate(own)]
+    docs = spark.createDataFrame(rows, MIXED)
+    for percent in (100, 150, 190, 400):
+        o = mixing.MixOptions(exact=True, percent=percent)
+        got = {}
+        for r in mixing.mixture(docs, o).withColumn("taken", mixing.taken_words()).collect():
+            assert all(p.words > 0 and p.first + p.words <= r.size for p in r.pieces or [])
+            got.setdefault(r.source, [r.target, 0])[1] += r.taken
+        assert {s: n for s, (_, n) in got.items()} == {s: math.floor(target + 0.5) for s, (target, _) in got.items()}
+        assert all(got[s][1] > 0 for s in sizes if s != "f")
+        copies = Counter(w for r in mixing.mixed(docs, o).collect() for w in r.text.split())
+        assert max(copies.values()) <= 2 and sum(copies.values()) == sum(n for _, n in got.values())
+        # All words of a source are read before one is read again.
+        times = {}
+        for _, text, source, _ in rows:
+            times.setdefault(source, []).extend(copies[w] for w in text.split())
+        assert all(max(n) - min(n) <= 1 for n in times.values() if n)
+
+
 def test_mixing_is_a_permutation(spark):
     for n in (1, 2, 7, 1000):
         df = spark.range(n).withColumn("n", F.lit(n).cast("bigint"))
