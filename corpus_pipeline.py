@@ -20,13 +20,14 @@ from sitegrain.llm.tables import Scratch
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; a missing ``lang`` is filled with the prediction.
+    """Documents whose text has a letter; a missing ``lang`` is filled with the prediction.
 
-    What goes are texts that are null or have no letter. The model learns from all rows with text and lang.
+    What goes are texts that are null or have no letter. The model learns from all rows with text and lang; without
+    any, and where it says so, the prediction is ``und``.
     """
-    rows = langid.identified(docs, langid.fit(docs))
+    rows = langid.identified(docs, langid.fit(docs), letters="__letters")
     lang = F.when(F.col("lang").isNull(), F.col("lang_pred")).otherwise(F.col("lang"))
-    return rows.filter(F.col("lang_pred") != langid.UNKNOWN).withColumn("lang", lang).select(*docs.columns)
+    return rows.filter("__letters").withColumn("lang", lang).select(*docs.columns)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -185,28 +185,31 @@ def _chunks(texts: pa.Array, o: LanguageOptions) -> Iterator[tuple[np.ndarray, i
             yield vectors(s, first, stop, o), s.first + first
 
 
-def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
+def identified(docs: DataFrame, model: LanguageModel, letters: str | None = None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1).
 
-    Only the text decides. A text that is null or has no letter is ``und`` with score 0. Columns of ``docs`` that have
-    one of these names are replaced; all others, whatever their names, pass through unread.
+    Only the text decides. A text that is null or has no letter is ``und`` with score 0; so is any text if the model has
+    no class, and ``und`` may be a class. The boolean column ``letters``, if named, tells texts with a letter. Columns of
+    ``docs`` that have one of these names are replaced; all others, whatever their names, pass through unread.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", letters)]
+    flag = [letters] if letters else []
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             names, scores = np.full(batch.num_rows, UNKNOWN, dtype=object), np.zeros(batch.num_rows)
-            texts = batch.column(batch.schema.names.index("text"))
+            texts, found = batch.column(batch.schema.names.index("text")), np.ones(batch.num_rows, bool)
             for x, first in _chunks(texts, model.options):
                 names[first : first + len(x)], scores[first : first + len(x)] = model.predict(x)
             for k, text in enumerate(texts):
                 # The first letter ends the search.
                 if not any(map(str.isalpha, text.as_py() or "")):
-                    names[k], scores[k] = UNKNOWN, 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*batch.schema.names, "lang_pred", "score"])
+                    names[k], scores[k], found[k] = UNKNOWN, 0.0, False
+            columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores), *(pa.array(found) for _ in flag)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score", *flag])
 
     rows = docs.select(*kept)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double" + "".join(f", `{c}` boolean" for c in flag))

@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -207,6 +208,13 @@ def test_languages_of_few_rows(spark):
     assert langid.identified(table(spark, []), one).count() == 0
 
 
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_texts_of_unknown_language_stay_in_the_pipeline(spark, lang):
+    docs = spark.createDataFrame([(1, "a clean text", lang), (2, "123", lang), (3, None, lang), (4, "字", None)], "doc_id bigint, text string, lang string")
+    got = corpus_pipeline.known_language(spark, docs, "")
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(1, "a clean text", "und"), (4, "字", "und")]
+
+
 def test_toxicity_chain(spark):
     rng = random.Random(3)
     rows = []
