@@ -98,10 +98,11 @@ def holds_any(c: Column, terms: Sequence[str]) -> Column:
     return out
 
 
-def text_slug(c: Column, limit: int = 80) -> Column:
-    """Slug that keeps ``-`` and ``_``; cut at ``limit``."""
+def text_slug(c: Column, limit: int | None = 80) -> Column:
+    """Slug that keeps ``-`` and ``_``; cut at ``limit`` unless that is None."""
     dashed = F.regexp_replace(F.lower(text_or_empty(c)), r"[^a-z0-9_-]+", "-")
-    return F.substring(F.regexp_replace(dashed, r"^-+|-+$", ""), 1, limit)
+    slug = F.regexp_replace(dashed, r"^-+|-+$", "")
+    return slug if limit is None else F.substring(slug, 1, limit)
 
 
 def path_slug(c: Column) -> Column:

@@ -191,13 +191,13 @@ def insights(intel: DataFrame, themes: int = 20) -> DataFrame:
 
 
 def entity_key(entity: Column, page_type: Column) -> Column:
-    """Slug under which pages share one roll-up."""
+    """Uncut slug under which pages share one roll-up."""
     source = F.coalesce(
         F.nullif(text_or_empty(entity), F.lit("")),
         F.nullif(text_or_empty(page_type), F.lit("")),
         F.lit("generic"),
     )
-    return text_slug(source)
+    return text_slug(source, limit=None)
 
 
 def intel_requests(pages: DataFrame) -> DataFrame:

@@ -25,6 +25,18 @@ def test_phrases(spark):
     ]
 
 
+def test_long_entities_that_begin_alike_are_two_requests(spark):
+    begin = "banner " * 14
+    rows = [("s", 0, begin + "red"), ("s", 1, begin + "blue"), ("s", 2, begin + "red")]
+    pages = spark.createDataFrame(rows, "site STRING, idx INT, product_entity STRING").selectExpr(
+        "*", "concat('https://s/', idx) AS url", "'' AS title", "'product' AS page_type", "array() AS headings", "'' AS first_1500_words"
+    )
+    asked = serp.intel_requests(pages)
+    assert sorted((r.request_idx, r["query"]) for r in asked.collect()) == [(0, begin + "red"), (1, begin + "blue")]
+    joined = serp.attach_by_entity(pages, asked.select("site", "entity_key", "request_idx"))
+    assert sorted((r.idx, r.request_idx) for r in joined.collect()) == [(0, 0), (1, 1), (2, 0)]
+
+
 def test_repeats(one):
     assert one(cap_repeats(c("t")), t=" ".join(["go"] * 8)).count("go") == 8
     mixed = " ".join(["Go", "gO"] * 5 + ["stop"] + ["go"] * 9)
