@@ -4,7 +4,7 @@
 2. The words of a source, in a fixed order of its documents, are cut into blocks of ``block`` words.
 3. The mix has ``sum of quotas`` slots in shards. A pseudorandom permutation of all slots decides where the
    draws of a source fall. Each shard's counts are thus one multinomial draw, conditioned on the quotas:
-   shards vary as draws do, while every source's total is exact to half a block.
+   shards vary as draws do. Only ``drawn_blocks`` has shards and slots: neither ``mixture`` nor ``mixed`` reads them.
 4. The k-th slot of a source reads block ``permutation(k mod blocks)``; a block is read again only when all
    others were. Slots and documents meet in a join by (source, block).
 
