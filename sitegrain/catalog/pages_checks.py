@@ -81,7 +81,7 @@ def internal_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def competitor_page(spark: SparkSession, sf: str) -> DataFrame:
-    return P.serp_page(site_pages(spark, sf)).select(
+    return P.serp_page(site_pages(spark, sf), max_chars=12000).select(
         "idx",
         joined(F.transform("headings", lambda h: h["text"])).alias("headings"),
         "paragraph_text",

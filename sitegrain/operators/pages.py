@@ -11,7 +11,6 @@ from sitegrain.functions.text import first_n, word_count
 
 PREFIX_WORDS = 1500
 THIN_WORDS = 300
-SERP_TEXT_CHARS = 12000
 
 
 def read_pages(pages: DataFrame, idx: str = "page_id") -> DataFrame:
@@ -113,8 +112,8 @@ def content_quality(features: DataFrame, prefix_words: int | None = None) -> Dat
     )
 
 
-def serp_page(pages: DataFrame) -> DataFrame:
-    """Competitor page row: headings, capped text, word count, types, questions."""
+def serp_page(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Competitor page row: headings, text (cut at ``max_chars``, if given), word count, types, questions."""
     seen = F.col("visible")
     stripped = pages.withColumn("with_data", H.strip_hidden(F.col("html"), keep_json_ld=True))
     text = stripped.withColumn("visible", H.strip_hidden(F.col("with_data"))).withColumn(
@@ -125,7 +124,7 @@ def serp_page(pages: DataFrame) -> DataFrame:
         "idx",
         "url",
         H.headings(seen, "1-3", drop_empty=True).alias("headings"),
-        F.substring("serp_text", 1, SERP_TEXT_CHARS).alias("paragraph_text"),
+        (F.col("serp_text") if max_chars is None else F.substring("serp_text", 1, max_chars)).alias("paragraph_text"),
         word_count(F.col("serp_text")).alias("word_count"),
         H.json_ld_types(F.col("with_data")).alias("schema_types"),
         H.faq_questions(seen).alias("faq_questions"),

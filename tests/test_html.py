@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.functions import html as H
 from sitegrain.functions import urls
+from sitegrain.operators.pages import serp_page
 
 c = F.col
 PAGE = "https://Site.com:443/shop/a/b.html?x=1#frag"
@@ -135,3 +136,10 @@ def test_safe_href(one):
 def test_dom_text(spark):
     df = spark.createDataFrame([("<title>t</title><body><p>a <b>b<p>c<script>x</script>",)], "h STRING")
     assert df.select(H.dom_text("h").alias("v")).first()["v"] == "ta bc"
+
+
+def test_result_pages_keep_their_whole_text(spark):
+    text = "word " * 4000 + "end"
+    page = spark.createDataFrame([("s", 0, "https://s/", f"<body><p>{text}</p></body>")], "site STRING, idx INT, url STRING, html STRING")
+    assert serp_page(page).first()["paragraph_text"] == text
+    assert serp_page(page, max_chars=100).first()["paragraph_text"] == text[:100]
