@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegrain.llm import langid, toxicity
+from sitegrain.llm import langid, more_queries, toxicity
 from sitegrain.llm.bpe import BpeFile, decoded, encoded
 from sitegrain.llm.forest import nearest
 from sitegrain.llm.licenses import BASE, rules, scanned
@@ -262,5 +262,6 @@ def op4_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     rows = toxicity.scored(docs.select("doc_id", "text"), toxicity.fit(docs, labels))
     return rows.select("doc_id", F.col("is_toxic").alias("toxic"), F.col("p_toxic").alias("score"), F.col("p_low_quality").alias("low_quality_score"))
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_licenses": op2_licenses, "op3_signs": op3_signs, "op4_toxicity": op4_toxicity, "op5_languages": op5_languages, "op6_mixing": op6_mixing, "op7_bpe": op7_bpe, "op8_simple8b": op8_simple8b, "op9_forest": op9_forest, "op10_recompression": op10_recompression}
-ORACLES = {"op1_minhash": OP1_SQL, "op2_licenses": _licenses_sql(), "op3_signs": OP3_SQL, "op6_mixing": _mixing_sql(MixOptions()), "op10_recompression": OP10_SQL}
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_licenses": op2_licenses, "op3_signs": op3_signs, "op4_toxicity": op4_toxicity, "op5_languages": op5_languages, "op6_mixing": op6_mixing, "op7_bpe": op7_bpe, "op8_simple8b": op8_simple8b, "op9_forest": op9_forest, "op10_recompression": op10_recompression} | more_queries.QUERIES
+ORACLES = {"op1_minhash": OP1_SQL, "op2_licenses": _licenses_sql(), "op3_signs": OP3_SQL, "op6_mixing": _mixing_sql(MixOptions()), "op10_recompression": OP10_SQL} | more_queries.ORACLES

@@ -137,3 +137,42 @@ def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
     for k in range(width):
         total = total * np.uint64(0xD6E8FEB86659FD93) + hashes[k : n - width + 1 + k]
     return np.unique(mix(total))
+
+
+def document_lines(column: pa.Array, shortest: int) -> Iterator[tuple[int, Iterator[tuple[bytes, bytes | None]]]]:
+    """(row, lines) of every row; a line is (bytes as they are, key), the key None below ``shortest`` code points.
+
+    Lines end at 0x0A; a key is stripped of 0x20 and 0x09-0x0D at both ends and lower-cased (A-Z).
+    """
+    for row, data, own in texts_of(column):
+        cuts = np.flatnonzero(data == 10)
+        starts, ends = np.sort(np.concatenate([own[:-1], cuts + 1])), np.sort(np.concatenate([cuts, own[1:]]))
+        first = np.searchsorted(cuts, own) + np.arange(len(own))  # number of each document's first line
+        solid = np.flatnonzero(~_BLANK[data])
+        a, b = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        full = a < b
+        begin, end = starts.copy(), starts.copy()
+        begin[full], end[full] = solid[a[full]], solid[b[full] - 1] + 1
+        counts = points[end] - points[begin] >= max(shortest, 1)
+        whole, lowered = data.tobytes(), _LOWER[data].tobytes()
+        line = lambda k: (whole[starts[k] : ends[k]], lowered[begin[k] : end[k]] if counts[k] else None)
+        for k in range(len(own) - 1):
+            yield row + k, map(line, range(first[k], first[k + 1]))
+
+
+def texts_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, byte offset of each text and the end) of slices of ``column``."""
+    raw, bounds = _texts(column)
+    row, n = 0, len(column)
+    while row < n:
+        stop = int(np.searchsorted(bounds, bounds[row] + SLICE_BYTES, side="right")) - 1
+        stop = min(max(stop, row + 1), n)
+        yield row, raw[bounds[row] : bounds[stop]], bounds[row : stop + 1] - bounds[row]
+        row = stop
+
+
+def folded_texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``texts_of`` with A-Z lower-cased."""
+    for row, data, bounds in texts_of(column):
+        yield row, _LOWER[data], bounds
