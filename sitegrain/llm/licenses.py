@@ -29,36 +29,25 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 NAMES = (
     ("mit", "mit|expat|x11", "mit expat x11"),
     ("apache", "apache", "apache"),
-    ("apache-1.1", "apache (software )?(license )?(version |v )?1 1", "apache"),
-    ("apache-2.0", "apache (software )?(license )?(version |v )?2( 0)?", "apache"),
     ("gpl", "gpl|gnu general public|general public", "gpl general"),
-    ("gpl-2.0", "(gnu )?(gpl|general public license) (version |v )?2( 0)?", "gpl general"),
-    ("gpl-3.0", "(gnu )?(gpl|general public license) (version |v )?3( 0)?", "gpl general"),
     ("lgpl", "lgpl|(gnu )?(lesser|library) general public", "lgpl general"),
-    ("lgpl-2.1", "(lgpl|lesser general public license) (version |v )?2 1", "lgpl general"),
-    ("lgpl-3.0", "(lgpl|lesser general public license) (version |v )?3( 0)?", "lgpl general"),
     ("agpl", "agpl|(gnu )?affero general public", "agpl affero"),
-    ("agpl-3.0", "(agpl|affero general public license) (version |v )?3( 0)?", "agpl affero"),
     ("bsd", "bsd|berkeley software distribution", "bsd berkeley"),
     ("bsd-2-clause", "simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd", "bsd freebsd"),
     ("bsd-3-clause", "new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd", "bsd"),
     ("bsd-4-clause", "original bsd|bsd 4 clause|4 clause bsd|four clause bsd", "bsd"),
     ("isc", "isc|internet systems consortium", "isc consortium"),
     ("mpl", "mpl|mozilla public", "mpl mozilla"),
-    ("mpl-1.1", "(mpl|mozilla public license) (version |v )?1 1", "mpl mozilla"),
-    ("mpl-2.0", "(mpl|mozilla public license) (version |v )?2( 0)?", "mpl mozilla"),
     ("epl", "epl|eclipse public", "epl eclipse"),
-    ("epl-2.0", "(epl|eclipse public license) (version |v )?2( 0)?", "epl eclipse"),
     ("cddl", "cddl|common development and distribution", "cddl common"),
     ("cpl", "common public", "common"),
     ("eupl", "eupl|european union public", "eupl european"),
     ("artistic", "artistic|perl artistic", "artistic"),
-    ("artistic-2.0", "artistic (license )?2( 0)?", "artistic"),
     ("zlib", "zlib( libpng)?", "zlib"),
-    ("boost", "boost( software)?|bsl 1 0", "boost bsl"),
+    ("boost", "boost( software)?", "boost"),
     ("unlicense", "unlicense", "unlicense"),
     ("wtfpl", "wtfpl|do what the fuck you want to public", "wtfpl fuck"),
-    ("cc0", "cc0( 1 0)?|creative commons zero", "cc0 creative"),
+    ("cc0", "cc0|creative commons zero", "cc0 creative"),
     ("cc-by", "cc by|creative commons attribution", "cc creative"),
     ("cc-by-sa", "cc by sa|creative commons attribution share ?alike", "cc creative"),
     ("cc-by-nc", "cc by nc|creative commons attribution non ?commercial", "cc creative"),
@@ -88,20 +77,186 @@ FORMS = (
     ("spdx", "spdx licen[cs]e identifier ({})", 6, 1.0),
 )
 
-# Sentences of licence texts and notices. Label, word that every match holds, pattern.
+# Signatures of licence versions, each written for itself. Label, words of which every match holds
+# one, pattern. A version stands behind the licence's name, its short name or its SPDX identifier.
+VERSIONS = (
+    ("apache-1.0", "apache", "(the )?apache (software )?licen[cs]e (version |v ?)1 0"),
+    ("apache-1.1", "apache", "(the )?apache (software )?licen[cs]e (version |v ?)?1 1"),
+    ("apache-1.1", "apache", "apache (v ?)?1 1"),
+    ("apache-2.0", "apache", "(the )?apache (software )?licen[cs]e (version |v ?)?2( 0)?"),
+    ("apache-2.0", "apache", "apache (v ?)?2( 0)?( licen[cs]ed?)?"),
+    ("apache-2.0", "asl", "asl (version |v ?)?2( 0)?"),
+    ("gpl-1.0", "general", "(gnu )?general public licen[cs]e (version |v ?)1( 0)?"),
+    ("gpl-2.0", "general", "(the )?(gnu )?general public licen[cs]e (as published by the free software foundation (either )?)?(version |v ?)2( 0)?"),
+    ("gpl-2.0", "gpl gplv2 gpl2", "(gnu )?(gpl (version |v ?)?2( 0)?|gplv2|gpl2)"),
+    ("gpl-2.0-only", "general", "(gnu )?general public licen[cs]e (version |v ?)2( 0)? only"),
+    ("gpl-2.0-only", "gpl gplv2", "(gpl (version |v ?)?2( 0)?|gplv2) only"),
+    ("gpl-2.0-or-later", "general", "(gnu )?general public licen[cs]e (version |v ?)2( 0)? or (at your option )?(any )?later( version)?"),
+    ("gpl-2.0-or-later", "gpl gplv2", "(gpl (version |v ?)?2( 0)?|gplv2) or (at your option )?(any )?later( version)?"),
+    ("gpl-2.0-or-later", "either", "either version 2 of the licen[cs]e or (at your option )?any later version"),
+    ("gpl-3.0", "general", "(the )?(gnu )?general public licen[cs]e (as published by the free software foundation (either )?)?(version |v ?)3( 0)?"),
+    ("gpl-3.0", "gpl gplv3 gpl3", "(gnu )?(gpl (version |v ?)?3( 0)?|gplv3|gpl3)"),
+    ("gpl-3.0-only", "general", "(gnu )?general public licen[cs]e (version |v ?)3( 0)? only"),
+    ("gpl-3.0-only", "gpl gplv3", "(gpl (version |v ?)?3( 0)?|gplv3) only"),
+    ("gpl-3.0-or-later", "general", "(gnu )?general public licen[cs]e (version |v ?)3( 0)? or (at your option )?(any )?later( version)?"),
+    ("gpl-3.0-or-later", "gpl gplv3", "(gpl (version |v ?)?3( 0)?|gplv3) or (at your option )?(any )?later( version)?"),
+    ("gpl-3.0-or-later", "either", "either version 3 of the licen[cs]e or (at your option )?any later version"),
+    ("lgpl-2.0", "library", "(gnu )?library general public licen[cs]e (version |v ?)2( 0)?"),
+    ("lgpl-2.0", "lgpl", "lgpl (version |v ?)?2 0"),
+    ("lgpl-2.1", "lesser", "(the )?(gnu )?lesser general public licen[cs]e (version |v ?)?2 1"),
+    ("lgpl-2.1", "lgpl lgplv2", "(gnu )?(lgpl (version |v ?)?2 1|lgplv2 1)"),
+    ("lgpl-2.1-or-later", "lesser", "(gnu )?lesser general public licen[cs]e (version |v ?)?2 1 or (at your option )?(any )?later( version)?"),
+    ("lgpl-2.1-or-later", "lgpl lgplv2", "(lgpl (version |v ?)?2 1|lgplv2 1) or (at your option )?(any )?later( version)?"),
+    ("lgpl-3.0", "lesser", "(the )?(gnu )?lesser general public licen[cs]e (version |v ?)?3( 0)?"),
+    ("lgpl-3.0", "lgpl lgplv3", "(gnu )?(lgpl (version |v ?)?3( 0)?|lgplv3)"),
+    ("lgpl-3.0-or-later", "lesser", "(gnu )?lesser general public licen[cs]e (version |v ?)?3( 0)? or (at your option )?(any )?later( version)?"),
+    ("agpl-3.0", "affero", "(the )?(gnu )?affero general public licen[cs]e (version |v ?)?3( 0)?"),
+    ("agpl-3.0", "agpl agplv3", "(gnu )?(agpl (version |v ?)?3( 0)?|agplv3)"),
+    ("agpl-3.0-or-later", "affero", "(gnu )?affero general public licen[cs]e (version |v ?)?3( 0)? or (at your option )?(any )?later( version)?"),
+    ("gfdl-1.1", "documentation", "(gnu )?free documentation licen[cs]e (version |v ?)1 1"),
+    ("gfdl-1.2", "documentation", "(gnu )?free documentation licen[cs]e (version |v ?)1 2"),
+    ("gfdl-1.3", "documentation", "(gnu )?free documentation licen[cs]e (version |v ?)1 3"),
+    ("gfdl", "documentation", "(gnu )?free documentation licen[cs]e"),
+    ("gfdl", "gfdl", "gfdl( 1 [123])?"),
+    ("mpl-1.0", "mozilla", "mozilla public licen[cs]e (version |v ?)?1 0"),
+    ("mpl-1.1", "mozilla", "(the )?mozilla public licen[cs]e (version |v ?)?1 1"),
+    ("mpl-1.1", "mpl", "mpl (version |v ?)?1 1"),
+    ("mpl-2.0", "mozilla", "(the )?mozilla public licen[cs]e (version |v ?)?2( 0)?"),
+    ("mpl-2.0", "mpl", "mpl (version |v ?)?2( 0)?"),
+    ("epl-1.0", "eclipse", "eclipse public licen[cs]e (version |v ?)?1( 0)?"),
+    ("epl-1.0", "epl", "epl (version |v ?)?1 0"),
+    ("epl-2.0", "eclipse", "(the )?eclipse public licen[cs]e (version |v ?)?2( 0)?"),
+    ("epl-2.0", "epl", "epl (version |v ?)?2( 0)?"),
+    ("edl-1.0", "eclipse", "eclipse distribution licen[cs]e (version |v ?)?1 0"),
+    ("cddl-1.0", "common", "common development and distribution licen[cs]e (cddl )?(version |v ?)?1 0"),
+    ("cddl-1.0", "cddl", "cddl (version |v ?)?1 0"),
+    ("cddl-1.1", "common", "common development and distribution licen[cs]e (cddl )?(version |v ?)?1 1"),
+    ("cddl-1.1", "cddl", "cddl (version |v ?)?1 1"),
+    ("cpl-1.0", "common", "common public licen[cs]e (version |v ?)?1 0"),
+    ("ipl-1.0", "ibm", "ibm public licen[cs]e( (version |v ?)?1 0)?"),
+    ("eupl-1.1", "european", "european union public licen[cs]e (version |v ?)?1 1"),
+    ("eupl-1.1", "eupl", "eupl (version |v ?)?1 1"),
+    ("eupl-1.2", "european", "european union public licen[cs]e (version |v ?)?1 2"),
+    ("eupl-1.2", "eupl", "eupl (version |v ?)?1 2"),
+    ("artistic-1.0", "artistic", "(the )?artistic licen[cs]e (version |v ?)?1 0"),
+    ("artistic-2.0", "artistic", "(the )?artistic licen[cs]e (version |v ?)?2( 0)?"),
+    ("artistic-2.0", "artistic", "artistic 2( 0)?"),
+    ("boost-1.0", "boost", "(the )?boost software licen[cs]e (version |v ?)?1 0"),
+    ("boost-1.0", "bsl", "bsl 1 0"),
+    ("busl-1.1", "business", "business source licen[cs]e( (version |v ?)?1 1)?"),
+    ("busl-1.1", "busl", "busl 1 1"),
+    ("cc0-1.0", "cc0", "cc0 (version |v ?)?1 0( universal)?"),
+    ("cc0-1.0", "creative", "creative commons (cc0|zero)( (version |v ?)?1 0)? universal( public domain dedication)?"),
+    ("cc-by-2.0", "creative", "creative commons attribution 2 0( generic)?( licen[cs]e)?"),
+    ("cc-by-2.5", "creative", "creative commons attribution 2 5( generic)?( licen[cs]e)?"),
+    ("cc-by-3.0", "creative", "creative commons attribution 3 0( unported)?( licen[cs]e)?"),
+    ("cc-by-3.0", "cc", "cc by 3 0"),
+    ("cc-by-4.0", "creative", "creative commons attribution 4 0( international)?( public)?( licen[cs]e)?"),
+    ("cc-by-4.0", "cc", "cc by 4 0"),
+    ("cc-by-sa-2.0", "cc", "cc by sa 2 0"),
+    ("cc-by-sa-3.0", "creative", "creative commons attribution share ?alike 3 0( unported)?( licen[cs]e)?"),
+    ("cc-by-sa-3.0", "cc", "cc by sa 3 0"),
+    ("cc-by-sa-4.0", "creative", "creative commons attribution share ?alike 4 0( international)?( public)?( licen[cs]e)?"),
+    ("cc-by-sa-4.0", "cc", "cc by sa 4 0"),
+    ("cc-by-nc-3.0", "creative", "creative commons attribution non ?commercial 3 0( unported)?( licen[cs]e)?"),
+    ("cc-by-nc-4.0", "creative", "creative commons attribution non ?commercial 4 0( international)?( public)?( licen[cs]e)?"),
+    ("cc-by-nc-4.0", "cc", "cc by nc 4 0"),
+    ("cc-by-nc-sa-3.0", "cc", "cc by nc sa 3 0"),
+    ("cc-by-nc-sa-4.0", "creative", "creative commons attribution non ?commercial share ?alike 4 0( international)?( public)?( licen[cs]e)?"),
+    ("cc-by-nc-sa-4.0", "cc", "cc by nc sa 4 0"),
+    ("cc-by-nc-nd-4.0", "creative", "creative commons attribution non ?commercial no ?deriv(ative)?s 4 0( international)?( public)?( licen[cs]e)?"),
+    ("cc-by-nc-nd-4.0", "cc", "cc by nc nd 4 0"),
+    ("cc-by-nd-4.0", "creative", "creative commons attribution no ?deriv(ative)?s 4 0( international)?( public)?( licen[cs]e)?"),
+    ("cc-by-nd-4.0", "cc", "cc by nd 4 0"),
+    ("ofl-1.0", "font", "(sil )?open font licen[cs]e (version |v ?)?1 0"),
+    ("ofl-1.1", "font", "(the )?(sil )?open font licen[cs]e (version |v ?)?1 1"),
+    ("ofl-1.1", "ofl", "ofl (version |v ?)?1 1"),
+    ("odbl-1.0", "database", "open (data commons open )?database licen[cs]e( odbl)? (version |v ?)?1 0"),
+    ("odbl-1.0", "odbl", "odbl (version |v ?)?1 0"),
+    ("odc-by-1.0", "commons", "open data commons attribution licen[cs]e( (version |v ?)?1 0)?"),
+    ("pddl-1.0", "pddl", "pddl( (version |v ?)?1 0)?"),
+    ("pddl-1.0", "commons", "open data commons public domain dedication and licen[cs]e"),
+    ("osl-3.0", "open", "open software licen[cs]e (version |v ?)?3 0"),
+    ("osl-3.0", "osl", "osl (version |v ?)?3 0"),
+    ("afl-3.0", "academic", "academic free licen[cs]e (version |v ?)?3 0"),
+    ("afl-3.0", "afl", "afl (version |v ?)?3 0"),
+    ("ms-pl", "microsoft", "microsoft public licen[cs]e ms pl"),
+    ("ms-rl", "microsoft", "microsoft reciprocal licen[cs]e( ms rl)?"),
+    ("python-2.0", "python", "python (software foundation )?licen[cs]e (version |v ?)?2( 0)?"),
+    ("php-3.01", "php", "php licen[cs]e (version |v ?)?3 01"),
+    ("php", "php", "php licen[cs]e"),
+    ("zpl-2.1", "zope", "zope public licen[cs]e( zpl)? (version |v ?)?2 1"),
+    ("zpl", "zope", "zope public licen[cs]e"),
+    ("ncsa", "illinois", "university of illinois ncsa( open source)?( licen[cs]e)?"),
+    ("ecl-2.0", "educational", "educational community licen[cs]e (version |v ?)?2( 0)?"),
+    ("lppl-1.3c", "latex", "latex project public licen[cs]e( (version |v ?)?1 3c?)?"),
+    ("qpl-1.0", "qpl", "q public licen[cs]e( (version |v ?)?1 0)?|qpl 1 0"),
+    ("nposl-3.0", "profit", "non profit open software licen[cs]e( (version |v ?)?3 0)?"),
+    ("openrail-m", "openrail", "(creativeml |bigscience )?openrail( m)?( licen[cs]e)?"),
+    ("llama-2", "llama", "llama 2 community licen[cs]e( agreement)?"),
+    ("llama-3", "llama", "(meta )?llama 3 community licen[cs]e( agreement)?"),
+    ("mulan-2.0", "mulan", "mulan (permissive software licen[cs]e|psl) (version |v ?)?2( 0)?|mulanpsl 2 0"),
+    ("cecill-2.1", "cecill", "cecill (free software licen[cs]e agreement )?(version |v ?)?2 1"),
+    ("cecill-b", "cecill", "cecill b"),
+    ("cecill-c", "cecill", "cecill c"),
+    ("ogl-3.0", "government", "open government licen[cs]e (version |v ?)?3 0"),
+    ("ogl", "government", "open government licen[cs]e"),
+    ("0bsd", "0bsd", "0bsd"),
+    ("0bsd", "zero", "zero clause bsd( licen[cs]e)?"),
+    ("mit-0", "mit", "mit (no attribution|0)( licen[cs]e)?"),
+    ("bsd-2-clause-patent", "bsd", "bsd 2 clause (plus )?patent( licen[cs]e)?"),
+    ("bsd-3-clause-clear", "clear", "clear bsd( licen[cs]e)?|bsd 3 clause clear( licen[cs]e)?"),
+    ("upl-1.0", "universal", "universal permissive licen[cs]e( upl)?( (version |v ?)?1 0)?"),
+    ("blueoak-1.0.0", "oak", "blue oak model licen[cs]e( (version |v ?)?1 0 0)?|blueoak 1 0 0"),
+    ("vim", "vim", "vim licen[cs]e"),
+    ("beerware", "beer", "beer ?ware licen[cs]e|the beer ware licen[cs]e revision 42"),
+    ("ruby", "ruby", "ruby licen[cs]e|ruby s licen[cs]e"),
+    ("json", "json", "json licen[cs]e"),
+)
+
+# Sentences of licence texts and notices. Label, words of which every match holds one, pattern.
 SENTENCES = (
-    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy( of this software and associated documentation files)?"),
+    ("mit", "substantial", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "merchantability", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
     ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose"),
+    ("isc", "disclaims", "the software is provided as is and the author disclaims all warranties"),
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification"),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice"),
     ("bsd-3-clause", "endorse", "may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "acknowledgement", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("apache-2.0", "apache", "you may not use this file except in compliance with the licen[cs]e you may obtain a copy of the licen[cs]e at http www apache org licenses license 2 0"),
+    ("apache-2.0", "apache", "http(s)? www apache org licenses license 2 0"),
+    ("apache", "compliance", "you may not use this file except in compliance with the licen[cs]e"),
     ("gpl", "foundation", "as published by the free software foundation"),
-    ("unlicense", "unencumbered", "free and unencumbered software released into the public domain"),
+    ("gpl", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e"),
+    ("gpl", "gnu", "you should have received a copy of the gnu general public licen[cs]e"),
+    ("gpl", "copyleft", "the gnu general public licen[cs]e is a free copyleft licen[cs]e"),
+    ("lgpl", "lesser", "you should have received a copy of the gnu lesser general public licen[cs]e"),
+    ("lgpl", "library", "this library is free software you can redistribute it and or modify it"),
+    ("agpl", "affero", "you should have received a copy of the gnu affero general public licen[cs]e"),
+    ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0"),
+    ("mpl-2.0", "mpl", "if a copy of the mpl was not distributed with this file"),
+    ("epl-2.0", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e 2 0"),
+    ("unlicense", "unencumbered", "(this is )?free and unencumbered software released into the public domain"),
     ("public-domain", "dedicated", "dedicated to the public domain"),
+    ("public-domain", "hereby", "hereby (released|placed) (into|in) the public domain"),
+    ("cc0", "waive", "waive all of (his|her|their) rights to the work"),
+    ("wtfpl", "everyone", "everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document"),
+    ("zlib", "altered", "altered source versions must be plainly marked as such"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented"),
+    ("boost", "organization", "permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("ofl", "reserved", "with reserved font name"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project"),
     ("proprietary", "reserved", "all rights reserved"),
     ("proprietary", "confidential", "confidential and proprietary"),
+    ("proprietary", "unauthorized", "unauthorized (copying|use|reproduction) of this (file|software|document)"),
+    ("non-commercial", "commercial", "for non commercial (use|purposes) only"),
     ("copyright", "copyright", "copyright (c )?[0-9]{4}"),
 )
-SENTENCE_PRIORITY, SENTENCE_CONFIDENCE = 7, 0.9
+VERSION_PRIORITY, VERSION_CONFIDENCE = 7, 0.95
+SENTENCE_PRIORITY, SENTENCE_CONFIDENCE = 8, 0.9
 
 
 @dataclass(frozen=True)
@@ -121,13 +276,14 @@ def _spaced(pattern: str) -> str:
 
 
 def rules() -> list[Rule]:
-    """All signature rules in order: every form of every name, then the sentences."""
+    """All signature rules in order: every form of every name, then the signatures of versions and the sentences."""
     out = [
         (label, forms, names, form.format(name), priority, confidence)
         for forms, form, priority, confidence in FORMS
         for label, name, names in NAMES
     ]
-    out += [(label, word, word, sentence, SENTENCE_PRIORITY, SENTENCE_CONFIDENCE) for label, word, sentence in SENTENCES]
+    out += [(label, words, words, pattern, VERSION_PRIORITY, VERSION_CONFIDENCE) for label, words, pattern in VERSIONS]
+    out += [(label, words, words, pattern, SENTENCE_PRIORITY, SENTENCE_CONFIDENCE) for label, words, pattern in SENTENCES]
     return [
         Rule(i, label, tuple(forms.split()), tuple(names.split()), _spaced(pattern), priority, confidence)
         for i, (label, forms, names, pattern, priority, confidence) in enumerate(out)
@@ -135,9 +291,17 @@ def rules() -> list[Rule]:
 
 
 def folded(text: Column) -> Column:
-    """The words of a text in lower case, each with a blank of its own on either side."""
+    """The words of a text in lower case, each with a blank before it and its number and a blank after it."""
     words = F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
-    return F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
+    return F.concat(F.lit(" "), F.array_join(F.transform(words, lambda w, i: F.concat(w, F.lit("#"), i)), "  "), F.lit(" "))
+
+
+def _numbered(pattern: str) -> str:
+    """The pattern for a text of :func:`folded`: a number follows every word, so a match tells where it stands."""
+    return pattern[:-1].replace("  ", NUMBER + "  ") + NUMBER + " "
+
+
+NUMBER = "#[0-9]+"
 
 
 def scanned(docs: DataFrame, found: list[Rule] | None = None) -> DataFrame:
@@ -162,29 +326,22 @@ def scanned(docs: DataFrame, found: list[Rule] | None = None) -> DataFrame:
     )
 
 
+_SORTED = "array<struct<first:bigint,shorter:bigint,lower:int,rule:int,label:string,confidence:double>>"
+FOLD = 256  # detections that one fold appends
 _FOUND = "array<struct<rule:int,label:string,first:bigint,words:bigint,priority:int,confidence:double>>"
 
 
-def _blanks(s: Column) -> Column:
-    return (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))).cast("bigint")
-
-
 def _spans(text: Column, pattern: Column) -> Column:
-    """(first, words) of every match in a folded text: blanks before it and in it tell the words."""
-    before = lambda parts: F.aggregate(parts, F.lit(0).cast("bigint"), lambda n, s: n + _blanks(s))
-    span = lambda hit, i, hits, gaps: F.named_struct(
-        F.lit("first"), F.floor((before(F.slice(gaps, 1, i + 1)) + before(F.slice(hits, F.lit(1), i))) / 2).cast("bigint"),
-        F.lit("words"), F.floor(_blanks(hit) / 2).cast("bigint"),
-    )
-    return bind(
-        F.regexp_extract_all(text, pattern, F.lit(0)),
-        lambda hits: bind(F.split(text, pattern, -1), lambda gaps: F.transform(hits, lambda hit, i: span(hit, i, hits, gaps))),
-    )
+    """(first, words) of every match in a folded text, each read from the match alone."""
+    return F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda hit: F.named_struct(
+        F.lit("first"), F.regexp_extract(hit, "#([0-9]+)", 1).cast("bigint"),
+        F.lit("words"), (F.length(hit) - F.length(F.replace(hit, F.lit("#"), F.lit("")))).cast("bigint"),
+    ))
 
 
 def _base(text: Column) -> Column:
     places = lambda phrase, label: F.transform(
-        _spans(text, F.lit(_spaced(phrase))), lambda s: F.named_struct(F.lit("label"), F.lit(label), F.lit("first"), s["first"])
+        _spans(text, F.lit(_numbered(_spaced(phrase)))), lambda s: F.named_struct(F.lit("label"), F.lit(label), F.lit("first"), s["first"])
     )
     return F.concat(*(places(phrase, label) for phrase, label in BASE))
 
@@ -194,7 +351,7 @@ def _detections(text: Column, found: list[Rule]) -> Column:
     table = F.array(*(
         F.named_struct(
             F.lit("rule"), F.lit(r.number), F.lit("label"), F.lit(r.label), F.lit("forms"), F.array(*map(F.lit, r.forms)),
-            F.lit("names"), F.array(*map(F.lit, r.names)), F.lit("pattern"), F.lit(r.pattern),
+            F.lit("names"), F.array(*map(F.lit, r.names)), F.lit("pattern"), F.lit(_numbered(r.pattern)),
             F.lit("priority"), F.lit(r.priority), F.lit("confidence"), F.lit(r.confidence),
         )
         for r in found
@@ -210,15 +367,26 @@ def _detections(text: Column, found: list[Rule]) -> Column:
     )))
     # Whatever contains a detection comes before it in this order, so the furthest end so far of each priority decides.
     levels = max(r.priority for r in found) + 1
-    start = F.named_struct(F.lit("kept"), F.filter(each, lambda d: F.lit(False)), F.lit("ends"), F.array_repeat(F.lit(-1).cast("bigint"), levels))
+    none = F.array().cast(_SORTED)
+    state = lambda kept, ends: F.named_struct(F.lit("kept"), kept, F.lit("ends"), ends)
 
-    def turn(state: Column, d: Column) -> Column:
+    def turn(now: Column, d: Column) -> Column:
         end, priority = d["first"] - d["shorter"], -d["lower"]
-        inside = F.array_max(F.slice(state["ends"], priority + 1, F.lit(levels))) >= end
-        ends = F.transform(state["ends"], lambda e, i: F.when(i == priority, F.greatest(e, end)).otherwise(e))
-        return F.named_struct(F.lit("kept"), F.when(inside, state["kept"]).otherwise(F.concat(state["kept"], F.array(d))), F.lit("ends"), ends)
+        inside = F.array_max(F.slice(now["ends"], priority + 1, F.lit(levels))) >= end
+        ends = F.transform(now["ends"], lambda e, i: F.when(i == priority, F.greatest(e, end)).otherwise(e))
+        return state(F.when(inside, now["kept"]).otherwise(F.concat(now["kept"], F.array(d))), ends)
+
+    # In parts of FOLD: a fold that appends copies what it has, so a long one would cost the square of its length.
+    def part(now: Column, few: Column) -> Column:
+        inner = F.aggregate(few, state(none, now["ends"]), turn)
+        return bind(inner, lambda x: state(F.concat(now["kept"], F.array(x["kept"])), x["ends"]))
+
+    def settled(each: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(each), F.lit(1)), F.lit(FOLD)), lambda at: F.slice(each, at, FOLD))
+        start = state(F.array().cast(f"array<{_SORTED}>"), F.array_repeat(F.lit(-1).cast("bigint"), levels))
+        return F.aggregate(parts, start, part, lambda now: F.flatten(now["kept"]))
 
-    left = bind(F.array_sort(each), lambda each: F.aggregate(each, start, turn, lambda state: state["kept"]))
+    left = bind(F.array_sort(each), settled)
     return F.transform(left, lambda d: F.named_struct(
         F.lit("rule"), d["rule"], F.lit("label"), d["label"], F.lit("first"), d["first"], F.lit("words"), -d["shorter"],
         F.lit("priority"), -d["lower"], F.lit("confidence"), d["confidence"],
