@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from pyspark.sql.window import Window
 
 BLOCK = 128
 CHUNK_CHARS = 1 << 20
+FILE_CHARS = 1 << 24
 ESCAPE = 0
 # Count and width by selector. Selector 0 is the escape.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 120])
@@ -125,6 +127,41 @@ def byte_encoding(content: str):
     return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
+LONG_RUN = 1 << 12
+_RUNS = re.compile(rf"\s{{{LONG_RUN}}}|\S{{{LONG_RUN}}}")
+
+
+class Encoder:
+    """Ids of whole texts, as the ``tokenizers`` library gives them.
+
+    ``byte_encoding`` takes a run of blanks or of other characters as it comes, with a stack and a time that grow with
+    the run. Texts with a run of ``LONG_RUN`` characters, which are rare, go through the library itself.
+    """
+
+    def __init__(self, content: str) -> None:
+        self.content, self.fast, self.library = content, byte_encoding(content), None
+        self.special = set(self.fast.special_tokens_set)
+
+    @staticmethod
+    def _long_run(text: str) -> bool:
+        if len(text) < LONG_RUN:
+            return False
+        sizes = list(map(len, text.split()))
+        # Blanks beyond one between words: without as many as a run has, none is looked for.
+        return (max(sizes, default=0) >= LONG_RUN or len(text) - sum(sizes) - len(sizes) >= LONG_RUN - 2) and bool(_RUNS.search(text))
+
+    def encode(self, text: str) -> np.ndarray:
+        if not self._long_run(text):
+            return self.fast.encode_to_numpy(text, allowed_special=self.special, disallowed_special=())
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.content)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 _CHUNK = "task int, chunk int, doc_ids array<bigint>, counts array<bigint>, n_ids bigint, offsets binary, words binary"
 
 
@@ -132,15 +169,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = 0, files: i
     """Encode ``docs(doc_id, text)`` and write the files, documents in ascending order of doc_id (null first, ties by text).
 
     ``tokenizer`` is the path of a byte-level ``tokenizers`` file; ``end`` is appended to every document.
-    A null text is an empty one. ``files`` defaults to the session's number of shuffle partitions.
+    A null text is an empty one. ``files`` defaults to one for every ``FILE_CHARS`` characters of text.
     """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as file:
         shared = spark.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = byte_encoding(shared.value)
-        special = set(encoding.special_tokens_set)
+        encoder = Encoder(shared.value)
         task, chunk, ids, names, size = TaskContext.get().partitionId(), 0, [], [], 0
         tail = np.array([end], np.uint32)
 
@@ -155,7 +191,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = 0, files: i
         for batch in batches:
             for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 text = text.as_py() or ""
-                ids += [encoding.encode_to_numpy(text, allowed_special=special, disallowed_special=()), tail]
+                ids += [encoder.encode(text), tail]
                 names.append(name)
                 size += len(text)
                 if size > CHUNK_CHARS:
@@ -164,8 +200,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = 0, files: i
         if names:
             yield row()
 
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    if files is None:
+        files = 1 + (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // FILE_CHARS
     rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, _CHUNK).write.parquet(path)
 
 
