@@ -11,7 +11,7 @@ from sitegrain.llm.bpe import BpeFile, decoded, encoded
 from sitegrain.llm.forest import nearest
 from sitegrain.llm.licenses import BASE, rules, scanned
 from sitegrain.llm.minhash import near_duplicates
-from sitegrain.llm.mixing import PRIME, MixOptions, mixture, taken_words
+from sitegrain.llm.mixing import PRIME, MixOptions, mixture, shards_of, taken_words
 from sitegrain.llm.simple8b import read_ids, write_ids
 from sitegrain.llm.substrings import without_repeats
 from sitegrain.llm.vectors import near_vectors
@@ -87,7 +87,7 @@ FROM split s LEFT JOIN kept k USING (doc_id)"""
 def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Words that the mix takes of every document."""
     mix = mixture(table(spark, sf, "documents"))
-    return mix.select("doc_id", "size", "source_size", "target", taken_words().alias("taken"))
+    return mix.select("doc_id", "size", "source_size", "target", taken_words().alias("taken"), shards_of().alias("shards"))
 
 
 def _permuted_sql(x: str, size: str, seed: str, rounds: int) -> str:
@@ -111,10 +111,9 @@ def _permuted_sql(x: str, size: str, seed: str, rounds: int) -> str:
 def _mixing_sql(o: MixOptions) -> str:
     number = "('0x' || substr(md5({}), 1, 15))::BIGINT"
     weights = f"[{', '.join(map(str, o.weights))}]"
-    draws = """SELECT source, blocks, slots, k // blocks AS copy, k % blocks AS block,
-        {seed} AS seed FROM (SELECT *, unnest(range(quota)) AS k FROM plan WHERE quota > 0)""".format(
-        seed=number.format(f"'{o.seed}/source/' || coalesce('=' || source, 'null')")
-    )
+    seeds = ", ".join((number.format(f"'{o.seed}/source/' || coalesce('=' || source, 'null')") + " AS seed", number.format(f"'{o.seed}/slots'") + " AS slot_seed"))
+    draws = f"SELECT *, k // blocks AS copy, k % blocks AS block, slot0 + k AS slot, {seeds} FROM (SELECT *, unnest(range(quota)) AS k FROM plan WHERE quota > 0)"
+    draws = _permuted_sql("slot", "slots", "slot_seed", o.rounds).replace("{}", _permuted_sql("block", "blocks", "seed", o.rounds).replace("{}", draws))
     return rf"""
 WITH sizes AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
@@ -134,9 +133,22 @@ aims AS (
     SELECT source, source_size, CASE WHEN level IS NULL OR cap <= level * weight THEN cap::DOUBLE ELSE level * weight END AS target,
         CAST(ceil(source_size / {o.block}) AS BIGINT) AS blocks FROM levels
 ),
-quotas AS (SELECT *, least(CAST(floor(target / {o.block} + 0.5) AS BIGINT), blocks * {o.repeat}) AS quota FROM aims),
-plan AS (SELECT *, (sum(quota) OVER ())::BIGINT AS slots FROM quotas),
-draws AS ({_permuted_sql("block", "blocks", "seed", o.rounds).replace("{}", draws)}),
+passed AS (SELECT *, floor(target + 0.5)::BIGINT AS words, CASE WHEN blocks > 0 THEN words // source_size ELSE 0 END AS passes FROM aims),
+quotas AS (
+    SELECT *, words - passes * source_size AS rest, CASE WHEN blocks > 0 THEN passes * blocks
+        + CASE WHEN words > passes * source_size THEN least(ceil((words - passes * source_size + blocks * {o.block} - source_size) / {o.block})::BIGINT, blocks) ELSE 0 END
+        ELSE 0 END AS quota FROM passed
+),
+plan AS (
+    SELECT *, (sum(quota) OVER ())::BIGINT AS slots,
+        coalesce(sum(quota) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS slot0 FROM quotas
+),
+drawn AS ({draws}),
+filled_blocks AS (SELECT *, least({o.block}, source_size - block * {o.block}) AS own FROM drawn),
+draws AS (
+    SELECT source, block, copy, slot, CASE WHEN copy < passes THEN own ELSE greatest(0, least(own, rest
+        - coalesce(sum(own) OVER (PARTITION BY source, copy ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) END::BIGINT AS words FROM filled_blocks
+),
 lanes AS (
     SELECT *, {number.format(f"'{o.seed}/' || coalesce(doc_id::VARCHAR, 'null')")} % {o.lanes} AS lane FROM sizes
 ),
@@ -146,11 +158,12 @@ places AS (
 parts AS (
     SELECT id, source, size, begin, unnest(range(begin // {o.block}, (begin + size - 1) // {o.block} + 1)) AS block FROM places WHERE size > 0
 ),
-taken AS (
-    SELECT id, sum(least((p.block + 1) * {o.block} - begin, size) - greatest(p.block * {o.block} - begin, 0))::BIGINT AS taken
-    FROM parts p JOIN draws d ON p.source IS NOT DISTINCT FROM d.source AND p.block = d.block GROUP BY id
-)
-SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+pieces AS (
+    SELECT id, least(p.block * {o.block} + d.words - begin, size) - greatest(p.block * {o.block} - begin, 0) AS n, slot // {o.shard_slots} AS shard
+    FROM parts p JOIN draws d ON p.source IS NOT DISTINCT FROM d.source AND p.block = d.block
+),
+taken AS (SELECT id, sum(n)::BIGINT AS taken, count(DISTINCT shard)::BIGINT AS shards FROM pieces WHERE n > 0 GROUP BY id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(shards, 0)::BIGINT AS shards
 FROM places p JOIN plan q ON p.source IS NOT DISTINCT FROM q.source LEFT JOIN taken USING (id)"""
 
 
