@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitegrain.llm.tables import extended, without
+
 SLICE_CHARS = 1 << 19
 TABLE_WORDS = 100_000  # words that a worker remembers
 
@@ -141,18 +143,17 @@ def encoded(docs: DataFrame, file: BpeFile) -> DataFrame:
 def decoded(rows: DataFrame, file: BpeFile) -> DataFrame:
     """``rows`` with ``decoded``: the pieces of ``ids`` (special tokens too), joined by one blank. Null ids are none."""
     shared = rows.sparkSession.sparkContext.broadcast(file)
-    rows = rows.select(*(c for c in rows.columns if c != "decoded"))
+    rows = without(rows, ["decoded"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         pieces = _table(shared.value).pieces
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                lists = part.column(part.schema.names.index("ids"))
+                lists = part.column("ids")
                 sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 texts = pc.binary_join(pa.ListArray.from_arrays(ends, pieces.take(lists.flatten())), " ")
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, "decoded"])
+                yield part, [texts]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{schema}, decoded string")
+    return extended(rows, ["ids"], run, "decoded string")

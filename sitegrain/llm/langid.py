@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitegrain.llm.tables import extended, without
 from sitegrain.llm.words import Slice, slices
 from sitegrain.operators.ordered import top_k
 
@@ -143,20 +144,18 @@ class LanguageModel:
 def fit(rows: DataFrame, o: LanguageOptions = LanguageOptions()) -> LanguageModel:
     """Model from ``rows(doc_id, text, lang)``; rows without text or language are left out.
 
-    No rows: a model that answers ``und``. One language: a model that always answers it.
+    No rows: a model that answers ``und``. One language: a model that always answers it. Rows that repeat a doc_id count
+    once, with the smallest vector. Of more than ``sample`` languages those with most documents are learned.
     """
-    usable = rows.filter("text is not null and lang is not null and doc_id is not null")
-    counts = usable.groupBy("lang").agg(F.count("*").alias("rows"))
+    usable = rows.filter("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")
+    ids = usable.select("doc_id", "lang").distinct()
+    counts = ids.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.col("rows").desc(), "lang").limit(o.sample)
     kinds = counts.count()
     per = min(o.per_language, o.sample // max(1, kinds))
-    if not per:
-        raise ValueError(f"{kinds} languages for a sample of {o.sample} rows")
-    # The smallest hashes are drawn; few rows that cannot be among them are ordered (one count per language is broadcast).
-    place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
-    low = usable.select("doc_id", "lang").join(F.broadcast(counts), "lang").filter(place * F.col("rows") < 4 * per + 100)
-    draw = top_k(low.drop("rows"), ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], per)
+    known = ids.join(F.broadcast(counts.select("lang")), "lang", "left_semi")
+    draw = top_k(known, ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], per)
     # Bounded by o.sample rows, so it is broadcast.
-    chosen = usable.select("doc_id", "text", "lang").join(F.broadcast(draw.distinct()), ["doc_id", "lang"])
+    chosen = usable.join(F.broadcast(draw), ["doc_id", "lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +165,7 @@ def fit(rows: DataFrame, o: LanguageOptions = LanguageOptions()) -> LanguageMode
                     names=["doc_id", "lang", "x"],
                 )
 
-    sample = chosen.mapInArrow(run, "doc_id bigint, lang string, x binary").collect()
+    sample = chosen.mapInArrow(run, "doc_id bigint, lang string, x binary").groupBy("doc_id", "lang").agg(F.min("x").alias("x")).collect()
     model = LanguageModel(o)
     if sample:
         sample.sort(key=lambda r: (r["lang"], r["doc_id"], r["x"]))
@@ -192,24 +191,21 @@ def identified(docs: DataFrame, model: LanguageModel, letters: str | None = None
     no class, and ``und`` may be a class. The boolean column ``letters``, if named, tells texts with a letter. Columns of
     ``docs`` that have one of these names are replaced; all others, whatever their names, pass through unread.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", letters)]
     flag = [letters] if letters else []
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         model = shared.value
         for batch in batches:
             names, scores = np.full(batch.num_rows, UNKNOWN, dtype=object), np.zeros(batch.num_rows)
-            texts, found = batch.column(batch.schema.names.index("text")), np.ones(batch.num_rows, bool)
+            texts, found = batch.column("text"), np.ones(batch.num_rows, bool)
             for x, first in _chunks(texts, model.options):
                 names[first : first + len(x)], scores[first : first + len(x)] = model.predict(x)
             for k, text in enumerate(texts):
                 # The first letter ends the search.
                 if not any(map(str.isalpha, text.as_py() or "")):
                     names[k], scores[k], found[k] = UNKNOWN, 0.0, False
-            columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores), *(pa.array(found) for _ in flag)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "lang_pred", "score", *flag])
+            yield batch, [pa.array(names, pa.string()), pa.array(scores), *(pa.array(found) for _ in flag)]
 
-    rows = docs.select(*kept)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double" + "".join(f", `{c}` boolean" for c in flag))
+    rows = without(docs, ["lang_pred", "score", *flag])
+    return extended(rows, ["text"], run, "lang_pred string, score double" + "".join(f", `{c}` boolean" for c in flag))

@@ -30,10 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from sitegrain.llm.cuckoo import CAPACITY, Cuckoo
-from sitegrain.llm.tables import SPLITS, Scratch
+from sitegrain.llm.tables import SPLITS, Scratch, extended, without
 from sitegrain.llm.words import document_lines
 
 KEY = ["k1", "k2"]
@@ -277,16 +276,13 @@ class LineIndex:
         The documents should be in the index. Columns of ``docs`` with these names are replaced.
         """
         shortest = self.o.shortest
-        new = ("n_lines", "n_dropped", "kept")
-        docs = docs.drop(*(f"`{c}`" if "." in c else c for c in docs.columns if c.lower() in new))
+        docs = without(docs, ("n_lines", "n_dropped", "kept"))
         gone = self.repeated().groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("__gone")).withColumnRenamed("doc_id", "__id")
         rows = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("__id"), "left").drop("__id")
-        schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in new[:2]), StructField("kept", StringType())])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
             for batch in batches:
-                text = batch.column(batch.schema.get_field_index("text"))
-                gone = batch.column(batch.num_columns - 1)
+                text, gone = batch.column("text"), batch.column("__gone")
                 n_lines, n_dropped, kept = [], [], []
                 for row, lines in document_lines(text, shortest):
                     lost = {(g["k1"], g["k2"]) for g in gone[row].as_py() or ()}
@@ -298,10 +294,9 @@ class LineIndex:
                     n_lines.append(total)
                     n_dropped.append(total - len(stay) if lost else 0)
                     kept.append(b"\n".join(stay).decode() if lost else value)
-                columns = [*batch.columns[:-1], pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *new])
+                yield batch, [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())]
 
-        return rows.mapInArrow(run, schema)
+        return extended(rows, ["text", "__gone"], run, "n_lines bigint, n_dropped bigint, kept string").drop("__gone")
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

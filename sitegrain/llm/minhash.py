@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.llm.tables import Scratch, beside_groups, connected_components
+from sitegrain.llm.tables import Scratch, beside_groups, connected_components, quoted
 from sitegrain.llm.words import mix, powers, shingle_set, signed, slices, span_hashes
 
 
@@ -319,4 +319,4 @@ def deduplicated(docs: DataFrame, o: MinHashOptions = MinHashOptions()) -> DataF
     Rows that repeat the id of a kept document stay as they are.
     """
     gone = near_duplicates(docs, o).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*quoted(docs.columns))

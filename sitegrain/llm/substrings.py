@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.llm.tables import Scratch, beside_groups
+from sitegrain.llm.tables import Scratch, beside_groups, quoted, widened, without
 from sitegrain.llm.words import Slice, mix, signed, slices, span_hashes
 
 WINDOW = 20
@@ -167,7 +167,7 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _texts(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` and the other columns, whatever their names, in one."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    rest = [F.col(c) for c in quoted([c for c in docs.columns if c not in ("doc_id", "text")])]
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *([F.struct(*rest).alias("__rest")] if rest else []))
 
 
@@ -223,7 +223,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     With ``whole_texts`` a text that loses nothing is kept as it is. Null texts have no words. Columns of ``docs``
     with one of the three names are replaced; all others pass through unread.
     """
-    docs = docs.select(*(f"`{c}`" for c in docs.columns if c not in ("n_words", "n_removed", "kept")))
+    docs = without(docs, ["n_words", "n_removed", "kept"])
     spans = repeated_spans(docs, window, rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,10 +253,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in old), *new], names=[*old, "n_words", "n_removed", "kept"])
 
     texts = _texts(docs)
-    passed = [c for c in texts.columns if c != "text"]
     joined = texts.filter("doc_id is not null").join(spans.hint("merge"), "doc_id", "left")
     unnamed = texts.filter("doc_id is null").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields if f.name in passed)
-    out = joined.unionByName(unnamed).mapInArrow(run, f"{schema}, n_words bigint, n_removed bigint, kept string")
-    rest = [F.col(f"__rest.`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    schema = widened(texts.drop("text"), "n_words bigint, n_removed bigint, kept string")
+    out = joined.unionByName(unnamed).mapInArrow(run, schema)
+    rest = [F.col(f"__rest.{c}") for c in quoted([c for c in docs.columns if c not in ("doc_id", "text")])]
     return out.select("doc_id", *rest, "n_words", "n_removed", "kept")

@@ -2,14 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sitegrain.session import work_folder
 
 
+def quoted(columns: Sequence[str]) -> list[str]:
+    """Names for ``select`` and ``col``, whatever characters they hold."""
+    return ["`" + c.replace("`", "``") + "`" for c in columns]
+
+
+def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``df`` without the columns of these names, upper or lower case."""
+    gone = {n.lower() for n in names}
+    return df.select(*quoted([c for c in df.columns if c.lower() not in gone]))
+
+
+def widened(df: DataFrame, more: str) -> StructType:
+    """The columns of ``df`` and further ones (given as DDL)."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
+def extended(
+    df: DataFrame, reads: Sequence[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[pa.Array]]]], more: str
+) -> DataFrame:
+    """``df`` with further columns (``more``, as DDL) that ``run`` makes of the columns ``reads``.
+
+    ``run`` gives slices of its batches with their new columns. All other columns pass through in one struct, whatever
+    their names are.
+    """
+    rest = [c for c in df.columns if c not in reads]
+    packed = df.select(*quoted(reads), *([F.struct(*quoted(rest)).alias("__rest")] if rest else []))
+    schema = widened(packed, more)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, new in run(batches):
+            yield pa.RecordBatch.from_arrays([*part.columns, *new], names=schema.names)
+
+    old = [F.col(q if c in reads else f"__rest.{q}") for c, q in zip(df.columns, quoted(df.columns))]
+    return packed.mapInArrow(passed, schema).select(*old, *quoted(StructType.fromDDL(more).names))
+
+
 class Scratch:
     """Tables of one operator run, in the folder that ``spark.checkpoint.dir`` names.
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitegrain.llm.tables import extended, without
 from sitegrain.llm.words import byte_hashes, runs, slices
 
 # Categories of the labels table, in the order of the chain.
@@ -167,16 +168,15 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
     """
     o = chain.options
     names = [f"p_{c}" for c in o.categories]
-    rows = docs.select(*(c for c in docs.columns if c not in {*names, *(f"is_{c}" for c in o.categories)}))
+    rows = without(docs, [*names, *(f"is_{c}" for c in o.categories)])
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         for batch in batches:
             p = np.zeros((batch.num_rows, len(names)))
-            for first, doc, feature, n in features(batch.column(batch.schema.names.index("text")), o):
+            for first, doc, feature, n in features(batch.column("text"), o):
                 p[first : first + n] = shared.value.predict(doc, feature, n)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, p.T.copy())], names=[*batch.schema.names, *names])
+            yield batch, list(map(pa.array, p.T.copy()))
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), *(f"{n} double" for n in names)])
-    out = rows.mapInArrow(run, schema)
-    return out.select("*", *((F.col(f"p_{c}") >= o.threshold).alias(f"is_{c}") for c in o.categories))
+    out = extended(rows, ["text"], run, ", ".join(f"`{n}` double" for n in names))
+    return out.select("*", *((F.col(f"`p_{c}`") >= o.threshold).alias(f"is_{c}") for c in o.categories))
