@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from sitegrain.llm import langid
 from sitegrain.llm.bpe import BpeFile, decoded, encoded
 from sitegrain.llm.minhash import deduplicated
-from sitegrain.llm.mixing import MixOptions, mixed
+from sitegrain.llm.mixing import mixed
 from sitegrain.llm.substrings import without_repeats
-from sitegrain.llm.tables import Scratch
+from sitegrain.llm.tables import Scratch, quoted
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     rows = langid.identified(docs, langid.fit(docs), letters="__letters")
     lang = F.when(F.col("lang").isNull(), F.col("lang_pred")).otherwise(F.col("lang"))
-    return rows.filter("__letters").withColumn("lang", lang).select(*docs.columns)
+    return rows.filter("__letters").withColumn("lang", lang).select(*quoted(docs.columns))
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def first_occurrences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Texts without passages of 20 or more words that occur earlier; documents that lose all words go."""
     rows = without_repeats(docs, whole_texts=True).filter("n_removed = 0 or n_removed < n_words")
     length = F.when(F.col("n_removed") > 0, F.char_length("kept").cast("bigint")).otherwise(F.col("n_chars"))
-    return rows.withColumn("n_chars", length).withColumnRenamed("kept", "text").select(*docs.columns)
+    return rows.withColumn("n_chars", length).withColumnRenamed("kept", "text").select(*quoted(docs.columns))
 
 
 def weighted_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def weighted_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Sources meet their targets to the word, so small ones do not vanish.
     """
-    return mixed(docs, MixOptions(exact=True)).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+    return mixed(docs).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*quoted(docs.columns))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
