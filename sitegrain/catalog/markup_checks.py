@@ -31,7 +31,7 @@ def built_markup(spark: SparkSession, sf: str) -> DataFrame:
         own(4, 2, put('<script type="application/ld+json">[{"@type": ["', F.col("p_brand"), '", "Thing"]}, {"@type": "Thing"}]</script>')),
         own(4, 3, F.lit('<script type="application/ld+json">{broken</script>')),
         "</head><body><img src='a'><img src='b' alt=' '>", own(3, 1, F.lit("<img src='c' alt='c'>")), own(3, 2, F.lit("<img src='d' alt=''>")),
-        own(2, 1, put("<div role='main'><b>", F.col("p_type"), "</b></div>")),
+        own(2, 1, put("<div role='main'><b>", F.col("p_type"), "</b><div>", F.col("p_brand"), "<DIV>x</DIV></div> tail</div><div>y</div>")),
         "<p>What makes ", F.col("p_name"), " good?</p><ul><li>Q: sizes of ", F.col("p_brand"), "</li><li>Short?</li></ul></body></html>",
     )
     pages = part.select(F.lit("x.example").alias("site"), key.alias("idx"), put("https://x.example/", key.cast("string")).alias("url"), html.alias("html"))
@@ -77,7 +77,7 @@ ORACLES = {
         CASE WHEN p_partkey % 5 = 1 THEN 'https://x.example/p/' || p_partkey ELSE '' END AS canonical,
         CASE WHEN p_partkey % 7 = 2 THEN 'noindex, follow' ELSE '' END AS robots,
         CASE WHEN p_partkey % 3 = 2 THEN 3 ELSE 2 END AS missing_alt_images,
-        CASE WHEN p_partkey % 2 = 1 THEN '<b>' || p_type || '</b>' END AS main_content,
+        CASE WHEN p_partkey % 2 = 1 THEN '<b>' || p_type || '</b><div>' || p_brand || '<DIV>x</DIV></div> tail' END AS main_content,
         CASE p_partkey % 4 WHEN 1 THEN p_brand WHEN 2 THEN p_brand || '|Thing' ELSE '' END AS schema_types,
         'What makes ' || p_name || ' good?|sizes of ' || p_brand AS faq_questions
       FROM part""",

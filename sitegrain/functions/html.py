@@ -175,18 +175,37 @@ def body_text(visible: Column) -> Column:
     return inner_text(body(visible))
 
 
+def _element(rest: Column, tag: Column) -> Column:
+    """Markup up to the end tag that closes an element, given what follows its start tag.
+
+    Start and end tags of the same name are counted; an element that is never closed ends with the page.
+    """
+    pieces = F.split(rest, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"[\s/>])")))
+    state = lambda depth, kept: F.struct(depth.alias("depth"), kept.alias("kept"))
+
+    def turn(now: Column, piece: Column) -> Column:
+        # The first piece may be text, or another tag, before the first one of this name.
+        starts = lambda mark: F.rlike(piece, F.concat(F.lit(f"^(?i){mark}"), tag, F.lit(r"[\s/>]")))
+        depth = now["depth"] + F.when(starts("</"), -1).when(starts("<"), 1).otherwise(0)
+        return F.when(now["depth"] == 0, now).otherwise(state(depth, now["kept"] + F.when(depth == 0, 0).otherwise(1)))
+
+    def cut(parts: Column) -> Column:
+        kept = F.aggregate(parts, state(F.lit(1), F.lit(0)), turn, lambda s: s["kept"])
+        return F.array_join(F.slice(parts, F.lit(1), kept), "")
+
+    return bind(pieces, cut)
+
+
 def main_content(visible: Column, tags: tuple[str, ...] = ("main",)) -> Column:
-    """Markup of the main region: a listed tag, else role=main, else the body."""
-    role = F.regexp_extract(
-        visible,
-        r"(?is)<([a-z]+)\s(?:[^>]*?\s)?role\s*=\s*[\"']?main[\"']?[^>]*>(.*?)</\1\s*>",
-        2,
-    )
-    choices = [
-        F.nullif(F.regexp_extract(visible, rf"(?is)<{t}(?:\s[^>]*)?>(.*?)</{t}\s*>", 1), F.lit(""))
-        for t in tags
-    ]
-    return F.coalesce(*choices, F.nullif(role, F.lit("")), body(visible))
+    """Markup of the main region: a listed tag, else role=main, else the body. Regions may hold elements of their own name."""
+
+    def inside(start: str, tag: Column) -> Column:
+        parts = F.split(visible, start, 2)
+        return F.when(F.size(parts) > 1, F.nullif(_element(parts[1], tag), F.lit("")))
+
+    start = r"(?is)<([a-z][a-z0-9]*)\s(?:[^>]*?\s)?role\s*=\s*[\"']?main(?:[\"'\s/][^>]*)?>"
+    choices = [inside(rf"(?is)<{t}(?:\s[^>]*)?>", F.lit(t)) for t in tags]
+    return F.coalesce(*choices, inside(start, F.regexp_extract(visible, start, 1)), body(visible))
 
 
 def hrefs(visible: Column) -> Column:

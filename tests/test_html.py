@@ -91,6 +91,15 @@ def test_main_content(one):
     assert one(H.main_content(visible()), h="<body>a<main id=x>b</main></body>") == "b"
     assert one(H.main_content(visible()), h='<body>a<div role="main">b</div></body>') == "b"
     assert one(H.main_content(visible()), h="<body>a</body>").startswith("a")
+    nested = {
+        "<div role='main'><div>inner</div> tail</div><div>x</div>": "<div>inner</div> tail",
+        "<DIV class=a role=main id=b>t<Div><DIV>u</div></Div>v</DIV> w": "t<Div><DIV>u</div></Div>v",
+        "<section><section role='main'><p>a</p><section/>b</section>c</section>d</section>": "<p>a</p><section/>b</section>c",
+        "<main><main>a</main>b</main>c": "<main>a</main>b", "<main>open <b>end": "open <b>end", "<main></main><div role=main>d</div>": "d",
+        "<div role=mainly>a</div>": "<div role=mainly>a</div>", "<main><mainly>a</mainly></main>b": "<mainly>a</mainly>", "<div role=\"main\"></p>q</div>r": "</p>q",
+    }
+    for markup, inner in nested.items():
+        assert one(H.main_content(visible()), h=f"<body>{markup}</body>").removesuffix("</body>") == inner
 
 
 def test_safety(one):
