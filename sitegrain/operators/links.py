@@ -6,11 +6,10 @@ from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sitegrain.functions import urls
 from sitegrain.functions.text import bind, first_n, strip, text_or_empty
-from sitegrain.operators.ordered import first_occurrence, greedy_top_k, lookup, top_k, unnest
+from sitegrain.operators.ordered import first_occurrence, greedy_top_k, lookup, number_within, top_k, unnest
 from sitegrain.session import cut_lineage
 from sitegrain.vocab import RELATED_DEFAULT, RELATED_TYPES
 
@@ -162,11 +161,11 @@ def reachable_pages(
         taken = visited.groupBy("site").agg(F.max("seq").alias("taken"))
         order = [F.col("parent_seq"), F.col("pos")]
         if max_pages is None:
-            place = F.row_number().over(Window.partitionBy("site").orderBy(*order))
-            numbered = reached.withColumn("place", place).join(taken, "site")
+            # One site may hold most links; its new pages are numbered in many tasks.
+            numbered = number_within(reached, ["site"], order, "place")
         else:
-            numbered = top_k(reached, ["site"], order, max_pages, "place").join(taken, "site")
-        frontier = numbered.select(
+            numbered = top_k(reached, ["site"], order, max_pages, "place")
+        frontier = numbered.join(taken, "site").select(
             "site",
             "url",
             F.lit(depth).alias("depth"),
@@ -174,12 +173,11 @@ def reachable_pages(
         )
         if max_pages is not None:
             frontier = frontier.filter(F.col("seq") <= max_pages)
+        # Each round writes what is new; what was visited before is not written again.
+        frontier = cut_lineage(frontier, "frontier")
         visited = visited.unionByName(frontier)
-        if max_depth is None or 2 <= depth < max_depth:
-            visited = cut_lineage(visited)
-            frontier = visited.filter(F.col("depth") == depth)
-            if frontier.isEmpty():
-                break
+        if frontier.isEmpty():
+            break
     return visited.join(have, ["site", "url"], "left").select(
         "site",
         "url",

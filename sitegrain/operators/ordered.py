@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sitegrain.session import cut_lineage
+
 _RANK = "__rank"
 _SALT = "__salt"
 
@@ -29,6 +31,28 @@ def top_k(
     return kept if rank else kept.drop(name)
 
 
+def number_within(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Add consecutive numbers from 1 per group; a hot group is sorted in many tasks.
+
+    Rows are range-partitioned by group and order and written once, so that partitions keep their rows.
+    A row's number is its place among its group's rows in its partition, after the sizes of the group's
+    parts before it: one row per group and partition meets in one task. ``order`` must leave no ties.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in group]
+    ranged = df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id())
+    saved = cut_lineage(ranged, "ranged")
+    parts = saved.groupBy(*group, "__part").agg(F.count("*").alias("__rows"))
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select(
+        *(F.col(c).alias(f"__of_{c}") for c in group), F.col("__part").alias("__in"),
+        F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__base"),
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in group]
+    place = F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order))
+    numbered = saved.withColumn("__place", place).join(bases, [*same, F.col("__part") == F.col("__in")])
+    return numbered.withColumn(name, F.col("__base") + F.col("__place")).select(*df.columns, name)
+
+
 def unnest(
     df: DataFrame, keep: Sequence[str | Column], items: Column, value: str, pos: str | None = None
 ) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sitegrain.functions.text import (
     WORD_END,
@@ -16,7 +15,7 @@ from sitegrain.functions.text import (
     tags_to_space,
     text_or_empty,
 )
-from sitegrain.operators.ordered import first_occurrence, lookup, top_k, unnest
+from sitegrain.operators.ordered import first_occurrence, lookup, number_within, top_k, unnest
 from sitegrain.vocab import CTA_LINK_TERMS, SECTION_KEYWORDS
 
 STORE_SIZE = 200
@@ -171,7 +170,7 @@ def rank_patterns(store: DataFrame, group: Sequence[str] = ("page_type", "theme"
     """All patterns with confidence and their rank per group."""
     order = [F.desc("usage_count"), F.col("signature")]
     banded = store.withColumn("confidence", confidence(F.col("usage_count")))
-    return banded.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    return number_within(banded, group, order, "rank")
 
 
 def preferred_patterns(requests: DataFrame, store: DataFrame, spread: str) -> DataFrame:
