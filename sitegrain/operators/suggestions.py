@@ -2,20 +2,25 @@
 
 A target scores 2 per anchor token found in the page, 1 per product token in its
 anchor and 1 more for category targets of product pages. Comparing every page
-with every target is quadratic, and an inverted index is quadratic too once one
-token occurs in a third of all anchors. Instead:
-
-* ``postings`` holds, per set of tokens, the best few distinct anchors that
-  contain the set, plus whether more exist (``heavy``). The empty set lists the
-  best targets of the site.
-* A larger set is built only from heavy smaller sets, so small sites stop at the
-  empty set and only tokens shared by many anchors are ever combined.
-* A page reads the lists of the sets its own tokens contain. A target whose
-  matched set is M is either on the complete list of a subset of M, or on the
-  truncated list of M, or preceded there by enough distinct anchors that score
-  at least as much, in which case it cannot be picked.
-
-What a page reads depends on its own words, not on the size of the site.
+with every target is quadratic, and so is an inverted index once one token
+occurs in a third of all anchors. This is a top-k search over an inverted index
+with score upper bounds instead:
+
+* A posting list belongs to a set of tokens. It holds the best ``list_size``
+  distinct anchors that contain the set, ordered by the part of the score that
+  is known without the page. The empty set lists the best targets of the site.
+* A page reads the list of the empty set and those of its tokens, which gives
+  its first picks, then lists of larger sets. What it reads is scored in full;
+  no more than ``picks`` rows of a page leave a task.
+* Every truncated list bounds what lies behind it: the score of its last entry,
+  and 2 for every further token that both its anchors and the page have. Only
+  tokens with truncated lists of their own count, since anchors with any other
+  token of the page were read. A page goes on to larger sets only where that
+  bound still beats its worst pick.
+* Lists of larger sets are built only for sets that some page still asks for, by
+  extending anchors, so sets that no anchor contains never appear.
+
+What a page reads depends on its own words and picks, not on the size of the site.
 """
 
 from __future__ import annotations
@@ -31,10 +36,8 @@ from sitegrain.vocab import Vocabulary
 
 PICKS = 6
 MINIMUM = 3
-_ENTRY = (
-    "array<struct<idx:bigint,url:string,anchor:string,tokens:array<string>,"
-    "terms:int,category:boolean>>"
-)
+_PAGE = ["site", "idx"]
+_LIST = ["site", "for_pdp", "key"]
 
 
 def _targets(site_pages: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -56,31 +59,82 @@ def _matched(tokens: Column, wanted: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: F.array_contains(wanted, t)))
 
 
+def _known() -> Column:
+    return 2 * _matched(F.col("tokens"), F.split("key", " "))
+
+
 def _posting_lists(members: DataFrame, size: int) -> DataFrame:
-    """``(site, for_pdp, key) -> entries, heavy`` from ``(site, key, target…)`` rows."""
-    value = (
-        F.col("terms")
-        + F.when(F.col("for_pdp") & F.col("category"), 1).otherwise(0)
-        + 2 * _matched(F.col("tokens"), F.split("key", " "))
-    )
-    rows = members.withColumn(
-        "for_pdp", F.explode(F.array(F.lit(False), F.lit(True)))
-    ).withColumn("value", value)
-    posting = ["site", "for_pdp", "key"]
-    entry = F.struct("idx", "url", "anchor", "tokens", "terms", "category")
+    """``site, for_pdp, key, entries, tail, last`` from ``(site, key, target…)`` rows.
+
+    ``tail`` is null on a complete list. Else it is the known score of the last entry
+    and ``last`` its idx: what lies behind comes after it in that order.
+    """
+    rows = members.withColumn("for_pdp", F.explode(F.array(F.lit(False), F.lit(True))))
+    rows = rows.withColumn("value", _known() + F.col("terms") + F.when(F.col("for_pdp") & F.col("category"), 1).otherwise(0))
+    once = F.array_distinct("tokens")
+    # Repeated tokens are rare; they stand apart, so that the rest can be compared as a set.
+    again = F.when(F.size(once) < F.size("tokens"), F.flatten(F.transform(once, lambda t: F.slice(
+        F.filter("tokens", lambda x: x == t), F.lit(2), F.size("tokens")
+    ))))
+    entry = F.struct("idx", "url", "anchor", once.alias("tokens"), again.alias("again"), "terms", "category")
     holder = F.struct((-F.col("value")).alias("negative"), F.col("idx"), entry.alias("entry"))
     anchors = (
-        top_k(rows, [*posting, "anchor"], [F.desc("value"), F.col("idx")], 2)
-        .groupBy(*posting, "anchor")
+        top_k(rows, [*_LIST, "anchor"], [F.desc("value"), F.col("idx")], 2)
+        .groupBy(*_LIST, "anchor")
         .agg(F.array_sort(F.collect_list(holder)).alias("holders"))
-        .withColumn("best", F.struct(F.col("holders")[0]["negative"], F.col("holders")[0]["idx"]))
+        .withColumn("best", F.struct(F.col("holders")[0]["negative"].alias("negative"), F.col("holders")[0]["idx"].alias("idx")))
     )
-    leaders = top_k(anchors, posting, [F.col("best")], size + 1, "place")
+    leaders = top_k(anchors, _LIST, [F.col("best")], size + 1, "place")
     listed = F.transform("holders", lambda h: h["entry"])
-    return leaders.groupBy(*posting).agg(
-        F.flatten(F.collect_list(F.when(F.col("place") <= size, listed))).alias("entries"),
-        (F.max("place") > size).alias("heavy"),
+    end = F.max(F.when(F.col("place") == size, F.col("best")))
+    lists = leaders.groupBy(*_LIST).agg(
+        F.collect_list(F.when(F.col("place") <= size, listed)).alias("entries"),
+        F.when(F.max("place") > size, end).alias("end"),
     )
+    return lists.select(*_LIST, "entries", (-F.col("end.negative")).alias("tail"), F.col("end.idx").alias("last"))
+
+
+def _read(asked: DataFrame, postings: DataFrame) -> DataFrame:
+    """What pages find on the lists that they ask for, scored in full."""
+    rows = lookup(asked.select(*_PAGE, "for_pdp", "pool", "key"), postings.select(*_LIST, "entries"), _LIST, "idx", "inner")
+    # Of an anchor's two holders the page takes the first that is not itself.
+    own = F.transform("entries", lambda h: F.when(h[0]["idx"] != F.col("idx"), h[0]).otherwise(F.get(h, F.lit(1))))
+    rows = unnest(rows, [*_PAGE, "for_pdp", "pool"], own, "e").filter("e is not null")
+    matched = F.size(F.array_intersect("e.tokens", "pool")) + F.when(F.col("e.again").isNull(), 0).otherwise(_matched(F.col("e.again"), F.col("pool")))
+    score = 2 * matched + F.col("e.terms") + F.when(F.col("for_pdp") & F.col("e.category"), 1).otherwise(0)
+    return rows.select(
+        *_PAGE, (-score).alias("negative_score"), F.col("e.idx").alias("target_idx"), F.col("e.anchor").alias("anchor"), F.col("e.url").alias("target_page")
+    ).filter("negative_score < 0")
+
+
+def _best(found: DataFrame, picks: int) -> DataFrame:
+    """Picks of all pages: no more than ``picks`` rows of a page leave a task."""
+    order = [F.col("negative_score"), F.col("target_idx")]
+    return top_k(top_k(found, [*_PAGE, "anchor"], order, 1), _PAGE, order, picks)
+
+
+def _open(asked: DataFrame, postings: DataFrame, members: DataFrame) -> DataFrame:
+    """Truncated lists that can go on and may hide what beats a page's ``worst`` pick.
+
+    ``asked`` have ``deep``, the tokens of the page that count behind a list, and ``members`` their number
+    ``weight`` in an anchor, repeats counted, which are ``most`` for one token.
+    """
+    behind = members.groupBy("site", "key").agg(F.max(2 * F.col("weight") - _known()).alias("further"), F.max("most").alias("most"))
+    cut = postings.filter("tail is not null").select(*_LIST, "tail", "last").join(behind, ["site", "key"])
+    later = F.exists("deep", lambda t: t > F.substring_index("key", " ", -1))
+    rows = lookup(asked.filter(later), cut, _LIST, "idx", "inner")
+    words = F.size(F.array_except("deep", F.split("key", " ")))
+    bound = F.col("tail") + F.least("further", 2 * F.col("most") * words)
+    hidden = F.struct((-bound).alias("negative_score"), F.col("last").alias("target_idx"))
+    return cut_lineage(rows.filter(F.col("worst").isNull() | (hidden < F.col("worst"))).select(*asked.columns), "asked")
+
+
+def _weighed(targets: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``targets`` with ``deep``, their tokens that are ``heavy(site, token)``, their ``weight`` and ``most``."""
+    every = unnest(targets, ["site", "idx"], F.col("tokens"), "token").groupBy("site", "idx", "token").agg(F.count("*").alias("n"))
+    every = lookup(every, heavy.withColumn("heavy", F.lit(True)), ["site", "token"], "idx", "inner")
+    per = every.groupBy("site", "idx").agg(F.collect_set("token").alias("deep"), F.sum("n").alias("weight"), F.max("n").alias("most"))
+    return targets.join(per, _PAGE)
 
 
 def suggest_links(
@@ -100,110 +154,60 @@ def suggest_links(
     """
     if list_size <= picks:
         raise ValueError("list_size must exceed picks")
-    targets = cut_lineage(_targets(site_pages, vocab))
+    targets = cut_lineage(_targets(site_pages, vocab), "targets")
     ready = "page_tokens" in pages.columns
     content = F.col("page_tokens") if ready else hyphen_tokens(F.col("content"))
-    sources = pages.select(
-        "site",
-        "idx",
-        "url",
-        F.coalesce(F.col("page_type") == "pdp", F.lit(False)).alias("for_pdp"),
-        F.array_distinct(
-            F.concat(content, hyphen_tokens(F.col("product_entity")))
-        ).alias("page_tokens"),
-    )
-
-    # Set size 0: the site itself.
-    members = targets.withColumn("key", F.lit(""))
-    postings = cut_lineage(_posting_lists(members, list_size))
-    reads = lookup(
-        sources.select("site", "idx", "for_pdp").withColumn("key", F.lit("")),
-        postings,
-        ["site", "for_pdp", "key"],
-        "idx",
-        "inner",
-    )
-    collected = [reads.select("site", "idx", "entries")]
-
-    heavy = postings.filter("heavy")
-    if not heavy.isEmpty():
-        heavy_sites = heavy.select("site").distinct().withColumn("big", F.lit(True))
-        # Set size 1: every token of anchors on sites with more targets than one list.
-        big_targets = lookup(targets, heavy_sites, ["site"], "idx", "inner").drop("big")
-        members = unnest(big_targets, ["*"], F.array_distinct("tokens"), "key")
-        postings = cut_lineage(_posting_lists(members, list_size))
-        big_sources = lookup(sources, heavy_sites, ["site"], "idx", "inner").drop("big")
-        asked = unnest(big_sources, ["site", "idx", "for_pdp"], F.col("page_tokens"), "key")
-        reads = lookup(asked, postings, ["site", "for_pdp", "key"], "idx", "inner")
-        collected.append(reads.select("site", "idx", "entries"))
-
-        heavy = postings.filter("heavy")
-        if not heavy.isEmpty():
-            collected += _combined_reads(big_targets, reads, heavy, list_size)
-
-    every = collected[0]
-    for more in collected[1:]:
-        every = every.unionByName(more)
-    gathered = every.groupBy("site", "idx").agg(
-        F.flatten(F.collect_list("entries")).alias("entries")
-    )
-    backfill = _backfill_lists(targets, picks + minimum)
-    joined = lookup(
-        sources.join(gathered, ["site", "idx"], "left"), backfill, ["site"], "idx"
-    )
-    chosen = joined.withColumn("chosen", _choose(picks, minimum))
-    keep = ["site", F.col("idx").alias("source_idx"), F.col("url").alias("source_page")]
-    return unnest(chosen, keep, F.col("chosen"), "pick", "rank").select(
-        "site",
-        "source_idx",
-        "source_page",
-        (F.col("rank") + 1).alias("rank"),
-        F.col("pick.anchor").alias("anchor"),
-        F.col("pick.url").alias("target_page"),
-    )
-
-
-def _combined_reads(
-    big_targets: DataFrame, reads: DataFrame, heavy: DataFrame, list_size: int
-) -> list[DataFrame]:
-    """Reads of sets of two and more tokens, all of them heavy on their own."""
-    heavy_tokens = heavy.select("site", F.col("key").alias("token")).distinct()
-    flagged = heavy_tokens.withColumn("is_heavy", F.lit(True))
-    exploded = unnest(big_targets, ["*"], F.array_distinct("tokens"), "token")
-    members = (
-        lookup(exploded, flagged, ["site", "token"], "idx", "inner")
-        .groupBy("site", "idx")
-        .agg(
-            F.array_sort(F.collect_list("token")).alias("pool"),
-            *[F.first(c).alias(c) for c in ("url", "anchor", "tokens", "terms", "category")],
-        )
-    )
-    members = unnest(members, ["*"], F.col("pool"), "key")
-    frontier = (
-        reads.filter("heavy")
-        .groupBy("site", "idx", "for_pdp")
-        .agg(F.array_sort(F.collect_list("key")).alias("pool"))
-    )
-    frontier = unnest(cut_lineage(frontier), ["*"], F.col("pool"), "key")
-    out: list[DataFrame] = []
-    last = F.substring_index("key", " ", -1)
-    while True:
-        later = F.filter("pool", lambda t: t > last)
-        grown = F.concat_ws(" ", "key", "extra")
-        members = unnest(members, ["*"], later, "extra").withColumn("key", grown).drop("extra")
-        members = cut_lineage(members)
-        postings = cut_lineage(_posting_lists(members.drop("pool"), list_size))
-        asked = unnest(frontier, ["*"], later, "extra").withColumn("key", grown).drop("extra")
-        reads = lookup(asked, postings, ["site", "for_pdp", "key"], "idx", "inner")
-        out.append(reads.select("site", "idx", "entries"))
-        heavy = postings.filter("heavy")
-        if heavy.isEmpty():
-            return out
-        still = heavy.select("site", "key").distinct().withColumn("is_heavy", F.lit(True))
-        members = lookup(members, still, ["site", "key"], "idx", "inner").drop("is_heavy")
-        frontier = cut_lineage(
-            reads.filter("heavy").select("site", "idx", "for_pdp", "pool", "key")
-        )
+    tokens = F.array_distinct(F.concat(content, hyphen_tokens(F.col("product_entity"))))
+    for_pdp = F.coalesce(F.col("page_type") == "pdp", F.lit(False)).alias("for_pdp")
+    sources = cut_lineage(_with_pools(pages.select(*_PAGE, "url", for_pdp, tokens.alias("page_tokens")), targets), "sources")
+
+    def filled(best: DataFrame) -> DataFrame:
+        return _filled(sources, best, _backfill_lists(targets, picks + minimum), minimum)
+
+    # The empty set: the site's best targets.
+    postings = cut_lineage(_posting_lists(targets.withColumn("key", F.lit("")), list_size), "postings")
+    every = sources.select(*_PAGE, "for_pdp", "pool", F.lit("").alias("key"))
+    found = _read(every, postings)
+    large = postings.filter("tail is not null").select("site").distinct()
+    if large.isEmpty():
+        return filled(_best(found, picks))
+
+    # Single tokens. Behind them only tokens count whose own lists are truncated.
+    targets_ = targets.join(large, "site", "left_semi")
+    postings = cut_lineage(_posting_lists(unnest(targets_, ["*"], F.array_distinct("tokens"), "key"), list_size), "postings")
+    asked = unnest(every.drop("key").join(large, "site", "left_semi"), ["*"], F.col("pool"), "key")
+    best = cut_lineage(_best(found.unionByName(_read(asked, postings)), picks), "picks")
+    worst = best.groupBy(*_PAGE).agg(F.count("*").alias("n"), F.max(F.struct("negative_score", "target_idx")).alias("worst"))
+    heavy = postings.filter("tail is not null")
+    members = unnest(_weighed(targets_, heavy.select("site", F.col("key").alias("token")).distinct()), ["*"], F.col("deep"), "key")
+    members = cut_lineage(members, "members")
+    deep = lookup(asked, heavy.select(*_LIST), _LIST, "idx", "inner").groupBy(*_PAGE).agg(F.collect_set("key").alias("deep"))
+    known = deep.join(worst.filter(F.col("n") >= picks).drop("n"), _PAGE, "left")
+    asked = _open(asked.join(known, _PAGE), postings, members)
+    found = best
+    while not asked.isEmpty():
+        # Anchors with a set that is still asked for, and one more of their tokens behind it in order.
+        still = asked.select("site", "key").distinct().withColumn("wanted", F.lit(True))
+        members = lookup(members, still, ["site", "key"], "idx", "inner").drop("wanted").withColumnRenamed("key", "prefix")
+        later = F.filter("deep", lambda t: t > F.substring_index("prefix", " ", -1))
+        members = cut_lineage(unnest(members, ["*"], later, "token").withColumn("key", F.concat_ws(" ", "prefix", "token")), "members")
+        ways = members.select("site", "prefix", "token", "key").distinct()
+        asked = asked.withColumnRenamed("key", "prefix").join(ways, ["site", "prefix"])
+        asked = asked.filter(F.array_contains("deep", F.col("token"))).drop("prefix", "token")
+        members = members.drop("prefix", "token")
+        postings = cut_lineage(_posting_lists(members, list_size), "postings")
+        found = found.unionByName(_read(asked, postings))
+        asked = _open(asked, postings, members)
+    return filled(_best(found, picks))
+
+
+def _with_pools(sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """``pool``: the tokens of a page that anchors of its site have; a page has no use for others."""
+    words = unnest(targets, ["site", "idx"], F.array_distinct("tokens"), "token").select("site", "token").distinct()
+    asked = unnest(sources, _PAGE, F.col("page_tokens"), "token")
+    pools = lookup(asked, words.withColumn("known", F.lit(True)), ["site", "token"], "idx", "inner").groupBy(*_PAGE).agg(F.collect_set("token").alias("pool"))
+    pool = F.coalesce("pool", F.array().cast("array<string>"))
+    return sources.drop("page_tokens").join(pools, _PAGE, "left").withColumn("pool", pool)
 
 
 def _backfill_lists(targets: DataFrame, anchors: int) -> DataFrame:
@@ -220,40 +224,20 @@ def _backfill_lists(targets: DataFrame, anchors: int) -> DataFrame:
     )
 
 
-def _choose(picks: int, minimum: int) -> Column:
-    source_idx, tokens, for_pdp = F.col("idx"), F.col("page_tokens"), F.col("for_pdp")
-
-    def scored(entry: Column) -> Column:
-        score = (
-            2 * _matched(entry["tokens"], tokens)
-            + entry["terms"]
-            + F.when(for_pdp & entry["category"], 1).otherwise(0)
-        )
-        return F.struct(
-            (-score).alias("negative_score"),
-            entry["idx"].alias("idx"),
-            entry["anchor"].alias("anchor"),
-            entry["url"].alias("url"),
-        )
-
-    # A target may be on several lists; equal anchors fall away below.
-    entries = F.coalesce(F.col("entries"), F.array().cast(_ENTRY))
-    positive = F.array_sort(
-        F.filter(
-            F.transform(F.filter(entries, lambda e: e["idx"] != source_idx), scored),
-            lambda e: e["negative_score"] < 0,
-        )
-    )
-    best = bind(positive, lambda rows: first_distinct(rows, "anchor", picks))
-
-    def named(rows: Column) -> Column:
-        return F.transform(
-            rows, lambda r: F.struct(r["anchor"].alias("anchor"), r["url"].alias("url"))
-        )
+def _filled(sources: DataFrame, best: DataFrame, backfill: DataFrame, minimum: int) -> DataFrame:
+    """Picks in order; pages with fewer than ``minimum`` take the first pages of their site, too."""
+    pick = F.struct("negative_score", "target_idx", "anchor", F.col("target_page").alias("url"))
+    picked = best.groupBy(*_PAGE).agg(F.array_sort(F.collect_list(pick)).alias("top"))
+    rows = lookup(sources.join(picked, _PAGE, "left"), backfill, ["site"], "idx")
 
-    def filled(top: Column) -> Column:
-        fill = F.filter(F.col("fill"), lambda r: r["idx"] != source_idx)
-        both = first_distinct(F.concat(named(top), named(fill)), "anchor", minimum)
-        return F.when(F.size(top) >= minimum, named(top)).otherwise(both)
+    def named(found: Column) -> Column:
+        return F.transform(found, lambda r: F.struct(r["anchor"].alias("anchor"), r["url"].alias("url")))
 
-    return bind(best, filled)
+    top = F.coalesce(named(F.col("top")), F.array().cast("array<struct<anchor:string,url:string>>"))
+    fill = named(F.filter("fill", lambda r: r["idx"] != F.col("idx")))
+    both = bind(top, lambda t: F.when(F.size(t) >= minimum, t).otherwise(first_distinct(F.concat(t, fill), "anchor", minimum)))
+    keep = ["site", F.col("idx").alias("source_idx"), F.col("url").alias("source_page")]
+    return unnest(rows.withColumn("chosen", both), keep, F.col("chosen"), "pick", "rank").select(
+        "site", "source_idx", "source_page", (F.col("rank") + 1).alias("rank"), F.col("pick.anchor").alias("anchor"),
+        F.col("pick.url").alias("target_page"),
+    )

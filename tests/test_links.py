@@ -123,6 +123,25 @@ def test_suggestions_equal_all_pairs(spark):
         assert sorted(got.get(site, [])) == want, site
 
 
+def test_suggestions_with_a_dozen_shared_tokens(spark):
+    """Anchors share twelve words; sets of them must not be multiplied out."""
+    rng = random.Random(5)
+    shared = [f"w{k:02d}" for k in range(12)]
+    pages, words = [], {}
+    for i in range(260):
+        own = shared if i % 3 else rng.sample(shared, rng.choice([3, 8]))
+        slug = "-".join([*own, f"n{i}"] if i % 5 else own[:-1])
+        pages.append((i, f"https://s.com/{rng.choice(['category', 'x'])}/{i}/{slug}", rng.choice(["pdp", "blog"])))
+        words[i] = rng.sample(shared + [f"n{k:d}" for k in range(100, 130)], rng.choice([2, 12, 30]))
+    df = spark.createDataFrame(
+        [("s", i, u, k, " ".join(words[i]), "") for i, u, k in pages],
+        "site STRING, idx BIGINT, url STRING, page_type STRING, content STRING, product_entity STRING",
+    )
+    result = suggest_links(df, df, Vocabulary(product_terms=("w03",)))
+    got = sorted((r["source_idx"], r["rank"], r["anchor"], r["target_page"]) for r in result.collect())
+    assert got == all_pairs_suggestions(pages, words, ["w03"])
+
+
 def test_injection(one):
     link = F.array(F.struct(F.lit("vinyl banners").alias("anchor"), F.lit("/v").alias("url")))
     none = F.array().cast("array<struct<anchor:string,url:string>>")
