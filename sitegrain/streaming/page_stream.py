@@ -7,16 +7,21 @@ folder per batch and overwrite it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.window import Window
 
+from sitegrain.operators.ordered import first_occurrence
 from sitegrain.operators.pages import content_quality, read_pages, scrape_fields
 from sitegrain.operators.routing import route_pages
-from sitegrain.operators.runs import DONE, FAILED, SKIPPED, latest_by
+from sitegrain.operators.runs import DONE, FAILED, SKIPPED
+from sitegrain.session import cut_lineage
 from sitegrain.vocab import Vocabulary
 
 
@@ -52,68 +57,140 @@ def _batch_folder(root: str, batch: int) -> str:
     return f"{root}/batch={batch}"
 
 
-def _read_other_batches(spark: SparkSession, root: str, batch: int, schema: StructType) -> DataFrame:
-    """Rows written by earlier batches; a retried batch does not see itself."""
-    stored = spark.read.schema(schema).option("basePath", root).option(
-        "ignoreMissingFiles", "true"
-    )
-    try:
-        return stored.parquet(root).filter(F.col("batch") != batch).drop("batch")
-    except Exception as error:  # nothing written yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema).drop("batch")
+LATEST_BUCKETS = 64
+
 
+def changed_pages_writer(store: str, key: str = "url", buckets: int = LATEST_BUCKETS) -> Callable[[DataFrame, int], None]:
+    """Batch function that stores every row whose hash differs from the one before it, in ``seq`` order.
 
-def changed_pages_writer(store: str, key: str = "url") -> Callable[[DataFrame, int], None]:
-    """Batch function that stores rows whose hash differs from the latest stored one.
+    Rows need ``key, content_hash, seq``; ``seq`` grows with time. ``store/history`` gets the changes, a folder per
+    batch, however rows fall into batches. ``store/latest`` holds one row per key in hash buckets: a batch reads and
+    rewrites only the buckets of its own keys, and no history. A row of ``latest`` remembers what it was before the
+    batch that wrote it, so a retried batch starts from the same state, even if it broke off between two buckets.
 
-    Rows need ``key, content_hash, seq``; ``seq`` grows with time. The store
-    doubles as the snapshot table.
+    Rows not newer than the stored one of their key, and rows without key or seq, are passed over; of several rows
+    with one key and seq the one with the smallest hash counts. A null hash is a value like any other.
     """
+    latest_path, history = f"{store}/latest", f"{store}/history"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = _read_other_batches(
-            spark, store, batch_id, StructType(batch.schema.fields).add("batch", "long")
+        own = batch.schema.fields
+        kind = {f.name: f.dataType for f in own}
+        batch = batch.filter(F.col(key).isNotNull() & F.col("seq").isNotNull())
+        rows = first_occurrence(batch, [key, "seq"], [F.col("content_hash").asc_nulls_first()])
+        rows = cut_lineage(rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "batch")
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # no more than there are buckets
+        state = StructType([StructField(n, kind[n]) for n in (key, "content_hash", "seq")])
+        for f in (StructField("before_hash", kind["content_hash"]), StructField("before_seq", kind["seq"]), StructField("batch", LongType()), StructField("bucket", IntegerType())):
+            state = state.add(f)
+        stored = _stored(spark, latest_path, state).filter(F.col("bucket").isin(touched))
+        again = F.col("batch") == batch_id
+        known = stored.select(
+            key, F.when(again, F.col("before_hash")).otherwise(F.col("content_hash")).alias("known_hash"),
+            F.when(again, F.col("before_seq")).otherwise(F.col("seq")).alias("known_seq"), "bucket",
+        ).filter("known_seq is not null")
+        # The stored row of a key stands before its new ones; a window sees the rows of one key only.
+        new = rows.join(known.drop("bucket"), key, "left").filter("known_seq is null or seq > known_seq")
+        order = Window.partitionBy(key).orderBy("seq")
+        first = F.row_number().over(order) == 1
+        before = F.when(first, F.col("known_hash")).otherwise(F.lag("content_hash").over(order))
+        seen = ~first | F.col("known_seq").isNotNull()
+        judged = new.withColumns({"before": before, "seen": seen, "newest": F.row_number().over(Window.partitionBy(key).orderBy(F.desc("seq"))) == 1})
+        judged = cut_lineage(judged, "judged")
+        changed = judged.filter(~F.col("seen") | ~F.col("before").eqNullSafe(F.col("content_hash")))
+        changed.select(*(f.name for f in own)).write.mode("overwrite").parquet(_batch_folder(history, batch_id))
+        fresh = judged.filter("newest").select(
+            key, "content_hash", "seq", F.col("known_hash").alias("before_hash"), F.col("known_seq").alias("before_seq"),
+            F.lit(batch_id).cast("long").alias("batch"), "bucket",
         )
-        latest = latest_by(known, [key], "seq").select(key, "content_hash")
-        newest = latest_by(batch, [key], "seq")
-        changed = newest.join(latest, [key, "content_hash"], "left_anti")
-        changed.write.mode("overwrite").parquet(_batch_folder(store, batch_id))
+        kept = stored.join(fresh.select(key), key, "left_anti")
+        rewritten = cut_lineage(fresh.unionByName(kept), "latest")
+        writer = rewritten.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("bucket").parquet(latest_path)
 
     return write
 
 
-def progress_writer(final: str) -> Callable[[DataFrame, int], None]:
-    """Batch function that records each completed run once.
+def _stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as error:  # nothing written yet
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schema)
 
-    Rows: ``run_id, total, completed, failed`` from a running aggregation. A
-    run that is done in several batches is written by the first one only.
-    """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        schema = StructType(batch.schema.fields).add("batch", "long")
-        fired = _read_other_batches(spark, final, batch_id, schema).select("run_id")
-        done = batch.filter(F.col("completed") + F.col("failed") >= F.col("total"))
-        done.join(fired, "run_id", "left_anti").write.mode("overwrite").parquet(
-            _batch_folder(final, batch_id)
-        )
+def page_history(spark: SparkSession, store: str) -> DataFrame:
+    """All changes that :func:`changed_pages_writer` stored."""
+    return spark.read.parquet(f"{store}/history").drop("batch")
 
-    return write
+
+PROGRESS = "run_id string, total bigint, completed bigint, failed bigint, outcome string"
+_COUNTED = "completed bigint, failed bigint, total bigint, seen_ms bigint, fired boolean"
 
 
-def run_progress(status: DataFrame, totals: DataFrame) -> DataFrame:
-    """Running counts per run; ``status(run_id, url, status)``, ``totals(run_id, total)``.
+def run_progress(status: DataFrame, totals: DataFrame, idle: str = "1 day") -> DataFrame:
+    """One row per run when its last page is in: ``run_id, total, completed, failed, outcome``.
 
-    Skipped pages count as completed.
+    ``status(run_id, url, status, ts)`` is a stream, ``totals(run_id, total)`` a stored table. Skipped pages count as
+    completed. A run is ``finished`` once; further rows of it change nothing. A run without a row for ``idle`` of event
+    time is dropped: one that was not finished comes out as ``abandoned``, one that was leaves nothing. The state is
+    thus bounded by the runs of the last ``idle``. A row that comes after its run was dropped starts the run anew.
+
+    Each task counts its own rows per run first, so a run with a third of all pages sends a few rows.
     """
-    counts = status.groupBy("run_id").agg(
-        F.count_if(F.col("status").isin(DONE, SKIPPED)).alias("completed"),
-        F.count_if(F.col("status") == FAILED).alias("failed"),
+    millis = idle_millis(idle)
+
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            rows = rows.assign(completed=rows["status"].isin([DONE, SKIPPED]), failed=rows["status"] == FAILED)
+            per = rows.groupby("run_id", as_index=False).agg({"completed": "sum", "failed": "sum", "total": "max", "ts": "max"})
+            yield per.astype({"completed": "int64", "failed": "int64", "total": "int64"})
+
+    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        completed, failed, total, seen, fired = state.get if state.exists else (0, 0, 0, 0, False)
+        row = lambda outcome: pd.DataFrame({"run_id": [key[0]], "total": [total], "completed": [completed], "failed": [failed], "outcome": [outcome]})
+        if state.hasTimedOut:
+            state.remove()
+            if not fired:
+                yield row("abandoned")
+            return
+        for part in frames:
+            if not fired:
+                completed, failed = completed + int(part["completed"].sum()), failed + int(part["failed"].sum())
+            total = max(total, int(part["total"].max()))
+            seen = max(seen, int(part["ts"].max().timestamp() * 1000))
+        if not fired and completed + failed >= total:
+            fired = True
+            yield row("finished")
+        state.update((completed, failed, total, seen, fired))
+        state.setTimeoutTimestamp(max(seen + millis, state.getCurrentWatermarkMs() + 1))
+
+    rows = status.join(totals, "run_id").select(F.col("run_id").cast("string"), "status", F.col("total").cast("long"), F.col("ts").cast("timestamp"))
+    parts = rows.filter("run_id is not null and ts is not null").mapInPandas(counted, "run_id string, completed long, failed long, total long, ts timestamp")
+    return parts.withWatermark("ts", "0 seconds").groupBy("run_id").applyInPandasWithState(
+        advance, PROGRESS, _COUNTED, "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def idle_millis(idle: str) -> int:
+    """Milliseconds of an interval such as ``1 day`` or ``30 minutes``."""
+    number, unit = idle.split()
+    seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+    return int(float(number) * 1000 * seconds[unit.rstrip("s")])
+
+
+def run_progress_stream(progress: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Append finished and abandoned runs; the file sink writes each of them once."""
+    return (
+        progress.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", out)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
-    return counts.join(totals, "run_id").select("run_id", "total", "completed", "failed")
 
 
 def split_dead_letters(rows: DataFrame, stage: str, error: str = "error") -> tuple[DataFrame, DataFrame]:
