@@ -10,7 +10,7 @@ from sitegrain.llm import langid, licenses, lines, mixing, toxicity
 from sitegrain.llm.bpe import BpeFile, decoded, encoded
 from sitegrain.llm.collocations import collocations
 from sitegrain.llm.forest import nearest
-from sitegrain.llm.minhash import deduplicated, near_duplicates
+from sitegrain.llm.minhash import deduplicated
 from sitegrain.llm.simple8b import read_ids, write_ids
 from sitegrain.llm.substrings import without_repeats
 from sitegrain.llm.turns import repairs
@@ -36,12 +36,12 @@ def byte_ids(df):
 
 FILE = BpeFile.read(public_tokenizers.path("word_bpe_49k.json"))
 OPERATORS = {
-    "minhash": near_duplicates, "deduplicated": deduplicated, "licenses": licenses.scanned, "languages": lambda d: langid.identified(d, langid.fit(d)),
-    "toxicity": lambda d: toxicity.scored(d, toxicity.fit(d, d.select("doc_id", "quality", "toxic"))), "mixture": mixing.mixture, "mixed": mixing.mixed,
+    "deduplicated": deduplicated, "licenses": licenses.scanned, "languages": lambda d: langid.identified(d, langid.fit(d)),
+    "toxicity": lambda d: toxicity.scored(d, toxicity.fit(d, d.select("doc_id", "quality", "toxic"))), "mixture": mixing.mixture,
     "bpe": lambda d: decoded(encoded(d, FILE), FILE), "decoded": lambda d: decoded(d.withColumn("ids", F.array(F.lit(1))), FILE), "simple8b": byte_ids,
     "substrings": without_repeats, "lines": lambda d: lines.deduplicated_lines(d, work_folder(d.sparkSession, "t"))[1], "collocations": collocations,
 }
-PER_ROW = {"minhash", "licenses", "languages", "toxicity", "mixture", "bpe", "decoded", "simple8b", "substrings", "lines"}
+PER_ROW = {"licenses", "languages", "toxicity", "mixture", "bpe", "decoded", "simple8b", "substrings", "lines"}
 
 
 @pytest.mark.parametrize("kind", ["odd rows", "empty"])
