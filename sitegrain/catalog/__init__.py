@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ("pages_checks", "links_checks", "text_checks", "scoring_checks", "runs_checks", "planning_checks",
-           "audit_checks", "markup_checks")
+           "audit_checks", "markup_checks", "files_checks")
 
 
 def _collect(attribute: str) -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -9,6 +11,8 @@ from pyspark.sql.types import StructType
 from sitegrain.catalog import sql
 from sitegrain.catalog.common import SITE_VOCAB, joined, site_pages, table
 from sitegrain.catalog.links_checks import _PLAN, _suggest
+from sitegrain.catalog.text_checks import _phrase_ctes
+from sitegrain.operators.serp import intel_requests
 from sitegrain.plans.audit import AuditOptions, SiteAudit, audit_sites
 from sitegrain.session import work_folder
 from sitegrain.sources import artifacts as A
@@ -34,6 +38,21 @@ def page_audits(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def audit_with_intel(spark: SparkSession, sf: str) -> DataFrame:
+    """The audit with search results: the document that has a request's page number is its result page."""
+    pages = site_pages(spark, sf)
+    plain = audit_sites(pages, AuditOptions(vocab=V))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("request_idx"), F.col("text").alias("paragraph_text"))
+    none = F.array().cast("array<string>")
+    found = intel_requests(plain.features).select("query", "request_idx").join(docs, "request_idx").select(
+        "query", F.col("request_idx").alias("row_pos"), F.concat(F.lit("https://r.example/"), "request_idx").alias("url"),
+        F.array().cast("array<struct<tag:string,text:string>>").alias("headings"), "paragraph_text", F.lit(1).cast("bigint").alias("word_count"),
+        none.alias("faq_questions"), none.alias("schema_types"),
+    )
+    audit = SiteAudit(plain.features, plain.options, found)
+    return audit.page_audits.select("site", "idx", "query", "serp_analyzed", F.coalesce(joined(F.col("keyword_themes")), F.lit("")).alias("keyword_themes"))
+
+
 def audit_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _audit(spark, sf).summary
 
@@ -100,11 +119,13 @@ def streamed_pages(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(out).select("site", "idx", "page_type", "word_count", "thin_content")
 
 
-def _arrivals(spark: SparkSession, sf: str, run) -> None:
-    """Feed events in two arrivals: the first half of the month, then the rest."""
+def _arrivals(spark: SparkSession, sf: str, run, marks: Sequence[str] = (HALF,)) -> None:
+    """Feed events in arrivals that end at the marks: by default the first half of the month, then the rest."""
     folder = work_folder(spark, "events")
     events = table(spark, sf, "events")
-    for part in (F.col("ts") < HALF, F.col("ts") >= HALF):
+    ends = [None, *marks, None]
+    for low, high in zip(ends, ends[1:]):
+        part = (F.lit(True) if low is None else F.col("ts") >= low) & (F.lit(True) if high is None else F.col("ts") < high)
         events.filter(part).write.mode("append").parquet(folder)
         run(S.stream_folder(spark, folder, events.schema, 1_000_000)).awaitTermination()
 
@@ -121,21 +142,21 @@ def streamed_changes(spark: SparkSession, sf: str) -> DataFrame:
         return S.run_batches(rows, write, checkpoint)
 
     _arrivals(spark, sf, run)
-    return spark.read.parquet(store).select("url", "seq")
+    return S.page_history(spark, store).select("url", "seq")
 
 
 def streamed_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """Days of events as runs; each comes out once, when its last event is in."""
     final, checkpoint = work_folder(spark, "final"), work_folder(spark, "final-ckpt")
-    write = S.progress_writer(final)
     day = F.to_date("ts").cast("string").alias("run_id")
     totals = table(spark, sf, "events").groupBy(day).agg(F.count("*").alias("total"))
 
     def run(events: DataFrame):
         status = F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status")
-        return S.run_batches(S.run_progress(events.select(day, status), totals), write, checkpoint, "update")
+        return S.run_progress_stream(S.run_progress(events.select(day, status, "ts"), totals), final, checkpoint)
 
     _arrivals(spark, sf, run)
-    return spark.read.parquet(final).select("run_id", "total", "completed", "failed")
+    return spark.read.parquet(final).select("run_id", "total", "completed", "failed", "outcome")
 
 
 def dead_letters(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,7 +182,7 @@ def dead_letters(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        page_audits, audit_summary, sitemap_walk, stored_artifacts, streamed_pages, streamed_changes,
+        page_audits, audit_with_intel, audit_summary, sitemap_walk, stored_artifacts, streamed_pages, streamed_changes,
         streamed_progress, dead_letters,
     )
 }
@@ -198,6 +219,22 @@ hits AS (
 _CORE = "trim(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 ORACLES = {
+    "audit_with_intel": f"""
+      WITH {sql.PAGES}, e AS (
+        SELECT idx, array_to_string(list_filter(string_split(
+               {sql.squash("regexp_replace(trim(coalesce(heading_texts[1], '') || ' ' || title || ' ' || regexp_replace(regexp_extract(path, '([^/]*)/?$', 1), '[-_]+', ' ', 'g')), '(?i)" + chr(92) + "b(custom|cheap|best|buy|shop|online|printing|print)" + chr(92) + "b', '', 'g')")}, ' '),
+               lambda t: t <> '')[1:3], ' ') AS entity, title, url, site,
+               {sql.page_type('path', "lower(concat_ws(' ', title, array_to_string(heading_texts, ' '), body_text))", V)} AS page_type
+        FROM feats),
+      k AS (SELECT *, regexp_replace(regexp_replace(lower(coalesce(nullif(entity, ''), page_type)), '[^a-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g') AS entity_key FROM e),
+      f AS (SELECT site, entity_key, min(idx) AS request_idx FROM k GROUP BY ALL),
+      r AS (SELECT f.site, f.entity_key, f.request_idx, lower(trim(coalesce(nullif(entity, ''), nullif(title, ''), url))) AS query FROM f JOIN k ON k.idx = f.request_idx),
+      {_phrase_ctes('documents')},
+      firsts AS (SELECT query, term, min((doc_id, pos)) AS place FROM ep JOIN (SELECT DISTINCT query, request_idx FROM r) q ON q.request_idx = doc_id WHERE kind = 'phrase' GROUP BY ALL),
+      nums AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY place) AS n FROM firsts),
+      themes AS (SELECT query, string_agg(term, '|' ORDER BY n) AS t FROM nums WHERE n <= 24 GROUP BY query)
+      SELECT k.site, k.idx, r.query, true AS serp_analyzed, coalesce(t, '') AS keyword_themes
+      FROM k JOIN r USING (site, entity_key) LEFT JOIN themes USING (query)""",
     "page_audits": f"""
       WITH {sql.PAGES}, {sql.LINKS}, {_AUDIT},
       c AS (SELECT *, {_CORE.format(x="coalesce(nullif(product_entity, ''), heading_texts[1], 'product')")} AS core FROM full_pages),
@@ -236,14 +273,13 @@ ORACLES = {
     "streamed_pages": f"""
       WITH {sql.PAGES}
       SELECT site, idx, {_CONTENT_TYPE} AS page_type, len(body_words) AS word_count, len(body_words) < 300 AS thin_content FROM feats""",
-    "streamed_changes": f"""
-      WITH a AS (SELECT user_id, max(event_id) AS seq, max_by(event_type, event_id) AS h FROM events WHERE ts < TIMESTAMP '{HALF}' GROUP BY 1),
-      b AS (SELECT user_id, max(event_id) AS seq, max_by(event_type, event_id) AS h FROM events WHERE ts >= TIMESTAMP '{HALF}' GROUP BY 1)
-      SELECT 'u' || user_id AS url, seq FROM a UNION ALL
-      SELECT 'u' || b.user_id, b.seq FROM b LEFT JOIN a USING (user_id) WHERE a.h IS NULL OR a.h <> b.h""",
+    "streamed_changes": """
+      SELECT 'u' || user_id AS url, event_id AS seq FROM (
+        SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
+      WHERE before IS NULL OR before <> event_type""",
     "streamed_progress": """
       SELECT ts::DATE::VARCHAR AS run_id, count(*) AS total, count(*) FILTER (event_type <> 'error') AS completed,
-             count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1""",
+             count(*) FILTER (event_type = 'error') AS failed, 'finished' AS outcome FROM events GROUP BY 1""",
     "dead_letters": """
       SELECT event_id, CASE event_type WHEN 'error' THEN 'scrape_page' ELSE 'good' END AS kind,
              CASE event_type WHEN 'error' THEN props ELSE '' END AS error FROM events""",

@@ -9,7 +9,10 @@ from sitegrain.catalog import sql
 from sitegrain.catalog.common import joined, table
 from sitegrain.operators import quality, reports, runs, strategy
 from sitegrain.operators.quality import Field
+from sitegrain.session import work_folder
 from sitegrain.sources import artifacts as A
+from sitegrain.sources.bucketed import write_bucketed
+from sitegrain.sources.keyed_tables import KeyedTable
 from sitegrain.vocab import MISSING_CATEGORY_PAGES, PILLAR_PAGES
 
 
@@ -47,7 +50,7 @@ def unchanged_pages(spark: SparkSession, sf: str) -> DataFrame:
     return runs.unchanged_pages(current, snaps, kept).select("page_id")
 
 
-def crawl_diff(spark: SparkSession, sf: str) -> DataFrame:
+def _crawls(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Two crawls of the documents: texts by language and source."""
     docs = table(spark, sf, "documents")
     previous = docs.filter("lang <> 'es'").select(
@@ -58,7 +61,11 @@ def crawl_diff(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.when(F.col("source") == "src1", F.upper("text")).otherwise(F.col("text")), 256).alias("content_hash"),
         F.when(F.col("source") == "src2", "failed").otherwise("completed").alias("status"),
     )
-    return runs.snapshot_diff(previous, current)
+    return previous, current
+
+
+def crawl_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.snapshot_diff(*_crawls(spark, sf))
 
 
 def resumed_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,7 +161,8 @@ def dimension_rows(spark: SparkSession, sf: str) -> DataFrame:
     return runs.get_or_create(known, wanted, ["name", "segment"], [F.col("seq")])
 
 
-def finished_runs(spark: SparkSession, sf: str) -> DataFrame:
+def _run_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as runs at their start, and what their line items say at the end."""
     orders = table(spark, sf, "orders")
     blank = F.lit(None).cast("string")
     started = runs.create_runs(
@@ -173,7 +181,28 @@ def finished_runs(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("errors") > 1, "full").alias("mode"), F.lit("v2").alias("prompt_version"),
         F.lit("").alias("template_version"), blank.alias("model"),
     )
-    return runs.finish_runs(started, updates)
+    return started, updates
+
+
+def finished_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.finish_runs(*_run_rows(spark, sf))
+
+
+def stored_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs kept in a stored table: all are started, then finished in two batches."""
+    started, updates = _run_rows(spark, sf)
+    stored = KeyedTable(spark, work_folder(spark, "runs"), started.schema, ["id"], buckets=8)
+    stored.upsert(started)
+    for status in ("completed", "completed_with_errors"):
+        runs.update_stored_runs(stored, updates.filter(F.col("status") == status))
+    return stored.read()
+
+
+def bucketed_crawl_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """The two crawls of ``crawl_diff`` stored by page and joined without a shuffle."""
+    previous, current = _crawls(spark, sf)
+    stored = lambda df, name: write_bucketed(df, work_folder(spark, name), ["url"], 8)
+    return runs.snapshot_diff(stored(previous, "crawl"), stored(current, "crawl"))
 
 
 def skip_ladder(spark: SparkSession, sf: str) -> DataFrame:
@@ -389,7 +418,7 @@ def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        latest_snapshots, overlaid_states, unchanged_pages, crawl_diff, resumed_pages, model_costs, cost_report,
+        latest_snapshots, overlaid_states, unchanged_pages, crawl_diff, bucketed_crawl_diff, stored_runs, resumed_pages, model_costs, cost_report,
         run_report, run_errors, site_audit_summary, batch_summary, run_artifacts, dimension_rows, finished_runs,
         skip_ladder, strategy_summary, site_strategy, snapshot_metrics, thin_pages, link_lines, keyword_gaps, blog_topics, contract_violations,
         blueprint_violations, page_audit_reports, site_overviews, output_index, log_records, enveloped_artifacts,
@@ -571,3 +600,5 @@ ORACLES = {
     "content_hashes": """
       SELECT min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY lang, text""",
 }
+
+ORACLES |= {"bucketed_crawl_diff": ORACLES["crawl_diff"], "stored_runs": ORACLES["finished_runs"]}

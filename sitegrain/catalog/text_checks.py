@@ -10,6 +10,8 @@ from sitegrain.catalog.common import SITE_VOCAB, features, joined, table
 from sitegrain.functions import prompts
 from sitegrain.functions.text import cap_repeats, hyphen_tokens, listed_in
 from sitegrain.operators import gaps, phrases, prompting, reports, schema_org, serp
+from sitegrain.session import work_folder
+from sitegrain.sources.keyed_tables import KeyedTable
 from sitegrain.vocab import (
     CLUSTER_GROUPS,
     CLUSTER_SUFFIXES,
@@ -39,10 +41,8 @@ def _serp_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.col("source").alias("query"),
         F.col("doc_id").alias("row_pos"),
         F.concat(F.lit("https://"), "source", F.lit("/"), "doc_id").alias("url"),
-        F.transform(
-            F.slice(lines, 1, 2), lambda h: F.struct(F.lit("h2").alias("tag"), h.alias("text"))
-        ).alias("headings"),
-        F.substring("text", 1, 12000).alias("paragraph_text"),
+        F.transform(lines, lambda h: F.struct(F.lit("h2").alias("tag"), h.alias("text"))).alias("headings"),
+        F.col("text").alias("paragraph_text"),
         F.regexp_count("text", F.lit(r"[^\s]+")).alias("word_count"),
         F.array("lang").alias("faq_questions"),
         F.array("lang", F.lit("Product")).alias("schema_types"),
@@ -66,10 +66,9 @@ def search_insights(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def intel_by_status(spark: SparkSession, sf: str) -> DataFrame:
-    """Failed lookups fall back to the page's text, the others read result pages."""
-    docs = _documents(spark, sf)
-    queries = docs.select(
+def _by_status(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A query per document, failed unless English, and result pages of those that did not fail."""
+    queries = _documents(spark, sf).select(
         F.concat_ws("-", "source", "doc_id").alias("query"),
         F.when(F.col("lang") == "en", "ok").otherwise("failed").alias("status"),
         F.array(F.struct(F.lit("h1").alias("tag"), F.col("lang").alias("text"))).alias("headings"),
@@ -78,7 +77,12 @@ def intel_by_status(spark: SparkSession, sf: str) -> DataFrame:
     results = _serp_rows(spark, sf).filter(F.col("faq_questions")[0] == "en").withColumn(
         "query", F.concat_ws("-", "query", "row_pos")
     )
-    intel = serp.serp_intel(queries, results, V)
+    return queries, results
+
+
+def intel_by_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Failed lookups fall back to the page's text, the others read result pages."""
+    intel = serp.serp_intel(*_by_status(spark, sf), V)
     return intel.select(
         "query", "average_word_count",
         joined(F.col("heading_patterns")).alias("heading_patterns"),
@@ -86,10 +90,24 @@ def intel_by_status(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def cached_intel(spark: SparkSession, sf: str) -> DataFrame:
+    """Three rounds of lookups: English queries, all queries within the day, all queries when the first are stale."""
+    queries, results = _by_status(spark, sf)
+    cache = KeyedTable(spark, work_folder(spark, "intel-cache"), serp.INTEL_CACHE, ["cache_key"], buckets=8)
+    out = None
+    for n, (asked, hour) in enumerate(((queries.filter("status = 'ok'"), "00"), (queries, "20"), (queries, "25")), 1):
+        at = F.to_timestamp(F.lit(AS_OF)) + F.expr(f"interval {hour} hours")
+        rows = serp.cached_intel(asked, cache, results, at, vocab=V).select(
+            F.lit(n).alias("round"), "query", "origin", "average_word_count",
+            joined(F.col("heading_patterns")).alias("heading_patterns"), joined(F.col("semantic_phrases")).alias("semantic_phrases"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def intel_requests(spark: SparkSession, sf: str) -> DataFrame:
     """First page per entity key, joined back to every page."""
-    pages = features(spark, sf)
-    wide = pages.withColumn("product_entity", F.lower(F.substring("product_entity", 1, 2)))
+    wide = features(spark, sf).withColumn("product_entity", F.lower("product_entity"))
     requests = serp.intel_requests(wide).select("site", "entity_key", "request_idx", "query")
     return serp.attach_by_entity(wide, requests).select("idx", "entity_key", "request_idx", "query")
 
@@ -280,7 +298,7 @@ def gap_report(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        document_phrases, search_intel, search_insights, intel_by_status, intel_requests, fresh_cache,
+        document_phrases, search_intel, search_insights, intel_by_status, cached_intel, intel_requests, fresh_cache,
         keyword_expansion, keyword_clusters, content_gaps, gap_opportunities, recommended_pages, term_hits,
         sanitized_text, repeated_words, prompt_texts, normalized_records, cleaned_output, audit_sections,
         faq_pairs, page_schemas, gap_report,
@@ -312,12 +330,11 @@ ep AS (
 
 
 _INTEL = f"""
-src AS (SELECT doc_id, substring(text, 1, 12000) AS text FROM documents), {_phrase_ctes('src')},
+{_phrase_ctes('documents')},
 vals AS (
   SELECT source AS query, doc_id AS row_pos, CASE kind WHEN 'entity' THEN 'e' ELSE 's' END AS l, pos, term AS v
   FROM ep JOIN documents USING (doc_id)
-  UNION ALL SELECT source, doc_id, 'h', i, string_split(text, chr(10))[i] FROM documents, (SELECT unnest([1, 2]) AS i)
-            WHERE i <= len(string_split(text, chr(10)))
+  UNION ALL SELECT source, doc_id, 'h', unnest(range(len(l))), unnest(l) FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents)
   UNION ALL SELECT source, doc_id, 'f', 0, lang FROM documents
   UNION ALL SELECT source, doc_id, 't', 0, lang FROM documents
   UNION ALL SELECT source, doc_id, 't', 1, 'Product' FROM documents
@@ -336,6 +353,18 @@ lists AS (
   FROM nums GROUP BY query),
 avgs AS (SELECT source AS query, round(avg(len(regexp_extract_all(text, '[^\\s]+'))))::BIGINT AS a FROM documents GROUP BY 1)"""
 
+_BY_STATUS = f"""
+{_phrase_ctes('documents')},
+ph AS (SELECT doc_id, string_agg(term, '|' ORDER BY pos) AS s FROM ep WHERE kind = 'phrase' GROUP BY 1),
+ls AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+lp AS (SELECT doc_id, line, min(i) AS i FROM ls GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) <= 50),
+hl AS (SELECT doc_id, string_agg(line, '|' ORDER BY i) AS h FROM lp GROUP BY 1),
+by_status AS (
+  SELECT source || '-' || doc_id AS query, lang,
+         CASE WHEN lang = 'en' THEN len(regexp_extract_all(text, '[^\\s]+')) ELSE {sql.word_count('text')} END AS average_word_count,
+         CASE WHEN lang = 'en' THEN h ELSE lang END AS heading_patterns, coalesce(s, '') AS semantic_phrases
+  FROM documents LEFT JOIN ph USING (doc_id) JOIN hl USING (doc_id))"""
+
 _GAPS = f"""
 dw AS (SELECT doc_id, {sql.hyphen_tokens('text')} AS t FROM documents),
 du AS (SELECT doc_id, w, min(p) AS p FROM (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS p FROM dw) GROUP BY ALL),
@@ -418,23 +447,21 @@ ORACLES = {
       WITH {_INTEL} SELECT query, a AS avg_word_count, 'yes' AS structured_data_presence, themes AS keyword_themes,
                            entity_coverage AS related_entities FROM avgs JOIN lists USING (query)""",
     "intel_by_status": f"""
-      WITH src AS (SELECT doc_id, CASE WHEN lang = 'en' THEN substring(text, 1, 12000) ELSE text END AS text FROM documents),
-      {_phrase_ctes('src')},
-      ph AS (SELECT doc_id, string_agg(term, '|' ORDER BY pos) AS s FROM ep WHERE kind = 'phrase' GROUP BY 1),
-      lines AS (SELECT doc_id, string_split(text, chr(10))[1:2] AS l FROM documents)
-      SELECT source || '-' || doc_id AS query,
-             CASE WHEN lang = 'en' THEN len(regexp_extract_all(text, '[^\\s]+')) ELSE {sql.word_count('text')} END AS average_word_count,
-             CASE WHEN lang = 'en' THEN CASE WHEN l[1] = l[2] THEN l[1] ELSE array_to_string(l, '|') END ELSE lang END AS heading_patterns,
-             coalesce(s, '') AS semantic_phrases
-      FROM documents LEFT JOIN ph USING (doc_id) JOIN lines USING (doc_id)""",
+      WITH {_BY_STATUS} SELECT query, average_word_count, heading_patterns, semantic_phrases FROM by_status""",
+    "cached_intel": f"""
+      WITH {_BY_STATUS},
+      rounds AS (SELECT unnest([1, 2, 3]) AS round)
+      SELECT round, query, CASE WHEN round = 2 AND lang = 'en' OR round = 3 AND lang <> 'en' THEN 'cache' WHEN lang = 'en' THEN 'results' ELSE 'fallback' END AS origin,
+             average_word_count, heading_patterns, semantic_phrases
+      FROM by_status, rounds WHERE round > 1 OR lang = 'en'""",
     "intel_requests": f"""
       WITH {sql.PAGES}, e AS (
-        SELECT idx, lower(substring(array_to_string(list_filter(string_split(
-               {sql.squash("regexp_replace(trim(coalesce(heading_texts[1], '') || ' ' || title), '(?i)" + chr(92) + "b(custom|cheap|best|buy|shop|online|printing|print)" + chr(92) + "b', '', 'g')")}, ' '),
-               lambda t: t <> '')[1:3], ' '), 1, 2)) AS entity, title, url, site,
+        SELECT idx, lower(array_to_string(list_filter(string_split(
+               {sql.squash("regexp_replace(trim(coalesce(heading_texts[1], '') || ' ' || title || ' ' || regexp_replace(regexp_extract(path, '([^/]*)/?$', 1), '[-_]+', ' ', 'g')), '(?i)" + chr(92) + "b(custom|cheap|best|buy|shop|online|printing|print)" + chr(92) + "b', '', 'g')")}, ' '),
+               lambda t: t <> '')[1:3], ' ')) AS entity, title, url, site,
                {sql.page_type('path', "lower(concat_ws(' ', title, array_to_string(heading_texts, ' '), body_text))", V)} AS page_type
         FROM feats),
-      k AS (SELECT *, substring(regexp_replace(regexp_replace(lower(coalesce(nullif(entity, ''), page_type)), '[^a-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS entity_key FROM e),
+      k AS (SELECT *, regexp_replace(regexp_replace(lower(coalesce(nullif(entity, ''), page_type)), '[^a-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g') AS entity_key FROM e),
       f AS (SELECT site, entity_key, min(idx) AS request_idx FROM k GROUP BY ALL)
       SELECT k.idx, k.entity_key, request_idx,
              lower(trim(coalesce(nullif(r.entity, ''), nullif(r.title, ''), r.url))) AS query

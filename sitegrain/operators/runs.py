@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from sitegrain.functions.text import text_or_empty
 from sitegrain.operators.ordered import first_occurrence, top_k
 from sitegrain.session import cut_lineage
+from sitegrain.sources.keyed_tables import KeyedTable
 from sitegrain.vocab import MODEL_PRICES
 
 HASHED_FIELDS = ("title", "meta_description", "body_text", "headings")
@@ -256,6 +257,15 @@ def finish_runs(runs: DataFrame, updates: DataFrame) -> DataFrame:
     return joined.withColumns(out).select(*runs.columns)
 
 
+def update_stored_runs(stored: KeyedTable, updates: DataFrame) -> None:
+    """:func:`finish_runs` on a stored table keyed by ``id``; buckets without updated runs stay as they are.
+
+    Updates of runs that are not stored are passed over; of several updates of a run the one that finished last counts.
+    """
+    latest = latest_by(updates, ["id"], "finished_at")
+    stored.upsert(finish_runs(stored.read(latest.select("id")), latest))
+
+
 def updated_snapshots(snapshots: DataFrame, metrics: DataFrame) -> DataFrame:
     """Snapshots with the measures of ``metrics(id, tokens_in, tokens_out, cost_usd, status, error)``.
 

@@ -20,6 +20,8 @@ from sitegrain.functions.text import (
 )
 from sitegrain.operators.ordered import first_occurrence, lookup, top_k, unnest
 from sitegrain.operators.phrases import entities_and_phrases
+from sitegrain.session import cut_lineage
+from sitegrain.sources.keyed_tables import KeyedTable
 from sitegrain.vocab import (
     CLUSTER_GROUPS,
     CLUSTER_SUFFIXES,
@@ -203,9 +205,10 @@ def entity_key(entity: Column, page_type: Column) -> Column:
 def intel_requests(pages: DataFrame) -> DataFrame:
     """One request per site and entity key; the first page in site order supplies it.
 
-    ``pages``: ``site, idx, url, title, page_type, product_entity, headings,
-    first_1500_words``.
+    ``pages``: ``site, idx, url, title, page_type, product_entity, headings`` and ``body_text`` (or ``first_1500_words``,
+    which stands in where there is no ``body_text``).
     """
+    text = "body_text" if "body_text" in pages.columns else "first_1500_words"
     keyed = pages.withColumn("entity_key", entity_key(F.col("product_entity"), F.col("page_type")))
     first = first_occurrence(keyed, ["site", "entity_key"], [F.col("idx"), F.col("url")])
     query = F.coalesce(
@@ -221,7 +224,7 @@ def intel_requests(pages: DataFrame) -> DataFrame:
         F.lower(F.trim(query)).alias("query"),
         "page_type",
         "headings",
-        F.col("first_1500_words").alias("text"),
+        F.col(text).alias("text"),
     )
 
 
@@ -246,6 +249,41 @@ def fresh_cache_entries(cache: DataFrame, as_of: Column, ttl_hours: int = 24) ->
     return first_occurrence(fresh, ["cache_key"], [F.desc("fetched_at")])
 
 
+INTEL_CACHE = "cache_key string, fetched_at timestamp, average_word_count bigint, " + ", ".join(f"{name} array<string>" for name in CAPS)
+
+
+def cached_intel(
+    queries: DataFrame,
+    cache: KeyedTable,
+    serp_pages: DataFrame,
+    as_of: Column,
+    ttl_hours: int = 24,
+    vocab: Vocabulary = Vocabulary(),
+    stopwords: Sequence[str] = STOPWORDS,
+) -> DataFrame:
+    """Roll-up per query, kept up to date in ``cache``: ``query, origin`` and the columns of :func:`serp_intel`.
+
+    ``queries``: ``query, status, headings, text``, one row per query. A query whose key has a fresh entry takes that
+    (``cache``). Only the others are looked up: their result pages are tokenised (``results``), or their own text
+    where the lookup failed (``fallback``). Both replace the entry of their key; of queries with one key the first
+    in order is looked up for all. Only buckets with asked keys are read, only those with new entries rewritten.
+    """
+    asked = cut_lineage(queries.withColumn("cache_key", query_hash(F.col("query"))), "asked")
+    fresh = fresh_cache_entries(cache.read(asked.select("cache_key")), as_of, ttl_hours)
+    missing = first_occurrence(asked.join(fresh.select("cache_key"), "cache_key", "left_anti"), ["cache_key"], [F.col("query")])
+    missing = cut_lineage(missing, "missing")
+    found = serp_intel(missing.select("query", "status", "headings", "text"), serp_pages, vocab, stopwords)
+    origin = F.when(F.col("status") == "failed", "fallback").otherwise("results").alias("origin")
+    found = missing.select("cache_key", "query", origin).join(found, "query").drop("query").withColumn("fetched_at", as_of.cast("timestamp"))
+    found = cut_lineage(found, "found")
+    # What is in the cache now is read before the new entries go in.
+    lists = ["average_word_count", *CAPS]
+    known = fresh.select("cache_key", F.lit("cache").alias("origin"), *lists).unionByName(found.select("cache_key", "origin", *lists))
+    result = cut_lineage(asked.select("query", "cache_key").join(known, "cache_key").select("query", "origin", *lists), "intel")
+    cache.upsert(found)
+    return result
+
+
 # --- keyword expansion and clusters ------------------------------------------------
 
 

@@ -8,6 +8,7 @@ feature table.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from sitegrain.functions.text import hyphen_tokens
 from sitegrain.operators import strategy
 from sitegrain.operators.linkplan import plan_links
 from sitegrain.operators.links import known_link_hits, merge_suggestions
-from sitegrain.operators.ordered import prefix_limit
+from sitegrain.operators.ordered import lookup, prefix_limit
 from sitegrain.operators.pages import content_quality, scrape_fields, technical_columns
 from sitegrain.operators.routing import apply_type_filter, route_pages, route_urls
 from sitegrain.operators.runs import serp_budget
@@ -43,16 +44,82 @@ class AuditOptions:
     max_serp_calls: int = 0  # pages per site whose search results are used; 0: all
 
 
-@dataclass(frozen=True)
 class SiteAudit:
-    """Result tables of an audit."""
+    """Result tables of an audit; each is computed when it is first asked for, from one feature table."""
+
+    def __init__(self, features: DataFrame, options: AuditOptions, serp_pages: DataFrame | None) -> None:
+        self.features, self.options, self.serp_pages = features, options, serp_pages
+
+    @property
+    def _urls(self) -> DataFrame:
+        return self.features.select("site", "idx", "url")
+
+    @cached_property
+    def _kept(self) -> DataFrame:
+        o = self.options
+        return apply_type_filter(self.features, o.page_type_filter, o.force_pdp).filter("skip_reason IS NULL")
+
+    @cached_property
+    def suggestions(self) -> DataFrame:
+        """Planned links first, then contextual ones."""
+        contextual = suggest_links(self._kept, self._urls, self.options.vocab)
+        return cut_lineage(merge_suggestions(plan_links(route_urls(self._urls, self.options.vocab)), contextual), "suggestions")
+
+    @cached_property
+    def link_plan(self) -> DataFrame:
+        return cut_lineage(plan_links(self.features.select("site", "idx", "url", "page_type")), "link-plan")
+
+    @cached_property
+    def page_audits(self) -> DataFrame:
+        """One row per kept page with its links, suggestions, search themes and clusters."""
+        links = known_link_hits(self._kept, self._urls)
+        listed = self.suggestions.groupBy("site", F.col("source_idx").alias("idx")).agg(
+            F.transform(
+                F.array_sort(F.collect_list(F.struct("rank", "anchor", F.col("target_page").alias("url")))),
+                lambda r: F.struct(r["anchor"].alias("anchor"), r["url"].alias("url")),
+            ).alias("contextual_links")
+        )
+        base = self._kept.drop("page_tokens", "skip_reason")
+        searched = self.serp_pages is not None
+        if searched:
+            base = _with_themes(base, self.serp_pages, self.options)
+        else:
+            base = base.withColumn("keyword_themes", F.array().cast("array<string>"))
+        audits = (
+            keyword_clusters(base, "keyword_themes")
+            .join(links.drop("url"), ["site", "idx"], "left")
+            .join(listed, ["site", "idx"], "left")
+            .withColumns(
+                {
+                    "serp_analyzed": F.col("keyword_themes").isNotNull() & F.lit(searched),
+                    "keyword_clustered": F.size("clusters") > 0,
+                }
+            )
+        )
+        return cut_lineage(audits, "audits")
+
+    @cached_property
+    def page_types(self) -> DataFrame:
+        return strategy.pages_by_type(self.page_audits)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        described = self.page_audits.withColumn("meta_description", F.col("technical_meta_description"))
+        return strategy.summary(described, self.link_plan)
 
-    features: DataFrame
-    page_audits: DataFrame
-    link_plan: DataFrame
-    suggestions: DataFrame
-    page_types: DataFrame
-    summary: DataFrame
+
+def _with_themes(base: DataFrame, serp_pages: DataFrame, options: AuditOptions) -> DataFrame:
+    """Pages with the themes of their entity's search results; null where the budget of their site is spent.
+
+    Only queries of pages within the budget are looked up.
+    """
+    requests = cut_lineage(intel_requests(base), "requests")
+    keyed = serp_budget(attach_by_entity(base, requests.select("site", "entity_key", "query")), options.max_serp_calls)
+    asked = keyed.filter("within_budget").select("query").distinct()
+    queries = requests.select("query", F.lit("ok").alias("status"), "headings", "text").dropDuplicates(["query"])
+    seen = insights(serp_intel(queries.join(asked, "query", "left_semi"), serp_pages, options.vocab), AUDIT_THEMES)
+    themed = lookup(keyed, seen, ["query"], "idx")
+    return themed.withColumn("keyword_themes", F.when(F.col("within_budget"), F.col("keyword_themes"))).drop("within_budget")
 
 
 def page_features(
@@ -74,61 +141,5 @@ def audit_sites(
     ``serp_pages`` holds stored result pages per query (see ``aggregate_intel``);
     without it every roll-up is empty, as when no search results are available.
     """
-    vocab = options.vocab
     limited = prefix_limit(pages, options.max_pages)
-    features = cut_lineage(page_features(limited, vocab))
-    urls_only = features.select("site", "idx", "url")
-
-    kept = apply_type_filter(features, options.page_type_filter, options.force_pdp).filter(
-        "skip_reason IS NULL"
-    )
-    first_plan = plan_links(route_urls(urls_only, vocab))
-    contextual = suggest_links(kept, urls_only, vocab)
-    suggestions = cut_lineage(merge_suggestions(first_plan, contextual))
-    link_plan = cut_lineage(plan_links(features.select("site", "idx", "url", "page_type")))
-
-    links = known_link_hits(kept, urls_only)
-    listed = suggestions.groupBy("site", F.col("source_idx").alias("idx")).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", "anchor", F.col("target_page").alias("url")))),
-            lambda r: F.struct(r["anchor"].alias("anchor"), r["url"].alias("url")),
-        ).alias("contextual_links")
-    )
-    base = kept.drop("page_tokens", "skip_reason")
-    if serp_pages is not None:
-        requests = intel_requests(base)
-        intel = serp_intel(
-            requests.select("query", F.lit("ok").alias("status"), "headings", "text").dropDuplicates(
-                ["query"]
-            ),
-            serp_pages,
-            vocab,
-        )
-        seen = insights(intel, AUDIT_THEMES)
-        per_key = requests.select("site", "entity_key", "query").join(seen, "query")
-        base = serp_budget(attach_by_entity(base, per_key), options.max_serp_calls)
-        base = base.withColumn("keyword_themes", F.when(F.col("within_budget"), F.col("keyword_themes"))).drop("within_budget")
-    else:
-        base = base.withColumn("keyword_themes", F.array().cast("array<string>"))
-    clustered = keyword_clusters(base, "keyword_themes")
-    audits = (
-        clustered.join(links.drop("url"), ["site", "idx"], "left")
-        .join(listed, ["site", "idx"], "left")
-        .withColumns(
-            {
-                "serp_analyzed": F.col("keyword_themes").isNotNull() & F.lit(serp_pages is not None),
-                "keyword_clustered": F.size("clusters") > 0,
-            }
-        )
-    )
-    page_audits = cut_lineage(audits)
-    return SiteAudit(
-        features=features,
-        page_audits=page_audits,
-        link_plan=link_plan,
-        suggestions=suggestions,
-        page_types=strategy.pages_by_type(page_audits),
-        summary=strategy.summary(
-            page_audits.withColumn("meta_description", F.col("technical_meta_description")), link_plan
-        ),
-    )
+    return SiteAudit(cut_lineage(page_features(limited, options.vocab), "features"), options, serp_pages)

@@ -65,6 +65,23 @@ def write_log(events: DataFrame, path: str, ts: str, level: str, event: str, mod
     log_lines(events, ts, level, event).write.mode(mode).text(path)
 
 
+def split_log(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(records, bad)`` of JSON log lines: ``ts, level, event, extra``, and the lines that are no JSON object or have no event.
+
+    Both read the lines once; free keys go to a map. Blank lines are neither.
+    """
+    fields = F.from_json("value", "map<string,string>")
+    judged = lines.filter(F.trim("value") != "").select("value", fields.alias("f"))
+    good = F.coalesce(F.col("f")["event"].isNotNull(), F.lit(False))
+    records = judged.filter(good).select(
+        F.to_timestamp(F.col("f")["ts"]).alias("ts"),
+        F.col("f")["level"].alias("level"),
+        F.col("f")["event"].alias("event"),
+        F.map_filter("f", lambda k, v: ~k.isin(*LOG_FIELDS)).alias("extra"),
+    )
+    return records, judged.filter(~good).select("value")
+
+
 def parse_log(lines: DataFrame) -> DataFrame:
     """``ts, level, event, extra`` from JSON lines; free keys go to a map."""
     fields = F.from_json("value", "map<string,string>")
