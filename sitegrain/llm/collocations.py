@@ -45,7 +45,7 @@ class CollocationOptions:
     budget: int = 1 << 20  # suffixes of a group
     most_heavy: int = 1 << 14  # prefixes that may be extended
     bits: int = 1 << 27  # of a bitmap, at most
-    held: int = 1 << 21  # words that a task counts before it lets the counts go
+    held: int = 1 << 19  # words that a task counts before it lets the counts go
 
 
 @dataclass
