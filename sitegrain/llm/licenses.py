@@ -113,9 +113,9 @@ VERSIONS = (
     ("agpl-3.0", "affero", "(the )?(gnu )?affero general public licen[cs]e (version |v ?)?3( 0)?"),
     ("agpl-3.0", "agpl agplv3", "(gnu )?(agpl (version |v ?)?3( 0)?|agplv3)"),
     ("agpl-3.0-or-later", "affero", "(gnu )?affero general public licen[cs]e (version |v ?)?3( 0)? or (at your option )?(any )?later( version)?"),
-    ("gfdl-1.1", "documentation", "(gnu )?free documentation licen[cs]e (version |v ?)1 1"),
-    ("gfdl-1.2", "documentation", "(gnu )?free documentation licen[cs]e (version |v ?)1 2"),
-    ("gfdl-1.3", "documentation", "(gnu )?free documentation licen[cs]e (version |v ?)1 3"),
+    ("gfdl-1.1", "documentation", "(gnu )?free documentation licen[cs]e (version |v ?)?1 1"),
+    ("gfdl-1.2", "documentation", "(gnu )?free documentation licen[cs]e (version |v ?)?1 2"),
+    ("gfdl-1.3", "documentation", "(gnu )?free documentation licen[cs]e (version |v ?)?1 3"),
     ("gfdl", "documentation", "(gnu )?free documentation licen[cs]e"),
     ("gfdl", "gfdl", "gfdl( 1 [123])?"),
     ("mpl-1.0", "mozilla", "mozilla public licen[cs]e (version |v ?)?1 0"),
