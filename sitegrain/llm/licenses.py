@@ -9,6 +9,7 @@ Everything is row-local: no shuffle, and a text of any length is one row.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -113,6 +114,7 @@ VERSIONS = (
     ("agpl-3.0", "affero", "(the )?(gnu )?affero general public licen[cs]e (version |v ?)?3( 0)?"),
     ("agpl-3.0", "agpl agplv3", "(gnu )?(agpl (version |v ?)?3( 0)?|agplv3)"),
     ("agpl-3.0-or-later", "affero", "(gnu )?affero general public licen[cs]e (version |v ?)?3( 0)? or (at your option )?(any )?later( version)?"),
+    ("agpl-3.0-or-later", "agpl agplv3", "(agpl (version |v ?)?3( 0)?|agplv3) or (at your option )?(any )?later( version)?"),
     ("gfdl-1.1", "documentation", "(gnu )?free documentation licen[cs]e (version |v ?)?1 1"),
     ("gfdl-1.2", "documentation", "(gnu )?free documentation licen[cs]e (version |v ?)?1 2"),
     ("gfdl-1.3", "documentation", "(gnu )?free documentation licen[cs]e (version |v ?)?1 3"),
@@ -202,10 +204,10 @@ VERSIONS = (
     ("ogl-3.0", "government", "open government licen[cs]e (version |v ?)?3 0"),
     ("ogl", "government", "open government licen[cs]e"),
     ("0bsd", "0bsd", "0bsd"),
-    ("0bsd", "zero", "zero clause bsd( licen[cs]e)?"),
-    ("mit-0", "mit", "mit (no attribution|0)( licen[cs]e)?"),
+    ("0bsd", "zero", "zero clause bsd licen[cs]e"),
+    ("mit-0", "mit", "mit no attribution licen[cs]e|mit 0"),
     ("bsd-2-clause-patent", "bsd", "bsd 2 clause (plus )?patent( licen[cs]e)?"),
-    ("bsd-3-clause-clear", "clear", "clear bsd( licen[cs]e)?|bsd 3 clause clear( licen[cs]e)?"),
+    ("bsd-3-clause-clear", "clear", "clear bsd licen[cs]e|bsd 3 clause clear( licen[cs]e)?"),
     ("upl-1.0", "universal", "universal permissive licen[cs]e( upl)?( (version |v ?)?1 0)?"),
     ("blueoak-1.0.0", "oak", "blue oak model licen[cs]e( (version |v ?)?1 0 0)?|blueoak 1 0 0"),
     ("vim", "vim", "vim licen[cs]e"),
@@ -231,13 +233,13 @@ SENTENCES = (
     ("apache", "compliance", "you may not use this file except in compliance with the licen[cs]e"),
     ("gpl", "foundation", "as published by the free software foundation"),
     ("gpl", "redistribute", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e"),
-    ("gpl", "gnu", "you should have received a copy of the gnu general public licen[cs]e"),
+    ("gpl", "received", "you should have received a copy of the gnu general public licen[cs]e"),
     ("gpl", "copyleft", "the gnu general public licen[cs]e is a free copyleft licen[cs]e"),
     ("lgpl", "lesser", "you should have received a copy of the gnu lesser general public licen[cs]e"),
     ("lgpl", "library", "this library is free software you can redistribute it and or modify it"),
     ("agpl", "affero", "you should have received a copy of the gnu affero general public licen[cs]e"),
     ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0"),
-    ("mpl-2.0", "mpl", "if a copy of the mpl was not distributed with this file"),
+    ("mpl-2.0", "distributed", "if a copy of the mpl was not distributed with this file"),
     ("epl-2.0", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e 2 0"),
     ("unlicense", "unencumbered", "(this is )?free and unencumbered software released into the public domain"),
     ("public-domain", "dedicated", "dedicated to the public domain"),
@@ -275,6 +277,22 @@ def _spaced(pattern: str) -> str:
     return f" ({pattern.replace(' ?', '( )?').replace(' ', '  ')}) "
 
 
+def _named(pattern: str) -> bool:
+    """Whether every match of a pattern holds the word licence."""
+    bare, last = pattern, ""
+    while bare != last:
+        bare, last = re.sub(r"\([^()]*\)\?", "", bare), bare
+    return all(re.search(r"licen\[cs\]e", part) for part in re.split(r"\|(?![^()]*\))", bare))
+
+
+# What stands before the number of a version that needs no word licence. It keeps texts from being split into words.
+SHORT = (
+    r"(?:gpl|gplv|mpl|epl|cddl|eupl|bsl|busl|cc0|ofl|odbl|pddl|osl|afl|qpl|asl|apache|artistic|bsd|mit|by|sa|nc|nd|attribution|commercial|alike"
+    r"|deriv\w{0,6}|oak|psl|psl2?|llama|cecill|\(?c\)?)[^a-z0-9]{0,3}(?:v|version[^a-z0-9])?[^a-z0-9]{0,2}[0-9]|0bsd"
+)
+LONG = ("openrail", "cecill", "illinois", "gfdl", "pddl", "universal")
+
+
 def rules() -> list[Rule]:
     """All signature rules in order: every form of every name, then the signatures of versions and the sentences."""
     out = [
@@ -282,7 +300,8 @@ def rules() -> list[Rule]:
         for forms, form, priority, confidence in FORMS
         for label, name, names in NAMES
     ]
-    out += [(label, words, words, pattern, VERSION_PRIORITY, VERSION_CONFIDENCE) for label, words, pattern in VERSIONS]
+    licence = "license licence"
+    out += [(label, licence if _named(p) else words, words, p, VERSION_PRIORITY, VERSION_CONFIDENCE) for label, words, p in VERSIONS]
     out += [(label, words, words, pattern, SENTENCE_PRIORITY, SENTENCE_CONFIDENCE) for label, words, pattern in SENTENCES]
     return [
         Rule(i, label, tuple(forms.split()), tuple(names.split()), _spaced(pattern), priority, confidence)
@@ -313,8 +332,9 @@ def scanned(docs: DataFrame, found: list[Rule] | None = None) -> DataFrame:
     """
     found = rules() if found is None else found
     raw = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = sorted({w for r in found for w in r.forms} | {phrase.split()[-1] for phrase, _ in BASE})
-    gate = bind(F.lower(raw), lambda t: reduce(or_, (t.contains(w) for w in words)))
+    short = {r.number for r in found if r.priority == VERSION_PRIORITY and r.forms != ("license", "licence")}
+    words = sorted({w for r in found if r.number not in short for w in r.forms} | {phrase.split()[-1] for phrase, _ in BASE} | set(LONG))
+    gate = bind(F.lower(raw), lambda t: reduce(or_, (t.contains(w) for w in words)) | (t.rlike("[0-9]") & t.rlike(SHORT)))
     # Only texts that hold a keyword are folded and split into words.
     text = F.col("__folded")
     return (
