@@ -114,7 +114,8 @@ def _stored_schema(spark: SparkSession, sf: str, name: str) -> StructType:
 def streamed_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Pages audited as a stream equal the batch result."""
     out, checkpoint = work_folder(spark, "pages"), work_folder(spark, "pages-ckpt")
-    pages = S.stream_folder(spark, sf, _stored_schema(spark, sf, "pages"), names="pages.parquet")
+    # The braces make a pattern of the path: the table may be a file or a folder of files, and a stream takes no plain file.
+    pages = S.stream_folder(spark, f"{sf}/{{pages.parquet}}", _stored_schema(spark, sf, "pages"))
     S.run_page_stream(pages, out, checkpoint, V).awaitTermination()
     return spark.read.parquet(out).select("site", "idx", "page_type", "word_count", "thin_content")
 

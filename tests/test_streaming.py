@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from sitegrain.catalog.audit_checks import streamed_pages
 from sitegrain.streaming import page_stream as S
 
 
@@ -21,6 +22,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert len(got) == 9 and {tuple(r) for r in got} == want
 
 
+@pytest.mark.parametrize("files", [0, 3])
+def test_streamed_pages_read_a_file_or_a_folder(spark, tmp_path, files):
+    rows = [(i, f"https://s.com/blog/{i}", f"<title>t{i}</title><body><p>word {i}</p></body>") for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
+    table = str(tmp_path / "pages.parquet")
+    if files:
+        pages.repartition(files).write.parquet(table)
+    else:
+        pages.toPandas().to_parquet(table)
+    # Neighbours of the table are not part of it.
+    pages.write.parquet(str(tmp_path / "pages.parquet.old"))
+    got = streamed_pages(spark, str(tmp_path)).collect()
+    assert sorted(r["idx"] for r in got) == list(range(9)) and {r["site"] for r in got} == {"s.com"}
+
+
 CHANGES = "url STRING, content_hash STRING, seq BIGINT"
 
 
