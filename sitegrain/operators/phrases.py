@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.functions.text import any_of, content_tokens
+from sitegrain.functions.text import any_of, content_tokens, first_n
 from sitegrain.operators.ordered import top_k, unnest
+from sitegrain.session import cut_lineage
 from sitegrain.vocab import STOPWORDS, Vocabulary
 
 # fixed values: terms kept per n-gram length, phrases kept in total
@@ -52,6 +55,26 @@ def top_terms(documents: DataFrame, doc: str, text: str, stopwords: Sequence[str
     return ranked.filter(F.col("term_rank") <= allowed)
 
 
+def _most_frequent(joined: pa.Array) -> pa.Array:
+    """Top terms of each length, in rank order, of texts given as tokens joined by a space."""
+    out = []
+    for text in joined:
+        tokens = (text.as_py() or "").split()
+        grams = (tokens if n == 1 else zip(*(tokens[k:] for k in range(n))) for n in TOP_TERMS)
+        # Equal counts keep the order of first places.
+        best = [Counter(g).most_common(k) for g, k in zip(grams, TOP_TERMS.values())]
+        out.append([[g if isinstance(g, str) else " ".join(g) for g, _ in row] for row in best])
+    return pa.array(out, pa.list_(pa.list_(pa.string())))
+
+
+def _once_and_again(documents: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is theirs alone, and rows that share one."""
+    rows = documents.select(doc, text)
+    shared = cut_lineage(rows.groupBy(F.col(doc).alias("__doc")).count().filter("count > 1").select("__doc"), "shared-keys")
+    same = F.col(doc).eqNullSafe(F.col("__doc"))
+    return rows.join(shared, same, "left_anti"), rows.join(shared, same, "left_semi")
+
+
 def entities_and_phrases(
     documents: DataFrame,
     doc: str,
@@ -60,7 +83,26 @@ def entities_and_phrases(
     stopwords: Sequence[str] = STOPWORDS,
 ) -> DataFrame:
     """``(doc, kind, pos, term)``: entities are top words that match the
-    vocabulary, phrases the top pairs followed by the top triples."""
+    vocabulary, phrases the top pairs followed by the top triples.
+
+    A document in one row is counted where it lies, one at a time; nothing is
+    shuffled or spilled. Only rows that share a key meet by key.
+    """
+    once, again = _once_and_again(documents, doc, text)
+    count = F.arrow_udf(_most_frequent, "array<array<string>>")
+    best = once.select(doc, count(F.array_join(content_tokens(F.col(text), stopwords), " ")).alias("best"))
+    entities = F.filter(F.col("best")[0], lambda t: t.rlike(any_of(vocab.entity_terms)))
+    phrases = F.concat(F.col("best")[1], F.col("best")[2])
+    kinds = F.array(
+        *(F.struct(F.lit(kind).alias("kind"), first_n(terms, TOP_PHRASES).alias("terms")) for kind, terms in (("entity", entities), ("phrase", phrases)))
+    )
+    listed = best.select(doc, F.explode(kinds).alias("k"))
+    quick = unnest(listed, [doc, F.col("k.kind").alias("kind")], F.col("k.terms"), "term", "pos")
+    return quick.select(doc, "kind", "pos", "term").unionByName(_merged(again, doc, text, vocab, stopwords))
+
+
+def _merged(documents: DataFrame, doc: str, text: str, vocab: Vocabulary, stopwords: Sequence[str]) -> DataFrame:
+    """The same of documents in several rows, whose counts are added up."""
     terms = top_terms(documents, doc, text, stopwords)
     wanted = terms.filter((F.col("n") > 1) | F.col("term").rlike(any_of(vocab.entity_terms)))
     labelled = wanted.withColumn("kind", F.when(F.col("n") == 1, "entity").otherwise("phrase"))

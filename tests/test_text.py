@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from sitegrain.functions import prompts
@@ -139,3 +141,23 @@ def test_opportunities(spark):
     ]
     assert [r["estimated_difficulty"] for r in got] == ["high", "high", "high", "medium", "low", "high"]
     assert got[0]["search_intent"] == "informational" and got[1]["search_intent"] == "commercial"
+
+
+def test_phrases_of_one_row_and_of_rows_that_share_a_key(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(rng.choice(["vinyl", "banner", "sign", "red", "for", "the", "aa-b", "x"]) for _ in range(rng.randrange(90)))
+    rows = [(k, text()) for k in range(12)] + [(20, text())] * 2 + [(None, "sign vinyl banner")] * 3
+    df = spark.createDataFrame(rows, "id BIGINT, t STRING")
+    got = sorted((str(r["id"]), r["kind"], r["pos"], r["term"]) for r in phrases.entities_and_phrases(df, "id", "t").collect())
+    want = sorted((str(r["id"]), r["kind"], r["pos"], r["term"]) for r in phrases._merged(df, "id", "t", Vocabulary(), phrases.STOPWORDS).collect())
+    assert got == want and len({r[0] for r in got}) > 10
+
+
+def test_phrases_of_single_rows_are_counted_in_place(spark, tmp_path):
+    """No n-gram is aggregated in Spark unless rows share a key."""
+    spark.createDataFrame([(k, "vinyl banner " * 5) for k in range(50)], "id BIGINT, t STRING").write.parquet(str(tmp_path / "d"))
+    found = phrases.entities_and_phrases(spark.read.parquet(str(tmp_path / "d")), "id", "t")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    in_place, shuffled = plan.split("Exchange hashpartitioning")
+    assert "ArrowEvalPython" in in_place and "LeftAnti" in in_place, plan
+    assert "LeftSemi" in shuffled and "LeftAnti" not in shuffled, plan
