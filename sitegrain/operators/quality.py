@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.functions.text import strip
 from sitegrain.operators.ordered import lookup
+from sitegrain.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -79,7 +80,9 @@ def check_blueprints(blueprints: DataFrame, registry: DataFrame, keys: Sequence[
     """Unknown components and variants, one row per bad section.
 
     ``blueprints(keys…, sections)``, ``registry(component, variant)``. The
-    registry is reduced to one row per component before the join.
+    registry is reduced to one row per component and written before the join:
+    its size is known, so Spark sends a small one to all tasks, and a large one
+    meets the sections in an exchange of its own, whose hot keys are split.
     """
     sections = blueprints.select(*keys, F.posexplode("sections").alias("pos", "section")).select(
         *keys,
@@ -88,7 +91,7 @@ def check_blueprints(blueprints: DataFrame, registry: DataFrame, keys: Sequence[
         F.col("section.variant").alias("variant"),
     )
     known = registry.distinct().groupBy("component").agg(F.collect_set("variant").alias("variants"))
-    joined = lookup(sections, known, ["component"], keys[0])
+    joined = lookup(sections, cut_lineage(known, "registry"), ["component"], keys[0])
     message = F.when(
         F.col("variants").isNull(),
         F.concat(F.lit('Blueprint references unknown component "'), F.col("component"), F.lit('".')),

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.operators import phrases, runs
 from sitegrain.operators.linkplan import plan_links
+from sitegrain.operators.quality import check_blueprints
 from sitegrain.operators.ordered import first_occurrence, top_k
 from sitegrain.operators.pages import read_pages
 from sitegrain.plans.audit import AuditOptions, audit_sites
@@ -88,3 +89,12 @@ def test_phrases_shuffle_texts_once(spark):
     docs = spark.createDataFrame([(1, "a")], "id BIGINT, t STRING")
     text = plan_text(phrases.entities_and_phrases(docs, "id", "t"))
     assert text.count("Exchange hashpartitioning") == 1, text
+
+
+def test_a_small_registry_leaves_sections_in_place(spark, tmp_path):
+    sections = "array(struct('A' AS component, 'x' AS variant), struct('Z' AS component, 'y' AS variant)) AS sections"
+    spark.range(100).selectExpr("id AS item", sections).write.parquet(str(tmp_path / "b"))
+    registry = spark.createDataFrame([("A", "x"), ("A", "y"), ("B", None)], "component STRING, variant STRING")
+    found = check_blueprints(spark.read.parquet(str(tmp_path / "b")), registry, ["item"])
+    assert "Exchange hashpartitioning" not in plan_text(found)
+    assert {(r["component"], r["pos"]) for r in found.collect()} == {("Z", 1)} and found.count() == 100
