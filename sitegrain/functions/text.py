@@ -134,12 +134,21 @@ def list_or_empty(array: Column) -> Column:
     return F.coalesce(array, F.array().cast("array<string>"))
 
 
-def listed_in(terms: Column, text: Column, present: bool = True) -> Column:
-    """Terms of an array that occur (or not) in ``text``, both lower-cased."""
+def listed_in(terms: Column, text: Column, present: bool = True, first: int | None = None) -> Column:
+    """Terms of an array that occur (or not) in ``text``, both lower-cased; with ``first``, the first so many.
+
+    Once those are found, the text is not searched for the other terms.
+    """
     def hits(low: Column) -> Column:
-        if present:
-            return F.filter(terms, lambda t: low.contains(F.lower(t)))
-        return F.filter(terms, lambda t: ~low.contains(F.lower(t)))
+        def wanted(t: Column) -> Column:
+            return low.contains(F.lower(t)) if present else ~low.contains(F.lower(t))
+
+        if first is None:
+            return F.filter(terms, wanted)
+        none = F.filter(terms, lambda t: F.lit(False))
+        return F.aggregate(
+            terms, none, lambda kept, t: F.when(F.size(kept) >= first, kept).when(wanted(t), F.concat(kept, F.array(t))).otherwise(kept)
+        )
 
     return bind(F.lower(text), hits)
 
@@ -155,16 +164,22 @@ def escape_html(c: Column) -> Column:
 
 
 def cap_repeats(c: Column, max_run: int = 8) -> Column:
-    """Keep at most ``max_run`` of consecutive equal words (case-insensitive).
+    """Keep at most ``max_run`` of consecutive equal words (case-insensitive)."""
+    return cap_words(words(c), max_run)
+
+
+def cap_words(items: Column, max_run: int = 8) -> Column:
+    """:func:`cap_repeats` of a list of words.
 
     Word i is dropped when it equals each of the ``max_run`` words before it, so
     a run is measured against the words themselves and needs no running state.
+    Most words differ from the last one, which settles them with one comparison.
     """
     def capped(w: Column) -> Column:
         def keep(t: Column, i: Column) -> Column:
             before = F.slice(w, F.greatest(i - max_run + 1, F.lit(1)), max_run)
-            return (i < max_run) | F.exists(before, lambda p: F.lower(p) != F.lower(t))
+            return (i < max_run) | (F.lower(F.get(w, i - 1)) != F.lower(t)) | F.exists(before, lambda p: F.lower(p) != F.lower(t))
 
         return F.array_join(F.filter(w, keep), " ")
 
-    return bind(words(c), capped)
+    return bind(items, capped)

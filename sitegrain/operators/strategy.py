@@ -70,12 +70,12 @@ def keyword_gaps(
     first = first_occurrence(audits, [*group, "url"], [F.col("idx")]).select(*group, "url", "seo_recommendations")
     joined = lookup(clusters, first, [*group, "url"], "idx")
     missing = listed_in(
-        list_or_empty(F.col("keywords")), text_or_empty(F.col("seo_recommendations")), present=False
+        list_or_empty(F.col("keywords")), text_or_empty(F.col("seo_recommendations")), present=False, first=GAP_KEYWORDS
     )
     gaps = joined.withColumn("missing", missing).filter(F.size("missing") > 0)
     if limit is not None:
         gaps = top_k(gaps, list(group), [F.col("idx"), F.col("topic_pos")], limit)
-    return gaps.select(*group, "idx", "url", "topic", first_n(F.col("missing"), GAP_KEYWORDS).alias("missing_keywords"))
+    return gaps.select(*group, "idx", "url", "topic", F.col("missing").alias("missing_keywords"))
 
 
 def blog_topics(patterns: DataFrame, limit: int | None = None, group: Sequence[str] = ("site",)) -> DataFrame:
