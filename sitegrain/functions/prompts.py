@@ -11,7 +11,7 @@ from sitegrain.functions.text import (
     BLANK,
     WORD_END,
     WORD_START,
-    cap_repeats,
+    cap_words,
     squash,
     strip,
     text_or_empty,
@@ -48,7 +48,8 @@ def sanitize(c: Column, max_chars: int = SECTION_CHARS, max_run: int = 8) -> Col
     out = F.replace(out, F.lit("```"), F.lit("` ` `"))
     out = F.regexp_replace(out, f"(?i)<{BLANK}*script", "<blocked-script")
     out = F.regexp_replace(out, f"(?i)</{BLANK}*script{BLANK}*>", "</blocked-script>")
-    return F.substring(cap_repeats(squash(out), max_run), 1, max(MIN_CHARS, max_chars))
+    # Blanks are single spaces by now, so a plain split gives the words.
+    return F.substring(cap_words(F.split(squash(out), " ", -1), max_run), 1, max(MIN_CHARS, max_chars))
 
 
 def fence(content: Column) -> Column:

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from sitegrain.functions import prompts
-from sitegrain.functions.text import cap_repeats, hyphen_tokens, title_case, topic_tokens
+from sitegrain.functions.text import cap_repeats, cap_words, hyphen_tokens, listed_in, title_case, topic_tokens
 from sitegrain.operators import gaps, phrases, serp
 from sitegrain.vocab import AUDIT_SECTION_MARKER, UNTRUSTED_BEGIN, UNTRUSTED_END, Vocabulary
 
@@ -161,3 +161,19 @@ def test_phrases_of_single_rows_are_counted_in_place(spark, tmp_path):
     in_place, shuffled = plan.split("Exchange hashpartitioning")
     assert "ArrowEvalPython" in in_place and "LeftAnti" in in_place, plan
     assert "LeftSemi" in shuffled and "LeftAnti" not in shuffled, plan
+
+
+def test_first_missing_terms_end_the_search(one):
+    terms = F.array(*[F.lit(t) for t in ("b", "X", "a", "Y", None, "x", "z")])
+    assert one(listed_in(terms, c("t"), present=False, first=3), t="A B") == ["X", "Y", "x"]
+    assert one(listed_in(terms, c("t"), present=False, first=9), t="A B") == one(listed_in(terms, c("t"), present=False), t="A B")
+    assert one(listed_in(terms, c("t"), first=1), t="A B") == ["b"]
+
+
+def test_runs_are_compared_word_by_word(one):
+    """Eight words are looked at again only where a word equals the one before it."""
+    text = "Go go GO go x x go " + "É é " * 6 + "end"
+    assert one(cap_repeats(c("t"), 2), t=text) == "Go go x x go É é end"
+    assert one(cap_words(F.split(c("t"), " ", -1), 2), t="") == ""
+    assert "get(" in cap_repeats(c("t"), 2)._jc.toString()
+    assert one(prompts.sanitize(c("t"), max_run=2), t=" a \t a a b ") == "a a b"
