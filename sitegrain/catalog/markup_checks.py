@@ -17,7 +17,8 @@ from sitegrain.sources.sitemaps import bad_locs, sitemap_pages
 
 def built_markup(spark: SparkSession, sf: str) -> DataFrame:
     """A page per part: descriptions, canonical link, robots, images, main role, JSON-LD and questions."""
-    part = table(spark, sf, "part")
+    # A small file of many rows may be one task; the work on a row is long, so rows are dealt to all cores.
+    part = table(spark, sf, "part").repartition(4 * spark.sparkContext.defaultParallelism)
     key = F.col("p_partkey")
     own = lambda n, k, text: F.when(key % n == k, text).otherwise("")
     put = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))

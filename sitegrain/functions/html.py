@@ -183,14 +183,18 @@ def _element(rest: Column, tag: Column) -> Column:
     pieces = F.split(rest, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"[\s/>])")))
     state = lambda depth, kept: F.struct(depth.alias("depth"), kept.alias("kept"))
 
-    def turn(now: Column, piece: Column) -> Column:
-        # The first piece may be text, or another tag, before the first one of this name.
+    def step(piece: Column, i: Column) -> Column:
+        # All pieces but the first begin with a tag of this name; the first may be text, or another tag.
         starts = lambda mark: F.rlike(piece, F.concat(F.lit(f"^(?i){mark}"), tag, F.lit(r"[\s/>]")))
-        depth = now["depth"] + F.when(starts("</"), -1).when(starts("<"), 1).otherwise(0)
+        first = F.when(starts("</"), -1).when(starts("<"), 1).otherwise(0)
+        return F.when(i == 0, first).when(piece.startswith("</"), -1).otherwise(1)
+
+    def turn(now: Column, by: Column) -> Column:
+        depth = now["depth"] + by
         return F.when(now["depth"] == 0, now).otherwise(state(depth, now["kept"] + F.when(depth == 0, 0).otherwise(1)))
 
     def cut(parts: Column) -> Column:
-        kept = F.aggregate(parts, state(F.lit(1), F.lit(0)), turn, lambda s: s["kept"])
+        kept = F.aggregate(F.transform(parts, step), state(F.lit(1), F.lit(0)), turn, lambda s: s["kept"])
         return F.array_join(F.slice(parts, F.lit(1), kept), "")
 
     return bind(pieces, cut)
