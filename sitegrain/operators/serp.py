@@ -268,10 +268,14 @@ def cached_intel(
     where the lookup failed (``fallback``). Both replace the entry of their key; of queries with one key the first
     in order is looked up for all. Only buckets with asked keys are read, only those with new entries rewritten.
     """
-    asked = cut_lineage(queries.withColumn("cache_key", query_hash(F.col("query"))), "asked")
+    # Texts and headings stay where they are until it is known which are needed.
+    keyed = queries.withColumn("cache_key", query_hash(F.col("query")))
+    asked = cut_lineage(keyed.select("query", "cache_key"), "asked")
     fresh = fresh_cache_entries(cache.read(asked.select("cache_key")), as_of, ttl_hours)
-    missing = first_occurrence(asked.join(fresh.select("cache_key"), "cache_key", "left_anti"), ["cache_key"], [F.col("query")])
-    missing = cut_lineage(missing, "missing")
+    chosen = first_occurrence(asked.join(fresh.select("cache_key"), "cache_key", "left_anti"), ["cache_key"], [F.col("query")])
+    chosen = chosen.select("cache_key", F.col("query").alias("__chosen"))
+    missing = keyed.join(chosen, "cache_key").filter(F.col("query").eqNullSafe(F.col("__chosen"))).drop("__chosen")
+    missing = cut_lineage(first_occurrence(missing, ["cache_key"], [F.col("query")]), "missing")
     found = serp_intel(missing.select("query", "status", "headings", "text"), serp_pages, vocab, stopwords)
     origin = F.when(F.col("status") == "failed", "fallback").otherwise("results").alias("origin")
     found = missing.select("cache_key", "query", origin).join(found, "query").drop("query").withColumn("fetched_at", as_of.cast("timestamp"))

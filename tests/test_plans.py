@@ -1,11 +1,14 @@
 from pyspark.sql import functions as F
 
+from sitegrain.catalog.markup_checks import built_markup
 from sitegrain.operators import phrases, runs
+from sitegrain.operators import serp as search
 from sitegrain.operators.linkplan import plan_links
 from sitegrain.operators.quality import check_blueprints
 from sitegrain.operators.ordered import first_occurrence, top_k
 from sitegrain.operators.pages import read_pages
 from sitegrain.plans.audit import AuditOptions, audit_sites
+from sitegrain.sources.keyed_tables import KeyedTable
 from sitegrain.plans.staged import find_gaps, optimize_pages, page_intel, run_status
 
 ROWS = [
@@ -98,3 +101,23 @@ def test_a_small_registry_leaves_sections_in_place(spark, tmp_path):
     found = check_blueprints(spark.read.parquet(str(tmp_path / "b")), registry, ["item"])
     assert "Exchange hashpartitioning" not in plan_text(found)
     assert {(r["component"], r["pos"]) for r in found.collect()} == {("Z", 1)} and found.count() == 100
+
+
+def test_markup_of_parts_is_dealt_to_all_cores(spark, tmp_path):
+    spark.range(9).selectExpr("id AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert "RoundRobinPartitioning" in plan_text(built_markup(spark, str(tmp_path)))
+
+
+def test_texts_stay_until_it_is_known_which_are_looked_up(spark, tmp_path, monkeypatch):
+    written = []
+    keep = search.cut_lineage
+    monkeypatch.setattr(search, "cut_lineage", lambda df, name="table": written.append((name, df.columns)) or keep(df, name))
+    heads = "headings array<struct<tag:string,text:string>>"
+    queries = spark.createDataFrame([("q1", "ok", [], "red vinyl banner"), ("q1", "ok", [], "red vinyl banner"), ("q2", "failed", [], "blue sign")], f"query string, status string, {heads}, text string")
+    pages = spark.createDataFrame([("q1", 1, "u", [], "red vinyl banner", 3, [], []), ("q3", 1, "u", [], "x", 1, [], [])], f"query string, row_pos long, url string, {heads}, paragraph_text string, word_count long, faq_questions array<string>, schema_types array<string>")
+    cache = KeyedTable(spark, str(tmp_path / "cache"), search.INTEL_CACHE, ["cache_key"], buckets=2)
+    rounds = [search.cached_intel(queries, cache, pages, F.lit("2024-01-01").cast("timestamp")).collect() for _ in range(2)]
+    assert sorted((r["query"], r["origin"]) for r in rounds[0]) == [("q1", "results"), ("q1", "results"), ("q2", "fallback")]
+    assert {r["origin"] for r in rounds[1]} == {"cache"}
+    assert {tuple(r["semantic_phrases"]) for r in rounds[0]} == {tuple(r["semantic_phrases"]) for r in rounds[1]}
+    assert all(not {"text", "headings"} & set(columns) for name, columns in written if name == "asked")
