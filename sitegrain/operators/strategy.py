@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.functions.text import first_n, list_or_empty, listed_in, text_or_empty
+from sitegrain.functions.text import list_or_empty, listed_in, text_or_empty
 from sitegrain.operators.ordered import first_occurrence, lookup, top_k, unnest
 from sitegrain.vocab import BLOG_TOPIC_TEMPLATES, MISSING_CATEGORY_PAGES, PILLAR_PAGES
 
