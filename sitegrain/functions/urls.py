@@ -18,6 +18,8 @@ _ABSOLUTE = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#\s]+"
 _AUTHORITY = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)"
 _PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)"
 _SEARCH = r"^[^?#]*(\?[^#]*)"
+# Addresses that are their own normal form: lower-case host without port, a path without dot segments, no fragment, nothing to encode.
+_NORMAL = r"^https?://[a-z0-9.-]+(?:/(?!\.{1,2}(?:[/?]|\z))[!$-.0-;=@-_a-z|~]*)+(?:\?[!$-;=?-_a-z|~]+)?\z"
 
 
 def is_absolute(url: Column) -> Column:
@@ -108,7 +110,8 @@ def canonical(url: Column) -> Column:
             F.concat(origin(u), _percent_encode(F.concat(_resolve_dots(path(u)), search(u)))),
         )
 
-    return bind(strip(url), normal)
+    # Most addresses are in normal form, which one pattern tells.
+    return bind(url, lambda u: F.when(u.rlike(_NORMAL), u).otherwise(bind(strip(u), normal)))
 
 
 def url_key(url: Column) -> Column:
@@ -117,9 +120,11 @@ def url_key(url: Column) -> Column:
 
 def base_url(value: Column) -> Column:
     """Origin of a URL or bare host; https when no scheme is given."""
-    v = strip(text_or_empty(value))
-    full = F.when(v.rlike("^(?i)https?://"), v).otherwise(F.concat(F.lit("https://"), v))
-    return F.when(is_absolute(full), origin(full))
+    full = bind(
+        strip(text_or_empty(value)),
+        lambda v: F.when(v.rlike("^(?i)https?://"), v).otherwise(F.concat(F.lit("https://"), v)),
+    )
+    return bind(full, lambda u: F.when(is_absolute(u), origin(u)))
 
 
 def resolve_all(base: Column, hrefs: Column) -> Column:

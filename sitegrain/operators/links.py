@@ -141,10 +141,14 @@ def reachable_pages(
         )
     edges = cut_lineage(edges, "edges")
     have = cut_lineage(stored.select("site", "url").distinct().withColumn("is_stored", F.lit(True)), "stored")
-    visited = first_occurrence(
-        seeds.select("site", "url").withColumns({"depth": F.lit(0), "seq": F.lit(1).cast("long")}),
-        ["site", "url"],
-        [F.col("seq")],
+    # Every round reads the seeds, so they are written once, like what later rounds find.
+    visited = cut_lineage(
+        first_occurrence(
+            seeds.select("site", "url").withColumns({"depth": F.lit(0), "seq": F.lit(1).cast("long")}),
+            ["site", "url"],
+            [F.col("seq")],
+        ),
+        "frontier",
     )
     frontier = visited
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
@@ -158,6 +162,9 @@ def reachable_pages(
             ["site", "url"],
             [F.col("parent_seq"), F.col("pos")],
         ).join(visited.select("site", "url"), ["site", "url"], "left_anti")
+        reached = cut_lineage(reached, "reached")
+        if reached.isEmpty():
+            break
         taken = visited.groupBy("site").agg(F.max("seq").alias("taken"))
         order = [F.col("parent_seq"), F.col("pos")]
         if max_pages is None:
@@ -176,8 +183,6 @@ def reachable_pages(
         # Each round writes what is new; what was visited before is not written again.
         frontier = cut_lineage(frontier, "frontier")
         visited = visited.unionByName(frontier)
-        if frontier.isEmpty():
-            break
     return visited.join(have, ["site", "url"], "left").select(
         "site",
         "url",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.functions import urls
 from sitegrain.functions.html import decode_references
-from sitegrain.functions.text import strip, text_or_empty
+from sitegrain.functions.text import bind, strip, text_or_empty
 from sitegrain.operators.links import reachable_pages
 from sitegrain.operators.ordered import first_occurrence, unnest
 from sitegrain.session import cut_lineage
@@ -71,10 +71,11 @@ def sitemap_pages(
     sitemaps are children, the rest pages, and utility paths are kept. Bad
     entries are passed over. ``max_sitemaps`` limits the files read per site.
     """
-    origin = urls.base_url(F.col("base_url"))
-    seeds = roots.select(
-        urls.hostname(origin).alias("site"), F.concat(origin, F.lit("/sitemap.xml")).alias("url")
-    ).distinct()
+    site_and_root = bind(
+        urls.base_url(F.col("base_url")),
+        lambda o: F.struct(urls.hostname(o).alias("site"), F.concat(o, F.lit("/sitemap.xml")).alias("url")),
+    )
+    seeds = roots.select(site_and_root.alias("seed")).select("seed.site", "seed.url").distinct()
     if audit:
         looks_like_map = lambda u: u.rlike(r"(?i)\.xml(?:\?|$)") | u.rlike("(?i)sitemap")
         parsed = sitemaps.withColumn("__locs", _good(all_locs(F.col("xml")))).withColumns(

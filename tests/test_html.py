@@ -152,3 +152,18 @@ def test_result_pages_keep_their_whole_text(spark):
     page = spark.createDataFrame([("s", 0, "https://s/", f"<body><p>{text}</p></body>")], "site STRING, idx INT, url STRING, html STRING")
     assert serp_page(page).first()["paragraph_text"] == text
     assert serp_page(page, max_chars=100).first()["paragraph_text"] == text[:100]
+
+
+def test_normal_form_needs_no_second_look(spark, one):
+    same = ["https://a.com/", "http://a.b-c.com/x/y.html?a=b&c=/../d?e", "https://a.com/..x/.../a@b:80/%20", "https://a.com//x/"]
+    made = {
+        "https://A.com/": "https://a.com/", "HTTP://a.com/x": "http://a.com/x", "https://a.com": "https://a.com/", "https://a.com:443/x": "https://a.com/x",
+        "https://u@a.com/": "https://a.com/", "https://a.com/a/../b": "https://a.com/b", "https://a.com/a/.?x": "https://a.com/a/?x", "https://a.com/..": "https://a.com/",
+        "https://a.com/x?": "https://a.com/x", "https://a.com/x#y": "https://a.com/x", "https://a.com/x?y#z": "https://a.com/x?y", " https://a.com/x\n": "https://a.com/x",
+        "https://a.com/a b": "https://a.com/a%20b", "https://a.com/x\n": "https://a.com/x", "a.com/x": None, "https://a.com/?q=\u00e9": "https://a.com/?q=%C3%A9",
+    }
+    for url, want in [*((u, u) for u in same), *made.items()]:
+        assert one(urls.canonical(F.col("u")), u=url) == want
+    # The pattern alone settles addresses that are in normal form.
+    settled = spark.createDataFrame([(u,) for u in [*same, *made]], "u string").filter(F.col("u").rlike(urls._NORMAL))
+    assert [r["u"] for r in settled.collect()] == same

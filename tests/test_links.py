@@ -178,3 +178,19 @@ def test_every_broken_link_is_found(spark):
     status = spark.createDataFrame([("l0", 200), ("l0", 500), ("l1", 200)], "url STRING, status INT")
     assert L.broken_links(pages, status).count() == 29
     assert L.broken_links(pages, status, checked=2).count() == 1
+
+
+def test_seeds_are_read_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(url):
+        reads.add(1)
+        return url
+
+    seeds = spark.createDataFrame([("s.com", "https://s.com/0")], "site string, url string").select("site", counted("url").alias("url"))
+    stored = spark.createDataFrame([("s.com", f"https://s.com/{i}") for i in range(4)], "site string, url string")
+    links = spark.createDataFrame([("s.com", f"https://s.com/{i}", 0, f"https://s.com/{i + 1}") for i in range(3)], "site string, source string, pos long, target string")
+    got = L.reachable_pages(seeds, links, stored, page_filter=False)
+    assert [(r["url"], r["depth"], r["seq"]) for r in got.orderBy("seq").collect()] == [(f"https://s.com/{i}", i, i + 1) for i in range(4)]
+    assert reads.value == 1
