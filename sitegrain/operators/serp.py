@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,9 +52,9 @@ def aggregate_intel(
 
     ``serp_pages``: ``query, row_pos, url, headings, paragraph_text, word_count,
     faq_questions, schema_types`` with ``row_pos`` unique per query. Every list
-    is a distinct union in (row, position) order: values are first reduced to
-    their first place per query, which collapses repeats before the shuffle,
-    and ranked under the list's cap.
+    is a distinct union in (row, position) order: every task reduces its values to
+    the first ones under the list's cap, which alone are shuffled, and those are
+    ranked by their first place per query.
     """
     keyed = serp_pages.withColumn("row_id", F.struct("query", F.col("row_pos").cast("long").alias("row_pos")))
     terms = entities_and_phrases(keyed, "row_id", "paragraph_text", vocab, stopwords)
@@ -81,7 +83,8 @@ def aggregate_intel(
         listed, ["query", "row_pos", F.col("part.list").alias("list")], F.col("part.items"), "value", "pos"
     )
     values = mined.unionByName(listed.filter("value IS NOT NULL"))
-    firsts = values.groupBy("query", "list", "value").agg(
+    values = values.select("query", "row_pos", "list", "pos", "value")
+    firsts = values.mapInArrow(_first_values, values.schema).groupBy("query", "list", "value").agg(
         F.min(F.struct("row_pos", "pos")).alias("place")
     )
     ranked = top_k(firsts, ["query", "list"], [F.col("place")], max(CAPS.values()), "n")
@@ -110,6 +113,54 @@ def aggregate_intel(
     )
 
 
+HELD_VALUES = 100_000  # values that a task holds; beyond them it passes on what it has
+
+
+def _first_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first distinct values of each query and list, up to the list's cap, among a task's ``values``.
+
+    A value that has a cap's number of others before it here has them before it in the whole list, too.
+    """
+    held: dict[tuple, dict] = defaultdict(dict)  # places of the values of a query and list, at most twice the cap
+    last: dict[tuple, tuple] = {}  # place that the cap ends at, once it is reached
+    size, schema = 0, None
+
+    def cut(key: tuple) -> int:
+        own = held[key]
+        kept = sorted(own.items(), key=lambda x: x[1])[: CAPS[key[1]]]
+        held[key], last[key] = dict(kept), kept[-1][1]
+        return len(own) - len(kept)
+
+    def passed() -> pa.RecordBatch:
+        for key, own in held.items():
+            if len(own) > CAPS[key[1]]:
+                cut(key)
+        rows = [(q, row, name, pos, value) for (q, name), own in held.items() for value, (_, row, pos) in own.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    for batch in batches:
+        schema = batch.schema
+        for query, row, name, pos, value in zip(*(c.to_pylist() for c in batch.columns)):
+            key, place = (query, name), (row is not None, row, pos)  # nulls first
+            if key in last and place > last[key]:
+                continue
+            own = held[key]
+            if value in own:
+                own[value] = min(own[value], place)
+                continue
+            own[value] = place
+            size += 1
+            if len(own) >= 2 * CAPS[name]:
+                size -= cut(key)
+        if size > HELD_VALUES:
+            yield passed()
+            held.clear()
+            last.clear()
+            size = 0
+    if schema is not None:
+        yield passed()
+
+
 def _named(name: str, items: Column) -> Column:
     return F.struct(F.lit(name).alias("list"), list_or_empty(items).alias("items"))
 

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sitegrain.functions import prompts
@@ -177,3 +178,25 @@ def test_runs_are_compared_word_by_word(one):
     assert one(cap_words(F.split(c("t"), " ", -1), 2), t="") == ""
     assert "get(" in cap_repeats(c("t"), 2)._jc.toString()
     assert one(prompts.sanitize(c("t"), max_run=2), t=" a \t a a b ") == "a a b"
+
+
+def test_roll_ups_shuffle_first_values_only(spark, monkeypatch):
+    rows = [("q", i, f"https://a/{i}", [("h2", f"h{(i * 7 + k) % 900}") for k in range(40)], "", 1, [], []) for i in range(300)]
+    rows += [(None, 5, "u", [("h2", "x"), ("h2", None), ("h2", "x")], "", 2, [], [])]
+    schema = "query string, row_pos bigint, url string, headings array<struct<tag:string,text:string>>, paragraph_text string, word_count bigint, faq_questions array<string>, schema_types array<string>"
+    pages = spark.createDataFrame(rows[::-1], schema).repartition(3)
+    got = {r["query"]: r for r in serp.aggregate_intel(pages).collect()}
+    first = list(dict.fromkeys(h for _, _, _, hs, *_ in rows[:-1] for _, h in hs))
+    assert got["q"]["heading_patterns"] == first[:50] and got["q"]["top_urls"] == [f"https://a/{i}" for i in range(10)]
+
+    def batch(names):
+        columns = list(zip(*(("q", i, "heading_patterns", 0, n) for i, n in names)))
+        return pa.RecordBatch.from_pydict(dict(zip(("query", "row_pos", "list", "pos", "value"), map(list, columns))))
+
+    # Of many values a task passes on no more than the list keeps, and a value by its first place.
+    many = [batch([(i, f"v{i}") for i in range(500, 0, -1)]), batch([(0, "v499")])]
+    kept = [r for b in serp._first_values(iter(many)) for r in b.to_pylist()]
+    assert sorted((r["row_pos"], r["value"]) for r in kept) == [(0, "v499")] + [(i, f"v{i}") for i in range(1, 50)]
+    monkeypatch.setattr(serp, "HELD_VALUES", 10)
+    parts = [r for b in serp._first_values(iter(many)) for r in b.to_pylist()]
+    assert len(parts) == 51 and (0, "v499") in {(r["row_pos"], r["value"]) for r in parts}
