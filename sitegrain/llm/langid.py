@@ -76,7 +76,7 @@ def vectors(s: Slice, first: int, stop: int, o: LanguageOptions) -> np.ndarray:
 def support_vectors(x: np.ndarray, y: np.ndarray, cost: float, epochs: int) -> np.ndarray:
     """Weights of a linear support vector machine (labels -1, 1), by coordinate descent on its dual."""
     w, a = np.zeros(x.shape[1]), np.zeros(len(x))
-    square = (x * x).sum(axis=1)
+    square = np.array([(v * v).sum() for v in x])
     order = np.random.default_rng(0)
     for _ in range(epochs):
         for i in order.permutation(len(x)):
@@ -94,15 +94,6 @@ class Duel:
     classes: list[str]
     weights: np.ndarray  # one column for each pair of classes, in the order of combinations()
 
-    @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray, o: LanguageOptions) -> Duel:
-        classes = sorted(set(y))
-        columns = []
-        for a, b in combinations(classes, 2):
-            own = (y == a) | (y == b)
-            columns.append(support_vectors(x[own], np.where(y[own] == a, 1.0, -1.0), o.cost, o.epochs))
-        return Duel(classes, np.array(columns).T.reshape(x.shape[1], len(columns)))
-
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of the class with most votes (ties: larger sum of margins), and a confidence from 0.5 to 1."""
         if len(self.classes) == 1:
@@ -150,8 +141,10 @@ def fit(rows: DataFrame, o: LanguageOptions = LanguageOptions()) -> LanguageMode
     usable = rows.filter("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")
     ids = usable.select("doc_id", "lang").distinct()
     counts = ids.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.col("rows").desc(), "lang").limit(o.sample)
-    kinds = counts.count()
-    per = min(o.per_language, o.sample // max(1, kinds))
+    kinds = sorted(r["lang"] for r in counts.select("lang").collect())
+    if not kinds:
+        return LanguageModel(o)
+    per = min(o.per_language, o.sample // len(kinds))
     known = ids.join(F.broadcast(counts.select("lang")), "lang", "left_semi")
     draw = top_k(known, ["lang"], [F.xxhash64("doc_id"), F.col("doc_id")], per)
     # Bounded by o.sample rows, so it is broadcast.
@@ -165,16 +158,40 @@ def fit(rows: DataFrame, o: LanguageOptions = LanguageOptions()) -> LanguageMode
                     names=["doc_id", "lang", "x"],
                 )
 
-    sample = chosen.mapInArrow(run, "doc_id bigint, lang string, x binary").groupBy("doc_id", "lang").agg(F.min("x").alias("x")).collect()
-    model = LanguageModel(o)
-    if sample:
-        sample.sort(key=lambda r: (r["lang"], r["doc_id"], r["x"]))
-        x = np.array([np.frombuffer(r["x"], np.float32) for r in sample], dtype=np.float64)
-        lang = np.array([r["lang"] for r in sample], dtype=object)
-        family = np.array([o.families.get(name, name) for name in lang], dtype=object)
-        model.family = Duel.fit(x, family, o)
-        model.within = {f: Duel.fit(x[family == f], lang[family == f], o) for f in model.family.classes}
-    return model
+    sample = chosen.mapInArrow(run, "doc_id bigint, lang string, x binary").groupBy("doc_id", "lang").agg(F.min("x").alias("x"))
+    families: dict[str, list[str]] = {}
+    for name in kinds:
+        families.setdefault(o.families.get(name, name), []).append(name)
+    firsts, seconds = _duels(families), {f: _duels({name: [name] for name in names}) for f, names in families.items()}
+    fitted = _fitted(sample, [*firsts, *(d for f in sorted(families) for d in seconds[f])], o)
+    machines = iter(fitted)
+    take = lambda classes, duels: Duel(sorted(classes), np.array([next(machines) for _ in duels]).T.reshape(1 << o.bits, len(duels)))
+    return LanguageModel(o, take(families, firsts), {f: take(families[f], seconds[f]) for f in sorted(families)})
+
+
+def _duels(classes: dict[str, list[str]]) -> list[tuple[list[str], list[str]]]:
+    """The languages on both sides of each pair of classes, in the order of combinations()."""
+    return [(classes[a], classes[b]) for a, b in combinations(sorted(classes), 2)]
+
+
+def _fitted(sample: DataFrame, duels: list[tuple[list[str], list[str]]], o: LanguageOptions) -> list[np.ndarray]:
+    """Weights of a machine for each duel. Every duel is fitted in a task of its own; only weights reach the driver."""
+    if not duels:
+        return []
+
+    def machine(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("lang", "ascending"), ("doc_id", "ascending")])
+        x = np.empty((rows.num_rows, 1 << o.bits))
+        for k, v in enumerate(rows.column("x")):
+            x[k] = np.frombuffer(v.as_buffer(), np.float32)
+        w = support_vectors(x, rows.column("side").to_numpy(), o.cost, o.epochs)
+        return pa.table({"duel": rows.column("duel").slice(0, 1), "w": pa.array([w.tobytes()], pa.binary())})
+
+    sides = [(k, name, side) for k, duel in enumerate(duels) for names, side in zip(duel, (1.0, -1.0)) for name in names]
+    sides = sample.sparkSession.createDataFrame(sides, "duel int, lang string, side double")
+    found = sample.join(F.broadcast(sides), "lang").groupBy("duel").applyInArrow(machine, "duel int, w binary")
+    weights = {r["duel"]: np.frombuffer(r["w"]) for r in found.collect()}
+    return [weights[k] for k in range(len(duels))]
 
 
 def _chunks(texts: pa.Array, o: LanguageOptions) -> Iterator[tuple[np.ndarray, int]]:

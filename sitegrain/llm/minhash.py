@@ -192,27 +192,29 @@ def near_duplicates(docs: DataFrame, o: MinHashOptions = MinHashOptions()) -> Da
     star = scratch.keep(star.filter(_possible(o)).select("a", "b"), "star")
     links = scratch.keep(verified(docs, star, o), "links")
 
-    outside, _ = _outside(hits, facts, links, 1, scratch)
+    # Later rounds go on from the components found so far, not from their links.
+    stars = lambda parts: parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    parts = connected_components(links, scratch)
+    outside, _ = _outside(hits, facts, parts, 1, scratch)
     probes = outside.filter(_possible(o)).select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b"))
     probes = scratch.keep(probes.distinct().join(star, ["a", "b"], "left_anti"), "probes")
-    links = scratch.keep(links.union(verified(docs, probes, o)), "links")
+    parts = connected_components(stars(parts).union(verified(docs, probes, o)), scratch)
 
-    _, mixed = _outside(hits, facts, links, 2, scratch)
+    _, mixed = _outside(hits, facts, parts, 2, scratch)
     more = scratch.keep(_apart(docs, scratch.keep(mixed, "mixed"), chosen, o), "links")
 
-    edges = links.union(more).union(copies.select("a", "b"))
-    parts = connected_components(edges, scratch)
+    parts = connected_components(stars(parts).union(more).union(copies.select("a", "b")), scratch)
     out = small.select("doc_id", "n_shingles").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _outside(hits: DataFrame, facts: DataFrame, links: DataFrame, turn: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _outside(hits: DataFrame, facts: DataFrame, parts: DataFrame, turn: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Members whose part is not that of a head drawn in their bucket (a_: the head, b_: the member).
 
     The second table holds all members ``key, doc_id, part, outside`` of the buckets that have such members.
     """
-    parts = connected_components(links, scratch).withColumnRenamed("id", "doc_id")
+    parts = parts.withColumnRenamed("id", "doc_id")
     placed = hits.join(parts, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
     placed = scratch.keep(placed, "placed")
     drawn = F.struct(F.xxhash64("key", "doc_id", F.lit(turn)), "doc_id", "part")

@@ -226,6 +226,21 @@ def test_languages(spark):
     assert {r.doc_id for r in odd.collect() if r.lang_pred == "und"} == {900, 901, 902, 907}
 
 
+def test_only_weights_reach_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame(language_rows(), "doc_id bigint, text string, lang string")
+    seen, collect = [], type(docs).collect
+
+    def counted(df):
+        rows = collect(df)
+        seen.append(sum(len(v) for r in rows for v in r if isinstance(v, (bytes, bytearray))))
+        return rows
+
+    monkeypatch.setattr(type(docs), "collect", counted)
+    model = langid.fit(docs)
+    assert model.within["romance"].weights.shape == (4096, 1) and model.within["germanic"].weights.shape == (4096, 1)
+    assert sum(seen) == 3 * 4096 * 8  # vectors of the 200 rows stay in the tasks
+
+
 def test_languages_of_few_rows(spark):
     none = langid.fit(spark.createDataFrame([(1, None, "en"), (2, "a", None)], "doc_id bigint, text string, lang string"))
     assert [r.lang_pred for r in langid.identified(table(spark, [(1, "abc")]), none).collect()] == ["und"]

@@ -173,3 +173,12 @@ def test_components(spark):
                 part[a] = part[b] = min(part[a], part[b])
     assert got == part
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint"), Scratch(spark, "test")).count() == 0
+
+
+def test_stars_need_no_round(spark):
+    scratch = Scratch(spark, "test")
+    stars = [(1, i) for i in range(2, 50)] + [(60, 61), (62, 60)]
+    got = dict(connected_components(spark.createDataFrame(stars[:-1], "a bigint, b bigint"), scratch).collect())
+    assert got == {1: 1, 60: 60, 61: 60} | {i: 1 for i in range(2, 50)}
+    assert scratch.count == 1  # the edges; no round was written
+    assert dict(connected_components(spark.createDataFrame(stars, "a bigint, b bigint"), scratch).collect())[62] == 60
