@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegrain.llm import langid
-from sitegrain.llm.bpe import BpeFile, decoded, encoded
+from sitegrain.llm.bpe import BpeFile, round_trip
 from sitegrain.llm.minhash import deduplicated
 from sitegrain.llm.mixing import mixed
 from sitegrain.llm.substrings import without_repeats
@@ -53,7 +53,7 @@ def weighted_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded_sha256``: ids of every text and the digest of what they decode to."""
     file = BpeFile.read(public_tokenizers.path("word_bpe_49k.json"))
-    rows = decoded(encoded(docs, file), file)
+    rows = round_trip(docs, file)
     return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.llm.tables import extended, without
+from sitegrain.llm.tables import extended, released, without
 
 SLICE_CHARS = 1 << 19
 TABLE_WORDS = 100_000  # words that a worker remembers
@@ -122,38 +122,51 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield first, texts
 
 
+def _encode(batches: Iterator[pa.RecordBatch], table: WordTable) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, texts in _slices(batch.column("text")):
+            ids, begins = table.encode(texts)
+            lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), lists], names=["doc_id", "ids"])
+    # Workers live on: what this task has learned must not stand beside later operators' needs.
+    table.clear()
+
+
+def _decode(batches: Iterator[pa.RecordBatch], pieces: pa.Array) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            lists = part.column("ids")
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            yield part, [pc.binary_join(pa.ListArray.from_arrays(ends, pieces.take(lists.flatten())), " ")]
+
+
 def encoded(docs: DataFrame, file: BpeFile) -> DataFrame:
     """``doc_id, ids`` of every row; a null text is an empty one and has no ids. Further columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(file)
+    run = released(lambda batches: _encode(batches, _table(shared.value)))
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, ids array<int>")
+
+
+def round_trip(docs: DataFrame, file: BpeFile) -> DataFrame:
+    """``encoded``, then ``decoded``: ``doc_id, ids, decoded`` of every row.
+
+    Both work in one Python process of a task. Two operators would hold a process, with a table, each.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(shared.value)
-        for batch in batches:
-            for first, texts in _slices(batch.column("text")):
-                ids, begins = table.encode(texts)
-                lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), lists], names=["doc_id", "ids"])
-        # Workers live on: what this task has learned must not stand beside later operators' needs.
-        table.clear()
-        pa.default_memory_pool().release_unused()
+        for part, new in _decode(_encode(batches, table), table.pieces):
+            yield pa.RecordBatch.from_arrays([*part.columns, *new], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    return rows.mapInArrow(released(run), "doc_id bigint, ids array<int>, decoded string")
 
 
 def decoded(rows: DataFrame, file: BpeFile) -> DataFrame:
     """``rows`` with ``decoded``: the pieces of ``ids`` (special tokens too), joined by one blank. Null ids are none."""
     shared = rows.sparkSession.sparkContext.broadcast(file)
     rows = without(rows, ["decoded"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
-        pieces = _table(shared.value).pieces
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                lists = part.column("ids")
-                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                texts = pc.binary_join(pa.ListArray.from_arrays(ends, pieces.take(lists.flatten())), " ")
-                yield part, [texts]
-
-    return extended(rows, ["ids"], run, "decoded string")
+    return extended(rows, ["ids"], lambda batches: _decode(batches, _table(shared.value).pieces), "decoded string")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.llm.tables import Scratch, beside_groups, connected_components, quoted
+from sitegrain.llm.tables import Scratch, beside_groups, connected_components, quoted, released
 from sitegrain.llm.words import mix, powers, shingle_set, signed, slices, span_hashes
 
 
@@ -109,7 +109,7 @@ def signatures(docs: DataFrame, o: MinHashOptions) -> DataFrame:
                 names=["doc_id", "fp1", "fp2", "n_shingles", "keys", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, _SIGNED)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(released(run), _SIGNED)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, o: MinHashOptions) -> DataFrame:
@@ -143,7 +143,7 @@ def verified(docs: DataFrame, pairs: DataFrame, o: MinHashOptions) -> DataFrame:
                         found.append((int(a[row]), int(ids[row])))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(run, "a bigint, b bigint")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(released(run), "a bigint, b bigint")
 
 
 def _linked(a: np.ndarray, b: np.ndarray, numerator: int) -> bool:
@@ -265,7 +265,7 @@ def _apart(docs: DataFrame, mixed: DataFrame, chosen: DataFrame, o: MinHashOptio
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     rows = texts.join(places.hint("merge"), "doc_id")
-    return rows.repartition(*group).sortWithinPartitions(*group, "role").mapInArrow(run, "a bigint, b bigint")
+    return rows.repartition(*group).sortWithinPartitions(*group, "role").mapInArrow(released(run), "a bigint, b bigint")
 
 
 class _Box:

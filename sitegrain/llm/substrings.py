@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.llm.tables import Scratch, beside_groups, quoted, widened, without
+from sitegrain.llm.tables import Scratch, beside_groups, quoted, released, widened, without
 from sitegrain.llm.words import Slice, mix, signed, slices, span_hashes
 
 WINDOW = 20
@@ -136,7 +136,7 @@ def _segment_rows(docs: DataFrame, window: int, rounds: int) -> DataFrame:
                     names=["name", "content", "doc_id", "pos", "n"],
                 )
 
-    return docs.mapInArrow(run, "name bigint, content bigint, doc_id bigint, pos int, n int")
+    return docs.mapInArrow(released(run), "name bigint, content bigint, doc_id bigint, pos int, n int")
 
 
 def _window_rows(docs: DataFrame, window: int) -> DataFrame:
@@ -154,7 +154,7 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
                 place = (at - s.words[:-1][owner]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*hashes, pa.array(ids[s.first + owner]), pa.array(place)], names=["h1", "h2", "doc_id", "pos"])
 
-    return docs.mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint, pos int")
+    return docs.mapInArrow(released(run), "h1 bigint, h2 bigint, doc_id bigint, pos int")
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,6 +256,6 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     joined = texts.filter("doc_id is not null").join(spans.hint("merge"), "doc_id", "left")
     unnamed = texts.filter("doc_id is null").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
     schema = widened(texts.drop("text"), "n_words bigint, n_removed bigint, kept string")
-    out = joined.unionByName(unnamed).mapInArrow(run, schema)
+    out = joined.unionByName(unnamed).mapInArrow(released(run), schema)
     rest = [F.col(f"__rest.{c}") for c in quoted([c for c in docs.columns if c not in ("doc_id", "text")])]
     return out.select("doc_id", *rest, "n_words", "n_removed", "kept")

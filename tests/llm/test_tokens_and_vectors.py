@@ -8,8 +8,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from sitegrain.llm import simple8b
-from sitegrain.llm.bpe import BpeFile, WordTable, decoded, encoded
+from sitegrain.llm.bpe import BpeFile, WordTable, decoded, encoded, round_trip
 from sitegrain.llm.forest import ForestOptions, nearest
 from sitegrain.llm.tables import Scratch, connected_components
 from sitegrain.llm.vectors import SignOptions, near_vectors
@@ -33,6 +34,20 @@ def test_word_bpe_equals_the_library(spark):
     assert encoded(odd(spark).limit(0), file).count() == 0
 
 
+def test_round_trip_of_word_bpe_equals_both_operators(spark):
+    file = BpeFile.read(WORD)
+    both, trip = decoded(encoded(odd(spark), file), file), round_trip(odd(spark), file)
+    assert trip.schema == both.schema
+    rows = lambda d: sorted((str(r.doc_id), r.ids, r.decoded) for r in d.collect())
+    assert rows(trip) == rows(both)
+    assert round_trip(odd(spark).limit(0), file).count() == 0
+
+
+def test_pipeline_tokens_take_one_python_process(spark):
+    rows = corpus_pipeline.token_ids(spark, odd(spark), "")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 _library, _table = Tokenizer.from_file(WORD), WordTable(open(WORD, encoding="utf-8").read())
 _bytes, _encoding = Tokenizer.from_file(BYTE), simple8b.byte_encoding(open(BYTE, encoding="utf-8").read())
 plain = st.text(st.characters(codec="utf-8", exclude_categories=("Cn", "Cs")), max_size=60)
