@@ -36,6 +36,7 @@ from sitegrain.vocab import Vocabulary
 
 PICKS = 6
 MINIMUM = 3
+ASKED = 1 << 14  # lists that one task reads
 _PAGE = ["site", "idx"]
 _LIST = ["site", "for_pdp", "key"]
 
@@ -94,9 +95,17 @@ def _posting_lists(members: DataFrame, size: int) -> DataFrame:
     return lists.select(*_LIST, "entries", (-F.col("end.negative")).alias("tail"), F.col("end.idx").alias("last"))
 
 
+def _dealt(asked: DataFrame) -> DataFrame:
+    """``asked`` dealt by page to as many tasks as its rows need: each becomes the entries of a list, which a task sorts.
+
+    Its files say nothing of that, since they are many times smaller than what is read for them.
+    """
+    return asked.repartition(max(1, -(-asked.count() // ASKED)), *_PAGE)
+
+
 def _read(asked: DataFrame, postings: DataFrame) -> DataFrame:
     """What pages find on the lists that they ask for, scored in full."""
-    rows = lookup(asked.select(*_PAGE, "for_pdp", "pool", "key"), postings.select(*_LIST, "entries"), _LIST, "idx", "inner")
+    rows = lookup(_dealt(asked.select(*_PAGE, "for_pdp", "pool", "key")), postings.select(*_LIST, "entries"), _LIST, "idx", "inner")
     # Of an anchor's two holders the page takes the first that is not itself.
     own = F.transform("entries", lambda h: F.when(h[0]["idx"] != F.col("idx"), h[0]).otherwise(F.get(h, F.lit(1))))
     rows = unnest(rows, [*_PAGE, "for_pdp", "pool"], own, "e").filter("e is not null")
@@ -167,16 +176,16 @@ def suggest_links(
     # The empty set: the site's best targets.
     postings = cut_lineage(_posting_lists(targets.withColumn("key", F.lit("")), list_size), "postings")
     every = sources.select(*_PAGE, "for_pdp", "pool", F.lit("").alias("key"))
-    found = _read(every, postings)
+    found = _best(_read(every, postings), picks)
     large = postings.filter("tail is not null").select("site").distinct()
     if large.isEmpty():
-        return filled(_best(found, picks))
+        return filled(found)
 
     # Single tokens. Behind them only tokens count whose own lists are truncated.
     targets_ = targets.join(large, "site", "left_semi")
     postings = cut_lineage(_posting_lists(unnest(targets_, ["*"], F.array_distinct("tokens"), "key"), list_size), "postings")
     asked = unnest(every.drop("key").join(large, "site", "left_semi"), ["*"], F.col("pool"), "key")
-    best = cut_lineage(_best(found.unionByName(_read(asked, postings)), picks), "picks")
+    best = cut_lineage(_best(found.unionByName(_best(_read(asked, postings), picks)), picks), "picks")
     worst = best.groupBy(*_PAGE).agg(F.count("*").alias("n"), F.max(F.struct("negative_score", "target_idx")).alias("worst"))
     heavy = postings.filter("tail is not null")
     members = unnest(_weighed(targets_, heavy.select("site", F.col("key").alias("token")).distinct()), ["*"], F.col("deep"), "key")
@@ -196,7 +205,7 @@ def suggest_links(
         asked = asked.filter(F.array_contains("deep", F.col("token"))).drop("prefix", "token")
         members = members.drop("prefix", "token")
         postings = cut_lineage(_posting_lists(members, list_size), "postings")
-        found = found.unionByName(_read(asked, postings))
+        found = found.unionByName(_best(_read(asked, postings), picks))
         asked = _open(asked, postings, members)
     return filled(_best(found, picks))
 

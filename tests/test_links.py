@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from sitegrain.operators import links as L
+from sitegrain.operators import suggestions
 from sitegrain.operators.linkplan import plan_links
 from sitegrain.operators.suggestions import suggest_links
 from sitegrain.vocab import Vocabulary
@@ -142,6 +143,18 @@ def test_suggestions_with_a_dozen_shared_tokens(spark):
     assert got == all_pairs_suggestions(pages, words, ["w03"])
 
 
+def test_lists_are_read_in_as_many_tasks_as_pages_ask(spark, monkeypatch):
+    monkeypatch.setattr(suggestions, "ASKED", 8)
+    asked = spark.range(40).selectExpr("'s' AS site", "id AS idx", "false AS for_pdp", "array('a') AS pool", "'' AS key").coalesce(1)
+    entry = "named_struct('idx', 100 + id, 'url', 'u', 'anchor', string(id), 'tokens', array('a'), 'again', CAST(NULL AS array<string>), 'terms', 0, 'category', false)"
+    lists = spark.range(3).selectExpr(f"array({entry}) AS holders").selectExpr("collect_list(holders) AS entries")
+    postings = lists.selectExpr("'s' AS site", "false AS for_pdp", "'' AS key", "entries")
+    rows = suggestions._read(asked, postings)
+    assert rows.count() == 120
+    tasks = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert len(tasks) > 2 and all(r.n < 120 for r in tasks)
+
+
 def test_injection(one):
     link = F.array(F.struct(F.lit("vinyl banners").alias("anchor"), F.lit("/v").alias("url")))
     none = F.array().cast("array<struct<anchor:string,url:string>>")
