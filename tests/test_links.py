@@ -149,7 +149,7 @@ def test_lists_are_read_in_as_many_tasks_as_pages_ask(spark, monkeypatch):
     entry = "named_struct('idx', 100 + id, 'url', 'u', 'anchor', string(id), 'tokens', array('a'), 'again', CAST(NULL AS array<string>), 'terms', 0, 'category', false)"
     lists = spark.range(3).selectExpr(f"array({entry}) AS holders").selectExpr("collect_list(holders) AS entries")
     postings = lists.selectExpr("'s' AS site", "false AS for_pdp", "'' AS key", "entries")
-    rows = suggestions._read(asked, postings)
+    rows = suggestions._read(asked, F.broadcast(postings))
     assert rows.count() == 120
     tasks = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
     assert len(tasks) > 2 and all(r.n < 120 for r in tasks)
