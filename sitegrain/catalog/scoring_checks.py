@@ -41,7 +41,7 @@ def _generated(spark: SparkSession, sf: str) -> DataFrame:
         content.alias("optimized_content"),
         schema.alias("schema_json"),
         F.col("toxic").isNotNull().alias("schema_present"),
-        F.lower(F.element_at("w", 1)).alias("product_entity"),
+        F.lower(F.try_element_at("w", F.lit(1))).alias("product_entity"),
         F.lit(300).alias("average_word_count"),
         F.array_union(F.slice("w", 1, 6), F.array(F.lit("Zebra"), F.lit("ING"))).alias("heading_patterns"),
         F.when(F.col("lang") == "es", F.array().cast("array<string>"))

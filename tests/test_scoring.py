@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from sitegrain.catalog import scoring_checks
 from sitegrain.operators import schema_org, scoring
 from sitegrain.vocab import REQUIRED_SECTIONS
 
@@ -93,6 +94,17 @@ def test_retry(spark):
     ]
 
 
+def test_texts_without_words_are_decided(spark, tmp_path):
+    rows = [(1, "", "en"), (2, " \n\t", "de"), (3, None, "fr"), (4, "The la de", "en")]
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id BIGINT, quality INT, toxic INT").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {tuple(r) for r in scoring_checks.retry_decisions(spark, str(tmp_path)).collect()}
+    assert got == {(k, True, "missing_sections") for k in (1, 2, 3, 4)}
+    failed = {r["doc_id"]: r["failed_checks"] for r in scoring_checks.evaluation(spark, str(tmp_path)).collect()}
+    # A text without a first word names no entity, so none is missing.
+    assert failed[1] == "required_sections|generic_headings|overview_length" and "product_entity" not in failed[2]
+
+
 def test_faq_pairs(one):
     pairs = lambda t: [tuple(p) for p in one(schema_org.faq_pairs(c("t")), t=t)]
     assert pairs("Q: a\nA: b") == [("a", "b")]
