@@ -6,7 +6,7 @@ from collections import Counter
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.functions.text import any_of, content_tokens, first_n
@@ -67,6 +67,17 @@ def _most_frequent(joined: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.list_(pa.string())))
 
 
+def most_frequent(text: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
+    """Top terms of each length of a row's text; select it as a column before it is used twice."""
+    return F.arrow_udf(_most_frequent, "array<array<string>>")(F.array_join(content_tokens(text, stopwords), " "))
+
+
+def listed_terms(best: Column, vocab: Vocabulary = Vocabulary()) -> tuple[Column, Column]:
+    """Entities and phrases from a column of :func:`most_frequent`."""
+    entities = F.filter(best[0], lambda t: t.rlike(any_of(vocab.entity_terms)))
+    return first_n(entities, TOP_PHRASES), first_n(F.concat(best[1], best[2]), TOP_PHRASES)
+
+
 def _once_and_again(documents: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose key is theirs alone, and rows that share one."""
     rows = documents.select(doc, text)
@@ -89,12 +100,10 @@ def entities_and_phrases(
     shuffled or spilled. Only rows that share a key meet by key.
     """
     once, again = _once_and_again(documents, doc, text)
-    count = F.arrow_udf(_most_frequent, "array<array<string>>")
-    best = once.select(doc, count(F.array_join(content_tokens(F.col(text), stopwords), " ")).alias("best"))
-    entities = F.filter(F.col("best")[0], lambda t: t.rlike(any_of(vocab.entity_terms)))
-    phrases = F.concat(F.col("best")[1], F.col("best")[2])
+    best = once.select(doc, most_frequent(F.col(text), stopwords).alias("best"))
+    entities, phrases = listed_terms(F.col("best"), vocab)
     kinds = F.array(
-        *(F.struct(F.lit(kind).alias("kind"), first_n(terms, TOP_PHRASES).alias("terms")) for kind, terms in (("entity", entities), ("phrase", phrases)))
+        *(F.struct(F.lit(kind).alias("kind"), terms.alias("terms")) for kind, terms in (("entity", entities), ("phrase", phrases)))
     )
     listed = best.select(doc, F.explode(kinds).alias("k"))
     quick = unnest(listed, [doc, F.col("k.kind").alias("kind")], F.col("k.terms"), "term", "pos")

@@ -21,7 +21,7 @@ from sitegrain.functions.text import (
     word_count,
 )
 from sitegrain.operators.ordered import first_occurrence, lookup, top_k, unnest
-from sitegrain.operators.phrases import entities_and_phrases
+from sitegrain.operators.phrases import _merged, entities_and_phrases, listed_terms, most_frequent
 from sitegrain.session import cut_lineage
 from sitegrain.sources.keyed_tables import KeyedTable
 from sitegrain.vocab import (
@@ -166,13 +166,43 @@ def _named(name: str, items: Column) -> Column:
 
 
 def fallback_intel(
-    failed: DataFrame, vocab: Vocabulary = Vocabulary(), stopwords: Sequence[str] = STOPWORDS
+    failed: DataFrame,
+    vocab: Vocabulary = Vocabulary(),
+    stopwords: Sequence[str] = STOPWORDS,
+    keep: Sequence[str] = (),
+    alone: bool = False,
 ) -> DataFrame:
     """Roll-up of queries whose lookup failed, from the page's own text.
 
-    ``failed``: ``query, headings, text``; one row per query.
+    ``failed``: ``query, headings, text``; one row per query. A query in one row is rolled up where it lies; with
+    ``alone`` the caller knows that all are. The columns ``keep`` stay.
     """
-    terms = entities_and_phrases(failed, "query", "text", vocab, stopwords)
+    none = F.array().cast("array<string>")
+    headings = F.filter(F.transform("headings", lambda h: h["text"]), lambda t: text_or_empty(t) != "")
+
+    def rolled(df: DataFrame, entities: Column, phrases: Column) -> DataFrame:
+        return df.select(
+            *keep,
+            "query",
+            word_count(text_or_empty(F.col("text"))).alias("average_word_count"),
+            list_or_empty(first_n(headings, FALLBACK_HEADINGS)).alias("heading_patterns"),
+            list_or_empty(entities).alias("entity_coverage"),
+            list_or_empty(phrases).alias("semantic_phrases"),
+            none.alias("faq_patterns"),
+            none.alias("schema_types"),
+            none.alias("top_urls"),
+        )
+
+    def in_place(df: DataFrame) -> DataFrame:
+        terms = [F.when(F.col("query").isNotNull(), listed) for listed in listed_terms(F.col("best"), vocab)]
+        return rolled(df.withColumn("best", most_frequent(F.col("text"), stopwords)), *terms)
+
+    if alone:
+        return in_place(failed)
+    shared = cut_lineage(failed.groupBy(F.col("query").alias("__query")).count().filter("count > 1").select("__query"), "shared-keys")
+    same = F.col("query").eqNullSafe(F.col("__query"))
+    once, again = failed.join(shared, same, "left_anti"), failed.join(shared, same, "left_semi")
+    terms = _merged(again, "query", "text", vocab, stopwords)
     lists = terms.groupBy("query").agg(
         *[
             F.transform(
@@ -182,23 +212,8 @@ def fallback_intel(
             for kind, name in (("entity", "entity_coverage"), ("phrase", "semantic_phrases"))
         ]
     )
-    headings = F.filter(F.transform("headings", lambda h: h["text"]), lambda t: text_or_empty(t) != "")
-    base = failed.select(
-        "query",
-        word_count(text_or_empty(F.col("text"))).alias("average_word_count"),
-        list_or_empty(first_n(headings, FALLBACK_HEADINGS)).alias("heading_patterns"),
-    )
-    none = F.array().cast("array<string>")
-    return base.join(lists, "query", "left").select(
-        "query",
-        "average_word_count",
-        "heading_patterns",
-        list_or_empty(F.col("entity_coverage")).alias("entity_coverage"),
-        list_or_empty(F.col("semantic_phrases")).alias("semantic_phrases"),
-        none.alias("faq_patterns"),
-        none.alias("schema_types"),
-        none.alias("top_urls"),
-    )
+    merged = again.join(lists, "query", "left")
+    return in_place(once).unionByName(rolled(merged, F.col("entity_coverage"), F.col("semantic_phrases")))
 
 
 def serp_intel(
@@ -215,15 +230,50 @@ def serp_intel(
     """
     failed = queries.filter("status = 'failed'").select("query", "headings", "text")
     served = queries.filter("status <> 'failed' OR status IS NULL").select("query")
-    # Only asked result pages are tokenised.
-    asked = serp_pages.join(served.distinct(), "query", "left_semi")
-    found = aggregate_intel(asked, vocab, stopwords)
-    full = served.join(found, "query", "left").select(
-        "query",
-        F.coalesce("average_word_count", F.lit(0)).alias("average_word_count"),
-        *[list_or_empty(F.col(n)).alias(n) for n in CAPS],
+    return _served_intel(served, serp_pages, vocab, stopwords).unionByName(fallback_intel(failed, vocab, stopwords))
+
+
+def _served_intel(served: DataFrame, serp_pages: DataFrame, vocab: Vocabulary, stopwords: Sequence[str]) -> DataFrame:
+    """Roll-up of each row of ``served`` (``query`` and more columns, which stay) from the result pages of its query.
+
+    Only asked result pages are tokenised. The page of a query that has one meets it once and is rolled up there;
+    only the values of queries with several pages meet again.
+    """
+    keep = served.columns
+    asked = served.select("query").distinct()
+    counts = serp_pages.select("query").join(asked, "query", "left_semi").groupBy("query").agg(F.count("*").alias("__pages"))
+    counts = cut_lineage(counts, "page-counts")
+    counted = served.join(counts, "query", "left")
+    none = F.array().cast("array<string>")
+    full = counted.filter("__pages IS NULL").select(*keep, F.lit(0).cast("long").alias("average_word_count"), *[none.alias(n) for n in CAPS])
+    several = {r["several"] for r in counts.select((F.col("__pages") > 1).alias("several")).distinct().collect()}
+    if False in several:
+        alone = counted.filter("__pages = 1").drop("__pages").join(serp_pages, "query")
+        full = full.unionByName(_page_intel(alone, vocab, stopwords, keep))
+    if True in several:
+        asked = serp_pages.join(counts.filter("__pages > 1").select("query"), "query", "left_semi")
+        full = full.unionByName(served.join(aggregate_intel(asked, vocab, stopwords), "query"))
+    return full
+
+
+def _page_intel(pages: DataFrame, vocab: Vocabulary, stopwords: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """:func:`aggregate_intel` of queries with one page each, row by row."""
+    counted = pages.withColumn("best", most_frequent(F.col("paragraph_text"), stopwords))
+    entities, phrases = listed_terms(F.col("best"), vocab)
+    lists = {
+        "heading_patterns": F.transform("headings", lambda h: h["text"]),
+        "entity_coverage": entities,
+        "semantic_phrases": phrases,
+        "faq_patterns": F.col("faq_questions"),
+        "schema_types": F.col("schema_types"),
+        "top_urls": F.array("url"),
+    }
+    words = F.round(F.when(F.col("word_count") > 0, F.col("word_count")).cast("double"))
+    return counted.select(
+        *keep,
+        F.coalesce(words, F.lit(0)).cast("long").alias("average_word_count"),
+        *[first_n(F.array_distinct(F.array_compact(list_or_empty(lists[n]))), limit).alias(n) for n, limit in CAPS.items()],
     )
-    return full.unionByName(fallback_intel(failed, vocab, stopwords))
 
 
 def insights(intel: DataFrame, themes: int = 20) -> DataFrame:
@@ -317,26 +367,45 @@ def cached_intel(
     ``queries``: ``query, status, headings, text``, one row per query. A query whose key has a fresh entry takes that
     (``cache``). Only the others are looked up: their result pages are tokenised (``results``), or their own text
     where the lookup failed (``fallback``). Both replace the entry of their key; of queries with one key the first
-    in order is looked up for all. Only buckets with asked keys are read, only those with new entries rewritten.
+    in order is looked up for all. Only buckets with asked keys are read, only those with replaced entries rewritten.
     """
     # Texts and headings stay where they are until it is known which are needed.
     keyed = queries.withColumn("cache_key", query_hash(F.col("query")))
-    asked = cut_lineage(keyed.select("query", "cache_key"), "asked")
+    asked = cut_lineage(keyed.select("query", "cache_key", "status"), "asked")
     fresh = fresh_cache_entries(cache.read(asked.select("cache_key")), as_of, ttl_hours)
-    chosen = first_occurrence(asked.join(fresh.select("cache_key"), "cache_key", "left_anti"), ["cache_key"], [F.col("query")])
-    chosen = chosen.select("cache_key", F.col("query").alias("__chosen"))
-    missing = keyed.join(chosen, "cache_key").filter(F.col("query").eqNullSafe(F.col("__chosen"))).drop("__chosen")
-    missing = cut_lineage(first_occurrence(missing, ["cache_key"], [F.col("query")]), "missing")
-    found = serp_intel(missing.select("query", "status", "headings", "text"), serp_pages, vocab, stopwords)
-    origin = F.when(F.col("status") == "failed", "fallback").otherwise("results").alias("origin")
-    found = missing.select("cache_key", "query", origin).join(found, "query").drop("query").withColumn("fetched_at", as_of.cast("timestamp"))
-    found = cut_lineage(found, "found")
-    # What is in the cache now is read before the new entries go in.
     lists = ["average_word_count", *CAPS]
-    known = fresh.select("cache_key", F.lit("cache").alias("origin"), *lists).unionByName(found.select("cache_key", "origin", *lists))
-    result = cut_lineage(asked.select("query", "cache_key").join(known, "cache_key").select("query", "origin", *lists), "intel")
-    cache.upsert(found)
-    return result
+    # What is in the cache now is read before the new entries go in.
+    known = asked.select("query", "cache_key").join(fresh, "cache_key").select("query", F.lit("cache").alias("origin"), *lists)
+    known = cut_lineage(known, "known")
+    lacking = asked.join(fresh.select("cache_key"), "cache_key", "left_anti")
+    times = lacking.groupBy("cache_key").agg(F.count("*").alias("__times"))
+    missing = first_occurrence(lacking, ["cache_key"], [F.col("query")]).join(times, "cache_key")
+    missing = cut_lineage(missing.filter("query IS NOT NULL"), "missing")
+    found = _looked_up(missing, keyed, serp_pages, vocab, stopwords).withColumn("fetched_at", as_of.cast("timestamp"))
+    found = cut_lineage(found, "found")
+    cache.upsert(found, stored=True)
+    # An entry that one row asks for is its answer; only those of several rows meet these by key.
+    once = found.filter("__times = 1").select("query", "origin", *lists)
+    several = found.filter("__times > 1").drop("query")
+    return known.unionByName(once).unionByName(asked.select("query", "cache_key").join(several, "cache_key").select("query", "origin", *lists))
+
+
+def _looked_up(missing: DataFrame, keyed: DataFrame, serp_pages: DataFrame, vocab: Vocabulary, stopwords: Sequence[str]) -> DataFrame:
+    """New entries of ``missing``, a stored table ``cache_key, query, status, __times`` with one row per key.
+
+    Pages and own texts are read only if some of the lookups need them.
+    """
+    failed = missing.filter("status = 'failed'")
+    served = missing.filter("status <> 'failed' OR status IS NULL").drop("status")
+    parts = []
+    if not failed.isEmpty():
+        chosen = failed.select("cache_key", F.col("query").alias("__chosen"), "__times")
+        texts = keyed.filter("status = 'failed'").join(chosen, "cache_key").filter(F.col("query") == F.col("__chosen"))
+        texts = first_occurrence(texts, ["cache_key"], [F.col("query")]).select("cache_key", "__times", "query", "headings", "text")
+        parts.append(fallback_intel(texts, vocab, stopwords, ["cache_key", "__times"], alone=True).withColumn("origin", F.lit("fallback")))
+    if not (parts and served.isEmpty()):
+        parts.append(_served_intel(served, serp_pages, vocab, stopwords).withColumn("origin", F.lit("results")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 # --- keyword expansion and clusters ------------------------------------------------

@@ -51,5 +51,5 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     only those they need) and gives the optimizer its true size.
     """
     path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)

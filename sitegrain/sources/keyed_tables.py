@@ -11,10 +11,11 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from sitegrain.session import cut_lineage
 
 _BUCKET = "__bucket"
+MANY_FILES = 256  # a bucket of more files is written again as a whole
 
 
 class KeyedTable:
-    """A Parquet folder of hash buckets of keys; an upsert rewrites only the buckets of its own keys.
+    """A Parquet folder of hash buckets of keys; an upsert rewrites only the buckets that have some of its keys.
 
     The new buckets are written beside the table and take the place of the old ones when all are there (dynamic
     partition overwrite). An upsert that is run again gives the same table. One writer at a time.
@@ -46,10 +47,37 @@ class KeyedTable:
             return self._stored().drop(_BUCKET)
         return self._touched(asked).drop(_BUCKET).join(asked.select(*self.keys).distinct(), self.keys, "left_semi")
 
-    def upsert(self, rows: DataFrame) -> None:
-        """Insert ``rows`` (one per key; a key must not be null) or put them in the place of those with their keys."""
-        rows = cut_lineage(rows.select(*self.schema.names), "upsert")
-        kept = self._touched(rows).join(rows.select(*self.keys), self.keys, "left_anti")
-        merged = cut_lineage(rows.withColumn(_BUCKET, self._bucket()).unionByName(kept), "merged")
-        writer = merged.repartition(_BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy(_BUCKET).parquet(self.path)
+    def upsert(self, rows: DataFrame, stored: bool = False) -> None:
+        """Insert ``rows`` (one per key; a key must not be null) or put them in the place of those with their keys.
+
+        New files join a bucket that has none of the keys. Of a bucket that has, files whose keys all stay are taken
+        over whole, files whose keys are all replaced are left behind, and only rows of the others meet the new keys.
+        ``stored``: ``rows`` is a stored table, which is not written again first; its tasks write a file per bucket.
+        """
+        rows = rows.select(*self.schema.names)
+        rows = rows if stored else cut_lineage(rows, "upsert")
+        new = rows.withColumn(_BUCKET, self._bucket())
+        files = self._files(rows)
+        per: dict[int, list] = {}
+        for f in files:
+            per.setdefault(f[_BUCKET], []).append(f)
+        again = [b for b, own in per.items() if len(own) > MANY_FILES or any(f["gone"] for f in own)]
+        if again:
+            paths = {k: [f["__file"] for b in again for f in per[b] if (f["gone"] == 0, f["gone"] == f["all"]) == k] for k in ((True, False), (False, False))}
+            of = lambda k: self._stored().filter(F.col(_BUCKET).isin(again) & F.col("_metadata.file_path").isin(paths[k]))
+            kept = of((True, False)).unionByName(of((False, False)).join(rows.select(*self.keys), self.keys, "left_anti"))
+            rewritten = new.filter(F.col(_BUCKET).isin(again)).unionByName(cut_lineage(kept, "kept"))
+            new = new.filter(~F.col(_BUCKET).isin(again))
+        for part, mode in ((new, "append"), *([(rewritten, "overwrite")] if again else [])):
+            dealt = part if stored else part.repartition(_BUCKET)
+            writer = dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+            writer.partitionBy(_BUCKET).parquet(self.path)
+
+    def _files(self, rows: DataFrame) -> list:
+        """Files of the buckets of ``rows``, with their numbers of rows in all and of those whose keys are in ``rows``."""
+        if not self._stored().inputFiles():
+            return []
+        held = self._touched(rows).select(*self.keys, _BUCKET, F.col("_metadata.file_path").alias("__file"))
+        keys = rows.select(*self.keys).distinct().withColumn("__new", F.lit(1))
+        per = held.join(keys, self.keys, "left").groupBy("__file", _BUCKET)
+        return per.agg(F.count("*").alias("all"), F.count("__new").alias("gone")).collect()

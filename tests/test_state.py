@@ -5,6 +5,8 @@ import random
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sitegrain import session
+from sitegrain.catalog import text_checks
 from sitegrain.operators import links, patterns, serp
 from sitegrain.operators.ordered import number_within
 from sitegrain.session import work_folder
@@ -84,6 +86,68 @@ def test_cached_intel_looks_up_what_is_missing(spark):
     assert look(ask(mesh).limit(0), pages, 26) == {}
 
 
+def test_upserts_keep_one_row_a_key_and_the_files_that_need_no_change(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    for stored in (False, True):
+        table = KeyedTable(spark, str(tmp_path / f"t{stored}"), "k BIGINT, v STRING", ["k"], buckets=3)
+        want = {}
+        for n in range(5):
+            if n == 4:
+                monkeypatch.setattr("sitegrain.sources.keyed_tables.MANY_FILES", 1)
+            new = {k: f"{n}-{k}" for k in rng.sample(range(60), 12)}
+            rows = spark.createDataFrame(list(new.items()), "k BIGINT, v STRING").repartition(3)
+            if stored:
+                rows.write.parquet(path := str(tmp_path / f"rows-{n}"))
+                rows = spark.read.parquet(path)
+            table.upsert(rows, stored=stored)
+            want |= new
+            assert sorted(map(tuple, table.read().collect())) == sorted(want.items())
+        monkeypatch.undo()
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "u").rglob("*.parquet")}
+    table = KeyedTable(spark, str(tmp_path / "u"), "k BIGINT, v STRING", ["k"], buckets=1)
+    table.upsert(spark.range(50).select(F.col("id").alias("k"), F.lit("old").alias("v")))
+    before = files()
+    table.upsert(spark.range(50, 60).select(F.col("id").alias("k"), F.lit("new").alias("v")))
+    assert before.items() < files().items() and table.read().count() == 60
+
+
+def test_cached_intel_writes_what_is_new_and_what_is_answered(spark, tmp_path, monkeypatch):
+    """Entries are written as found, in the cache and as an answer from it; texts and pages are not written at all."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    texts = ["\n".join(" ".join(word() for _ in range(8)) for _ in range(40)) for _ in range(300)]
+    docs = spark.createDataFrame([(k, t, ("en", "de")[k % 3 == 0], "src") for k, t in enumerate(texts)], "doc_id BIGINT, text STRING, lang STRING, source STRING")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    size = lambda top: sum(f.stat().st_size for f in top.rglob("*.parquet"))
+    numbers = iter(range(1000))
+    for module in (session, text_checks):
+        monkeypatch.setattr(module, "work_folder", lambda _, name: f"{tmp_path}/kept/{name}-{next(numbers)}")
+    rows = text_checks.cached_intel(spark, str(tmp_path)).collect()
+    assert len(rows) == 800 and {(r["round"], r["origin"]) for r in rows} == {(1, "results"), (2, "cache"), (2, "fallback"), (3, "results"), (3, "cache")}
+    (cache,) = (tmp_path / "kept").glob("intel-cache-*")
+    assert size(tmp_path / "kept") < 6 * size(cache)
+
+
+def test_queries_with_one_page_are_rolled_up_like_those_with_several(spark):
+    rng = random.Random(9)
+    some = lambda n: [rng.choice(["Wind rated", "mesh", "b c", "", None, "Sizes"]) for _ in range(rng.randrange(n))]
+    pages, asked = [], [(None, "ok", [], None), ("bare", "ok", [], None), ("q1", "ok", [], None)]
+    for k in range(40):
+        for at in range(1 if k % 4 else 2):
+            text = rng.choice([None, "", " ".join(rng.choice(["wind", "rated", "mesh", "x", "the", "banner"]) for _ in range(rng.randrange(120)))])
+            headings = rng.choice([None, [("h2", h) for h in some(80)]])
+            pages.append((f"q{k}", rng.choice([at, None]), rng.choice(["u", None]), headings, text, rng.choice([None, 0, 7]), rng.choice([None, some(40)]), some(30)))
+        asked.append((f"q{k}", rng.choice(["ok", None]), [], None))
+    row = "query STRING, row_pos BIGINT, url STRING, headings ARRAY<STRUCT<tag:STRING,text:STRING>>, paragraph_text STRING, word_count BIGINT, faq_questions ARRAY<STRING>, schema_types ARRAY<STRING>"
+    pages = spark.createDataFrame(pages, row)
+    asked = spark.createDataFrame(asked, "query STRING, status STRING, headings ARRAY<STRUCT<tag:STRING,text:STRING>>, text STRING")
+    want = {r["query"]: tuple(r) for r in serp.aggregate_intel(pages).collect()}
+    got = [tuple(r) for r in serp.serp_intel(asked, pages).collect()]
+    assert len(got) == 43 and sum(r[0] == "q1" for r in got) == 2
+    for r in got:
+        assert r == want.get(r[0], (r[0], 0, [], [], [], [], [], [])), r[0]
+
+
 def test_bucketed_tables_join_without_a_shuffle(spark):
     from sitegrain.operators import runs
     from sitegrain.sources.bucketed import open_bucketed, write_bucketed
